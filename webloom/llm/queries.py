@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.llm import (
     chat_format,
     embedding_dedup,
+    language_id,
     mixing,
     packing,
     sharding,
@@ -99,6 +100,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    return language_id.identify(docs, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_records(read_table(spark, sf_dir, "documents"))
     return shards.select(
@@ -136,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_vp_dedup": op3_simhash_vp_dedup,
         "op4_sainte_lague_mix": op4_sainte_lague_mix,
         "op5_chat_format": op5_chat_format,
+        "op6_language_id": op6_language_id,
         "op7_two_pass_shards": op7_two_pass_shards,
         "op8_token_counts": op8_token_counts,
         "op9_lexical_packing": op9_lexical_packing,

@@ -21,6 +21,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.llm import (
     chat_format,
     embedding_dedup,
+    html_extract,
     language_id,
     mixing,
     packing,
@@ -134,6 +135,29 @@ def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = r"""
+WITH article AS (
+    SELECT page_id, url, regexp_replace(
+        regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<[A-Za-z/!][^<>]*$', '') AS body
+    FROM pages
+), cut AS (
+    SELECT page_id, url, string_split_regex(
+        replace(regexp_replace(body, '</?b>', '', 'g'), '<br>', ' '), '(?s)<[^<>]*>') AS parts
+    FROM article
+), plain AS (
+    SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
+        chr(160), ' '), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text
+    FROM cut
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM plain
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator of the subpackage over its whole table."""
     return {
@@ -146,9 +170,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_two_pass_shards": op7_two_pass_shards,
         "op8_token_counts": op8_token_counts,
         "op9_lexical_packing": op9_lexical_packing,
+        "op10_html_main_text": op10_html_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that have one."""
-    return {"op1_segment_topk": OP1_SQL, "op5_chat_format": OP5_SQL}
+    return {"op1_segment_topk": OP1_SQL, "op5_chat_format": OP5_SQL, "op10_html_main_text": OP10_SQL}

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.plans import page_queries, url_queries
+
+MODULES = (url_queries, page_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the name of the query."""
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from webloom.functions import fixed
 from webloom.sources.dom import nodes
 
-A = F.col("attrs")
 
 
 def _last(value: Column, when: Column) -> Column:
@@ -21,7 +20,7 @@ def _first(value: Column, when: Column) -> Column:
 
 def structured_data(found: DataFrame) -> DataFrame:
     """page_id, nid, item: the JSON-LD objects of pages as variants; lists are taken apart, broken JSON is left out."""
-    raw = found.filter((F.col("tag") == "script") & (F.lower(F.coalesce(A["type"], F.lit(""))) == "application/ld+json"))
+    raw = found.filter((F.col("tag") == "script") & (F.lower(F.coalesce(F.col("attrs")["type"], F.lit(""))) == "application/ld+json"))
     parsed = raw.select("page_id", "nid", F.try_parse_json("raw").alias("ld")).filter("ld IS NOT NULL")
     one = parsed.filter(F.schema_of_variant("ld").startswith("OBJECT")).select("page_id", "nid", F.col("ld").alias("item"))
     many = parsed.filter(F.schema_of_variant("ld").startswith("ARRAY"))
@@ -36,11 +35,11 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
     tags the last counts, of properties the first.
     """
     found = nodes(pages, ["html", "title", "meta", "link", "script"])
-    name, prop = F.lower(F.coalesce(A["name"], F.lit(""))), F.coalesce(A["property"], F.lit(""))
-    content = F.nullif(A["content"], F.lit(""))
+    name, prop = F.lower(F.coalesce(F.col("attrs")["name"], F.lit(""))), F.coalesce(F.col("attrs")["property"], F.lit(""))
+    content = F.nullif(F.col("attrs")["content"], F.lit(""))
     meta = (F.col("tag") == "meta") & content.isNotNull()
     og = lambda key: _last(content, meta & (prop == f"og:{key}"))
-    canonical = (F.col("tag") == "link") & (F.lower(F.coalesce(A["rel"], F.lit(""))) == "canonical") & (A["href"] != "")
+    canonical = (F.col("tag") == "link") & (F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))) == "canonical") & (F.col("attrs")["href"] != "")
     ld = structured_data(found).groupBy("page_id").agg(
         *[
             F.min_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), F.col("nid"))).alias(k)
@@ -71,8 +70,8 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
         _first(content, meta & (prop == "article:published_time")).alias("prop_published"),
         _last(content, meta & name.isin("article:modified_time", "dc.date.modified")).alias("meta_modified"),
         _first(content, meta & (prop == "article:modified_time")).alias("prop_modified"),
-        _first(A["href"], canonical).alias("canonical"),
-        F.nullif(_first(F.trim(F.coalesce(A["lang"], F.lit(""))), F.col("tag") == "html"), F.lit("")).alias("language"),
+        _first(F.col("attrs")["href"], canonical).alias("canonical"),
+        F.nullif(_first(F.trim(F.coalesce(F.col("attrs")["lang"], F.lit(""))), F.col("tag") == "html"), F.lit("")).alias("language"),
     )
     return own.join(ld, "page_id", "left").select(
         "page_id",
@@ -90,7 +89,7 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
 
 def opengraph(pages: DataFrame) -> DataFrame:
     """page_id, key, content: the OpenGraph properties of pages, the last of each."""
-    prop, content = F.coalesce(A["property"], F.lit("")), A["content"]
+    prop, content = F.coalesce(F.col("attrs")["property"], F.lit("")), F.col("attrs")["content"]
     rows = nodes(pages, ["meta"]).filter(prop.startswith("og:") & (content != ""))
     return rows.groupBy("page_id", F.substring(prop, 4, 1000).alias("key")).agg(F.max_by(content, "nid").alias("content"))
 

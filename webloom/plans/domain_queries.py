@@ -10,21 +10,20 @@ from webloom.operators import domain_intel as intel
 from webloom.plans.common import table
 from webloom.sources import rendered
 
-H = F.col("headers")
 
 
 def server_software(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = rendered.http_observations(spark, sf_dir)
-    return seen.select("id", intel.server_software(F.try_element_at(H, F.lit("server"))).alias("software"), intel.cdn(H).alias("cdn"))
+    return seen.select("id", intel.server_software(F.try_element_at(F.col("headers"), F.lit("server"))).alias("software"), intel.cdn(F.col("headers")).alias("cdn"))
 
 
 def http_security_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered.http_observations(spark, sf_dir).select("id", intel.security_score(H).alias("score"))
+    return rendered.http_observations(spark, sf_dir).select("id", intel.security_score(F.col("headers")).alias("score"))
 
 
 def http_security_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status counts of each security header."""
-    pairs = F.array(*[F.struct(F.lit(h).alias("header"), intel.header_status(H, h).alias("status")) for h in fixed.SECURITY_HEADERS])
+    pairs = F.array(*[F.struct(F.lit(h).alias("header"), intel.header_status(F.col("headers"), h).alias("status")) for h in fixed.SECURITY_HEADERS])
     rows = rendered.http_observations(spark, sf_dir).select(F.explode(pairs).alias("p"))
     return rows.groupBy("p.header", "p.status").agg(F.count("*").alias("n"))
 
@@ -40,7 +39,8 @@ def spf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dmarc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _policy(spark, sf_dir, "v=DMARC1").select("domain", *[c.alias(k) for k, c in intel.dmarc(F.col("value")).items()])
+    told = _policy(spark, sf_dir, "v=DMARC1").select("domain", *[c.alias(k) for k, c in intel.dmarc(F.col("value")).items()])
+    return told.withColumn("pct", F.coalesce("pct", F.lit(-1)))
 
 
 def mail_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def domain_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, mail posture and headers of each domain, joined; parts that are missing stay null."""
     records = rendered.dns_records(spark, sf_dir)
     web = rendered.http_observations(spark, sf_dir)
-    web = web.select(F.concat(F.lit("c"), F.col("id").cast("string"), F.lit(".example.com")).alias("domain"), intel.security_score(H).alias("score"))
+    web = web.select(F.concat(F.lit("c"), F.col("id").cast("string"), F.lit(".example.com")).alias("domain"), intel.security_score(F.col("headers")).alias("score"))
     joined = intel.dns_profile(records).join(intel.mail_security(records), "domain", "left").join(web, "domain", "left")
     return joined.groupBy("posture", "dnssec").agg(F.count("*").alias("domains"), F.sum("score").alias("scores"))
 
@@ -143,7 +143,7 @@ SQL = {
     FROM customer WHERE c_custkey % 6 <> 5""",
     "dmarc_parse": """SELECT 'c' || c_custkey || '.example.com' AS domain, ['quarantine', 'none', 'reject'][k] AS policy,
     CASE WHEN k = 1 THEN 'reject' END AS subdomain_policy, CASE WHEN k = 1 THEN 'mailto:d@example.com' END AS report,
-    CASE k WHEN 1 THEN 100 WHEN 3 THEN c_custkey % 100 END::INTEGER AS pct, [0, 2, 2][k]::INTEGER AS n_issues,
+    CASE k WHEN 1 THEN 100 WHEN 3 THEN c_custkey % 100 ELSE -1 END::INTEGER AS pct, [0, 2, 2][k]::INTEGER AS n_issues,
     ['configured', 'weak', 'configured'][k] AS status FROM (SELECT *, c_custkey % 4 + 1 AS k FROM customer) WHERE k < 4""",
     "mail_posture": f"WITH {_MAIL} SELECT domain, spf, dkim, dmarc, posture FROM mail",
     "dns_profile": """SELECT d AS domain, 'ns1.' || d || ',ns2.' || d AS nameservers,

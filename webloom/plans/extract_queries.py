@@ -48,7 +48,7 @@ def org_entity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = images.extract_images(rendered.image_pages(spark, sf_dir))
-    return found.select("page_id", "pos", "src", "alt", "width", "height", "image_type", "context", "format")
+    return found.select("page_id", "pos", "src", "alt", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("width", "height")], "image_type", "context", "format")
 
 
 def images_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ SQL = {
     FROM (SELECT *, c_custkey % 5 <> 0 AS ld FROM customer) JOIN nation ON c_nationkey = n_nationkey""",
     "org_title_names": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 5 THEN s_name || ' Home page' ELSE s_name END AS name FROM supplier",
     "org_entity_forms": f"SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN ({FORMS!r})[s_suppkey % 7 + 1] END AS entity_form FROM supplier",
-    "images_extract": _IMAGES + "SELECT k AS page_id, pos, src, alt, width::INTEGER AS width, height::INTEGER AS height, image_type, context, format FROM i",
+    "images_extract": _IMAGES + "SELECT k AS page_id, pos, src, alt, coalesce(width, -1)::INTEGER AS width, coalesce(height, -1)::INTEGER AS height, image_type, context, format FROM i",
     "images_by_type": _IMAGES + "SELECT image_type, count(*) AS n FROM i GROUP BY image_type",
     "srcset_parse": "SELECT p_partkey AS page_id, 'https://shop.example.com/img/' || p_partkey || '-' || n || '.jpg' AS url,"
     " n || 'x' AS descriptor FROM part, (VALUES (1), (2)) v(n)",

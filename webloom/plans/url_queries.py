@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from webloom.functions import fixed, urls
 from webloom.plans.common import host, part, table
 
-U = F.col("url")
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id",
-        urls.scheme(U).alias("scheme"),
-        urls.netloc(U).alias("netloc"),
-        urls.path(U).alias("path"),
-        urls.query(U).alias("query"),
-        urls.fragment(U).alias("fragment"),
+        urls.scheme(F.col("url")).alias("scheme"),
+        urls.netloc(F.col("url")).alias("netloc"),
+        urls.path(F.col("url")).alias("path"),
+        urls.query(F.col("url")).alias("query"),
+        urls.fragment(F.col("url")).alias("fragment"),
     )
 
 
@@ -28,18 +27,18 @@ REFS = ["/top", "leaf", "../up/leaf", "./here", "?q=1", "#frag", "//cdn.example.
 def url_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = F.explode(F.array(*[F.lit(r) for r in REFS])).alias("ref")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", refs)
-    return pages.select("page_id", "ref", urls.join(U, F.col("ref")).alias("joined"))
+    return pages.select("page_id", "ref", urls.join(F.col("url"), F.col("ref")).alias("joined"))
 
 
 def url_crawl_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.crawl_key(U).alias("crawl_key"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.crawl_key(F.col("url")).alias("crawl_key"))
 
 
 def same_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    base = F.concat(F.lit("https://WWW."), urls.host(U), F.lit("/start"))
+    base = F.concat(F.lit("https://WWW."), urls.host(F.col("url")), F.lit("/start"))
     other = F.when(F.col("page_id") % 2 == 0, base).otherwise("http://elsewhere.example.com/")
-    return pages.select("page_id", urls.same_domain(U, other).alias("is_same"))
+    return pages.select("page_id", urls.same_domain(F.col("url"), other).alias("is_same"))
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +72,13 @@ def whois_server(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ua_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the hosts moved under a suffix that wants bot agents."""
     moved = F.when(
-        F.col("page_id") % 4 == 0, F.concat(F.lit("https://"), urls.host(U), F.lit(".sec.gov:8443/x"))
-    ).when(F.col("page_id") % 4 == 1, F.lit("https://not-sec.gov/x")).otherwise(U)
+        F.col("page_id") % 4 == 0, F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit(".sec.gov:8443/x"))
+    ).when(F.col("page_id") % 4 == 1, F.lit("https://not-sec.gov/x")).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", urls.wants_bot_agent(moved).alias("bot_agent"))
 
 
 def rate_limit_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = table(spark, sf_dir, "pages").select(urls.rate_limit_key(U).alias("bucket"), urls.robots_url(U).alias("robots"))
+    keyed = table(spark, sf_dir, "pages").select(urls.rate_limit_key(F.col("url")).alias("bucket"), urls.robots_url(F.col("url")).alias("robots"))
     return keyed.groupBy("bucket", "robots").agg(F.count("*").alias("n"))
 
 

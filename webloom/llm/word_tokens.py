@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps, and their characters in all; beyond either it starts anew.
-MOST_WORDS, MOST_CHARS = 800_000, 16 << 20
+MOST_WORDS, MOST_CHARS = 400_000, 8 << 20
 #: Bytes of a batch, and the length from which a text is split.
-BATCH_BYTES, PIECE_CHARS = 2 << 20, 1 << 20
+BATCH_BYTES, PIECE_CHARS = 8 << 20, 1 << 20
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]")
 #: Latin letters that are in normal form and have one lower-case form, with or without one mark behind.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -53,8 +54,8 @@ class WordEncoder:
         ids = self.cores.get(core)
         if ids is None:
             unit = core.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(unit)], "<u4").tobytes()
-            self.cores[core] = ids
+            found = [t.id for t in self.tokenizer.model.tokenize(unit)]
+            self.cores[core] = ids = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def _learn(self, words: list[str]) -> None:
@@ -70,20 +71,20 @@ class WordEncoder:
             for word, found in zip(
                 other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True
             ):
-                self.words[word] = np.array(found.ids, "<u4").tobytes()
+                self.words[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """offsets, codes, lengths, ids: text i has the words codes[offsets[i]:offsets[i + 1]] of those found."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = split.flatten().dictionary_encode()
         found = coded.dictionary.to_pylist()
-        known = self.words
-        if missing := [w for w in found if w not in known]:
-            if len(known) + len(missing) > MOST_WORDS or self.chars > MOST_CHARS:
+        ids = [*map(self.words.get, found)]
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            if len(self.words) + len(missing) > MOST_WORDS or self.chars > MOST_CHARS:
                 self.forget()
-                known, missing = self.words, found
-            self._learn(missing)
-        ids = [known[w] for w in found]
+            self._learn([found[i] for i in missing])
+            for i in missing:
+                ids[i] = self.words[found[i]]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return split.offsets.to_numpy(), coded.indices.to_numpy(), lengths, ids
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MOST = 3
 WEIGHTS = (1, 2, 3)
 BLOCK_WORDS = 16
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4096
 SHARDS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -214,3 +214,51 @@ PORT_SERVICES = {
     27018: "mongodb",
     50000: "db2",
 }
+
+#: Class and id names that speak for and against content.
+POSITIVE_NAMES = r"article|body|content|entry|main|post|text|blog|story|hentry|page"
+NEGATIVE_NAMES = (
+    r"comment|sidebar|footer|footnote|\bnav\b|(?:^|[-_ ])ad(?:[-_ ]|$)|sponsor|social|share|widget|popup|banner|cookie|modal"
+    r"|\bmenu\b|breadcrumb|pager|pagination|promo|related|shoutbox|combx|masthead|media|\bmeta\b|outbrain|taboola|disqus"
+)
+STRIPPED_TAGS = "script style link noscript iframe embed object applet svg".split()
+
+#: The learned content model: for each feature its weight, mean and scale; and the bias.
+CONTENT_BIAS = -0.486090
+CONTENT_MODEL = {
+    "log_text_length": (-0.162834, 3.797387, 1.911634),
+    "log_text_density": (0.012019, 2.979457, 1.436591),
+    "log_descendant_count": (0.002070, 1.100273, 1.134662),
+    "link_density": (0.072390, 0.132191, 0.247083),
+    "non_link_text_ratio": (-0.072390, 0.867809, 0.247083),
+    "class_weight": (0.338445, -0.082437, 0.427982),
+    "tag_weight": (-0.111737, 0.222939, 0.643281),
+    "depth": (0.654090, 0.539785, 0.287046),
+    "position_centrality": (0.840166, 0.416594, 0.297674),
+    "sibling_log_text_density": (0.124704, 2.672409, 1.735365),
+    "same_tag_sibling_ratio": (0.070097, 0.311167, 0.398042),
+    "same_class_sibling_ratio": (0.394895, 0.066985, 0.221979),
+    "sentence_score": (0.438460, 0.111708, 0.217161),
+    "comma_density": (-0.239501, 0.004013, 0.010769),
+    "has_block_children": (-0.391829, 0.340502, 0.473878),
+    "paragraph_score_density": (0.333655, 0.038935, 0.143793),
+    "anchor_count_ratio": (-0.062324, 0.239405, 0.348313),
+    "interactive_ratio": (-0.261470, 0.030271, 0.147821),
+    "heading_ratio": (0.126789, 0.036028, 0.121167),
+    "paragraph_ratio": (0.243455, 0.054054, 0.169979),
+    "list_item_ratio": (-0.073112, 0.058268, 0.158559),
+    "repeated_child_tag_ratio": (-0.066230, 0.561862, 0.454788),
+    "repeated_child_signature_ratio": (-0.064363, 0.539580, 0.449100),
+    "positive_class": (-0.081514, 0.060932, 0.239205),
+    "negative_class": (-0.468961, 0.143369, 0.350449),
+    "ancestor_positive_bias": (0.333316, 0.473118, 0.499277),
+    "ancestor_negative_bias": (-0.332848, 0.146953, 0.354059),
+    "is_article_like": (0.537384, 0.089606, 0.285616),
+    "is_paragraph_like": (0.901563, 0.405018, 0.490896),
+    "is_list_like": (0.250385, 0.078853, 0.269509),
+    "is_boilerplate_tag": (-0.624699, 0.125448, 0.331226),
+    "is_form_tag": (-0.312407, 0.014337, 0.118875),
+    "under_content_landmark": (0.147389, 0.731183, 0.443345),
+    "under_boilerplate_landmark": (-1.903748, 0.283154, 0.450531),
+    "has_repeated_children": (-0.221445, 0.580645, 0.493454),
+}

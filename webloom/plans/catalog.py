@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import domain_queries, extract_queries, page_queries, policy_queries, url_queries
+from webloom.plans import content_queries, domain_queries, extract_queries, page_queries, policy_queries, url_queries
 
-MODULES = (url_queries, page_queries, extract_queries, domain_queries, policy_queries)
+MODULES = (url_queries, page_queries, extract_queries, domain_queries, policy_queries, content_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.functions import fixed
 from webloom.functions.markup import VOID, attributes, decoded, scan
 
 #: Elements whose start closes an open paragraph, and the elements that a start tag implicitly ends,
@@ -37,18 +38,25 @@ ENDS = {
 }
 #: An implied end doesn't reach beyond these.
 SCOPES = frozenset({"table", "ul", "ol", "dl", "div", "article", "section", "body", "html", "td", "th", "select"})
-SKIPPED = frozenset({"script", "style", "noscript", "template"})
+#: Elements that neither they nor their text count for content.
+SKIPPED = frozenset({*fixed.STRIPPED_TAGS, "template"})
 #: Elements whose whole text is kept with the row.
 WITH_TEXT = frozenset("a title h1 h2 h3 h4 h5 h6 p li td th pre code figcaption blockquote dt dd caption option".split())
 INTERACTIVE = frozenset({"button", "input", "select", "textarea", "option", "label"})
-HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
-PARAGRAPHS = frozenset({"p", "pre", "td"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4"})
+PARAGRAPHS = frozenset({"p", "pre", "blockquote"})
+SCORED = frozenset({"p", "pre", "td"})
+CONTENT_TAGS = frozenset({"main", "article", "section"})
+BOILERPLATE_TAGS = frozenset({"aside", "nav", "header", "footer", "form"})
+_POSITIVE = re.compile(fixed.POSITIVE_NAMES, re.IGNORECASE)
+_NEGATIVE = re.compile(fixed.NEGATIVE_NAMES, re.IGNORECASE)
 LANDMARKS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "sidebar"}
 _NAMED = re.compile("nav|menu|sidebar|footer|breadcrumb|pagination|pager", re.IGNORECASE)
 _SENTENCE = re.compile("[.!?]+")
 _HEAD = frozenset({"title", "meta", "link", "base", "style", "script", "head"})
 
 COUNTERS = ("text_len", "words", "commas", "sentences", "link_len", "n_desc", "n_a", "n_interactive", "n_heading", "n_para", "n_li")
+FLAGS = ("positive", "negative", "above_positive", "above_negative", "under_content", "under_boilerplate")
 SCHEMA = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -57,7 +65,9 @@ SCHEMA = T.StructType(
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         *[T.StructField(c, T.IntegerType()) for c in COUNTERS],
-        T.StructField("block_child", T.BooleanType()),
+        T.StructField("stripped_len", T.IntegerType()),
+        T.StructField("paragraph_score", T.DoubleType()),
+        *[T.StructField(c, T.BooleanType()) for c in ("block_child", "skipped", *FLAGS)],
         T.StructField("position", T.StringType()),
         T.StructField("raw", T.StringType()),
         T.StructField("text", T.StringType()),
@@ -66,11 +76,11 @@ SCHEMA = T.StructType(
 
 
 class _Element:
-    __slots__ = ("tag", "row", "position", "first_text", "children", "counts", "skipped")
+    __slots__ = ("tag", "row", "position", "first_text", "children", "counts", "skipped", "score")
 
     def __init__(self, tag: str, row: dict, position: str, first_text: int, skipped: bool) -> None:
         self.tag, self.row, self.position, self.first_text = tag, row, position, first_text
-        self.children, self.counts, self.skipped = 0, [0] * len(COUNTERS), skipped
+        self.children, self.counts, self.skipped, self.score = 0, [0] * len(COUNTERS), skipped, 0.0
 
 
 def _position(tag: str, attrs: dict[str, str], above: str) -> str:
@@ -84,8 +94,17 @@ def _position(tag: str, attrs: dict[str, str], above: str) -> str:
     return above
 
 
-def parse(source: str) -> list[dict]:
-    """The elements of a page in document order; html and body are supplied where they are missing."""
+def _edge(parts: list[str]) -> list[str]:
+    """Parts up to the first that isn't blank."""
+    at = next((i for i, p in enumerate(parts) if p.strip()), len(parts) - 1)
+    return parts[: at + 1]
+
+
+def parse(source: str, events: list | None = None) -> list[dict]:
+    """The elements of a page in document order; html and body are supplied where they are missing.
+
+    events, if given, gets ("open", row), ("text", text) and ("close", row) in order.
+    """
     rows: list[dict] = []
     stack: list[_Element] = []
     texts: list[str] = []
@@ -99,20 +118,39 @@ def parse(source: str) -> list[dict]:
             above.row["block_child"] |= tag in BLOCK
         position = _position(tag, attrs, above.position if above else "body")
         row["position"] = above.position if above else "body"
+        named = " ".join(filter(None, (attrs.get("class"), attrs.get("id")))) if attrs else ""
+        row["positive"], row["negative"] = bool(_POSITIVE.search(named)), bool(_NEGATIVE.search(named))
+        up = above.row if above else dict.fromkeys(FLAGS, False)
+        row["above_positive"] = up["positive"] or up["above_positive"]
+        row["above_negative"] = up["negative"] or up["above_negative"]
+        row["under_content"] = up["under_content"] or bool(above and above.tag in CONTENT_TAGS)
+        row["under_boilerplate"] = up["under_boilerplate"] or bool(above and above.tag in BOILERPLATE_TAGS)
+        row["skipped"] = tag in SKIPPED or bool(above and above.skipped)
         rows.append(row)
-        stack.append(_Element(tag, row, position, len(texts), tag in SKIPPED or bool(above and above.skipped)))
+        if events is not None:
+            events.append(("open", row))
+        stack.append(_Element(tag, row, position, len(texts), row["skipped"]))
 
     def pop() -> None:
         gone = stack.pop()
         row, own = gone.row, gone.counts
+        if events is not None:
+            events.append(("close", row))
         row["last_desc"] = len(rows) - 1
         if gone.tag in WITH_TEXT:
             row["text"] = "".join(texts[gone.first_text :])
-        row |= dict(zip(COUNTERS, own, strict=True))
+        parts = texts[gone.first_text :] if own[0] else []
+        blank = sum(len(p) - len(p.lstrip()) for p in _edge(parts)) + sum(len(p) - len(p.rstrip()) for p in _edge(parts[::-1]))
+        row["stripped_len"] = max(own[0] - blank, 0)
+        if gone.tag in SCORED and row["stripped_len"]:
+            gone.score += 1 + min(own[2], 6) * 0.4 + min(row["stripped_len"] // 120, 3)
+        row["paragraph_score"] = gone.score
         if gone.tag == "a":
-            own[4] = own[0]
-        if stack:
+            own[4] += own[0]
+        row |= dict(zip(COUNTERS, own, strict=True))
+        if stack and gone.tag not in SKIPPED:
             up = stack[-1].counts
+            stack[-1].score += gone.score
             for i, n in enumerate(own):
                 up[i] += n
             up[5] += 1
@@ -174,6 +212,8 @@ def parse(source: str) -> list[dict]:
                 continue
             text = decoded(name)
             texts.append(text)
+            if events is not None:
+                events.append(("text", text))
             counts = own.counts
             counts[0] += len(text)
             counts[1] += len(text.split())
@@ -218,5 +258,5 @@ def nodes(pages: DataFrame, tags: list[str] | None = None) -> DataFrame:
 
 
 def _arrow_kinds() -> list[pa.DataType]:
-    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
+    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64()}
     return [kinds.get(type(f.dataType)) or pa.map_(pa.string(), pa.string()) for f in SCHEMA]

@@ -48,6 +48,23 @@ def op2_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT vec_id, vec_id AS least FROM embeddings UNION SELECT link.b, least FROM reach JOIN link ON link.a = reach.vec_id
+), component AS (SELECT vec_id, min(least) AS component_id FROM reach GROUP BY vec_id),
+links AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN links USING (vec_id)
+"""
+
+
 def op3_simhash_vp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(read_table(spark, sf_dir, "documents"))
 
@@ -176,4 +193,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that have one."""
-    return {"op1_segment_topk": OP1_SQL, "op5_chat_format": OP5_SQL, "op10_html_main_text": OP10_SQL}
+    return {
+        "op1_segment_topk": OP1_SQL,
+        "op2_collision_dedup": OP2_SQL,
+        "op5_chat_format": OP5_SQL,
+        "op10_html_main_text": OP10_SQL,
+    }

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.runtime import checkpointed, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of our own is set only where none is named, which is the case in
-    local tests and nowhere else.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    context.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    )
+__all__ = ["checkpointed", "read_table", "shared_dir"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +15,6 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

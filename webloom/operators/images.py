@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed, urls
+from webloom.runtime import checkpointed
 from webloom.sources.dom import nodes
 
 
@@ -51,7 +52,7 @@ def extract_images(pages: DataFrame) -> DataFrame:
     Lazy-loading sources win over ``src``; each source of a page once, the first; the
     cards of og:image and twitter:image follow as social_card.
     """
-    found = nodes(pages, ["img", "meta", "figure", "figcaption", "p"])
+    found = checkpointed(nodes(pages, ["img", "meta", "figure", "figcaption", "p"]))
     base = F.coalesce("url", F.lit(""))
     src = F.coalesce(*[F.nullif(_attr(a), F.lit("")) for a in ("data-src", "data-lazy-src", "data-original", "src")])
     parents = found.filter("tag IN ('figure', 'p')").select(

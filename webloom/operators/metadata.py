@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
+from webloom.runtime import checkpointed
 from webloom.sources.dom import nodes
 
 
@@ -34,7 +35,7 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
     OpenGraph wins over the page's own tags, those over structured data; of named meta
     tags the last counts, of properties the first.
     """
-    found = nodes(pages, ["html", "title", "meta", "link", "script"])
+    found = checkpointed(nodes(pages, ["html", "title", "meta", "link", "script"]))
     name, prop = F.lower(F.coalesce(F.col("attrs")["name"], F.lit(""))), F.coalesce(F.col("attrs")["property"], F.lit(""))
     content = F.nullif(F.col("attrs")["content"], F.lit(""))
     meta = (F.col("tag") == "meta") & content.isNotNull()
@@ -139,7 +140,7 @@ def legal_text(text: Column) -> dict[str, Column]:
 
 def extract_org(pages: DataFrame) -> DataFrame:
     """The organization behind each page: structured data, OpenGraph, description, title, legal text, URL."""
-    found = nodes(pages, ["title", "meta", "script", "footer", "p", "h1", "td", "li"])
+    found = checkpointed(nodes(pages, ["title", "script"]))
     item = F.col("item")
     get = lambda path: F.try_variant_get(item, path, "string")
     direct = structured_data(found)
@@ -155,11 +156,9 @@ def extract_org(pages: DataFrame) -> DataFrame:
     )
     ld = ld.groupBy("page_id").agg(F.min_by(fields, "nid").alias("ld"))
     meta = extract_metadata(pages).alias("m")
-    titles = nodes(pages, ["title"]).groupBy("page_id").agg(F.min_by(F.trim(F.coalesce("text", F.lit(""))), "nid").alias("page_title"))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "body"))), lambda b: b["body"]), " ")
+    titles = found.filter("tag = 'title'").groupBy("page_id").agg(F.min_by(F.trim(F.coalesce("text", F.lit(""))), "nid").alias("page_title"))
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
-    legal = pages.select("page_id", plain.alias("body")).groupBy("page_id").agg(words.alias("body"))
-    legal = legal.select("page_id", *[c.alias(k) for k, c in legal_text(F.col("body")).items()])
+    legal = pages.select("page_id", plain.alias("body")).select("page_id", *[c.alias(k) for k, c in legal_text(F.col("body")).items()])
     return (
         meta.join(ld, "page_id", "left").join(titles, "page_id", "left").join(legal, "page_id", "left").select(
             "page_id",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
+from webloom.runtime import checkpointed
 from webloom.sources.dom import nodes
 
 CANDIDATE_TAGS = (
@@ -84,7 +85,7 @@ def heuristic_scores(found: DataFrame) -> DataFrame:
 
 def heuristic_regions(pages: DataFrame) -> DataFrame:
     """page_id, nid, tag, score, is_best: the best container of each page and the siblings that go with it."""
-    found = nodes(pages)
+    found = checkpointed(nodes(pages))
     scores = heuristic_scores(found).withColumn("adjusted", F.col("score") * (1 - F.col("density")))
     rank = Window.partitionBy("page_id").orderBy(F.desc("adjusted"), "nid")
     best = scores.withColumn("n", F.row_number().over(rank)).filter("n = 1").select(
@@ -207,7 +208,7 @@ def learned_regions(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     region and three a page; the regions of a page are few and met in one array.
     """
     scope = min(max(scope, 0.0), 1.0)
-    found = nodes(pages)
+    found = checkpointed(nodes(pages))
     scored = content_features(found).withColumn("p", content_probability()).filter(F.col("p") >= node_threshold(scope))
     vote = F.col("p") * F.log1p("stripped_len")
     parents = found.select("page_id", F.col("nid").alias("parent"), F.col("parent").alias("grandparent"))

@@ -25,3 +25,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, bytes_a_task: int = 16 << 20) -> DataFrame:
+    """df dealt to all cores if it is small, for work that costs far more than its input's bytes.
+
+    A small file is one task, however long its rows take to parse. Larger inputs are
+    split by their scan and stay as they are, so what is shuffled here is bounded.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * bytes_a_task else df

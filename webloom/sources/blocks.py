@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
+from webloom.runtime import spread
 from webloom.sources.dom import parse
 
 SCHEMA = "page_id long, block_idx int, node_type string, depth int, list_type string, text string, md string, language string, uri string"
@@ -31,12 +32,25 @@ def page_blocks(source: str, skip: frozenset[str] = frozenset()) -> list[dict]:
     out: list[dict] = []
     text: list[str] = []
     md: list[str] = []
+    marks: list[tuple[int, str]] = []
     lists: list[list] = []
     kinds: list[tuple[str, dict]] = []
     quotes = hidden = 0
     pre: dict | None = None
 
+    def emphasise() -> None:
+        """Close the innermost mark: white space moves out of it, and an empty one goes."""
+        start, mark = marks.pop()
+        inner = "".join(md[start:])
+        core = inner.strip()
+        if core:
+            lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
+            inner = f"{lead}{mark}{core}{mark}{tail}"
+        md[start:] = [inner]
+
     def flush() -> None:
+        while marks:
+            emphasise()
         raw, marked = "".join(text), "".join(md)
         text.clear()
         md.clear()
@@ -44,7 +58,7 @@ def page_blocks(source: str, skip: frozenset[str] = frozenset()) -> list[dict]:
         if kind == "CodeBlock":
             plain = marked = raw.strip("\n")
         else:
-            plain, marked = " ".join(raw.split()), re.sub(r"(\*\*|\*|~~|`)\s*\1", "", " ".join(marked.split()))
+            plain, marked = " ".join(raw.split()), " ".join(marked.split())
         if plain.strip() and kind != "Cell":
             prefix = "> " * quotes
             if kind == "Heading":
@@ -99,7 +113,7 @@ def page_blocks(source: str, skip: frozenset[str] = frozenset()) -> list[dict]:
             elif tag == "code" and pre is not None:
                 pre["language"] = pre.get("language") or (m[1] if (m := _LANGUAGE.search(attrs.get("class", ""))) else None)
             elif tag in MARKS and pre is None:
-                md.append(MARKS[tag])
+                marks.append((len(md), MARKS[tag]))
             elif tag == "a" and href:
                 md.append("[")
         else:
@@ -116,8 +130,8 @@ def page_blocks(source: str, skip: frozenset[str] = frozenset()) -> list[dict]:
                 if tag in ("ul", "ol") and lists:
                     lists.pop()
                 quotes -= tag == "blockquote"
-            elif tag in MARKS and pre is None:
-                md.append(MARKS[tag])
+            elif tag in MARKS and pre is None and marks:
+                emphasise()
             elif tag == "a" and href:
                 safe = not re.match(rf"\s*({'|'.join(fixed.UNSAFE_SCHEMES)}):", href, re.IGNORECASE)
                 md.append(f"]({href})" if safe else "]()")
@@ -173,7 +187,7 @@ def _rows(pages: DataFrame, schema: str, make) -> DataFrame:
             arrays = [pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields]
             yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parsed, schema)
+    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(parsed, schema)
 
 
 def blocks(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:

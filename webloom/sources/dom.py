@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from webloom.functions import fixed
 from webloom.functions.markup import VOID, attributes, decoded, scan
+from webloom.runtime import spread
 
 #: Elements whose start closes an open paragraph, and the elements that a start tag implicitly ends,
 #: by the optional-tag rules of the HTML specification.
@@ -108,6 +109,7 @@ def parse(source: str, events: list | None = None) -> list[dict]:
     rows: list[dict] = []
     stack: list[_Element] = []
     texts: list[str] = []
+    shared = 0  # open elements that hold both the last text and what comes next
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         above = stack[-1] if stack else None
@@ -132,7 +134,9 @@ def parse(source: str, events: list | None = None) -> list[dict]:
         stack.append(_Element(tag, row, position, len(texts), row["skipped"]))
 
     def pop() -> None:
+        nonlocal shared
         gone = stack.pop()
+        shared = min(shared, len(stack))
         row, own = gone.row, gone.counts
         if events is not None:
             events.append(("close", row))
@@ -211,7 +215,10 @@ def parse(source: str, events: list | None = None) -> list[dict]:
             if own.skipped:
                 continue
             text = decoded(name)
+            if shared and not texts[-1][-1:].isspace() and not text[:1].isspace():
+                stack[shared - 1].counts[1] -= 1  # a word goes on across a tag
             texts.append(text)
+            shared = len(stack)
             if events is not None:
                 events.append(("text", text))
             counts = own.counts
@@ -254,7 +261,7 @@ def nodes(pages: DataFrame, tags: list[str] | None = None) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[n]) for n in names], names)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parsed, SCHEMA)
+    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(parsed, SCHEMA)
 
 
 def _arrow_kinds() -> list[pa.DataType]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.markup import attributes, decoded, scan
+from webloom.runtime import spread
 
 MOST_ITEMS, MOST_DESCRIPTION = 1000, 2000
 ITEMS = (
@@ -123,7 +124,7 @@ def parse_feeds(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(F.col("feed_id").cast("long"), "body").mapInArrow(parsed, ITEMS).withColumn(
+    return spread(docs.select(F.col("feed_id").cast("long"), "body")).mapInArrow(parsed, ITEMS).withColumn(
         "published", feed_date(F.col("date_text"))
     )
 

@@ -47,6 +47,11 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_learned_core_is_the_article(spark):
+    found = {r.tag: r.n for r in QUERIES["learned_core"](spark, "/root/testdata/sf0.01").collect()}
+    assert found == {"article": 250}
+
+
 def test_folds_and_streams_agree(spark):
     fold = {r.key: (r.n_requests, r.n_waited) for r in QUERIES["token_bucket"](spark, SF).collect()}
     stream = {int(r.key): (r.n_requests, r.n_waited) for r in QUERIES["stream_rate_limit"](spark, SF).collect()}

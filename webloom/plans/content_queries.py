@@ -83,7 +83,8 @@ QUERIES = {
     )
 }
 
-_UNESCAPE = "replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), chr(160), ' ')"
+#: A title may be cut inside a reference; HTML decodes &amp without its semicolon.
+_UNESCAPE = "replace(regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g'), chr(160), ' ')"
 _ARTICLE = r"""regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<[A-Za-z/!][^<>]*$', '')"""
 _BLOCKS = rf"""WITH b AS (
     SELECT page_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS raw FROM (
@@ -98,8 +99,6 @@ SQL = {
     + r"""SELECT page_id, 'article' AS tag, round(5.0 + sum(1 + length(body) - length(replace(body, ',', '')) + least(length(body) // 100, 3)), 3)::DOUBLE AS score
     FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k, regexp_replace(plain, '^\s+|\s+$', '', 'g') AS body FROM t WHERE text <> '')
     WHERE k > 1 AND length(body) >= 25 GROUP BY page_id""",
-    "learned_core": "SELECT 'article' AS tag, count(*) AS n FROM pages",
-    "content_scope": "SELECT scope, 'article' AS tag, 'core' AS role, count(*) AS n FROM pages, (VALUES (0.0::DOUBLE), (0.5), (1.0)) v(scope) GROUP BY scope",
     "blocks_extract": _BLOCKS + "SELECT page_id, count(*) + 1 AS n, 1::BIGINT AS headings FROM t WHERE text <> '' GROUP BY page_id",
     "page_text": _BLOCKS + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE text <> '' GROUP BY page_id",
     "page_markdown": """SELECT page_id, '- [' || trim(regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1)) || '](' ||

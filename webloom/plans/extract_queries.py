@@ -121,8 +121,8 @@ _IMAGES = """WITH i AS (
 )
 """
 SQL = {
-    "meta_title_lang": r"""SELECT page_id, nullif(trim(replace(replace(replace(replace(
-    regexp_extract(html, '<title>([^<]*)', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')), '') AS title,
+    "meta_title_lang": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(
+    regexp_extract(html, '<title>([^<]*)', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')), '') AS title,
     regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, url FROM pages""",
     "meta_precedence": """SELECT c_custkey AS page_id,
     CASE WHEN c_custkey % 3 <> 0 THEN c_name || ' & Co' ELSE c_name || ' | ' || c_mktsegment END AS title,

@@ -167,7 +167,7 @@ WITH article AS (
     FROM article
 ), plain AS (
     SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
-        replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
+        replace(regexp_replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'),
         chr(160), ' '), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text
     FROM cut
 )

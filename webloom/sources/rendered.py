@@ -22,7 +22,7 @@ def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as company pages; every third lacks og:title, every fifth structured data."""
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     key, name = F.col("c_custkey"), F.col("c_name")
-    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     ld = text(
         '<script type="application/ld+json">{"@type":"Organization","name":"', name, '","legalName":"', name,
         ' LLC","telephone":"+', key, '","address":{"addressCountry":"', F.col("n_name"), '","postalCode":"', key,

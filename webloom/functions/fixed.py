@@ -262,3 +262,15 @@ CONTENT_MODEL = {
     "under_boilerplate_landmark": (-1.903748, 0.283154, 0.450531),
     "has_repeated_children": (-0.221445, 0.580645, 0.493454),
 }
+
+#: Consent managers by the id, class or data-tid that shows them.
+CONSENT_MANAGERS = {
+    "OneTrust": ("id", "onetrust-banner-sdk"),
+    "CookieBot": ("id", "CybotCookiebotDialog"),
+    "TrustArc": ("id", "truste-consent-track"),
+    "Quantcast Choice": ("class", "qc-cmp2-summary-buttons"),
+    "Complianz": ("class", "cmplz-cookiebanner"),
+    "Osano": ("class", "osano-cm-dialog"),
+    "Didomi": ("id", "didomi-notice"),
+    "Termly": ("data-tid", "banner-accept"),
+}

@@ -234,3 +234,17 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 == 0, 302).otherwise(200).alias("status"),
         "ts",
     )
+
+
+def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as pages with a link of each type and position."""
+    key = F.col("s_suppkey")
+    html = text(
+        '<html><head><link rel="next" href="/list?page=', key + 1, '"></head><body><div id="onetrust-banner-sdk" class="x">We use cookies</div>',
+        '<header><a href="/home">Home</a></header><nav><a href="/l/', key, '">2</a><a href="javascript:void(0)">js</a></nav>',
+        '<div class="left sidebar"><a href="https://www.GitHub.com/s', key, '">code</a></div>',
+        '<main><p><a href="/files/', key, '.tar.gz?x=1">Get</a> <a href="mailto:a', key, '@example.com">Mail</a> <a href="#top">Top</a>',
+        ' <a rel="Prev nofollow" href="/p/', key, '">back</a> <a href="https://other.example.org/', key, '" title="t"><img alt="Pic" src="i.png"></a>',
+        ' <a href="/home">again</a> <a>none</a></p></main><footer><a href="/imprint">Imprint</a></footer></body></html>',
+    )
+    return table(spark, sf_dir, "supplier").select(key.alias("page_id"), text("https://www.s", key, ".example.com/list?page=", key).alias("url"), html.alias("html"))

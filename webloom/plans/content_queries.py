@@ -86,21 +86,21 @@ QUERIES = {
 #: A title may be cut inside a reference; HTML decodes &amp without its semicolon.
 _UNESCAPE = "replace(regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g'), chr(160), ' ')"
 _ARTICLE = r"""regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<[A-Za-z/!][^<>]*$', '')"""
-_BLOCKS = rf"""WITH b AS (
+BLOCKS_SQL = rf"""WITH b AS (
     SELECT page_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS raw FROM (
         SELECT page_id, string_split_regex(replace(regexp_replace({_ARTICLE}, '</?b>', '', 'g'), '<br>', ' '), '(?s)<[^<>]*>') AS parts FROM pages)
 ), t AS (SELECT page_id, n, trim(regexp_replace({_UNESCAPE.format("raw")}, '\s+', ' ', 'g')) AS text, {_UNESCAPE.format("raw")} AS plain FROM b)
 """
 SQL = {
-    "semantic_container": _BLOCKS
+    "semantic_container": BLOCKS_SQL
     + """SELECT page_id, 'article' AS tag FROM t WHERE text <> '' GROUP BY page_id HAVING sum(len(string_split(text, ' '))) >= 50""",
     "link_density": "SELECT page_id, tag, CASE tag WHEN 'nav' THEN 1.0 ELSE 0.0 END::DOUBLE AS density FROM pages, (VALUES ('nav'), ('article')) v(tag)",
-    "readability_heuristic": _BLOCKS
+    "readability_heuristic": BLOCKS_SQL
     + r"""SELECT page_id, 'article' AS tag, round(5.0 + sum(1 + length(body) - length(replace(body, ',', '')) + least(length(body) // 100, 3)), 3)::DOUBLE AS score
     FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k, regexp_replace(plain, '^\s+|\s+$', '', 'g') AS body FROM t WHERE text <> '')
     WHERE k > 1 AND length(body) >= 25 GROUP BY page_id""",
-    "blocks_extract": _BLOCKS + "SELECT page_id, count(*) + 1 AS n, 1::BIGINT AS headings FROM t WHERE text <> '' GROUP BY page_id",
-    "page_text": _BLOCKS + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE text <> '' GROUP BY page_id",
+    "blocks_extract": BLOCKS_SQL + "SELECT page_id, count(*) + 1 AS n, 1::BIGINT AS headings FROM t WHERE text <> '' GROUP BY page_id",
+    "page_text": BLOCKS_SQL + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE text <> '' GROUP BY page_id",
     "page_markdown": """SELECT page_id, '- [' || trim(regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1)) || '](' ||
     regexp_extract(html, '<a href="([^"]*)">', 1) || ')' AS first_block FROM pages""",
     "table_cells": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import fetch_policy, rendering
 from webloom.operators.links import extract_links
+from webloom.plans import content_queries, policy_queries
 from webloom.plans.common import table
 from webloom.sources import blocks, rendered
 
@@ -107,4 +108,11 @@ SQL = {
     "retry_after": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 0.5 ELSE -1.0 END::DOUBLE AS seconds FROM customer",
     "port_status": """SELECT o_custkey AS host, count(*) FILTER (WHERE o_orderstatus = 'F') AS open, count(*) FILTER (WHERE o_orderstatus = 'O') AS closed,
     count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS timeout FROM orders GROUP BY 1""",
+    "cache_stats": "SELECT sum(n_hits)::BIGINT AS hits, sum(n_requests - n_hits)::BIGINT AS misses, round(sum(n_hits) / sum(n_requests), 6) AS hit_rate FROM ("
+    + policy_queries.SQL["cache_hits"]
+    + ")",
+    "crawl_page_summary": content_queries.BLOCKS_SQL
+    + """, w AS (SELECT page_id, sum(len(string_split(text, ' ')))::BIGINT AS word_count FROM t WHERE text <> '' GROUP BY page_id)
+    SELECT page_id, word_count, link_count FROM w LEFT JOIN (SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::BIGINT AS link_count
+    FROM pages) USING (page_id)""",
 }

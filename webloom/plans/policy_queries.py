@@ -169,6 +169,15 @@ SQL = {
     FROM customer, range(3) r(n) WHERE c_custkey % 8 IN (3, 4, 5)""",
     "url_policy_gate": """SELECT c_custkey AS id, c_custkey % 11 <> 0 AND (c_custkey % 8 IN (3, 7) OR (c_custkey % 8 = 1 AND
     c_custkey % 40 NOT BETWEEN 16 AND 31)) AS allowed FROM customer""",
+    "token_bucket": """WITH RECURSIVE e AS (
+    SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events
+), f AS (
+    SELECT key, n, 1.0::DOUBLE AS tokens, t AS last, 0 AS waited, 0.0::DOUBLE AS wait FROM e WHERE n = 1 UNION ALL
+    SELECT key, n, CASE WHEN filled >= 1 THEN filled - 1 ELSE 0.0 END, CASE WHEN filled >= 1 THEN now ELSE now + (1 - filled) / 0.001 END,
+        waited + (filled < 1)::INT, CASE WHEN filled >= 1 THEN wait ELSE wait + (1 - filled) / 0.001 END
+    FROM (SELECT f.key, e.n, waited, wait, greatest(e.t, last) AS now, least(2.0, tokens + (greatest(e.t, last) - last) * 0.001) AS filled
+        FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+) SELECT key, max(n) AS n_requests, max(waited)::BIGINT AS n_waited, round(max(wait), 3) AS total_wait FROM f GROUP BY key""",
     "cache_hits": """WITH RECURSIVE e AS (
     SELECT user_id || '/' || event_type AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events
 ), f AS (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import wire
 from webloom.operators import evaluation, readability
+from webloom.plans import policy_queries
 from webloom.plans.common import table
 from webloom.runtime import checkpointed
 from webloom.sources import search_results
@@ -104,6 +105,7 @@ QUERIES = {
 _DIVIDE = "CASE WHEN {1} > 0 THEN round(({0})::DOUBLE / ({1}), 6) ELSE 0.0 END"
 SQL = {
     "stream_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_rate_limit": f"SELECT key::VARCHAR AS key, n_requests, n_waited, total_wait FROM ({policy_queries.SQL['token_bucket']})",
     "stream_cache": """WITH RECURSIVE e AS (
     SELECT user_id || '/' || event_type AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events
 ), f AS (

@@ -17,8 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps, and their characters in all. They are kept in two generations: when the younger
-#: one has half, it becomes the older one, and of that only words that are met again go on.
+#: Words that a worker keeps, and their characters in all; beyond either it starts anew.
 MOST_WORDS, MOST_CHARS = 400_000, 8 << 20
 #: Bytes of a batch, and the length from which a text is split.
 BATCH_BYTES, PIECE_CHARS = 8 << 20, 1 << 20
@@ -43,11 +42,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.age()
+        self.forget()
 
-    def age(self) -> None:
-        self.older, self.words = self.words, {}
+    def forget(self) -> None:
+        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.chars = 0
 
@@ -82,18 +80,10 @@ class WordEncoder:
         found = coded.dictionary.to_pylist()
         ids = [*map(self.words.get, found)]
         if missing := [i for i, x in enumerate(ids) if x is None]:
-            if len(self.words) + len(missing) > MOST_WORDS // 2 or self.chars > MOST_CHARS // 2:
-                self.age()
-            unmet = []
+            if len(self.words) + len(missing) > MOST_WORDS or self.chars > MOST_CHARS:
+                self.forget()
+            self._learn([found[i] for i in missing])
             for i in missing:
-                word = found[i]
-                if (kept := self.older.get(word)) is None:
-                    unmet.append(i)
-                else:
-                    self.words[word] = ids[i] = kept
-                    self.chars += len(word)
-            self._learn([found[i] for i in unmet])
-            for i in unmet:
                 ids[i] = self.words[found[i]]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return split.offsets.to_numpy(), coded.indices.to_numpy(), lengths, ids

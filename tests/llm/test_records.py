@@ -237,6 +237,33 @@ def test_neighbours_share_windows():
     assert together == 40
 
 
+def test_planted_topics_share_windows_over_many_shards(spark):
+    rng = np.random.default_rng(9)
+    words = rng.permutation([a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("land", "ton", "ville", "berg", "stone", "ford")])
+    topics = [rng.choice(words, 12, replace=False) for _ in range(60)]
+    rows = [(k * 4 + i, " ".join(rng.choice(topics[k], 150))) for k in range(60) for i in range(4)]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, shard_bytes=8_000).collect()
+    assert len({r.sequence_id >> 32 for r in found}) > 20
+    windows = defaultdict(set)
+    for r in found:
+        windows[r.sequence_id].add(r.doc_id)
+    together = [a // 4 == b // 4 for w in windows.values() for a in w for b in w if a < b]
+    assert np.mean(together) > 0.3  # by chance 3 in 239
+
+
+def test_places_of_keys_bound_a_shard(spark):
+    key = lambda a, b: (a << packing.TERM_BITS) + b
+    sizes = [(key(a, b), 10) for a in range(50) for b in range(3)] + [(key(60, b), 7) for b in range(100)] + [(key(70, 1), 950), (key(70, 2), 5)]
+    keys, first, spans = packing.shard_places(spark.createDataFrame(sizes, "key long, bytes long"), 100)
+    held = Counter()
+    for k, size in sizes:
+        at = np.searchsorted(keys, k, "right") - 1
+        for i in range(size):
+            held[int(first[at] + spans[at] * i // size) // 100] += 1
+    assert sum(held.values()) == sum(s for _, s in sizes) and max(held.values()) <= 150 and len(held) >= 30
+    assert all(len({np.searchsorted(keys, key(a, b), "right") for b in range(3)}) == 1 for a in range(50))
+
+
 def test_powers_of_two():
     out = packing.powers_of_two([(0, 5, 700), (1, 0, 300)], 1000)
     assert [sum(p[2] for p in s) for s in out] == [512, 256, 128, 64, 32, 8]

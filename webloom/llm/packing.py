@@ -1,8 +1,13 @@
 """Packing by lexical retrieval.
 
-Documents are dealt by hash to shards of bounded size. In its shard a document first
-fills whole windows of its own; what is left of it goes to the shard's pool, which a
-BM25 inverted index covers. The longest unused rest becomes a seed; the index ranks the
+Documents are encoded once. A document first fills whole windows of its own; what is left
+of it, its rest, is packed with others. Document frequencies and the mean length count
+the rests of all documents. Rests are dealt to shards of bounded size by a lexical key:
+of a rest's terms of most BM25 weight, the first two in one fixed order. Rests that
+share such terms therefore stand in one shard or, where a key holds more than a shard,
+in shards of that key alone. Small groups share a shard.
+
+A BM25 inverted index covers the rests of a shard. The longest unused rest becomes a seed; the index ranks the
 other unused rests by the seed's terms, and they fill the seed's window in that order:
 first every rest that fits whole, then the best that is left is cut to fill the window.
 Only the last window of a shard can stay short; it is cut into sequences whose lengths
@@ -12,43 +17,67 @@ are powers of two, which need no padding.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import word_tokens
+from webloom.llm.runtime import checkpointed
+from webloom.runtime import spread
 
 WINDOW, END_ID, SHARD_BYTES = 2048, 1, 4 << 20
 K1, B = 1.2, 0.75
+#: Terms of a rest that weigh this share of its heaviest one can be its key; bits of a term in a key; steps of the salt.
+HEAVY, TERM_BITS, SALTS = 0.7, 31, 1 << 20
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padding long"
 )
 
 
+@dataclass(frozen=True)
+class Stats:
+    """The count of documents, the documents of each term, and the documents' mean length."""
+
+    n: int
+    df: np.ndarray
+    mean: float
+
+    def useful(self, term: np.ndarray) -> np.ndarray:
+        """Whether each term is in more than one document and in half of them at most."""
+        return (self.df[term] >= 2) & (2 * self.df[term] <= self.n)
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The BM25 weight of terms that stand tf times in documents of a length."""
+        idf = np.log((self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.mean, 1)))
+
+
 class Bm25:
     """An inverted index over token ids, with the weight of each posting worked out.
 
     A term in more than half of the documents has no positive weight in BM25 and one
-    in a single document finds nothing, so neither is kept.
+    in a single document finds nothing, so neither is kept. ``stats`` are the count of
+    all documents, their document frequencies and mean length, if docs are a part of them.
     """
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None) -> None:
         self.n = n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
         flat = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
         key, tf = np.unique((np.repeat(np.arange(n), lengths) << 32) | flat, return_counts=True)
         doc, term = key >> 32, key & 0xFFFFFFFF
-        df = np.bincount(term) if len(term) else np.zeros(1, np.int64)
-        keep = (df[term] >= 2) & (2 * df[term] <= n)
+        here = np.bincount(term) if len(term) else np.zeros(1, np.int64)
+        stats = stats or Stats(n, here, lengths.mean() if n else 0)
+        keep = (here[term] >= 2) & stats.useful(term)
         doc, term, tf = doc[keep], term[keep], tf[keep]
-        idf = np.log((n - df[term] + 0.5) / (df[term] + 0.5))
-        norm = K1 * (1 - B + B * lengths[doc] / max(lengths.mean() if n else 0, 1))
         self.terms = np.split(term, np.searchsorted(doc, np.arange(1, n))) if n else []
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], (idf * tf * (K1 + 1) / (tf + norm))[order]
-        self.ends = np.searchsorted(term[order], np.arange(len(df) + 1))
+        self.doc, self.weight = doc[order], stats.weight(term, tf, lengths[doc])[order]
+        self.ends = np.searchsorted(term[order], np.arange(len(here) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """Every document's score for the terms of one."""
@@ -59,7 +88,9 @@ class Bm25:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill_windows(
+    docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = None
+) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold each id of docs once."""
     sequences, start, left = [], [], []
     for i, ids in enumerate(docs):
@@ -69,7 +100,7 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tupl
         left.append(len(ids) - whole * window)
     pool = np.flatnonzero(left)
     start, left = np.array(start, np.int64)[pool], np.array(left, np.int64)[pool]
-    index = Bm25([docs[i][s:] for i, s in zip(pool, start, strict=True)])
+    index = Bm25([docs[i][s:] for i, s in zip(pool, start, strict=True)], stats)
     unused = np.ones(len(pool), bool)
     for seed in np.argsort(-left, kind="stable"):
         if not unused[seed]:
@@ -116,6 +147,117 @@ def powers_of_two(pieces: list[tuple[int, int, int]], total: int) -> list[list[t
     return sequences
 
 
+def encoded(docs: DataFrame, path: str, kind: str) -> DataFrame:
+    """doc_id, ids (of numpy's kind, END_ID last) and size in bytes of text, of (doc_id, text)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = word_tokens.encoder(path), np.array([END_ID], kind)
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            for at, texts in word_tokens.batches(x.as_py() for x in batch.column("text")):
+                for i, ids in zip(at, encoder.ids(texts), strict=True):
+                    parts[i].append(ids)
+            ids = pa.array([np.concatenate([*p, end]).astype(kind).tobytes() for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), ids, batch.column("size")], ["doc_id", "ids", "size"]
+            )
+
+    text = F.coalesce("text", F.lit(""))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    sized = rows.withColumn("size", (F.octet_length("text") + 64).cast("long"))
+    return checkpointed(sized.mapInArrow(encode, "doc_id long, ids binary, size long"))
+
+
+def rest_terms(ids: pa.Array, kind: str, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and its count for the distinct terms of each row's rest, and the lengths of the rests."""
+    rests = [(own := np.frombuffer(x.as_buffer(), kind))[len(own) // window * window :] for x in ids]
+    lengths = np.array([len(r) for r in rests], np.int64)
+    flat = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
+    cell, tf = np.unique((np.repeat(np.arange(len(rests)), lengths) << 32) | flat, return_counts=True)
+    return cell >> 32, cell & 0xFFFFFFFF, tf, lengths
+
+
+def rest_stats(rows: DataFrame, kind: str, window: int) -> Stats:
+    """The statistics of all rests; the driver gets a row for each term of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            _, term, _, lengths = rest_terms(batch.column("ids"), kind, window)
+            more = np.bincount(term, minlength=len(df))
+            more[: len(df)] += df
+            df, n, total = more, n + int((lengths > 0).sum()), total + int(lengths.sum())
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-2, -1, *term.tolist()], pa.int64()), pa.array([total, n, *df[term].tolist()], pa.int64())],
+            ["term", "n"],
+        )
+
+    found = rows.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = {r.term: r.n for r in found.collect()}
+    total, n = counts.pop(-2, 0), counts.pop(-1, 0)
+    df = np.zeros(max(counts, default=0) + 1, np.int64)
+    df[[*counts]] = [*counts.values()]
+    return Stats(n, df, total / max(n, 1))
+
+
+def lexical_keys(ids: pa.Array, stats: Stats, kind: str, window: int) -> np.ndarray:
+    """A key for each row: its first two heavy terms in a fixed order; 0 without a useful term.
+
+    Two rests choose the same first term as likely as their heavy terms overlap, as the
+    order of terms has nothing to do with their weights.
+    """
+    row, term, tf, lengths = rest_terms(ids, kind, window)
+    keep = stats.useful(term)
+    row, term, tf = row[keep], term[keep], tf[keep]
+    weight, most = stats.weight(term, tf, lengths[row]), np.zeros(len(ids))
+    np.maximum.at(most, row, weight)
+    heavy = weight >= HEAVY * most[row]
+    row, code = row[heavy], (term[heavy] * 0x9E3779B1 & ((1 << TERM_BITS) - 1)) | 1 << TERM_BITS
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    second = np.minimum(begins + 1, max(len(row) - 1, 0))
+    keys = np.zeros(len(ids), np.int64)
+    low = np.where(row[second] == row[begins], code[second] & ((1 << TERM_BITS) - 1), 0)
+    keys[row[begins]] = (code[begins] & ((1 << TERM_BITS) - 1)) << TERM_BITS | low
+    return keys
+
+
+def shard_places(sizes: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, with the place in bytes from each on and the bytes over which its rows spread.
+
+    ``sizes`` has key and bytes. Keys stand one after another. All keys of a first term
+    that fill half a shard at most share a place; those of a larger term have their own,
+    and a key of more than a shard spreads over its bytes. The driver gets a row for each
+    first term and each shard.
+    """
+    top = F.shiftright("key", TERM_BITS)
+    groups = checkpointed(sizes.groupBy("key").agg(F.sum("bytes").alias("bytes")))
+    tops = sorted(map(tuple, groups.groupBy(top).agg(F.sum("bytes")).collect()))
+    found, hot, start = [], [], 0
+    for first, size in tops:
+        if 2 * size <= shard_bytes:
+            found.append((first << TERM_BITS, start + size // 2, 0))
+        else:
+            hot.append((first, start))
+        start += size
+    if hot:
+        starts = groups.sparkSession.createDataFrame(hot, "top long, start long")
+        before = Window.partitionBy("top").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        placed = (
+            groups.withColumn("top", top)
+            .join(starts, "top")
+            .withColumn("start", F.col("start") + F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+        )
+        large = F.col("bytes") > shard_bytes
+        middle = F.floor((F.col("start") + F.col("bytes") / 2) / shard_bytes)
+        found += map(tuple, placed.filter(large).select("key", "start", "bytes").collect())
+        small = placed.filter(~large).groupBy("top", middle.alias("shard")).agg(F.min("key").alias("key"))
+        found += [(r.key, r.shard * shard_bytes, 0) for r in small.collect()]
+    return tuple(np.array(c, np.int64) for c in zip(*sorted(found), strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def pack_documents(
     docs: DataFrame, path: str, window: int = WINDOW, seed: int = 42, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
@@ -126,24 +268,35 @@ def pack_documents(
     id. Rows are documents: repeated rows are packed as often as they stand. ``padding``
     is what a sequence lacks to ``window``; a length that is a power of two lacks
     nothing. An empty table gives no rows; other columns are ignored. A shard holds
-    about ``shard_bytes`` of text, or one longer document.
+    about ``shard_bytes`` of text, twice that at most, or one longer document.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(max(1, math.ceil(n_bytes / shard_bytes))))
+    kind = "<u2" if word_tokens.encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    rows = encoded(docs, path, kind)
+    stats = rest_stats(rows, kind, window)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array(lexical_keys(batch.column("ids"), stats, kind, window))
+            yield pa.RecordBatch.from_arrays([keys, batch.column("size")], ["key", "bytes"])
+
+    keys, first, spans = shard_places(
+        rows.select("ids", "size").mapInArrow(keyed, "key long, bytes long"), shard_bytes
+    )
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(keys, lexical_keys(batch.column("ids"), stats, kind, window), "right") - 1
+            place = first[at] + spans[at] * batch.column("salt").to_numpy() // SALTS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place // shard_bytes), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"]
+            )
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         doc_ids = table.column("doc_id").to_pylist()
-        parts: list[list[np.ndarray]] = [[] for _ in doc_ids]
-        encoder = word_tokens.encoder(path)
-        for at, texts in word_tokens.batches(x.as_py() for x in table.column("text")):
-            for i, ids in zip(at, encoder.ids(texts), strict=True):
-                parts[i].append(ids)
-        end = np.array([END_ID], "<u4")
-        ids = [np.concatenate([*p, end]).astype("<u4") for p in parts]
+        ids = [np.frombuffer(x.as_buffer(), kind).astype("<u4") for x in table.column("ids")]
         out: list[tuple] = []
-        for number, pieces in enumerate(fill_windows(ids, window)):
+        for number, pieces in enumerate(fill_windows(ids, window, stats)):
             offset, total = 0, int(sum(p[2] for p in pieces))
             padding = 0 if total & (total - 1) == 0 else window - total
             for doc, start, length in pieces:
@@ -155,4 +308,6 @@ def pack_documents(
         kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(pack, SCHEMA)
+    salt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids"), F.lit(SALTS))
+    placed = rows.select("doc_id", "ids", salt.alias("salt")).mapInArrow(dealt, "shard long, doc_id long, ids binary")
+    return placed.groupBy("shard").applyInArrow(pack, SCHEMA)

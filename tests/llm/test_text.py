@@ -78,6 +78,38 @@ def test_main_text_without_containers():
     assert html_extract.main_text(page, TREE) == f"{(LOREM * 2).strip()}\n\n{(LOREM * 3).strip()}"
 
 
+def test_the_tree_learns_its_table_and_needs_words_and_links():
+    assert all((html_extract.tree_score(TREE, tuple(r[:-1])) >= 0.5) == r[-1] for r in t)
+    for grades in ((0, 1, 1), (0, 0.5, 0.5), (0, 0, 1), (0.5, 1, 1)):
+        assert set(t[(t[:, 6:9] == grades).all(axis=1), -1]) == {0, 1}
+
+
+LONG, TWICE, FULL = LOREM.strip(), (LOREM * 2).strip(), (LOREM * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # A small block with a name of content is no container of content.
+        (f"<div class='post-date'>12 May</div><div><p>{TWICE}</p><p>{FULL}</p></div>", [TWICE, FULL]),
+        # One that holds most of the text is; a long block beside it belongs to the article.
+        (f"<div class='entry-content'><p>{FULL}</p><p>Short.</p></div><div>{TWICE}</div><div><a href=n>Next page</a></div>", [FULL, "Short.", TWICE]),
+        # So are several of one class.
+        ("".join(f"<div class='post-body'><p>{TWICE}</p><p>Yes, {i}.</p></div>" for i in range(4)), [x for i in range(4) for x in (TWICE, f"Yes, {i}.")]),
+        # Sections of an article by names that boilerplate has, too.
+        (f"<article><p>{LONG}</p><section class='discussion'><h2>Discussion</h2><p>{FULL}</p></section></article>", [LONG, "Discussion", FULL]),
+        (f"<article><p>{LONG}</p><div class='warning'><p>{FULL}</p></div></article>", [LONG, FULL]),
+        (f"<article><p>{LONG}</p><div class='notice'><a href=x>Sign up</a></div></article>", [LONG]),
+        # Runs of links in an article, and the text beside a teaser.
+        (f"<article><p>{LONG}</p><ul><li><a href=a>One more</a><li><a href=b>Two more</a></ul></article>", [LONG]),
+        (f"<div><p>{FULL}</p></div><article><p>A teaser</p></article>", [FULL, "A teaser"]),
+        (f"<div><p>{FULL}</p></div><aside><article>A card</article></aside>", [FULL]),
+    ],
+)
+def test_words_and_links_decide_in_and_beside_containers(page, text):
+    assert html_extract.main_text(f"<body>{page}</body>", TREE).split("\n\n") == text
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

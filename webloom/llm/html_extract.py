@@ -1,14 +1,15 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into text blocks at its block-level tags. A block has the word count and
-link density of itself and of the blocks before and after it, and flags for the
-containers it stands in. A decision tree, grown on the small labelled table below,
+link density of itself and of the blocks before and after it, and grades for the
+containers it stands in: sure by their tags or roles, likely by their names alone. A decision tree, grown on the small labelled table below,
 tells the blocks of the article from the rest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -39,17 +40,23 @@ BOILERPLATE_WORDS = frozenset(
     " pagination comment comments commentlist disqus respond reply replies discussion feedback copyright legal"
     " disclaimer skip hidden".split()
 )
+#: Of these the words that name sections of an article, too; words and links decide there.
+MAYBE_BOILERPLATE = frozenset("alert warning notice notices discussion feedback legal disclaimer social search follow register".split())
 #: Words that name the article's own head inside it, and elements that never are boilerplate as a whole.
 IN_ARTICLE = frozenset("header head banner masthead text".split())
 WHOLE = frozenset("html body article main".split())
 CONTENT_WORDS = frozenset("article content post entry story main maincontent articlebody body text hentry".split())
+NOWHERE = ("", 0.0, False, frozenset())
 
 FEATURES = "before_words before_links words links after_words after_links boilerplate content page_has_content heading"
 #: Words and link density of typical neighbours and blocks.
 NEIGHBOURS = ((0, 0.0), (2, 1.0), (9, 0.0), (40, 0.3), (80, 0.0), (150, 0.05))
 SAMPLES = ((1, 0.0), (2, 1.0), (5, 0.0), (9, 0.5), (25, 0.0), (60, 0.1), (140, 0.0))
-#: Blocks of pages that have a container of content: its flags (boilerplate, content) and the label.
-IN_CONTAINERS = (((1, 0), 0), ((1, 1), 0), ((0, 1), 1), ((0, 0), 0))
+#: Grades (boilerplate, content, page_has_content) of blocks of pages that have a container of content.
+IN_CONTAINERS = (
+    (1, 0, 1), (1, 1, 1), (1, 0, 0.5), (1, 0.5, 0.5), (0, 1, 1), (0, 0.5, 1), (0, 0.5, 0.5), (0, 0, 1), (0, 0, 0.5),
+    (0.5, 1, 1), (0.5, 0.5, 0.5), (0.5, 0, 1), (0.5, 0, 0.5),
+)
 #: Blocks of pages without one, as FEATURES up to after_links, boilerplate, heading and the label.
 WITHOUT = (
     (0, 0.0, 25, 0.0, 2, 1.0, 1, 0, 0),
@@ -76,25 +83,45 @@ WITHOUT = (
     (0, 0.0, 35, 0.0, 0, 0.0, 0, 0, 1),
     (0, 0.0, 50, 0.02, 40, 0.0, 0, 0, 1),
     (30, 0.0, 18, 0.1, 25, 0.0, 0, 0, 1),
+    (70, 0.0, 60, 0.0, 70, 0.0, 0.5, 0, 1),
+    (0, 0.0, 110, 0.0, 8, 0.5, 0.5, 0, 1),
+    (2, 1.0, 4, 0.0, 3, 1.0, 0.5, 0, 0),
+    (60, 0.0, 20, 0.6, 8, 0.2, 0.5, 0, 0),
 )
 
 
+def _label(before: tuple, block: tuple, after: tuple, grades: tuple, heading: int) -> int:
+    """Whether a block of a page with a container of content belongs to the article."""
+    (words, links), (boilerplate, content, has) = block, grades
+    if boilerplate == 1:
+        return 0
+    if content == 1 and not boilerplate:  # all but runs of links
+        return int(links < 0.9 or max(before[1], after[1]) < 0.9)
+    if content and not boilerplate:
+        return int(links < 0.4)
+    if content and heading:
+        return int(after[0] >= 40 and after[1] <= 0.3 and links < 0.4)
+    # Beside the container, or in a section that may be boilerplate: long blocks with few links.
+    least = 25 if content or (has < 1 and not boilerplate) else 100
+    return int(words >= least and links <= 0.1 and not heading)
+
+
 def labelled_blocks() -> np.ndarray:
     """The labelled table: FEATURES and whether a block belongs to the article.
 
-    In pages with a container of content the label follows from the containers, whatever
-    the words of a block and its neighbours; elsewhere from words and links.
+    Containers that are sure outweigh words and links; wherever a container is only
+    likely, or a block stands beside it, words and links decide.
     """
     rows = [
-        (*before, *block, *after, *flags, 1, heading, label)
-        for before, block, after, (flags, label) in product(NEIGHBOURS, SAMPLES, NEIGHBOURS, IN_CONTAINERS)
+        (*before, *block, *after, *grades, heading, _label(before, block, after, grades, heading))
+        for before, block, after, grades in product(NEIGHBOURS, SAMPLES, NEIGHBOURS, IN_CONTAINERS)
         for heading in ((0, 1) if block[0] < 10 else (0,))
     ]
     rows += [(*r[:7], 0, 0, *r[7:]) for r in WITHOUT for _ in range(20)]
     return np.array(rows, float)
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8):
+def grow_tree(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 12):
     """A decision tree of least Gini impurity: a share of positives, or (feature, cut, below, above)."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return float(y.mean())
@@ -126,26 +153,36 @@ def tree_score(tree, row: tuple) -> float:
     return tree
 
 
-def _container(tag: str, attrs: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether an element is a container of boilerplate, and of content."""
+def _container(tag: str, attrs: str, in_content: bool) -> tuple[float, bool, str]:
+    """An element's grade as boilerplate, whether it surely is the content, and its name if that says so."""
     found = attributes(attrs) if attrs else {}
     role = found.get("role", "").lower()
-    named = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")} if found else set()
-    boilerplate = (
+    name = f"{found.get('class', '')} {found.get('id', '')}" if found else ""
+    named = {w.lower() for w in _WORDS.findall(name)}
+    unwanted = named & (BOILERPLATE_WORDS - IN_ARTICLE if in_content else BOILERPLATE_WORDS) if tag not in WHOLE else set()
+    boilerplate = 0.5 if unwanted else 0.0
+    if (
         tag in BOILERPLATE_TAGS
         or (tag == "header" and not in_content)
         or role in BOILERPLATE_ROLES
         or "hidden" in found
-        or (bool(named & (BOILERPLATE_WORDS - IN_ARTICLE if in_content else BOILERPLATE_WORDS)) and tag not in WHOLE)
-    )
-    content = tag in ("article", "main") or role in ("main", "article") or bool(named & CONTENT_WORDS)
-    return boilerplate, content and not boilerplate and tag not in ("html", "body")
+        or unwanted - MAYBE_BOILERPLATE
+    ):
+        boilerplate = 1.0
+    if boilerplate or tag in ("html", "body"):
+        return boilerplate, False, ""
+    return 0.0, tag in ("article", "main") or role in ("main", "article"), found.get("class", name) if named & CONTENT_WORDS else ""
 
 
-def blocks(source: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """The text blocks of a page: text, words, link density, boilerplate, content, heading."""
-    out: list[tuple[str, int, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, boilerplate, content
+def blocks(source: str) -> list[tuple[str, int, float, float, float, bool]]:
+    """The text blocks of a page: text, words, link density, grades as boilerplate and content, heading.
+
+    Content is 1 in an article or main element, and 0.5 in containers that have such a
+    name and, all of one class together, most of the page's words.
+    """
+    out: list[tuple[str, int, float, float, float, bool]] = []
+    stack: list[tuple[str, float, bool, frozenset[str]]] = []  # open elements: tag, boilerplate, content, names of content
+    inside: list[frozenset[str]] = []
     parts: list[str] = []
     linked = links = dropped = 0
     heading = False
@@ -155,8 +192,9 @@ def blocks(source: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         words = " ".join(decoded("".join(parts)).split())
         if words:
             n = words.count(" ") + 1
-            at = stack[-1] if stack else ("", False, False)
-            out.append((words, n, min(1.0, linked / n), at[1], at[2], heading))
+            at = stack[-1] if stack else NOWHERE
+            out.append((words, n, min(1.0, linked / n), at[1], float(at[2]), heading))
+            inside.append(at[3])
         parts.clear()
         linked = 0
 
@@ -175,7 +213,7 @@ def blocks(source: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         if kind == "close":
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if at >= 0:
-                for gone, _, _ in stack[at:]:
+                for gone, *_ in stack[at:]:
                     dropped -= gone in DROPPED
                     links -= gone == "a"
                 del stack[at:]
@@ -183,24 +221,30 @@ def blocks(source: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             # A body ends the head even if its end tag is missing.
             stack = [x for x in stack if x[0] not in DROPPED]
             dropped = links = 0
-            stack.append((tag, *_container(tag, attrs, False)))
+            stack.append((tag, _container(tag, attrs, False)[0], False, frozenset()))
         elif kind == "open" and tag not in VOID:
             if tag in BLOCK_TAGS and stack and stack[-1][0] == "p":
                 stack.pop()
-            _, boilerplate, content = stack[-1] if stack else ("", False, False)
-            own = _container(tag, attrs, content) if attrs or tag in BLOCK_TAGS else (False, False)
-            stack.append((tag, boilerplate or own[0], content or own[1]))
+            _, boilerplate, content, names = stack[-1] if stack else NOWHERE
+            own = _container(tag, attrs, content or bool(names)) if attrs or tag in BLOCK_TAGS else (0.0, False, "")
+            stack.append((tag, max(boilerplate, own[0]), content or own[1], names | {own[2]} if own[2] else names))
             dropped += tag in DROPPED
             links += tag == "a"
         heading = any(x[0] in HEADINGS for x in stack)
     flush()
-    return out
+    total, held = 0, Counter()
+    for block, names in zip(out, inside, strict=True):
+        if block[3] < 1:
+            total += block[1]
+            held.update(dict.fromkeys(names, block[1]))
+    most = {name for name, words in held.items() if 2 * words > total}
+    return [(*b[:4], b[4] or (0.5 if names & most else 0.0), b[5]) for b, names in zip(out, inside, strict=True)]
 
 
 def main_text(source: str | None, tree) -> str:
     """The blocks of a page that the tree takes for its article, joined by blank lines; empty if none."""
     found = blocks(source or "")
-    has = any(b[4] for b in found)
+    has = max((b[4] for b in found if b[3] < 1), default=0.0)
     kept = []
     for i, (text, words, links, boilerplate, content, heading) in enumerate(found):
         before = found[i - 1][1:3] if i else (0, 0.0)

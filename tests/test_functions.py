@@ -204,6 +204,15 @@ def test_patterns():
     assert discovery.usable_patterns(["a", "(", "(a+)+b", "x" * 600]) == ["a"]
 
 
+def test_max_urls_is_optional(spark):
+    entries = spark.createDataFrame([("https://a.com/1", None, 1), ("https://a.com/2", None, 2)], "loc string, lastmod timestamp, seq long")
+    links = [("https://a.com/2", True, "content", 1), ("https://a.com/3", True, "content", 2), ("https://b.com/4", True, "content", 3)]
+    found = spark.createDataFrame(links, "url string, is_internal boolean, link_type string, seq long")
+    urls = lambda most: sorted((r.url[-1], r.source) for r in discovery.discover_urls(entries, found, "a.com", max_urls=most).collect())
+    assert urls(None) == [("1", "sitemap"), ("2", "sitemap"), ("3", "page_link")]
+    assert urls(2) == urls(None)[:2] and urls(9) == urls(None)
+
+
 def test_redirect_loops(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "source string, target string")
     found = {r.url: r.target for r in discovery.redirect_targets(hops, hops.select(F.col("source").alias("url"))).collect()}

@@ -58,6 +58,13 @@ def test_folds_and_streams_agree(spark):
     assert fold == stream
 
 
+def test_all_urls_of_larger_tables_are_discovered(spark, duck):
+    sf = "/root/testdata/sf0.01"
+    want = duck.execute(SQL["discover_all_urls"].replace("FROM part", f"FROM '{sf}/part.parquet'")).df()
+    found = QUERIES["discover_all_urls"](spark, sf).toPandas()
+    assert rows(found) == rows(want) and found["source"].value_counts().to_dict() == {"sitemap": 1800, "page_link": 1800}
+
+
 def test_entry(spark):
     import __spark_entry__
 

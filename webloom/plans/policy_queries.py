@@ -109,8 +109,7 @@ def crawl_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.crawl_summary(crawl_bfs(spark, sf_dir))
 
 
-def discover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sitemap entries of the shop with the links of its pages; the first 700."""
+def _shop_urls(spark: SparkSession, sf_dir: str, max_urls: int | None = None) -> DataFrame:
     entries = feeds.sitemap_entries(rendered.sitemap_files(spark, sf_dir)).filter("NOT is_index")
     entries = entries.withColumn("seq", F.regexp_extract("loc", r"(\d+)$", 1).cast("long"))
     links = extract_links(
@@ -119,10 +118,20 @@ def discover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
             text('<nav><a href="/p/', F.col("p_partkey"), '">x</a><a href="/q/', F.col("p_partkey"), '">y</a></nav>').alias("html"),
         )
     ).withColumn("seq", F.col("page_id") * 10 + F.col("pos"))
-    found = discovery.discover_urls(entries, links, "shop.example.com", ["^/[pq]/"], ["5$"], max_urls=700)
+    found = discovery.discover_urls(entries, links, "shop.example.com", ["^/[pq]/"], ["5$"], max_urls=max_urls)
     return found.select("url", "source", F.col("lastmod").cast("timestamp_ntz").alias("lastmod"), "link_type")
 
 
+def discover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap entries of the shop with the links of its pages; the first 700."""
+    return _shop_urls(spark, sf_dir, max_urls=700)
+
+
+def discover_all_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sitemap entries of the shop with all links of its pages."""
+    return _shop_urls(spark, sf_dir)
+
+
 def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = rendered.http_observations(spark, sf_dir)
     wanted = seen.select("url")
@@ -142,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_taxonomy, cache_control_ttl, header_redaction, retry_schedule, url_policy_gate, token_bucket, cache_hits, robots_filter,
-        url_pattern_filter, captured_responses, request_correlation, crawl_bfs, crawl_totals, discover_urls, batch_outcomes, redirect_chain,
+        url_pattern_filter, captured_responses, request_correlation, crawl_bfs, crawl_totals, discover_urls, discover_all_urls, batch_outcomes, redirect_chain,
     )
 }
 
@@ -200,6 +209,9 @@ SQL = {
         make_timestamp(2000 + p_partkey % 24, p_partkey % 9 + 1, 1, 0, 0, 0) AS lastmod, NULL AS link_type FROM part
     UNION ALL SELECT 'https://shop.example.com/q/' || p_partkey, 'page_link', 10000000 + p_partkey, NULL, 'navigation' FROM part
 ) SELECT url, source, lastmod, link_type FROM (SELECT * FROM u WHERE NOT ends_with(url, '5') ORDER BY seq LIMIT 700)""",
+    "discover_all_urls": """SELECT 'https://shop.example.com/p/' || p_partkey AS url, 'sitemap' AS source,
+    make_timestamp(2000 + p_partkey % 24, p_partkey % 9 + 1, 1, 0, 0, 0) AS lastmod, NULL::VARCHAR AS link_type FROM part WHERE p_partkey % 10 <> 5
+    UNION ALL SELECT 'https://shop.example.com/q/' || p_partkey, 'page_link', NULL, 'navigation' FROM part WHERE p_partkey % 10 <> 5""",
     "batch_outcomes": f"""SELECT CASE WHEN c_custkey % 5 = 0 THEN 'no response' WHEN {_STATUS} >= 400 THEN 'HTTP ' || {_STATUS} END AS error,
     count(*) AS n FROM customer GROUP BY 1""",
     "redirect_chain": """WITH RECURSIVE r AS (

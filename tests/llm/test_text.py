@@ -44,6 +44,21 @@ def test_language_edge_cases(spark):
     assert [(r.lang_pred, r.score) for r in bare] == [("und", 0.0)]
 
 
+FOREIGN = ["Быстрая коричневая лиса прыгает через ленивую собаку", "敏捷的棕色狐狸跳过了懒狗今天天气很好", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί", "Nopea ruskea kettu hyppää laiskan koiran yli metsään"]
+
+
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_text_in_an_unlearned_language_is_rejected(spark, left_out):
+    docs = runtime.read_table(spark, "/root/testdata/sf0.1", "documents")
+    texts, languages = language_id.training_sample(docs.filter(F.col("lang") != left_out))
+    model = language_id.train(texts, languages)
+    held = docs.filter(language_id.held_out() & (F.char_length("text") > 400)).select("lang", F.substring("text", 1, 4000).alias("text")).limit(1500).collect()
+    rejected = model.judged([r.text for r in held])[1]
+    unlearned = np.array([r.lang == left_out for r in held])
+    assert rejected[unlearned].mean() > 0.9 and rejected[~unlearned].mean() < 0.01
+    assert model.judged(FOREIGN)[1].all()
+
+
 def test_subwords_of_a_batch_are_those_of_its_texts():
     texts = ["Hello world", "", "İ x1y", "éa  b"]
     bucket, row = language_id.subwords(texts)

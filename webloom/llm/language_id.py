@@ -4,15 +4,17 @@ A text is lower-cased and everything but letters becomes one space; its subwords
 the letter pairs and triples of the padded words. Each is hashed to a row of an
 embedding table; the mean of the rows goes through a linear layer and a softmax. The
 model is trained by stochastic gradient descent in numpy on a bounded sample, a part
-of which is held back to fit a temperature and the score below which a text is
-rejected. The model goes to the executors as one logit table (buckets x languages),
-whose size is fixed, and every whole text is scored there.
+of which is held back to fit a temperature and the limits below which a text is
+rejected: of its score, and of how usual its subwords are in the language found, as a
+text in an unlearned language can score high in a learned one. The model goes to the
+executors as two tables (buckets x languages), whose size is fixed, and every whole
+text is scored there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 #: Rows of the sample at most, and the characters of each that are used, from a seeded place on.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 400
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 16, 8, 32, 0.5, 42
-#: Share of the held-back texts that may score below the rejection threshold.
-REJECTED = 0.001
+#: Share of the held-back texts, each cut to these characters, that may score below the rejection threshold.
+REJECTED, CUTS = 0.001, (16, 64, 160, SAMPLE_CHARS)
+#: Deviations that a text may be less usual than the held-back texts of its language are.
+DEVIATIONS = 16
 UNKNOWN = "und"
 #: Code points that are looked at in one go.
 SLICE = 1 << 20
@@ -62,26 +66,44 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """languages in order; logits of each bucket and language; bias; temperature; rejection threshold."""
+    """languages in order; logits of each bucket and language; bias; temperature; rejection threshold.
+
+    ``usual`` are log frequencies of the buckets in each language, ``spread`` for each
+    language their median mean in its texts, the variance of that between texts, and
+    the variance of single subwords.
+    """
 
     languages: list[str]
     logits: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    usual: np.ndarray
+    spread: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities of each text's languages; zeros where a text has no letter."""
-        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """scores, and whether each text is rejected."""
+        shape = len(texts), len(self.languages)
+        total, usual, count = np.zeros(shape), np.zeros(shape), np.zeros(len(texts))
         for rows, parts in _slices(texts):
             bucket, row = subwords(parts)
             row = np.asarray(rows, np.int64)[row]
             count += np.bincount(row, minlength=len(texts))
             for i in range(len(self.languages)):
                 total[:, i] += np.bincount(row, self.logits[i][bucket], len(texts))
+                usual[:, i] += np.bincount(row, self.usual[i][bucket], len(texts))
         logits = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return odds / odds.sum(axis=1, keepdims=True) * (count > 0)[:, None]
+        scores = odds / odds.sum(axis=1, keepdims=True) * (count > 0)[:, None]
+        best = scores.argmax(axis=1)
+        mean, between, single = self.spread[best].T
+        below = mean - usual[np.arange(len(texts)), best] / np.maximum(count, 1)
+        unusual = below > DEVIATIONS * np.sqrt(between + single / np.maximum(count, 1))
+        return scores, (count == 0) | (scores.max(axis=1) < self.threshold) | unusual
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -137,23 +159,49 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> Model:
         layer -= rate * (hidden.T @ slope)
         bias -= rate * slope.sum(axis=0)
     logits = np.ascontiguousarray((table @ layer).T.astype(np.float32))
-    return _calibrated(Model(names, logits, bias, 1.0, 0.0), [texts[i] for i in back], label[back])
+    seen = np.zeros((len(names), BUCKETS))
+    for rows, row, bucket, mean in batches:
+        np.add.at(seen, (label[rows][row], bucket), mean)
+    seen += 0.5 * max(len(rest), 1) / (100 * BUCKETS * len(names))
+    usual = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    model = Model(names, logits, bias, 1.0, 0.0, usual, np.tile([0.0, np.inf, 0.0], (len(names), 1)))
+    return _calibrated(model, [texts[i] for i in back], label[back])
 
 
 def _calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
-    """model with the temperature of least log loss on texts, and the REJECTED quantile of its scores there."""
+    """model with the temperature of least log loss on texts, and limits of rejection from their scores and subwords.
+
+    The score's limit is the REJECTED quantile over the texts at several lengths. A
+    language without two texts here has no limit of usual subwords.
+    """
     if not len(texts):
         return model
     best = None
     for temperature in np.geomspace(0.05, 4, 40):
-        tried = Model(model.languages, model.logits, model.bias, float(temperature), 0.0)
+        tried = replace(model, temperature=float(temperature))
         scores = tried.scores(texts)
         loss = -np.log(np.maximum(scores[np.arange(len(texts)), label], 1e-12)).mean()
         if best is None or loss < best[0]:
-            threshold = float(np.quantile(scores.max(axis=1), REJECTED, method="lower"))
-            # Half of it: the quantile of a bounded sample lies near its least score.
-            best = (loss, Model(model.languages, model.logits, model.bias, float(temperature), threshold / 2))
-    return best[1]
+            best = (loss, tried)
+    cut = [t[:n] for n in CUTS for t in texts]
+    top = best[1].scores(cut).max(axis=1)
+    threshold = float(np.quantile(top[top > 0], REJECTED, method="lower")) if top.any() else 0.0
+    spread = model.spread.copy()
+    bucket, row = subwords(texts)
+    count = np.bincount(row, minlength=len(texts))
+    for i in range(len(model.languages)):
+        own = (label == i) & (count > 0)
+        if own.sum() < 2:
+            continue
+        values = model.usual[i][bucket].astype(float)
+        means = np.bincount(row, values, len(texts))[own] / count[own]
+        # Medians, as some texts hold parts in other languages.
+        middle = np.median(means)
+        spread[i] = middle, (1.4826 * np.median(np.abs(means - middle))) ** 2, values[own[row]].var()
+    # Texts of all languages vary alike: few texts of one say little of how far the next can lie.
+    if (known := np.isfinite(spread[:, 1])).any():
+        spread[known, 1] = spread[known, 1].max()
+    return replace(best[1], threshold=threshold, spread=spread)
 
 
 def held_out() -> Column:
@@ -180,7 +228,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 
     lang_pred is UNKNOWN, with score 0 and rejected, if the text is null or has no letter, or
     if there is no model; else a learned language, rejected if its score is below the
-    model's threshold. Extra columns of docs of the same names are replaced.
+    model's threshold or its subwords are too unusual in that language. Extra columns of docs of the same names are replaced.
     """
     kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "rejected")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
@@ -188,10 +236,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            scores = model.scores(batch.column("text").to_pylist()) if model else np.zeros((n, 1))
+            texts = batch.column("text").to_pylist()
+            scores, rejected = model.judged(texts) if model else (np.zeros((n, 1)), np.ones(n, bool))
             best, top = scores.argmax(axis=1), scores.max(axis=1)
             names = [model.languages[b] if s > 0 else UNKNOWN for b, s in zip(best, top, strict=True)]
-            rejected = (top < model.threshold) | (top == 0) if model else np.ones(n, bool)
             columns = [*batch.select(kept).columns, pa.array(names, pa.string()), pa.array(top), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "rejected"])
 

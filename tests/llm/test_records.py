@@ -251,6 +251,14 @@ def test_planted_topics_share_windows_over_many_shards(spark):
     assert np.mean(together) > 0.3  # by chance 3 in 239
 
 
+def test_slices_hold_each_row_once_and_are_bounded():
+    import pyarrow as pa
+
+    sizes = [5, 5, 1, 30, 2, 9, 10, 1]
+    found = [b.column("size").to_pylist() for b in packing.slices(iter([pa.record_batch({"size": sizes})]), 10)]
+    assert sum(found, []) == sizes and found == [[5, 5], [1], [30], [2], [9], [10], [1]]
+
+
 def test_places_of_keys_bound_a_shard(spark):
     key = lambda a, b: (a << packing.TERM_BITS) + b
     sizes = [(key(a, b), 10) for a in range(50) for b in range(3)] + [(key(60, b), 7) for b in range(100)] + [(key(70, 1), 950), (key(70, 2), 5)]

@@ -147,12 +147,23 @@ def powers_of_two(pieces: list[tuple[int, int, int]], total: int) -> list[list[t
     return sequences
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches with a size column in slices of about most bytes, or one larger row, as a worker's memory is small."""
+    for batch in batches:
+        total = np.cumsum(batch.column("size").to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def encoded(docs: DataFrame, path: str, kind: str) -> DataFrame:
     """doc_id, ids (of numpy's kind, END_ID last) and size in bytes of text, of (doc_id, text)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_tokens.encoder(path), np.array([END_ID], kind)
-        for batch in batches:
+        for batch in slices(batches):
             parts: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
             for at, texts in word_tokens.batches(x.as_py() for x in batch.column("text")):
                 for i, ids in zip(at, encoder.ids(texts), strict=True):

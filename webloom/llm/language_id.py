@@ -27,7 +27,7 @@ BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 16, 8, 32, 0.5, 42
 #: Share of the held-back texts, each cut to these characters, that may score below the rejection threshold.
 REJECTED, CUTS = 0.001, (16, 64, 160, SAMPLE_CHARS)
 #: Deviations that a text may be less usual than the held-back texts of its language are.
-DEVIATIONS = 16
+DEVIATIONS = 20
 UNKNOWN = "und"
 #: Code points that are looked at in one go.
 SLICE = 1 << 20

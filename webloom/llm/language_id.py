@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the sample at most, and the characters of each that are used, from a seeded place on.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 400
+#: Rows that are drawn by their hash, as a multiple of SAMPLE_ROWS; the first of them in the hashes' order are taken.
+DRAWN = 2
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 16, 8, 32, 0.5, 42
 #: Share of the held-back texts, each cut to these characters, that may score below the rejection threshold.
 REJECTED, CUTS = 0.001, (16, 64, 160, SAMPLE_CHARS)
@@ -205,16 +207,27 @@ def _calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
 
 
 def held_out() -> Column:
-    """Whether a document is kept from training: crc32 of its id as text leaves 2 by 4."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Whether a document is kept from training: crc32 of its id as text leaves 2 by 4. A null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """At most ``rows`` texts (of each ``chars`` characters from a seeded place on) with their languages."""
+    """At most ``rows`` texts (of each ``chars`` characters from a seeded place on) with their languages.
+
+    The labelled rows are counted first, without their texts. Only rows whose hash is low
+    enough for about DRAWN times the wanted rows are sorted, so what the tasks send to the
+    driver doesn't grow with the table. ``chars`` bounds what is learned from one text, as
+    a mean of a few hundred subwords is what the model sees of most texts.
+    """
+    labelled = docs.filter(
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+    )
     order = F.xxhash64(F.lit(SEED), "doc_id")
+    share = min(1.0, DRAWN * rows / max(labelled.count(), 1))
+    low = F.shiftrightunsigned(order, 33) < F.lit(int(share * (1 << 31)))
     from_ = F.pmod(order, F.greatest(F.char_length("text") - chars, F.lit(1))).cast("int") + 1
     drawn = (
-        docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~held_out(), F.lit(False)))
+        labelled.filter(low)
         .select(order.alias("order"), "doc_id", "lang", F.substring("text", from_, F.lit(chars)).alias("text"))
         .orderBy("order", "doc_id", "lang", "text")
         .limit(rows)

@@ -77,6 +77,53 @@ def test_top_k_huge_components_and_repeated_rows(spark):
     assert found[(100, 3, 3)] == 1024 * 512 + 1024 * 256
 
 
+def brute_top_k(rows, k=10):
+    """Every row but those of the query's id; equal rows once."""
+    rows = sorted({(i, tuple(x)) for i, x in rows})
+    ints = lambda x: [int(np.floor(1024 * v)) for v in x]
+    want = []
+    for i, x in rows:
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(ints(x), ints(y), strict=True)), j) for j, y in rows if j != i)
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("cell_rows, query_block, block", [(40, 2, 25), (8, 1000, 1000), (4096, 3, 50)])
+def test_top_k_is_exact_over_many_cells(spark, cell_rows, query_block, block):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(9, 24))
+    rows = [(i, (centres[i % 9] + rng.normal(scale=0.2, size=24)).round(3).tolist()) for i in range(900)]
+    rows += [(i, rows[0][1]) for i in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, df.filter("vec_id % 100 = 0"), 10, query_block, block, cell_rows).collect()
+    assert sorted(map(tuple, found)) == brute_top_k(rows)
+
+
+def test_top_k_takes_every_vector_of_a_repeated_id(spark):
+    rows = [(0, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, df.filter("vec_id % 100 = 0")).collect()
+    assert sorted(map(tuple, found)) == brute_top_k(rows)
+    assert sum(r.query_id == 0 and r.vec_id == 2 for r in found) == 2
+
+
+def test_cells_and_levels_rule_out_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(13)
+    x = np.floor(1024 * (np.repeat(rng.normal(size=(20, 64)), 200, axis=0) + rng.normal(scale=0.2, size=(4000, 64))))
+    cells = topk_search.Cells([*x[::100]])
+    near, apart = cells.nearest(x)
+    np.maximum.at(cells.radius, near, apart)
+    np.add.at(cells.rows, near, 1)
+    numbers, bound = cells.bounds(x[::100])
+    scores = x[::100] @ x.T
+    kth = np.sort(scores, axis=1)[:, -10]
+    held = np.stack([np.where(near == n, scores, -np.inf).max(axis=1) for n in numbers], axis=1)
+    assert (bound >= held).all() and (bound < kth[:, None]).mean() > 0.5
+    _, left = topk_search.search(np.arange(40), x[::100], kth, np.arange(100, 4100), x, 10)
+    assert (np.diff(left) <= 0).all() and left[-1] < 0.2 * left[0]
+
+
 def test_top_k_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.top_k(df, df).collect() == []

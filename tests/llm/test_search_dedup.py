@@ -162,6 +162,48 @@ def test_near_vectors_recall_at_the_threshold():
     assert hit.mean() > 0.95
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0, 0.0], 0), (6, [1.0, 0.1, 0.0, 0.0], 0), (7, [0.1, 1.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0, 0.0], 0)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False)]
+
+
+@pytest.fixture(scope="module")
+def near_pairs():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return x, 0.9301 * x + np.sqrt(1 - 0.9301**2) * side
+
+
+def test_near_vectors_in_tables_of_cells(spark, near_pairs):
+    """Many cells and tables: every pair counts once, and pairs at the threshold are found."""
+    x = np.concatenate(near_pairs)
+    x = np.concatenate([x, x[:1] + np.random.default_rng(15).normal(scale=0.01, size=(300, 64))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, cell_rows=100, chunk=256).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert embedding_dedup.sizes_of_tables(len(x), 0.93, 100)[0] >= 5
+    got = np.array([found[i] for i in range(len(x))])
+    assert (got <= want).all() and got.sum() > 0.97 * want.sum() and got[1:1500].sum() > 0.95 * want[1:1500].sum()
+
+
+@pytest.mark.parametrize("rows", [10**5, 10**6, 10**8])
+def test_tables_of_cells_keep_recall_and_size(near_pairs, rows):
+    depth, tables = embedding_dedup.sizes_of_tables(rows, 0.93)
+    x, y = near_pairs
+    a, b = (embedding_dedup.cells(v, depth, tables, 42) for v in (x, y))
+    assert (a == b).any(axis=1).mean() > 0.98
+    # Random vectors that meet one in its cells, as if there were so many rows.
+    met = (a[:750, None] == a[None, 750:]).mean(axis=(0, 1)).sum() * rows
+    assert met < 4 * tables * embedding_dedup.CELL_ROWS and tables < 64
+
+
 def test_near_vectors_empty(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
 

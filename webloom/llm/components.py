@@ -40,3 +40,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return stars.select("node", F.col("other").alias("component"))
         stars, seen = checkpointed(_small_star(_large_star(stars))), mark
+
+
+def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): for each of (node, least) the smallest ``least`` of the nodes that edges (a, b) reach."""
+    found = connected_components(edges)
+    rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rooted.join(least, "root").select("node", "component")

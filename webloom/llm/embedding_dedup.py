@@ -6,9 +6,13 @@ are normal with a known deviation, so the share of collisions is known too, and
 count a pair must reach is the largest that such pairs reach with the wanted recall.
 Pairs that reach it are verified by their exact cosine.
 
-The first line also partitions: it is cut into cells as wide as its window, so a
-partner lies in the same or the next cell. Within a block of a cell both sides are
-sorted by that line, and only the run of rows inside the window is counted.
+Pairs are looked for in cells. A label of a few thousand vectors is one cell. The vectors of a larger
+one go to several tables; a cell of a table is a run of CELL_WIDTH on each of ``depth``
+lines of that table, with a seeded offset. The depth grows with the logarithm of the
+label, so cells keep their size, and the tables are as many as pairs at the threshold
+need to share a cell in one of them with the wanted recall. A pair that shares several
+cells counts in the first. Within a block of a cell both sides are sorted by one line,
+and only the run of rows inside its window is counted.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.blocks import Forest, in_blocks
-from webloom.llm.components import connected_components
+from webloom.llm.components import least_reachable
 from webloom.llm.runtime import checkpointed
 
 COSINE, LINES, RECALL, SEED, CHUNK = 0.93, 32, 0.99, 42, 2048
 #: Half widths of the windows, in deviations of a pair at the threshold: of the first line, of the others.
 FIRST, WINDOW = 2.81, 1.34
+#: Vectors that a cell aims at, width of a cell on a line in deviations of all vectors, tables at most, recall of the tables.
+CELL_ROWS, CELL_WIDTH, TABLES, TABLE_RECALL = 8192, 2.0, 64, 0.995
 
 
 def wanted_count(lines: int = LINES, recall: float = RECALL) -> int:
@@ -52,21 +58,59 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
-def _celled(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
-    """classes with ``cell``, the place on the first line."""
-    width = FIRST * math.sqrt(2 - 2 * cosine)
+def sizes_of_tables(rows: int, cosine: float, cell_rows: int = CELL_ROWS) -> tuple[int, int]:
+    """Lines of a cell and tables for a label of so many vectors."""
+    # Differences of two vectors on a line: normal with deviation sqrt(2), and apart at the threshold.
+    alone, near = (_share(d) for d in (math.sqrt(2), math.sqrt(2 - 2 * cosine)))
+    depth = max(0, math.ceil(math.log(max(rows, 1) / cell_rows) / -math.log(alone)))
+    tables = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth))) if depth else 1
+    while tables > TABLES:
+        depth -= 1
+        tables = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth))) if depth else 1
+    return depth, tables
+
+
+def _share(deviation: float) -> float:
+    """How often two places whose difference is normal fall in one run of CELL_WIDTH with a random offset."""
+    w = CELL_WIDTH / deviation
+    return math.erf(w / math.sqrt(2)) - 2 / (w * math.sqrt(2 * math.pi)) * (1 - math.exp(-w * w / 2))
+
+
+def cells(x: np.ndarray, depth: int, tables: int, seed: int) -> np.ndarray:
+    """The cell of each row of x in each table."""
+    if not depth:
+        return np.zeros((len(x), 1), np.int64)
+    rng = np.random.default_rng(seed + 1)
+    out = np.zeros((len(x), tables), np.uint64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for table in range(tables):
+        lines, offset = rng.standard_normal((x.shape[1], depth)), rng.random(depth)
+        for place in np.floor(unit @ lines / CELL_WIDTH + offset).astype(np.int64).T:
+            out[:, table] = (out[:, table] ^ place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out[:, table] ^= out[:, table] >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _celled(classes: DataFrame, cosine: float, seed: int, cell_rows: int) -> DataFrame:
+    """classes, which have ``rows`` of their label, once for each table, with ``depth``, ``table`` and ``at``, the cell."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                first = _projected(_vectors(part.column("embedding")), seed)[:, 0]
-                cell = pa.array(np.floor(first / width).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, cell], [*part.schema.names, "cell"])
-
-    kinds = "label long, size long, embedding array<double>, node long, copies long, cell long"
-    return classes.mapInArrow(place, kinds)
+            kinds, kind = np.unique(
+                np.stack([batch.column(c).to_numpy() for c in ("size", "rows")], axis=1), axis=0, return_inverse=True
+            )
+            for i, (_, rows) in enumerate(kinds):
+                part = batch.filter(pa.array(kind.ravel() == i)).drop_columns(["rows"])
+                depth, tables = sizes_of_tables(int(rows), cosine, cell_rows)
+                at = cells(_vectors(part.column("embedding")), depth, tables, seed)
+                for table in range(tables):
+                    more = [np.full(part.num_rows, v) for v in (depth, table)] + [at[:, table]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, *map(pa.array, more)], [*part.schema.names, "depth", "table", "at"]
+                    )
+
+    kinds = "label long, size long, embedding array<double>, node long, copies long, depth long, table long, at long"
+    return classes.select("label", "size", "embedding", "node", "copies", "rows").mapInArrow(place, kinds)
 
 
 def _matcher(cosine: float, seed: int):
@@ -76,7 +120,9 @@ def _matcher(cosine: float, seed: int):
     def match(table: pa.Table) -> pa.Table:
         x = _vectors(table.column("embedding"))
         norm, on = np.linalg.norm(x, axis=1), _projected(x, seed).astype(np.float32)
-        node, copies, home = (table.column(c).to_numpy() for c in ("node", "copies", "home"))
+        node, copies = (table.column(c).to_numpy() for c in ("node", "copies"))
+        depth, number = (table.column(c)[0].as_py() for c in ("depth", "table"))
+        before = cells(x, depth, number, seed) if number else None
         own, lo, hi = (table.column(c).to_numpy() for c in ("own", "lo", "hi"))
         same = lo[0] == hi[0]
         left, right = ((s := np.flatnonzero(own == end))[np.argsort(on[s, 0])] for end in (lo, hi))
@@ -93,11 +139,13 @@ def _matcher(cosine: float, seed: int):
             for line in range(1, 1 + LINES):
                 count += np.abs(on[rows, line][:, None] - on[others, line]) <= WINDOW * apart
             near = (count >= wanted) & (np.abs(reach[:, None] - on[others, 0]) <= FIRST * apart)
-            near &= home[rows][:, None] | home[others]
             near &= rows[:, None] < others if same else rows[:, None] != others
             if not near.any():
                 continue
             near &= x[rows] @ x[others].T / (norm[rows][:, None] * norm[others]) >= cosine
+            if before is not None:  # pairs that share a cell of an earlier table count there
+                i, j = np.nonzero(near)
+                near[i, j] = (before[rows[i]] != before[others[j]]).all(axis=1)
             links[rows] += near @ copies[others]
             links[others] += copies[rows] @ near
             for i in np.flatnonzero(near.any(axis=1)):
@@ -116,7 +164,9 @@ def _matcher(cosine: float, seed: int):
     return match
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, cosine: float = COSINE, seed: int = SEED, chunk: int = CHUNK, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
     Rows of one label link at a cosine of ``cosine`` or more in double precision.
@@ -124,9 +174,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED, c
     vector that is null, empty, all zero or holds a null or a component that is not
     finite links with nothing, and so does a row with a null label or vec_id (whose
     component is null; it is not kept). Vectors of unequal lengths do not link. A
-    repeated row is another vector. An empty table gives no rows; other columns are
-    ignored. No pair below the threshold is linked; one at it is found with
-    probability RECALL times that of the first window (0.995), closer ones more surely.
+    repeated row is another vector, and so is another vector under a repeated vec_id.
+    An empty table gives no rows; other columns are ignored. No pair below the threshold
+    is linked; one at it is found with probability RECALL times that of the first window
+    (0.995) and, in labels of more than ``cell_rows`` classes, TABLE_RECALL; closer ones
+    more surely.
     """
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -138,35 +190,30 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED, c
         F.when(usable, x).alias("embedding"),
     )
     usable_rows = rows.filter("embedding IS NOT NULL")
+    # A class is numbered, as several can have one least vec_id; the checkpoint fixes the numbers.
     classes = checkpointed(
         usable_rows.groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-        .select("label", F.size("embedding").cast("long").alias("size"), "embedding", "node", "copies")
-    )
-    celled = _celled(classes, cosine, seed)
-    places = F.array(
-        F.struct(F.col("cell").alias("at"), F.lit(True).alias("home")),
-        F.struct((F.col("cell") - 1).alias("at"), F.lit(False).alias("home")),
-    )
-    dealt = celled.withColumn("place", F.explode(places)).select(
-        "label", "size", "place.at", "place.home", "node", "copies", "embedding"
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .select("label", F.size("embedding").cast("long").alias("size"), "embedding", "least", "copies")
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    # "at" holds the rows of a cell and, as guests, those of the next.
+    in_label = classes.groupBy("label").agg(F.count("*").alias("rows"))
+    celled = _celled(classes.join(in_label, "label"), cosine, seed, cell_rows)
     found = checkpointed(
-        in_blocks(dealt, ["label", "size", "at"], "node", chunk).applyInArrow(
+        in_blocks(celled, ["label", "size", "depth", "table", "at"], "node", chunk).applyInArrow(
             _matcher(cosine, seed), "a long, b long, n long"
         )
     )
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    component = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
+    component = least_reachable(classes.select("node", "least"), found.filter("b IS NOT NULL").select("a", "b"))
     told = (
         classes.join(links, "node", "left")
-        .join(component, "node", "left")
+        .join(component, "node")
         .select(
             "label",
             "embedding",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-            F.coalesce("component", "node").alias("component"),
+            "component",
         )
     )
     return rows.join(told, ["label", "embedding"], "left").select(

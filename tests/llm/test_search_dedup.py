@@ -243,6 +243,42 @@ def test_linked_fingerprints_equal_brute_force(spark, shard):
     assert [found.get(i * 3, i * 3) for i in range(len(prints))] == [c * 3 for c in component]
 
 
+@pytest.mark.parametrize("spoil", [0, 0xFFFFFFFF])
+def test_large_shards_get_trees_of_their_own(spark, spoil):
+    """A sample of 64 gives few shards; spoil: one of the halves is equal in all fingerprints."""
+    rng = np.random.default_rng(16)
+    prints = rng.integers(0, 2**63, 1500).astype(np.uint64) & ~np.uint64(spoil)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(np.arange(32 if spoil else 0, 64), rng.integers(1, 5), replace=False)) for _ in range(600)], np.uint64)
+    prints = np.unique(np.concatenate([prints, prints[:600] ^ flips]))
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints.view(np.int64))], "node long, fingerprint long")
+    held = simhash_dedup.in_shards(df, shard=40, sample=64).cache()
+    homes = held.filter("home").groupBy("tree", "node").count()
+    assert homes.count() == 2 * len(prints) and homes.filter("count > 1").isEmpty()
+    rows = held.filter("home AND tree = 1").groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert rows <= 160
+    found = dict(map(tuple, connected_components(simhash_dedup.linked(df, shard=40, sample=64)).collect()))
+    close = np.bitwise_count(prints[:, None] ^ prints) <= 3
+    component = union(len(prints), [(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < j])
+    assert [found.get(i, i) for i in range(len(prints))] == component
+
+
+def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
+    a, b = ("".join(f"{x}{i} " for i in range(300)) for x in "ab")
+    rows = [(5, a), (5, b), (6, a.upper()), (7, b.upper()), (5, b)]
+    found = simhash_dedup.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False)]
+    kept = simhash_dedup.one_of_each(spark.createDataFrame([*rows, (None, a), (None, a), (8, "other")], "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(5, a), (5, b), (None, a), (8, "other")]))
+    assert simhash_dedup.one_of_each(kept.filter("false")).collect() == []
+
+
+def test_fingerprint_in_slices(monkeypatch):
+    text = "Éa b\tc " * 500 + "x" * 300 + " end"
+    monkeypatch.setattr(simhash_dedup, "SLICE", 50)
+    assert simhash_dedup.fingerprint(text) == plain_fingerprint(text)
+    assert simhash_dedup.fingerprint(" " * 500 + "one two") == plain_fingerprint("one two")
+
+
 def test_simhash_groups(spark):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(5, long), (9, long + " tail"), (2, "quite another text of a few words"), (7, None), (8, ""), (3, "  "), (None, long), (9, long + " tail")]

@@ -43,8 +43,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): for each of (node, least) the smallest ``least`` of the nodes that edges (a, b) reach."""
+    """(node, root, component): for each of (node, least) its component's least node and smallest ``least``.
+
+    Nodes are linked by edges (a, b); a node without one is its own root.
+    """
     found = connected_components(edges)
     rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(least, "root").select("node", "component")
+    return rooted.join(least, "root").select("node", "root", "component")

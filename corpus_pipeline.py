@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import language_id, mixing, simhash_dedup
 from webloom.llm.queries import packed_pieces
-from webloom.llm.runtime import checkpointed, read_table, shared_dir
+from webloom.llm.runtime import read_table, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; of repeated rows one."""
-    kept = checkpointed(simhash_dedup.simhash_groups(docs).filter("kept").groupBy("doc_id").count())
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if kept.filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        return left
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    return simhash_dedup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

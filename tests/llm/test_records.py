@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,34 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(df.filter("false")).collect() == []
 
 
+@pytest.mark.parametrize("alternate", [True, False])
+def test_chats_of_many_turns(spark, alternate):
+    """20,000 turns take time in proportion to their number."""
+    n = 20_000
+    df = spark.range(n).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when((F.col("id") % 2 == 0) & F.lit(alternate), "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("text <|im_end|> "), F.col("id")).alias("text"),
+    )
+    began = time.monotonic()
+    r = chat_format.format_chats(df).select(
+        F.size(chat_format.read_turns(F.col("formatted"))).alias("n"),
+        chat_format.read_loss_text(F.col("formatted"), F.col("mask")).alias("loss"),
+        F.aggregate("mask", F.lit(0), lambda total, run: total + run["chars"]).alias("chars"),
+        F.char_length("formatted").alias("length"),
+    ).first()
+    assert time.monotonic() - began < 15
+    assert r.n == n and r.chars == r.length
+    assert r.loss == "".join(f"text <|im_end|> {i}" for i in range(n) if i % 2 or not alternate)
+
+
+def test_a_mask_of_another_string_is_an_error(spark):
+    df = spark.createDataFrame(CHATS[:4], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="not that of the string"):
+        chat_format.format_chats(df).select(chat_format.read_loss_text(F.concat(F.lit("<|im_start|>x\nq<|im_sep|>"), "formatted"), F.col("mask"))).collect()
+
+
 def test_shards(documents):
     rows, df = documents
     found = sharding.shard_records(df, 8, bucket_bytes=5_000).collect()

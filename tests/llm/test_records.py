@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webloom.llm import chat_format, mixing, packing, sharding, token_counts, word_tokens
+from webloom.llm import chat_format, copies, mixing, packing, sharding, token_counts, word_tokens
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long"
 PATH = token_counts.tokenizer_path()
@@ -171,6 +171,28 @@ def test_shards(documents):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.3
 
 
+def test_shards_of_one_row_that_stands_very_often(spark):
+    """100,000 equal rows are split over the buckets, in the same numbers in each run."""
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 40).alias("text"))
+    rest = spark.range(100, 20_100).select(F.col("id").alias("doc_id"), F.lit("y" * 40).alias("text"))
+    df = hot.unionByName(rest)
+    split = copies.split_copies(df, F.lit(41), 20_000)
+    portions = split.portions.select("copies").collect()
+    assert sum(r.copies for r in portions) == 100_000 and max(r.copies for r in portions) <= 20_000 // 41
+    assert split.rare.count() == 20_000
+    found = sharding.shard_records(df, 8, bucket_bytes=160_000)
+    sizes = {r.shard: (r.n, r.hot, r.slots) for r in found.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") == 7).alias("hot"), F.countDistinct("slot").alias("slots")).collect()}
+    assert [sizes[i][0] for i in range(8)] == [15_000] * 8 == [sizes[i][2] for i in range(8)]
+    assert all(10_000 < hot < 14_500 for _, hot, _ in sizes.values())
+    again = sharding.shard_records(df.repartition(3), 8, bucket_bytes=160_000)
+    assert found.exceptAll(again).isEmpty()
+
+
+def test_buckets_of_shards_are_partitions(spark, documents):
+    plan = sharding.shard_records(documents[1], 8, bucket_bytes=5_000)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_shards_of_few_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "doc_id long, text string")
     assert sorted((r.shard, r.slot) for r in sharding.shard_records(df, 8).collect()) == [(0, 0), (1, 0), (2, 0)]

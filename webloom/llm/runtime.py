@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.runtime import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "read_table", "shared_dir"]
+__all__ = ["checkpointed", "read_table", "shared_dir", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder: computed once, without its lineage, and of a size that Spark knows."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

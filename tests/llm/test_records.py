@@ -91,6 +91,34 @@ def test_mixed_documents(documents):
     assert got == +want
 
 
+def test_mix_of_one_row_that_stands_very_often(spark, monkeypatch):
+    """Equal rows are split over shards; slim units and whole rows are mixed alike."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    monkeypatch.setattr(mixing, "GROUPS", 4)
+    rows = [(7, "a b c d e", "s1")] * 1000 + [(i, "w " * (i % 9), f"s{i % 2}") for i in range(1000)] + [(None, "x y z", None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt, sources, plan = mixing._planned(df, 42, 16)
+    held = dealt.groupBy("number", "group", "shard").agg(F.sum("copies").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert held[0] < 200 and held[1] > 30
+    found = mixing.mix_sources(df).collect()
+    assert len(found) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in found)
+    taken, size, target = Counter(), Counter(), {}
+    for r in found:
+        taken[r.source] += r.taken
+        size[r.source] += r["size"]
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 16 for s in target) and [target[s] for s in ("s0", "s1", None)] == mixing.share_targets([size[s] for s in ("s0", "s1", None)], [1, 2, 3])
+    want = Counter(map(str, map(tuple, found)))
+    assert want == Counter(map(str, map(tuple, mixing.mix_sources(df.repartition(7)).collect())))
+    got = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[r.doc_id] += n_words(r.text)
+    every = Counter()
+    for r in found:
+        every[r.doc_id] += r.taken
+    assert got == +every
+
+
 def test_mix_empty(documents):
     assert mixing.mix_sources(documents[1].filter("false")).collect() == []
 

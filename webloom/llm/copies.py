@@ -18,8 +18,8 @@ from webloom.llm.runtime import checkpointed, written
 
 @dataclass(frozen=True)
 class Split:
-    """``sums``: key, copies and weight of each key, a hash of the columns; ``rare``: the rows of light
-    keys with their key; ``portions``: the rest, a row for each portion, with key, part and copies."""
+    """``sums``: key, copies and weight of each key, a hash of the columns; ``rare``: key and row, a
+    struct, for the rows of light keys; ``portions``: key, row, part, copies for each portion of the others."""
 
     sums: DataFrame
     rare: DataFrame
@@ -32,18 +32,19 @@ def split_copies(rows: DataFrame, weight: Column, most: int) -> Split:
     ``weight`` is that of one row. At most (weight of all rows / most) keys are heavy;
     their table is written, so Spark knows its size when it plans the joins.
     """
-    columns = rows.columns
-    keyed = rows.withColumn("key", F.xxhash64(*columns))
-    sums = checkpointed(
-        keyed.groupBy("key").agg(F.count("*").alias("copies"), F.sum(weight.cast("long")).alias("weight"))
-    )
+    row = F.struct(*rows.columns)
+    keyed = rows.select(F.xxhash64(*rows.columns).alias("key"), weight.cast("long").alias("weight"), row.alias("row"))
+    sums = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("copies"), F.sum("weight").alias("weight")))
     heavy = written(sums.filter(F.col("weight") > most).select("key"))
-    one = F.greatest(F.floor(F.lit(most) / weight), F.lit(1))
-    counted = keyed.join(heavy, "key", "left_semi").groupBy("key", *columns).agg(F.count("*").alias("total"))
+    one = F.greatest(F.floor(F.lit(most) / F.col("weight")), F.lit(1))
+    last = F.floor((F.col("total") - 1) / F.col("one"))
     portions = (
-        counted.withColumn("one", one)
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("one")))))
+        keyed.join(heavy, "key", "left_semi")
+        .groupBy("key", "row", "weight")
+        .agg(F.count("*").alias("total"))
+        .withColumn("one", one)
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .withColumn("copies", F.least("one", F.col("total") - F.col("part") * F.col("one")))
-        .select(*columns, "key", "part", "copies")
+        .select("key", "row", "part", "copies")
     )
-    return Split(sums, keyed.join(heavy, "key", "left_anti").select(*columns, "key"), written(portions))
+    return Split(sums, keyed.join(heavy, "key", "left_anti").select("key", "row"), written(portions))

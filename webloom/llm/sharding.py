@@ -48,8 +48,8 @@ def shard_records(docs: DataFrame, n_shards: int = 8, seed: int = 42, bucket_byt
 
     none, heavy = F.lit(0).cast("long"), split.portions.select("key").distinct()
     light = split.sums.join(heavy, "key", "left_anti").select(bucket(none), "copies")
-    scattered = split.rare.select(bucket(none), "doc_id", "text", F.lit(1).cast("long").alias("copies"))
-    portions = split.portions.select(bucket(F.col("part")), "doc_id", "text", "copies")
+    scattered = split.rare.select(bucket(none), "row.*", F.lit(1).cast("long").alias("copies"))
+    portions = split.portions.select(bucket(F.col("part")), "row.*", "copies")
 
     # One row a bucket: its place in the order of all records. Written, so that its size decides how it is joined.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
 import zlib
@@ -292,6 +293,37 @@ def test_packing(documents, tokenizer):
     assert packing.pack_documents(df.filter("false"), PATH).collect() == []
 
 
+def test_packing_of_one_document_that_stands_very_often(spark, tokenizer, monkeypatch):
+    """100,000 equal rows are packed in many shards, each of bounded size."""
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("thanea in the über").alias("text"))
+    rest = spark.range(100, 300).select(F.col("id").alias("doc_id"), F.concat(F.lit("tail of "), F.col("id").cast("string")).alias("text"))
+    found = packing.pack_documents(hot.unionByName(rest), PATH, shard_bytes=500_000)
+    n = len(tokenizer.encode("thanea in the über", add_special_tokens=False).ids) + 1
+    by = found.groupBy(F.shiftright("sequence_id", 32)).agg(F.sum("length").alias("ids")).collect()
+    assert len(by) > 10 and max(r.ids for r in by) < n * 2 * 500_000 / 80
+    held = found.filter("doc_id = 7").groupBy("start", "length").count().collect()
+    covered = Counter()
+    for r in held:
+        for i in range(r.start, r.start + r.length):
+            covered[i] += r["count"]
+    assert covered == {i: 100_000 for i in range(n)}
+
+
+def test_files_with_other_rules_are_encoded_by_the_library(spark, tokenizer, tmp_path):
+    rules = json.loads(open(PATH, encoding="utf-8").read())
+    rules["pre_tokenizer"]["pretokenizers"][0]["behavior"] = "Isolated"
+    rules["pre_tokenizer"]["pretokenizers"][0]["invert"] = False
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(rules, f)
+    library, texts = Tokenizer.from_file(other), ["a b, c1", "", "it's <|endoftext|> x"]
+    encoder = word_tokens.WordEncoder(other)
+    assert not encoder.known and word_tokens.WordEncoder(PATH).known
+    assert [list(x) for x in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    found = token_counts.token_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), other)
+    assert [r.n_tokens for r in sorted(found.collect())] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_bm25_equals_its_formula():
     docs = [np.array(x) for x in ([1, 2, 2, 3], [2, 4], [5, 5, 1], [6, 7, 8, 9], [6, 2], [10, 11, 12])]
     index = packing.Bm25(docs)

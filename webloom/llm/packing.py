@@ -5,7 +5,8 @@ of it, its rest, is packed with others. Document frequencies and the mean length
 the rests of all documents. Rests are dealt to shards of bounded size by a lexical key:
 of a rest's terms of most BM25 weight, the first two in one fixed order. Rests that
 share such terms therefore stand in one shard or, where a key holds more than a shard,
-in shards of that key alone. Small groups share a shard.
+in shards of that key alone. Small groups share a shard. A document that stands so often
+that its copies would overfill a shard is dealt in portions.
 
 A BM25 inverted index covers the rests of a shard. The longest unused rest becomes a seed; the index ranks the
 other unused rests by the seed's terms, and they fill the seed's window in that order:
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import word_tokens
+from webloom.llm.copies import split_copies
 from webloom.llm.runtime import checkpointed
 from webloom.runtime import spread
 
@@ -33,6 +35,7 @@ WINDOW, END_ID, SHARD_BYTES = 2048, 1, 4 << 20
 K1, B = 1.2, 0.75
 #: Terms of a rest that weigh this share of its heaviest one can be its key; bits of a term in a key; steps of the salt.
 HEAVY, TERM_BITS, SALTS = 0.7, 31, 1 << 20
+ENCODED = "doc_id long, ids binary, size long, terms binary, times binary, n long"
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padding long"
 )
@@ -158,43 +161,68 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterat
             at = end
 
 
-def encoded(docs: DataFrame, path: str, kind: str) -> DataFrame:
-    """doc_id, ids (of numpy's kind, END_ID last) and size in bytes of text, of (doc_id, text)."""
+def encoded(docs: DataFrame, path: str, kind: str, window: int) -> DataFrame:
+    """doc_id, ids (of numpy's kind, END_ID last), size in bytes of text, and terms, times and n of the rest.
+
+    ``terms`` are the distinct ids of the rest and ``times`` how often they stand there, so
+    that they are found once; ``n`` is the length of the rest.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_tokens.encoder(path), np.array([END_ID], kind)
         for batch in slices(batches):
             parts: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for at, texts in word_tokens.batches(x.as_py() for x in batch.column("text")):
-                for i, ids in zip(at, encoder.ids(texts), strict=True):
+            texts = (x.as_py() for x in batch.column("text"))
+            for at, pieces in word_tokens.batches(texts, split=encoder.known):
+                for i, ids in zip(at, encoder.ids(pieces), strict=True):
                     parts[i].append(ids)
-            ids = pa.array([np.concatenate([*p, end]).astype(kind).tobytes() for p in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), ids, batch.column("size")], ["doc_id", "ids", "size"]
-            )
+            ids = [np.concatenate([*p, end]).astype(kind) for p in parts]
+            row, term, times, n = rest_terms([x[len(x) // window * window :] for x in ids])
+            ends = np.searchsorted(row, np.arange(len(ids)), "right")
+            columns = [
+                pa.array([x.tobytes() for x in ids], pa.binary()),
+                batch.column("size"),
+                _binaries(term.astype(kind), ends),
+                _binaries(times.astype("<u4"), ends),
+                pa.array(n),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in ENCODED.split(", ")])
 
     text = F.coalesce("text", F.lit(""))
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
     sized = rows.withColumn("size", (F.octet_length("text") + 64).cast("long"))
-    return checkpointed(sized.mapInArrow(encode, "doc_id long, ids binary, size long"))
+    return checkpointed(sized.mapInArrow(encode, ENCODED))
+
 
+def _binaries(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of runs of flat, as binary values."""
+    offsets = (np.concatenate([[0], ends]) * flat.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
 
-def rest_terms(ids: pa.Array, kind: str, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and its count for the distinct terms of each row's rest, and the lengths of the rests."""
-    rests = [(own := np.frombuffer(x.as_buffer(), kind))[len(own) // window * window :] for x in ids]
+
+def rest_terms(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and its count for the distinct terms of each rest, and the lengths of the rests."""
     lengths = np.array([len(r) for r in rests], np.int64)
     flat = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
-    cell, tf = np.unique((np.repeat(np.arange(len(rests)), lengths) << 32) | flat, return_counts=True)
-    return cell >> 32, cell & 0xFFFFFFFF, tf, lengths
+    cell, times = np.unique((np.repeat(np.arange(len(rests)), lengths) << 32) | flat, return_counts=True)
+    return cell >> 32, cell & 0xFFFFFFFF, times, lengths
+
+
+def _held_terms(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rest_terms of encoded rows."""
+    terms, times = (batch.column(c).cast(pa.large_binary()) for c in ("terms", "times"))
+    each = np.diff(np.frombuffer(times.buffers()[1], np.int64)[times.offset : times.offset + len(times) + 1]) // 4
+    flat = [np.frombuffer(b"".join(c.to_pylist()), k).astype(np.int64) for c, k in ((terms, kind), (times, "<u4"))]
+    return np.repeat(np.arange(len(each)), each), *flat, batch.column("n").to_numpy()
 
 
-def rest_stats(rows: DataFrame, kind: str, window: int) -> Stats:
+def rest_stats(rows: DataFrame, kind: str) -> Stats:
     """The statistics of all rests; the driver gets a row for each term of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            _, term, _, lengths = rest_terms(batch.column("ids"), kind, window)
+            _, term, _, lengths = _held_terms(batch, kind)
             more = np.bincount(term, minlength=len(df))
             more[: len(df)] += df
             df, n, total = more, n + int((lengths > 0).sum()), total + int(lengths.sum())
@@ -204,24 +232,24 @@ def rest_stats(rows: DataFrame, kind: str, window: int) -> Stats:
             ["term", "n"],
         )
 
-    found = rows.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r.term: r.n for r in found.collect()}
+    counted = rows.select("terms", "times", "n").mapInArrow(count, "term long, n long")
+    counts = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total, n = counts.pop(-2, 0), counts.pop(-1, 0)
     df = np.zeros(max(counts, default=0) + 1, np.int64)
     df[[*counts]] = [*counts.values()]
     return Stats(n, df, total / max(n, 1))
 
 
-def lexical_keys(ids: pa.Array, stats: Stats, kind: str, window: int) -> np.ndarray:
-    """A key for each row: its first two heavy terms in a fixed order; 0 without a useful term.
+def lexical_keys(batch: pa.RecordBatch, stats: Stats, kind: str) -> np.ndarray:
+    """A key for each encoded row: its first two heavy terms in a fixed order; 0 without a useful term.
 
     Two rests choose the same first term as likely as their heavy terms overlap, as the
     order of terms has nothing to do with their weights.
     """
-    row, term, tf, lengths = rest_terms(ids, kind, window)
+    row, term, tf, lengths = _held_terms(batch, kind)
     keep = stats.useful(term)
     row, term, tf = row[keep], term[keep], tf[keep]
-    weight, most = stats.weight(term, tf, lengths[row]), np.zeros(len(ids))
+    weight, most = stats.weight(term, tf, lengths[row]), np.zeros(len(lengths))
     np.maximum.at(most, row, weight)
     heavy = weight >= HEAVY * most[row]
     row, code = row[heavy], (term[heavy] * 0x9E3779B1 & ((1 << TERM_BITS) - 1)) | 1 << TERM_BITS
@@ -229,7 +257,7 @@ def lexical_keys(ids: pa.Array, stats: Stats, kind: str, window: int) -> np.ndar
     row, code = row[order], code[order]
     begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
     second = np.minimum(begins + 1, max(len(row) - 1, 0))
-    keys = np.zeros(len(ids), np.int64)
+    keys = np.zeros(len(lengths), np.int64)
     low = np.where(row[second] == row[begins], code[second] & ((1 << TERM_BITS) - 1), 0)
     keys[row[begins]] = (code[begins] & ((1 << TERM_BITS) - 1)) << TERM_BITS | low
     return keys
@@ -282,28 +310,31 @@ def pack_documents(
     about ``shard_bytes`` of text, twice that at most, or one longer document.
     """
     kind = "<u2" if word_tokens.encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-    rows = encoded(docs, path, kind)
-    stats = rest_stats(rows, kind, window)
+    rows = encoded(docs, path, kind, window)
+    stats = rest_stats(rows, kind)
+    split = split_copies(rows, F.col("size"), shard_bytes // 4)
+    alone = split.rare.withColumns({"part": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    salt = F.pmod(F.xxhash64(F.lit(seed), "key", "part"), F.lit(SALTS)).alias("salt")
+    units = alone.unionByName(split.portions).select("row.*", "copies", salt)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array(lexical_keys(batch.column("ids"), stats, kind, window))
-            yield pa.RecordBatch.from_arrays([keys, batch.column("size")], ["key", "bytes"])
+            keys = pa.array(lexical_keys(batch, stats, kind))
+            yield pa.RecordBatch.from_arrays([keys, batch.column("bytes")], ["key", "bytes"])
 
-    keys, first, spans = shard_places(
-        rows.select("ids", "size").mapInArrow(keyed, "key long, bytes long"), shard_bytes
-    )
+    weighed = units.select("terms", "times", "n", (F.col("size") * F.col("copies")).alias("bytes"))
+    keys, first, spans = shard_places(weighed.mapInArrow(keyed, "key long, bytes long"), shard_bytes)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(keys, lexical_keys(batch.column("ids"), stats, kind, window), "right") - 1
+            at = np.searchsorted(keys, lexical_keys(batch, stats, kind), "right") - 1
             place = first[at] + spans[at] * batch.column("salt").to_numpy() // SALTS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place // shard_bytes), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"]
-            )
+            kept = ["doc_id", "ids", "copies"]
+            yield pa.RecordBatch.from_arrays([pa.array(place // shard_bytes), *batch.select(kept).columns], ["shard", *kept])
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        table = table.take(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy()))
         doc_ids = table.column("doc_id").to_pylist()
         ids = [np.frombuffer(x.as_buffer(), kind).astype("<u4") for x in table.column("ids")]
         out: list[tuple] = []
@@ -319,6 +350,5 @@ def pack_documents(
         kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    salt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids"), F.lit(SALTS))
-    placed = rows.select("doc_id", "ids", salt.alias("salt")).mapInArrow(dealt, "shard long, doc_id long, ids binary")
+    placed = units.drop("size").mapInArrow(dealt, "shard long, doc_id long, ids binary, copies long")
     return placed.groupBy("shard").applyInArrow(pack, SCHEMA)

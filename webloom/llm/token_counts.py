@@ -27,8 +27,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     Counts are those of the tokenizers library for the file at ``path`` without special
     tokens, truncation or padding; special strings in a text count as the library takes
     them. A null or empty text has 0 bytes and tokens. Batches are balanced by bytes
-    and a long text is split at white space, where no token can cross, so memory does
-    not follow a text. Null and repeated ids give a row each; other columns are
+    and, if the file's rules allow it, a long text is split at white space, where no token can
+    cross, so memory does not follow a text; otherwise whole texts are encoded. Null and repeated ids give a row each; other columns are
     ignored; an empty table gives no rows.
     """
 
@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         encoder = word_tokens.encoder(path)
         for batch in batches:
             n_tokens = np.zeros(batch.num_rows, np.int64)
-            for rows, texts in word_tokens.batches(x.as_py() for x in batch.column("text")):
+            for rows, texts in word_tokens.batches((x.as_py() for x in batch.column("text")), split=encoder.known):
                 np.add.at(n_tokens, rows, encoder.counts(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n_tokens)], ["doc_id", "n_bytes", "n_tokens"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 import zlib
 
 import numpy as np
@@ -125,6 +127,32 @@ def test_words_and_links_decide_in_and_beside_containers(page, text):
     assert html_extract.main_text(f"<body>{page}</body>", TREE).split("\n\n") == text
 
 
+HEAD, FOOT = "<nav><a href=/>Home</a></nav>", "<div class='sidebar'><p>Latest news of all kinds</p></div><footer>c 2020</footer>"
+
+
+@pytest.mark.parametrize("wrapper", ["<form action=/x>", "<div class='layout has-sidebar'>", "<div class='header-fixed'>", "<div class='page social'>", "<div id=with-comments>", "<fieldset>"])
+@pytest.mark.parametrize("article", ["<article>", "<main>", "<div role=main>", "<div>"])
+def test_a_container_of_the_whole_page_is_no_boilerplate(wrapper, article):
+    tags = [re.match(r"<(\w+)", x)[1] for x in (wrapper, article)]
+    page = f"<body>{wrapper}{HEAD}{article}<h1>My title</h1><p>{FULL}</p><p>{TWICE}</p></{tags[1]}>{FOOT}</{tags[0]}></body>"
+    assert html_extract.main_text(page, TREE).split("\n\n") == ["My title", FULL, TWICE]
+
+
+def test_reader_comments_are_left_out_however_long():
+    many = "".join(f"<article class=comment><p>{FULL}</p></article>" for _ in range(9))
+    for section in ("<section id=comments>", "<div class='comment-list'>", "<div>"):
+        page = f"<body><article><h1>My title</h1><p>{TWICE}</p></article>{section}{many}</{section[1:4].replace('sec', 'section')}></body>"
+        assert html_extract.main_text(page, TREE) == f"My title\n\n{TWICE}"
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=content>", "<div class=c{}>", "<form>", "<b>"])
+def test_deep_pages_take_time_in_proportion(tag):
+    page = "".join(tag.format(i) for i in range(20_000)) + f"<p>{FULL}</p>" + "</i></x>" * 20_000
+    began = time.monotonic()
+    assert html_extract.main_text(page, TREE) == FULL
+    assert time.monotonic() - began < 3
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

@@ -2,8 +2,12 @@
 
 A page is cut into text blocks at its block-level tags. A block has the word count and
 link density of itself and of the blocks before and after it, and grades for the
-containers it stands in: sure by their tags or roles, likely by their names alone. A decision tree, grown on the small labelled table below,
-tells the blocks of the article from the rest.
+containers it stands in: sure by their tags or roles, likely by their names alone. Names,
+forms and headers say nothing if the container holds the page's article or most of its
+words, as many pages wrap all they have in one. A decision tree, grown on the small
+labelled table below, tells the blocks of the article from the rest.
+
+Time and memory are in proportion to a page's length, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import product
 
 import numpy as np
@@ -26,7 +31,9 @@ BLOCK_TAGS = frozenset(
     " option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 DROPPED = frozenset("script style noscript template svg math iframe object canvas head audio video textarea title".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog select button search fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog select button search".split())
+#: Tags that can wrap the whole page, too.
+WRAPPERS = frozenset("form fieldset header".split())
 BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog status".split()
 )
@@ -42,11 +49,12 @@ BOILERPLATE_WORDS = frozenset(
 )
 #: Of these the words that name sections of an article, too; words and links decide there.
 MAYBE_BOILERPLATE = frozenset("alert warning notice notices discussion feedback legal disclaimer social search follow register".split())
+#: Words that name the readers' part of a page, also on an article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: Words that name the article's own head inside it, and elements that never are boilerplate as a whole.
 IN_ARTICLE = frozenset("header head banner masthead text".split())
 WHOLE = frozenset("html body article main".split())
 CONTENT_WORDS = frozenset("article content post entry story main maincontent articlebody body text hentry".split())
-NOWHERE = ("", 0.0, False, frozenset())
 
 FEATURES = "before_words before_links words links after_words after_links boilerplate content page_has_content heading"
 #: Words and link density of typical neighbours and blocks.
@@ -74,6 +82,11 @@ WITHOUT = (
     (4, 1.0, 5, 0.0, 4, 1.0, 0, 0, 0),
     (3, 1.0, 4, 0.0, 2, 0.8, 0, 1, 0),
     (2, 1.0, 8, 0.0, 55, 0.0, 0, 1, 1),
+    (1, 1.0, 2, 0.0, 100, 0.0, 0, 1, 1),
+    (0, 0.0, 2, 0.0, 40, 0.0, 0, 0, 0),
+    (1, 1.0, 3, 0.0, 100, 0.0, 0, 0, 0),
+    (3, 0.5, 2, 0.0, 40, 0.1, 0, 1, 1),
+    (5, 1.0, 2, 0.0, 6, 0.6, 0, 1, 0),
     (2, 1.0, 60, 0.0, 70, 0.05, 0, 0, 1),
     (60, 0.0, 45, 0.1, 80, 0.0, 0, 0, 1),
     (70, 0.0, 5, 0.0, 60, 0.0, 0, 1, 1),
@@ -153,25 +166,85 @@ def tree_score(tree, row: tuple) -> float:
     return tree
 
 
-def _container(tag: str, attrs: str, in_content: bool) -> tuple[float, bool, str]:
-    """An element's grade as boilerplate, whether it surely is the content, and its name if that says so."""
+@dataclass(frozen=True)
+class _Container:
+    """What an element says of the blocks inside it, from tag, role and name.
+
+    ``parent`` is the place of the container around it. ``never``: no article is inside;
+    ``doubt``: likely none, by this grade; ``sure``: it is an article; ``name``: its name if it has a word of content.
+    """
+
+    parent: int
+    never: bool
+    doubt: float
+    comments: bool
+    sure: bool
+    name: str
+
+
+def _container(parent: int, tag: str, attrs: str, in_content: bool) -> _Container | None:
+    """The container that an element is, if its tag or attributes say anything."""
     found = attributes(attrs) if attrs else {}
     role = found.get("role", "").lower()
     name = f"{found.get('class', '')} {found.get('id', '')}" if found else ""
     named = {w.lower() for w in _WORDS.findall(name)}
-    unwanted = named & (BOILERPLATE_WORDS - IN_ARTICLE if in_content else BOILERPLATE_WORDS) if tag not in WHOLE else set()
-    boilerplate = 0.5 if unwanted else 0.0
-    if (
-        tag in BOILERPLATE_TAGS
-        or (tag == "header" and not in_content)
-        or role in BOILERPLATE_ROLES
-        or "hidden" in found
-        or unwanted - MAYBE_BOILERPLATE
-    ):
-        boilerplate = 1.0
-    if boilerplate or tag in ("html", "body"):
-        return boilerplate, False, ""
-    return 0.0, tag in ("article", "main") or role in ("main", "article"), found.get("class", name) if named & CONTENT_WORDS else ""
+    comments = bool(named & COMMENT_WORDS) and tag not in ("html", "body")
+    unwanted = named & (BOILERPLATE_WORDS - IN_ARTICLE if in_content else BOILERPLATE_WORDS)
+    if tag in WHOLE:
+        unwanted = named & COMMENT_WORDS if comments else set()
+    never = tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or "hidden" in found
+    wrapper = tag in WRAPPERS and not (tag == "header" and in_content)
+    doubt = 1.0 if wrapper or unwanted - MAYBE_BOILERPLATE else 0.5 if unwanted else 0.0
+    sure = not never and not doubt and (tag in ("article", "main") or role in ("main", "article"))
+    content = "" if never or doubt or tag in ("html", "body") or not named & CONTENT_WORDS else found.get("class", name)
+    return _Container(parent, never, doubt, comments, sure, content) if never or doubt or sure or content else None
+
+
+def _around(i: int, containers: list[_Container]) -> Iterator[int]:
+    """A container and all around it."""
+    while i >= 0:
+        yield i
+        i = containers[i].parent
+
+
+def _held(at: list[tuple[int, float]], containers: list[_Container]) -> list[float]:
+    """The words inside each container, of (container, words) of blocks."""
+    held = [0.0] * len(containers)
+    for i, words in at:
+        if i >= 0:
+            held[i] += words
+    for i in reversed(range(len(containers))):
+        if containers[i].parent >= 0:
+            held[containers[i].parent] += held[i]
+    return held
+
+
+def _grades(at: list[tuple[int, float]], containers: list[_Container]) -> list[tuple[float, float]]:
+    """Grades as boilerplate and as content of each container, from the (container, words not in links) of blocks."""
+    n, held = len(containers), _held(at, containers)
+    never: list[bool] = []
+    for c in containers:
+        never.append(c.never or (c.parent >= 0 and never[c.parent]))
+    total = sum(words for i, words in at if i < 0 or not never[i])
+    articles = [i for i in range(n) if containers[i].sure and not never[i] and held[i]]
+    article = max(articles, key=lambda i: held[i], default=-1)
+    around = set(_around(article, containers))
+    boilerplate: list[float] = []
+    for i, c in enumerate(containers):
+        most = 2 * held[i] > total and (article < 0 or (held[article] < held[i] and not c.comments))
+        own = 1.0 if c.never else 0.0 if most or i in around else c.doubt
+        boilerplate.append(max(own, boilerplate[c.parent] if c.parent >= 0 else 0.0))
+    kept = [(i, words) for i, words in at if i < 0 or boilerplate[i] < 1]
+    held, named = _held(kept, containers), Counter()
+    for i, c in enumerate(containers):
+        if c.name:
+            named[c.name] += held[i]
+    likely = {name for name, words in named.items() if 2 * words > sum(w for _, w in kept)}
+    content: list[float] = []
+    for c in containers:
+        own = 1.0 if c.sure else 0.5 if c.name in likely else 0.0
+        content.append(max(own, content[c.parent] if c.parent >= 0 else 0.0))
+    return list(zip(boilerplate, content, strict=True))
 
 
 def blocks(source: str) -> list[tuple[str, int, float, float, float, bool]]:
@@ -180,29 +253,51 @@ def blocks(source: str) -> list[tuple[str, int, float, float, float, bool]]:
     Content is 1 in an article or main element, and 0.5 in containers that have such a
     name and, all of one class together, most of the page's words.
     """
-    out: list[tuple[str, int, float, float, float, bool]] = []
-    stack: list[tuple[str, float, bool, frozenset[str]]] = []  # open elements: tag, boilerplate, content, names of content
-    inside: list[frozenset[str]] = []
+    found: list[tuple[str, int, float, int, bool]] = []  # text, words, link density, container, heading
+    containers: list[_Container] = []
+    stack: list[tuple[str, int, bool]] = []  # open elements: tag, container, whether it is in content
+    open_: Counter[str] = Counter()  # their tags, and the names of content around
     parts: list[str] = []
-    linked = links = dropped = 0
-    heading = False
+    linked = dropped = headings = 0
 
     def flush() -> None:
         nonlocal linked
         words = " ".join(decoded("".join(parts)).split())
         if words:
             n = words.count(" ") + 1
-            at = stack[-1] if stack else NOWHERE
-            out.append((words, n, min(1.0, linked / n), at[1], float(at[2]), heading))
-            inside.append(at[3])
+            found.append((words, n, min(1.0, linked / n), stack[-1][1] if stack else -1, headings > 0))
         parts.clear()
         linked = 0
 
+    def pop() -> None:
+        nonlocal dropped, headings
+        tag, own, _ = stack.pop()
+        open_[tag] -= 1
+        dropped -= tag in DROPPED
+        headings -= tag in HEADINGS
+        if own >= 0 and containers[own].name and (not stack or stack[-1][1] != own):
+            open_[f"name {containers[own].name}"] -= 1
+
+    def push(tag: str, attrs: str) -> None:
+        nonlocal dropped, headings
+        _, around, in_content = stack[-1] if stack else ("", -1, False)
+        own = _container(around, tag, attrs, in_content) if attrs or tag in BLOCK_TAGS else None
+        if own and own.name and open_[f"name {own.name}"]:  # inside another of that name, which counts its words
+            own = replace(own, name="") if own.never or own.doubt or own.sure else None
+        if own:
+            containers.append(own)
+            around, in_content = len(containers) - 1, in_content or own.sure or bool(own.name)
+            open_[f"name {own.name}"] += bool(own.name)
+        stack.append((tag, around, in_content))
+        open_[tag] += 1
+        dropped += tag in DROPPED
+        headings += tag in HEADINGS
+
     for kind, name, attrs in scan(source):
         if kind in ("text", "cdata"):
             if not dropped and kind == "text":
                 parts.append(name)
-                if links:
+                if open_["a"]:
                     linked += len(name.split())
             continue
         tag = name.lower()
@@ -211,34 +306,22 @@ def blocks(source: str) -> list[tuple[str, int, float, float, float, bool]]:
         elif tag == "br" and not dropped:
             parts.append(" ")
         if kind == "close":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0:
-                for gone, *_ in stack[at:]:
-                    dropped -= gone in DROPPED
-                    links -= gone == "a"
-                del stack[at:]
+            if open_[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         elif tag == "body":
-            # A body ends the head even if its end tag is missing.
-            stack = [x for x in stack if x[0] not in DROPPED]
-            dropped = links = 0
-            stack.append((tag, _container(tag, attrs, False)[0], False, frozenset()))
+            # A body ends the head, and links in it, even if their end tags are missing.
+            while open_["a"] or dropped:
+                pop()
+            push(tag, attrs)
         elif kind == "open" and tag not in VOID:
             if tag in BLOCK_TAGS and stack and stack[-1][0] == "p":
-                stack.pop()
-            _, boilerplate, content, names = stack[-1] if stack else NOWHERE
-            own = _container(tag, attrs, content or bool(names)) if attrs or tag in BLOCK_TAGS else (0.0, False, "")
-            stack.append((tag, max(boilerplate, own[0]), content or own[1], names | {own[2]} if own[2] else names))
-            dropped += tag in DROPPED
-            links += tag == "a"
-        heading = any(x[0] in HEADINGS for x in stack)
+                pop()
+            push(tag, attrs)
     flush()
-    total, held = 0, Counter()
-    for block, names in zip(out, inside, strict=True):
-        if block[3] < 1:
-            total += block[1]
-            held.update(dict.fromkeys(names, block[1]))
-    most = {name for name, words in held.items() if 2 * words > total}
-    return [(*b[:4], b[4] or (0.5 if names & most else 0.0), b[5]) for b, names in zip(out, inside, strict=True)]
+    grades = _grades([(i, n * (1 - links)) for _, n, links, i, _ in found], containers) + [(0.0, 0.0)]
+    return [(text, n, links, *grades[i], heading) for text, n, links, i, heading in found]
 
 
 def main_text(source: str | None, tree) -> str:

@@ -313,15 +313,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     reruns agree. Of rows that are equal in all columns one stays. Rows whose doc_id is
     null belong to no group. Nothing else is dropped; an empty table gives no rows.
     """
-    row = F.xxhash64(*docs.columns)
-    marked = docs.withColumn("_row", row)
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
     prints = checkpointed(fingerprints(marked, "_row"))
     named = prints.filter("doc_id IS NOT NULL").join(_grouped(prints), "fingerprint")
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first.*")
     stay = first.unionByName(prints.filter("doc_id IS NULL").select("doc_id", "_row").distinct())
-    once = marked.dropDuplicates(["doc_id", "_row"])
-    same = once["doc_id"].cast("long").eqNullSafe(stay["doc_id"]) & (once["_row"] == stay["_row"])
-    return once.join(stay, same, "left_semi").select(*docs.columns)
+    # The hash tells a null id from 0, so both can be one key, and one shuffle serves both steps.
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    once = marked.withColumns(keys).dropDuplicates(["_id", "_row"])
+    return once.join(stay.withColumns(keys).select("_id", "_row"), ["_id", "_row"], "left_semi").select(*docs.columns)
 
 
 def _hex(number: Column) -> Column:

@@ -130,3 +130,12 @@ def rate_limit_key(url: Column) -> Column:
 
 def robots_url(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), netloc(url), F.lit("/robots.txt"))
+
+
+def handle_id(url: Column, prefixes: list[str]) -> Column:
+    """The id of a stored document that a URL with one of the prefixes names, up to the next slash; null for others."""
+    found = F.lit(None).cast("string")
+    for prefix in reversed(prefixes):
+        rest = F.trim(F.substring_index(F.substr(url, F.lit(len(prefix) + 1)), "/", 1))
+        found = F.when(url.startswith(prefix), F.nullif(rest, F.lit(""))).otherwise(found)
+    return found

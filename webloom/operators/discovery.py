@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import operator
 import re
+import warnings
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,31 +17,63 @@ from webloom.functions import urls
 from webloom.operators.links import extract_links
 from webloom.runtime import checkpointed
 
-#: Patterns longer than this, or with a repeated group inside a repeated group, can take Java's matcher forever.
+#: Patterns longer than this, or with a repeated group, can take Java's matcher, which goes back, forever.
 LONGEST_PATTERN = 500
-_NESTED_REPEAT = re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
+_REPEATED_GROUP = re.compile(r"\)[+*{]")
 
 
-def usable_patterns(patterns: list[str] | None) -> list[str]:
-    """The patterns that compile and can't run away; the others are left out."""
+def _compiled(patterns: list[str] | None) -> list[str]:
+    """The patterns that are regular expressions; for the others there is a warning."""
     kept = []
     for pattern in patterns or []:
         try:
             re.compile(pattern)
-        except re.error:
-            continue
-        if len(pattern) <= LONGEST_PATTERN and not _NESTED_REPEAT.search(pattern):
             kept.append(pattern)
+        except re.error as e:
+            warnings.warn(f"not a regular expression: {pattern!r} ({e})", stacklevel=3)
     return kept
 
 
+def usable_patterns(patterns: list[str] | None) -> list[str]:
+    """The patterns that Java's matcher can't run away with."""
+    return [p for p in _compiled(patterns) if len(p) <= LONGEST_PATTERN and not _REPEATED_GROUP.search(p)]
+
+
+def _any_match(path: Column, patterns: list[str]) -> Column:
+    """Whether a path has a match of any pattern. Patterns that Java could run away with are matched in linear time.
+
+    The linear matcher knows neither references nor looking around; a pattern that needs
+    both that and a repeated group is an error, not left out.
+    """
+    plain = usable_patterns(patterns)
+    linear = [p for p in patterns if p not in plain]
+    for pattern in linear:
+        try:
+            pc.match_substring_regex(pa.array([""]), pattern)
+        except pa.ArrowInvalid as e:
+            raise ValueError(f"{pattern!r} can't be matched in linear time: {e}") from e
+
+    @F.arrow_udf("boolean")
+    def matches(paths: pa.Array) -> pa.Array:
+        found = pc.match_substring_regex(paths, linear[0])
+        for pattern in linear[1:]:
+            found = pc.or_(found, pc.match_substring_regex(paths, pattern))
+        return found
+
+    hits = [path.rlike("|".join(f"(?:{p})" for p in plain))] if plain else []
+    return reduce(operator.or_, [*hits, *([matches(path)] if linear else [])])
+
+
 def matches_patterns(url: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
-    """Whether a URL's path has a match of any include pattern and of no exclude pattern; no pattern lets all pass."""
+    """Whether a URL's path has a match of any include pattern and of no exclude pattern; no pattern lets all pass.
+
+    What isn't a regular expression is left out with a warning; all other patterns hold.
+    """
     path, out = urls.path(url), F.lit(True)
-    if inc := usable_patterns(include):
-        out = out & path.rlike("|".join(f"(?:{p})" for p in inc))
-    if exc := usable_patterns(exclude):
-        out = out & ~path.rlike("|".join(f"(?:{p})" for p in exc))
+    if inc := _compiled(include):
+        out = out & _any_match(path, inc)
+    if exc := _compiled(exclude):
+        out = out & ~_any_match(path, exc)
     return out
 
 
@@ -75,6 +113,15 @@ def discover_urls(
     return once
 
 
+def discovery_counts(found: DataFrame) -> DataFrame:
+    """sitemap_count, page_link_count, total of discovered URLs."""
+    return found.agg(
+        F.count_if(F.col("source") == "sitemap").alias("sitemap_count"),
+        F.count_if(F.col("source") == "page_link").alias("page_link_count"),
+        F.count("*").alias("total"),
+    )
+
+
 def crawl(
     pages: DataFrame,
     start: DataFrame,
@@ -85,26 +132,29 @@ def crawl(
 ) -> DataFrame:
     """url, page_id, depth, status: pages (page_id, url, html) reached from start (url) over internal links.
 
-    URLs are compared without query, fragment and trailing slash. A URL without a
-    recorded page is an error row. Levels are joins against the recorded pages, cut
-    from their lineage by checkpoints; ``max_pages`` keeps the first pages by level and URL.
+    URLs are compared without query, fragment and trailing slash; of several pages with
+    one URL that of the least page_id counts. A URL without a recorded page is an error
+    row. Levels are joins against the recorded pages, cut from their lineage by
+    checkpoints. With ``max_pages`` the crawl stops at so many URLs, by level and URL.
+    Pages are parsed where they are read; only keys and edges are shuffled.
     """
-    known = checkpointed(
-        pages.withColumn("key", urls.crawl_key(F.col("url"))).groupBy("key").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p"))
-        .select("key", "p.*")
-    )
-    links = extract_links(known.select("page_id", "url", "html")).filter("is_internal AND link_type NOT IN ('anchor')")
+    keyed = pages.withColumn("key", urls.crawl_key(F.col("url")))
+    known = checkpointed(keyed.groupBy("key").agg(F.min("page_id").alias("page_id")))
+    links = extract_links(pages.select("page_id", "url", "html")).filter("is_internal AND link_type NOT IN ('anchor')")
     edges = checkpointed(
         links.filter(F.col("url").rlike("^https?://") & matches_patterns(F.col("url"), include, exclude))
         .select("page_id", urls.crawl_key(F.col("url")).alias("to"))
         .distinct()
     )
     frontier = checkpointed(start.select(urls.crawl_key(F.col("url")).alias("key")).distinct())
-    seen, levels = frontier, []
+    seen, levels, left = frontier, [], max_pages
     for depth in range(max_depth + 1):
-        level = frontier.join(known.select("key", "page_id"), "key", "left")
+        if left is not None:
+            frontier = checkpointed(frontier.orderBy("key").limit(left))
+            left -= frontier.count()
+        level = frontier.join(known, "key", "left")
         levels.append(level.withColumn("depth", F.lit(depth)))
-        if depth == max_depth:
+        if depth == max_depth or left == 0:
             break
         reached = level.join(edges, "page_id").select(F.col("to").alias("key")).distinct()
         frontier = checkpointed(reached.join(seen, "key", "left_anti"))
@@ -114,8 +164,7 @@ def crawl(
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    out = out.select(F.col("key").alias("url"), "page_id", "depth", F.when(F.col("page_id").isNull(), "error").otherwise("crawled").alias("status"))
-    return out if max_pages is None else out.orderBy("depth", "url").limit(max_pages)
+    return out.select(F.col("key").alias("url"), "page_id", "depth", F.when(F.col("page_id").isNull(), "error").otherwise("crawled").alias("status"))
 
 
 def crawl_summary(crawled: DataFrame) -> DataFrame:
@@ -132,12 +181,20 @@ def batch_outcomes(wanted: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def redirect_targets(redirects: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
-    """url, target, hops of start (url) through redirects (source, target); more hops than ``most`` give a null target."""
-    state = start.select("url", F.col("url").alias("target"), F.lit(0).alias("hops"))
-    for _ in range(most + 1):
-        step = state.join(redirects.select(F.col("source").alias("_from"), F.col("target").alias("_to")), F.col("target") == F.col("_from"), "left")
-        state = step.select("url", F.coalesce("_to", "target").alias("target"), (F.col("hops") + F.col("_to").isNotNull().cast("int")).alias("hops"))
-    return state.withColumn("target", F.when(F.col("hops") <= most, F.col("target")))
+    """url, target, hops of start (url) through redirects (source, target); more hops than ``most`` give a null target.
+
+    ``hops`` is ``most + 1`` at most. Each round joins the table of redirects with itself and
+    doubles the hops that a row stands for, so a few rounds serve chains of any start.
+    """
+    jumps = checkpointed(redirects.select("source", "target", F.lit(1).alias("hops")))
+    for _ in range(math.ceil(math.log2(most + 1))):
+        further = jumps.select(F.col("source").alias("_from"), F.col("target").alias("_to"), F.col("hops").alias("_more"))
+        joined = jumps.join(further, F.col("target") == F.col("_from"), "left")
+        hops = F.least(F.col("hops") + F.coalesce("_more", F.lit(0)), F.lit(most + 1))
+        jumps = checkpointed(joined.select("source", F.coalesce("_to", "target").alias("target"), hops.alias("hops")))
+    found = start.join(jumps.withColumnRenamed("source", "url"), "url", "left")
+    hops = F.coalesce("hops", F.lit(0))
+    return found.select("url", F.when(hops <= most, F.coalesce("target", "url")).alias("target"), hops.alias("hops"))
 
 
 def correlate(log: DataFrame) -> DataFrame:

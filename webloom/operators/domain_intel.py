@@ -203,6 +203,12 @@ def parse_whois(docs: DataFrame) -> DataFrame:
     )
 
 
+def whois_referral(body: Column) -> Column:
+    """The registrar's WHOIS server that a record refers to; null if there is none or it is a web address."""
+    server = F.regexp_replace(F.regexp_extract(body, r"(?i)registrar whois server:\s*(\S+)", 1), r"\.+$", "")
+    return F.when((server != "") & ~server.contains("://"), server)
+
+
 #: Fixed patterns of service banners, in the order in which they are tried: service, confidence, pattern.
 BANNERS = (
     ("ssh", 0.95, r"^SSH-(?<protocol>\d+\.\d+)-(?<product>[^\s_]+)(?:[_\s](?<version>\S+))?"),

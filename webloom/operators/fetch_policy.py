@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,18 +88,36 @@ CLOSED_NETWORKS = (
 
 def in_network(address: Column, network: str, prefix: int) -> Column:
     first = sum(int(p) << s for p, s in zip(network.split("."), (24, 16, 8, 0), strict=True))
+    first -= first % (1 << (32 - prefix))
     return address.between(first, first + (1 << (32 - prefix)) - 1)
 
 
-def url_allowed(url: Column) -> Column:
-    """Whether a URL may be fetched: http or https to a host that isn't local or private."""
+def _listed(host: Column, address: Column, entries: list[str]) -> Column:
+    """Whether a host is an entry, ends with one that begins with a dot, or lies in an IPv4 network of one."""
+    hit = F.lit(False)
+    for entry in (e.strip().lower() for e in entries):
+        if m := re.fullmatch(r"(\d+(?:\.\d+){3})/(\d+)", entry):
+            hit = hit | F.coalesce(in_network(address, m[1], int(m[2])), F.lit(False))
+        elif entry.startswith("."):
+            hit = hit | host.endswith(entry)
+        elif entry:
+            hit = hit | (host == entry)
+    return hit
+
+
+def url_allowed(url: Column, allowed_hosts: list[str] | None = None) -> Column:
+    """Whether a URL may be fetched: http or https to a host that isn't local or private, or that is allowed.
+
+    ``allowed_hosts`` are hosts, suffixes (``.example.com``) and networks (``10.0.0.0/24``).
+    """
     host = F.lower(F.regexp_replace(F.regexp_replace(urls.netloc(url), "^.*@", ""), r":\d*$", ""))
     address = ipv4(host)
     closed = F.lit(False)
     for network, prefix in CLOSED_NETWORKS:
         closed = closed | in_network(address, network, prefix)
     named = host.isin("", "localhost", "metadata.google.internal") | host.rlike(r"\.(local|internal|localhost)$|^\[::1?\]$|^\[f[cde]")
-    return F.lower(urls.scheme(url)).isin("http", "https") & ~named & ~F.coalesce(closed, F.lit(False))
+    open_ = ~named & ~F.coalesce(closed, F.lit(False))
+    return F.lower(urls.scheme(url)).isin("http", "https") & (open_ | _listed(host, address, allowed_hosts or []))
 
 
 def robots_rules(docs: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def opengraph(pages: DataFrame) -> DataFrame:
     """page_id, key, content: the OpenGraph properties of pages, the last of each."""
     prop, content = F.coalesce(F.col("attrs")["property"], F.lit("")), F.col("attrs")["content"]
     rows = nodes(pages, ["meta"]).filter(prop.startswith("og:") & (content != ""))
-    return rows.groupBy("page_id", F.substring(prop, 4, 1000).alias("key")).agg(F.max_by(content, "nid").alias("content"))
+    return rows.groupBy("page_id", F.substr(prop, F.lit(4)).alias("key")).agg(F.max_by(content, "nid").alias("content"))
 
 
 def title_name(title: Column) -> Column:

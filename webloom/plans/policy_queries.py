@@ -90,7 +90,7 @@ def request_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recorded site: the page of customer k links to those of 2k and 2k + 1, some of which are missing."""
     k = F.col("c_custkey")
     html = text('<html><body><a href="/c/', 2 * k, '">a</a><a href="x/../../../c/', 2 * k + 1, '?x=1#y">b</a><a href="#top">t</a>',
@@ -101,7 +101,7 @@ def _tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([("https://www.site.example.com/c/1",)], "url string")
-    found = discovery.crawl(_tree_pages(spark, sf_dir), start, max_depth=5)
+    found = discovery.crawl(tree_pages(spark, sf_dir), start, max_depth=5)
     return found.withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
 
 
@@ -156,15 +156,22 @@ QUERIES = {
 }
 
 _STATUS = "[200, 301, 404, 429, 500, 503, 403, 204][c_custkey % 8 + 1]"
-_CRAWL = """WITH RECURSIVE b AS (
+
+
+def crawl_sql(max_depth: int) -> str:
+    """The crawl of tree_pages as the table c (url, page_id, depth, status)."""
+    return f"""WITH RECURSIVE b AS (
     SELECT 1::BIGINT AS k, 0 AS depth UNION ALL
-    SELECT 2 * b.k + i, depth + 1 FROM b JOIN customer ON c_custkey = b.k AND c_custkey % 13 <> 0, (VALUES (0), (1)) v(i) WHERE depth < 5
+    SELECT 2 * b.k + i, depth + 1 FROM b JOIN customer ON c_custkey = b.k AND c_custkey % 13 <> 0, (VALUES (0), (1)) v(i) WHERE depth < {max_depth}
 ), c AS (
     SELECT 'https://www.site.example.com/c/' || k AS url, coalesce(c_custkey, -1) AS page_id, depth,
         CASE WHEN c_custkey IS NULL THEN 'error' ELSE 'crawled' END AS status
     FROM b LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 13 <> 0) ON c_custkey = k
 )
 """
+
+
+_CRAWL = crawl_sql(5)
 SQL = {
     "status_taxonomy": f"""SELECT id, status, CASE WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server'
     WHEN status >= 400 THEN 'client' ELSE 'ok' END AS error_class, status IN (429, 500, 503) AS retryable
@@ -201,6 +208,16 @@ SQL = {
     f" AND NOT regexp_matches({part('url', 5)}, '\\.html$')",
     "captured_responses": """SELECT event_id AS id, ['document', 'xhr'][event_id % 4 + 1] AS resource_type, event_id * 977 % 2000000 AS content_length
     FROM events WHERE event_id % 3 = 0 AND event_id % 10 <> 0 AND event_id % 4 < 2 AND event_id * 977 % 2000000 <= 1048576""",
+    "request_correlation": """WITH RECURSIVE e AS (
+    SELECT event_id AS id, user_id, event_type, event_id % 3 = 0 AS closes,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events
+), f AS (
+    SELECT user_id, event_type, n, id, closes, CASE WHEN closes THEN [] ELSE [id] END AS opened, NULL::BIGINT AS request_id FROM e WHERE n = 1 UNION ALL
+    SELECT e.user_id, e.event_type, e.n, e.id, e.closes,
+        CASE WHEN e.closes THEN f.opened[:-2] ELSE list_append(f.opened, e.id) END, CASE WHEN e.closes THEN f.opened[-1] END
+    FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1
+) SELECT user_id AS session_id, count(*) AS responses, count(request_id) AS matched, sum(request_id)::BIGINT AS request_ids
+    FROM f WHERE closes GROUP BY user_id""",
     "crawl_bfs": _CRAWL + "SELECT * FROM c",
     "crawl_totals": _CRAWL + "SELECT count(*) AS discovered, count(*) FILTER (WHERE status = 'crawled') AS crawled,"
     " count(*) FILTER (WHERE status = 'error') AS errors FROM c",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where none is named, which is the case in
-    local tests and nowhere else.
+    A folder of our own is set only where none is named and driver and executors are one
+    machine; anywhere else it would be lost with an executor, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    context.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.markup import attributes, decoded, scan
-from webloom.runtime import spread
+from webloom.runtime import checkpointed, spread
 
 MOST_ITEMS, MOST_DESCRIPTION = 1000, 2000
 ITEMS = (
@@ -215,16 +215,43 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
 def resolve_sitemaps(files: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
     """Entries reached from the start files (url) through sitemap indexes, each file once.
 
-    One join a level, ``max_depth`` levels at most; a file that was seen is not read again.
+    Files are parsed once. One join a level, ``max_depth`` levels at most; a file that was
+    seen is not read again. Levels are cut from their lineage by checkpoints.
     """
-    entries = sitemap_entries(files)
-    frontier = start.select("url").distinct().withColumn("depth", F.lit(0))
-    seen, found = frontier, None
-    for depth in range(max_depth + 1):
-        level = frontier.join(entries, "url")
-        pages = level.filter(~F.col("is_index")).drop("is_index")
-        found = pages if found is None else found.unionByName(pages)
-        nested = level.filter("is_index").select(F.col("loc").alias("url")).distinct()
-        frontier = nested.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
-        seen = seen.unionByName(frontier)
-    return found
+    entries = checkpointed(sitemap_entries(files))
+    frontier = checkpointed(start.select("url").distinct().withColumn("depth", F.lit(0)))
+    reached = frontier
+    for depth in range(max_depth):
+        nested = frontier.join(entries.filter("is_index"), "url").select(F.col("loc").alias("url")).distinct()
+        frontier = checkpointed(nested.join(reached, "url", "left_anti").withColumn("depth", F.lit(depth + 1)))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return reached.join(entries.filter(~F.col("is_index")).drop("is_index"), "url")
+
+
+#: Where a sitemap is looked for if robots.txt names none, in this order.
+WELL_KNOWN = ("/sitemap.xml", "/sitemap_index.xml")
+
+
+def discover_sitemaps(domains: DataFrame, robots: DataFrame, files: DataFrame) -> DataFrame:
+    """domain, pos, url, source of the sitemaps of domains (domain): names or base URLs.
+
+    They are the Sitemap lines of robots (host, body) in their order, else the first well-known
+    place that files (url, body) have with a body that isn't blank.
+    """
+    named = F.col("domain").rlike("^https?://")
+    base = F.when(named, F.regexp_extract("domain", r"^(https?://[^/?#]*)", 1)).otherwise(F.concat(F.lit("https://"), "domain"))
+    asked = domains.select("domain").distinct().withColumn("base", base)
+    asked = asked.withColumn("host", F.lower(F.regexp_replace("base", "^https?://", "")))
+    lines = robots.select(F.lower("host").alias("host"), F.posexplode(F.split("body", "\r\n|[\r\n]")).alias("pos", "line"))
+    place = F.trim(F.regexp_extract(F.regexp_replace("line", "#.*$", ""), r"(?i)^\s*sitemap\s*:(.*)$", 1))
+    listed = lines.select("host", "pos", place.alias("url")).filter("url <> ''")
+    by_robots = asked.join(listed, "host").select("domain", "pos", "url", F.lit("robots").alias("source"))
+    tried = asked.join(listed, "host", "left_anti").select(
+        "domain", "base", F.posexplode(F.array(*map(F.lit, WELL_KNOWN))).alias("pos", "path")
+    )
+    there = files.filter(F.trim(F.coalesce("body", F.lit(""))) != "").select("url").distinct()
+    hits = tried.withColumn("url", F.concat("base", "path")).join(there, "url")
+    first = hits.groupBy("domain").agg(F.min(F.struct("pos", "url")).alias("first"))
+    return by_robots.unionByName(first.select("domain", "first.pos", "first.url", F.lit("well-known").alias("source")))

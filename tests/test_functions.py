@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import math
 
+import plain_blocks
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,22 +181,55 @@ def test_scanner():
     assert markup.attributes(" A='x&amp;y' b c=\"d\" a=2") == {"a": "x&y", "b": "", "c": "d"}
 
 
-def test_blocks():
+def test_blocks(spark):
     page = """<h1>T</h1><h7>x</h7><p>a <strong>b</strong> <a href="/l">c</a><a href="javascript:x()">d</a></p><p> </p><ol start=3><li>i<li>j<ul><li>k</ul></ol>
     <pre><code class="language-python">x = 1
 y</code></pre><blockquote><p>q</p></blockquote><hr><span class="sr-only">hid</span><dl><dt>t<dd>d</dl><a href="/vote?id=1">up</a>"""
-    found = blocks.page_blocks(page)
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    found = blocks.blocks(df).orderBy("block_idx").collect()
+    assert plain_blocks.page_blocks(page)[2]["md"] == "a **b** [c](/l)[d]()"
     assert [(b["node_type"], b["md"]) for b in found] == [
         ("Heading", "# T"), ("Paragraph", "x"), ("Paragraph", "a **b** [c](/l)[d]()"), ("ListItem", "3. i"), ("ListItem", "4. j"), ("ListItem", "  - k"),
         ("CodeBlock", "```python\nx = 1\ny\n```"), ("Paragraph", "> q"), ("ThematicBreak", "---"), ("DefinitionTerm", "t"), ("Definition", "d"),
     ]
 
 
-def test_cells():
-    found = blocks.page_cells("<table><tr><th>a<th colspan=2>b<tr><td>1<td>2<td>3</table>")
+def test_cells(spark):
+    page = "<table><tr><th>a<th colspan=2>b<tr><td>1<td>2<td>3</table>"
+    found = blocks.cells(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).orderBy("row", "col").collect()
     assert [(c["row"], c["col"], c["is_head"], c["text"]) for c in found] == [(0, 0, True, "a"), (0, 1, True, "b"), (1, 0, False, "1"), (1, 1, False, "2"), (1, 2, False, "3")]
 
 
+ODD_PAGES = [
+    "", None, "plain", "<p>a<b> b <i> c </i> </b>d<b></b><em> </em>", "<b>open <p>next</b> x<p><i>y", "<ol><li>a<ol start=5><li>b<p>c</ol><li>d</ol><li>alone",
+    "<blockquote><p>a<blockquote>b<br>c</blockquote>d</blockquote>e", "<pre class='lang-c'>\n x <b>y</b><br>z\n</pre><p>t", "<pre data-lang=r><code class=lang-c>q</code></pre>",
+    "<p>x<img src=a.png alt=A><img alt=none><img data-src=b><a href='JavaScript:y'>z</a><a>w</a>", "<hr><hr>a<hr>", "<div class='x noprint'>h<p>i</p></div>j<nav>k</nav>",
+    "<h2>a <a href='/x'><b> link </b></a> z</h2><dl><dt>t<dd>d<p>e</dl>", "<table><caption>c</caption><tr><td>a<p>b</table>after\u00a0\u2003x", "<a href='hide?id=1'>gone</a>kept<script>s</script>",
+    "<p>a<s>b</s><code> c </code><del>d", "<ul><li>a</li></ul><ul><li>b</li><li>c</li></ul><ol start=x><li>d</ol>",
+]
+
+
+@pytest.mark.parametrize("skip", [(), ("nav", "div")])
+def test_blocks_equal_a_plain_loop(spark, skip):
+    pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(ODD_PAGES)], "page_id long, url string, html string")
+    real = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url", "html")
+    pages = pages.unionByName(real)
+    fields = ("block_idx", "node_type", "depth", "list_type", "text", "md", "language")
+    want = [(r.page_id, *(b.get(f) for f in fields)) for r in pages.collect() for b in plain_blocks.page_blocks(r.html or "", frozenset(skip))]
+    found = [(r.page_id, *(r[f] for f in fields)) for r in blocks.blocks(pages, skip).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_cells_equal_a_plain_loop(spark):
+    tables = ["<table><thead><tr><td>a<td>b</thead><tr><th>c<td colspan=0>d<td>e</table>", "<table><tr><td><td> x <b>y</b></table><table><td>z</table>", "<p>none", None]
+    pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(tables)], "page_id long, url string, html string")
+    fields = ("table_idx", "row", "col", "is_head", "col_span", "text")
+    want = [(r.page_id, *(c[f] for f in fields)) for r in pages.collect() for c in plain_blocks.page_cells(r.html or "")]
+    assert sorted(map(str, want)) == sorted(str((r.page_id, *(r[f] for f in fields))) for r in blocks.cells(pages).collect())
+    nested = spark.createDataFrame([(1, "u", "<table><tr><td>a<table><tr><td>b</table>c<td>d</table>")], "page_id long, url string, html string")
+    assert sorted((r.table_idx, r.col, r.text) for r in blocks.cells(nested).collect()) == [(0, 0, "ac"), (0, 1, "d"), (1, 0, "b")]
+
+
 def test_scope_thresholds():
     assert [round(f(s), 3) for f in (readability.node_threshold, readability.refinement_ratio, readability.sibling_ratio) for s in (0, 0.5, 1)] == [0.72, 0.51, 0.3, 0.82, 0.71, 0.6, 0.42, 0.2, 0.05]
 

@@ -1,204 +1,244 @@
-"""Pages as rows of text blocks, with their markdown."""
+"""Pages as rows of text blocks, with their markdown.
 
-from __future__ import annotations
+The parser gives one row for each start tag, end tag and text. All that follows are
+running sums and last values over the rows of a page, which one shuffle brings together:
+how deep a row stands in hidden elements, lists, quotes and code, which block begins, and
+where a mark of emphasis opens and closes. A block is a group of rows.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
-from webloom.runtime import spread
-from webloom.sources.dom import parse
+from webloom.sources.dom import events
 
-SCHEMA = "page_id long, block_idx int, node_type string, depth int, list_type string, text string, md string, language string, uri string"
-CELLS = "page_id long, table_idx int, row int, col int, is_head boolean, col_span int, text string"
 #: Class names of parts that readers don't see, last path segments of action links, elements outside the text.
-HIDDEN = frozenset({"mw-editsection", "mw-jump-link", "sr-only", "visually-hidden", "noprint"})
-_ACTION = re.compile(r"(?:^|/)(?:vote|hide|flag|upvote)\?")
-_LANGUAGE = re.compile(r"(?:^|\s)(?:language-|lang-|highlight-)([\w+#.-]+)")
+HIDDEN = ("mw-editsection", "mw-jump-link", "sr-only", "visually-hidden", "noprint")
+ACTION, LANGUAGE = r"(?:^|/)(?:vote|hide|flag|upvote)\?", r"(?:^|\s)(?:language-|lang-|highlight-)([\w+#.-]+)"
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 LEAVES = {"p": "Paragraph", "li": "ListItem", "pre": "CodeBlock", "dt": "DefinitionTerm", "dd": "Definition", "figcaption": "Caption", "caption": "Caption", "td": "Cell", "th": "Cell"}
-BREAKS = frozenset("address article aside blockquote body div dl fieldset figure footer form header html main nav ol section table tbody thead tfoot tr ul".split())
+BREAKS = "address article aside blockquote body div dl fieldset figure footer form header html main nav ol section table tbody thead tfoot tr ul".split()
 MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "s": "~~", "del": "~~"}
+LISTS = ("ul", "ol")
+#: White space as it is for texts: that of Unicode and four control characters.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLOCK = "array<struct<node_type:string,depth:int,list_type:string,text:string,md:string,language:string>>"
+TOKENS = "array<struct<pos:int,place:int,n:int,md:string>>"
 
 
-def page_blocks(source: str, skip: frozenset[str] = frozenset()) -> list[dict]:
-    """The blocks of a page in order. Elements named in ``skip`` are left out with all they hold."""
-    events: list = []
-    parse(source, events)
-    out: list[dict] = []
-    text: list[str] = []
-    md: list[str] = []
-    marks: list[tuple[int, str]] = []
-    lists: list[list] = []
-    kinds: list[tuple[str, dict]] = []
-    quotes = hidden = 0
-    pre: dict | None = None
-
-    def emphasise() -> None:
-        """Close the innermost mark: white space moves out of it, and an empty one goes."""
-        start, mark = marks.pop()
-        inner = "".join(md[start:])
-        core = inner.strip()
-        if core:
-            lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
-            inner = f"{lead}{mark}{core}{mark}{tail}"
-        md[start:] = [inner]
-
-    def flush() -> None:
-        while marks:
-            emphasise()
-        raw, marked = "".join(text), "".join(md)
-        text.clear()
-        md.clear()
-        kind, extra = kinds[-1] if kinds else ("Paragraph", {})
-        if kind == "CodeBlock":
-            plain = marked = raw.strip("\n")
-        else:
-            plain, marked = " ".join(raw.split()), " ".join(marked.split())
-        if plain.strip() and kind != "Cell":
-            prefix = "> " * quotes
-            if kind == "Heading":
-                marked = "#" * extra["depth"] + " " + marked
-            elif kind == "ListItem":
-                number = f"{extra['number']}. " if extra["list_type"] == "ordered" else "- "
-                marked = "  " * (extra["depth"] - 1) + number + marked
-            elif kind == "CodeBlock":
-                marked = f"```{extra.get('language') or ''}\n{marked}\n```"
-            out.append({"node_type": kind, "text": plain, "md": prefix + marked, "block_idx": len(out)} | extra)
-
-    for what, value in events:
-        if what == "text":
-            if not hidden:
-                text.append(value)
-                md.append(value)
-            continue
-        tag, attrs = value["tag"], dict(value["attrs"])
-        href = attrs.get("href", "")
-        gone = value["skipped"] or tag in ("head", *skip) or (tag == "a" and bool(_ACTION.search(href)))
-        gone = gone or bool(HIDDEN & set(attrs.get("class", "").split()))
-        if what == "open":
-            if gone or hidden:
-                hidden += 1
-                continue
-            if tag in HEADINGS:
-                flush()
-                kinds.append(("Heading", {"depth": HEADINGS[tag]}))
-            elif tag in LEAVES:
-                flush()
-                extra: dict = {}
-                if tag == "li":
-                    if lists:
-                        lists[-1][1] += 1
-                    extra = {"depth": max(len(lists), 1), "list_type": lists[-1][0] if lists else "bullet", "number": lists[-1][1] if lists else 1}
-                if tag == "pre":
-                    pre = extra = {"language": attrs.get("data-lang") or (m[1] if (m := _LANGUAGE.search(attrs.get("class", ""))) else None)}
-                kinds.append((LEAVES[tag], extra))
-            elif tag in BREAKS:
-                flush()
-                if tag in ("ul", "ol"):
-                    lists.append(["ordered" if tag == "ol" else "bullet", int(attrs.get("start", "1")) - 1 if attrs.get("start", "1").isdigit() else 0])
-                quotes += tag == "blockquote"
-            elif tag == "hr":
-                flush()
-                out.append({"node_type": "ThematicBreak", "text": "", "md": "---", "block_idx": len(out)})
-            elif tag == "br":
-                text.append("\n" if pre is not None else " ")
-                md.append(" ")
-            elif tag == "img" and (src := attrs.get("data-src") or attrs.get("src")):
-                md.append(f"![{attrs.get('alt', '')}]({src})")
-            elif tag == "code" and pre is not None:
-                pre["language"] = pre.get("language") or (m[1] if (m := _LANGUAGE.search(attrs.get("class", ""))) else None)
-            elif tag in MARKS and pre is None:
-                marks.append((len(md), MARKS[tag]))
-            elif tag == "a" and href:
-                md.append("[")
-        else:
-            if hidden:
-                hidden -= 1
-                continue
-            if tag in HEADINGS or tag in LEAVES:
-                flush()
-                if kinds:
-                    kinds.pop()
-                pre = None if tag == "pre" else pre
-            elif tag in BREAKS:
-                flush()
-                if tag in ("ul", "ol") and lists:
-                    lists.pop()
-                quotes -= tag == "blockquote"
-            elif tag in MARKS and pre is None and marks:
-                emphasise()
-            elif tag == "a" and href:
-                safe = not re.match(rf"\s*({'|'.join(fixed.UNSAFE_SCHEMES)}):", href, re.IGNORECASE)
-                md.append(f"]({href})" if safe else "]()")
-    flush()
+def _named(tag: Column, names: dict) -> Column:
+    """The value of a tag in names; null if it has none."""
+    out = F.lit(None)
+    for name, value in names.items():
+        out = F.when(tag == name, F.lit(value)).otherwise(out)
     return out
 
 
-def page_cells(source: str) -> list[dict]:
-    """The cells of a page's tables; a row is a head row if it stands in thead or holds th only."""
-    events: list = []
-    parse(source, events)
-    out: list[dict] = []
-    tables: list[dict] = []
-    n_tables = 0
-    cell: list | None = None
-    for what, value in events:
-        if what == "text":
-            if cell is not None:
-                cell[1].append(value)
-            continue
-        tag = value["tag"]
-        if what == "open":
-            if tag == "table":
-                tables.append({"table_idx": n_tables, "row": -1, "head": False})
-                n_tables += 1
-            elif tables and tag == "thead":
-                tables[-1]["head"] = True
-            elif tables and tag == "tr":
-                tables[-1] |= {"row": tables[-1]["row"] + 1, "col": 0}
-            elif tables and tag in ("td", "th"):
-                span = dict(value["attrs"]).get("colspan", "1")
-                cell = [{"table_idx": tables[-1]["table_idx"], "row": max(tables[-1]["row"], 0), "col": tables[-1].get("col", 0), "is_head": tables[-1]["head"] or tag == "th", "col_span": int(span) if span.isdigit() and int(span) else 1}, []]
-        elif tables and tag in ("td", "th") and cell is not None:
-            out.append(cell[0] | {"text": " ".join("".join(cell[1]).split())})
-            tables[-1]["col"] = cell[0]["col"] + cell[0]["col_span"]
-            cell = None
-        elif tables and tag == "thead":
-            tables[-1]["head"] = False
-        elif tables and tag == "table":
-            tables.pop()
-    return out
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+
+
+def _collapsed(text: Column) -> Column:
+    """text with single spaces and none at its ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def _attr(name: str) -> Column:
+    return F.coalesce(F.col("attrs")[name], F.lit(""))
+
+
+def _language() -> Column:
+    return F.nullif(F.regexp_extract(_attr("class"), LANGUAGE, 1), F.lit(""))
 
 
-def _rows(pages: DataFrame, schema: str, make) -> DataFrame:
-    fields = [x.split() for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+OPEN, CLOSE = "kind = 'open'", "kind = 'close'"
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [{"page_id": page_id, "uri": url} | row for row in make(html or "")]
-            arrays = [pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields]
-            yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
-    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(parsed, schema)
+def _step(what: Column) -> Column:
+    """1 where an element of this kind opens, -1 where it closes."""
+    return F.when(F.expr(OPEN) & what, 1).when(F.expr(CLOSE) & what, -1).otherwise(0)
+
+
+def _lines(*by: str, backward: bool = False) -> Window:
+    """The rows of a document, or of parts of it, up to the present one."""
+    order = F.desc("pos") if backward else F.col("pos")
+    return Window.partitionBy("doc", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _visible(rows: DataFrame, skip: tuple[str, ...]) -> DataFrame:
+    """Rows outside of elements that are left out."""
+    tag = F.col("tag")
+    named = F.arrays_overlap(F.split(_attr("class"), f"{SPACE}+"), F.array(*map(F.lit, HIDDEN)))
+    gone = F.col("skipped") | tag.isin("head", *skip) | ((tag == "a") & _attr("href").rlike(ACTION)) | named
+    marked = rows.withColumn("gone", F.coalesce(gone, F.lit(False)))
+    hidden = F.sum(_step(F.col("gone"))).over(_lines()) + (F.expr(CLOSE) & F.col("gone")).cast("int")
+    return marked.withColumn("hidden", hidden).filter("hidden = 0").drop("hidden", "gone")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with their segment, list, kind of block, quotes and whether they stand in code."""
+    tag, opens = F.col("tag"), F.expr(OPEN)
+    kind = F.coalesce(_named(tag, dict.fromkeys(HEADINGS, "Heading")), _named(tag, LEAVES))
+    cut = (~F.col("kind").isin("text") & (kind.isNotNull() | tag.isin(*BREAKS))) | (opens & (tag == "hr"))
+    line = _lines()
+    rows = rows.withColumn("block", kind).withColumns(
+        {
+            "seg": F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(line),
+            "kinds": F.sum(_step(F.col("block").isNotNull())).over(line),
+            "lists": F.sum(_step(tag.isin(*LISTS))).over(line),
+            "quotes": F.sum(_step(tag == "blockquote")).over(line),
+            "code": F.sum(_step(tag == "pre")).over(line),
+        }
+    )
+    start = F.when(_attr("start").rlike("^[0-9]+$"), _attr("start").cast("int")).otherwise(1)
+    own_list = F.when(opens & tag.isin(*LISTS), F.struct("nid", "tag", start.alias("start")))
+    rows = rows.withColumn("list", F.last(own_list, True).over(_lines("lists")))
+    rows = rows.withColumn("list", F.when(F.col("lists") > 0, F.col("list"))).withColumn("list_id", F.coalesce("list.nid", F.lit(-1)))
+    items = F.sum(F.when(opens & (tag == "li"), 1).otherwise(0)).over(_lines("list_id"))
+    item = tag == "li"
+    own_kind = F.struct(
+        F.col("block").alias("node_type"),
+        F.when(item, F.greatest("lists", F.lit(1))).otherwise(_named(tag, HEADINGS)).cast("int").alias("depth"),
+        F.when(item, F.when(F.col("list.tag") == "ol", "ordered").otherwise("bullet")).alias("list_type"),
+        F.when(item, F.when(F.col("list").isNotNull(), F.col("list.start") - 1 + items).otherwise(1)).cast("int").alias("number"),
+        F.when(tag == "pre", F.coalesce(F.nullif(_attr("data-lang"), F.lit("")), _language())).alias("language"),
+    )
+    rows = rows.withColumn("own_kind", F.when(opens & F.col("block").isNotNull(), own_kind))
+    innermost = F.last("own_kind", True).over(_lines("kinds"))
+    return rows.withColumn("in_kind", F.when(F.col("kinds") > 0, innermost))
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """Rows with ``raw``, their text, and ``tokens``, the pieces of markdown that they give, with their places.
+
+    A mark of emphasis stands before the first and after the last piece inside that isn't blank; it ends with its block.
+    """
+    tag, href = F.col("tag"), _attr("href")
+    opens, closes, texts = F.expr(OPEN), F.expr(CLOSE), F.col("kind") == "text"
+    source = F.coalesce(F.nullif(_attr("data-src"), F.lit("")), F.nullif(_attr("src"), F.lit("")))
+    image = F.concat(F.lit("!["), _attr("alt"), F.lit("]("), source, F.lit(")"))
+    safe = ~href.rlike(rf"(?i)^\s*({'|'.join(fixed.UNSAFE_SCHEMES)}):")
+    piece = (
+        F.when(texts, F.col("text")).when(opens & (tag == "br"), " ").when(opens & (tag == "img"), image)
+        .when(opens & (tag == "a") & (href != ""), "[")
+        .when(closes & (tag == "a") & (href != ""), F.concat(F.lit("]("), F.when(safe, href).otherwise(""), F.lit(")")))
+    )
+    raw = F.when(texts, F.col("text")).when(opens & (tag == "br"), F.when(F.col("code") > 0, "\n").otherwise(" "))
+    rows = rows.withColumn("raw", raw).withColumn("piece", piece).withColumn("core", _stripped(F.col("piece")))
+    full = F.when(F.col("core") != "", F.col("pos"))
+    mark = F.when(~texts & (F.col("code") == 0), _named(tag, MARKS))
+    element = Window.partitionBy("doc", "nid")
+    rows = rows.withColumn("full", full).withColumn("mark", mark).withColumns(
+        {
+            "opened": F.max(F.when(opens, F.struct("seg", "pos"))).over(element),
+            "closed": F.max(F.when(closes, F.struct("seg", "pos"))).over(element),
+            "before": F.last("full", True).over(_lines("seg")),
+            "after": F.last("full", True).over(_lines("seg", backward=True)),
+            "final": F.max("full").over(Window.partitionBy("doc", "seg")),
+        }
+    )
+
+    def token(pos: Column, place: int, n: Column, md: Column) -> Column:
+        return F.struct(pos.alias("pos"), F.lit(place).alias("place"), n.alias("n"), md.alias("md"))
+
+    none, here, nid = F.lit(0), F.col("pos"), F.col("nid")
+    lead, tail = F.regexp_extract("piece", f"^({SPACE}*)", 1), F.regexp_extract("piece", f"({SPACE}*)$", 1)
+    whole = F.array(token(here, 0, none, lead), token(here, 2, none, F.col("core")), token(here, 4, none, tail))
+    blank = F.array(token(here, 2, none, F.col("piece")))
+    ends_here = F.coalesce(F.col("closed.seg") == F.col("seg"), F.lit(False))
+    opening = F.array(token(F.col("after"), 1, nid, F.col("mark")))
+    until_end = F.concat(opening, F.array(token(F.col("final"), 3, -nid, F.col("mark"))))
+    closing = F.array(token(F.col("before"), 3, -nid, F.col("mark")))
+    found = (
+        F.when(F.col("mark").isNotNull() & opens & ends_here, F.when(F.col("after") < F.col("closed.pos"), opening))
+        .when(F.col("mark").isNotNull() & opens, F.when(F.col("after").isNotNull(), until_end))
+        .when(F.col("mark").isNotNull(), F.when((F.col("opened.seg") == F.col("seg")) & (F.col("before") > F.col("opened.pos")), closing))
+        .when(F.col("core") != "", whole)
+        .when(F.col("piece").isNotNull(), blank)
+    )
+    return rows.withColumn("tokens", F.coalesce(found.cast(TOKENS), F.array().cast(TOKENS)))
 
 
 def blocks(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """A row a block: page_id, block_idx, node_type, depth, list_type, text, md, language, uri."""
-    left_out = frozenset(skip)
-    return _rows(pages, SCHEMA, lambda html: page_blocks(html, left_out))
+    """A row a block: page_id, block_idx, node_type, depth, list_type, text, md, language, uri.
+
+    Elements named in ``skip`` are left out with all they hold. A page that stands twice gives its blocks twice.
+    """
+    rows = _tokens(_placed(_visible(events(pages).repartition("doc"), skip)))
+    opens = F.expr(OPEN)
+    code_language = F.when(opens & (F.col("tag") == "code") & (F.col("code") > 0), _language())
+    grouped = rows.groupBy("doc", "page_id", "url", "seg").agg(
+        F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", "raw")))).alias("raws"),
+        F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"),
+        F.first("in_kind").alias("in_kind"),
+        F.first("quotes").alias("quotes"),
+        F.min_by(code_language, F.when(code_language.isNotNull(), F.col("pos"))).alias("code_language"),
+        F.max(opens & (F.col("tag") == "hr")).alias("rule"),
+    )
+    kind = F.coalesce("in_kind.node_type", F.lit("Paragraph"))
+    raw = F.array_join(F.transform("raws", lambda x: x["raw"]), "")
+    marked = _collapsed(F.array_join(F.transform("tokens", lambda x: x["md"]), ""))
+    listed = grouped.withColumn("node_type", kind).withColumn("is_code", F.col("node_type") == "CodeBlock").withColumn("language", F.when(F.col("is_code"), F.coalesce("in_kind.language", "code_language")))
+    listed = listed.withColumn("text", F.when(F.col("is_code"), F.regexp_replace(raw, r"^\n+|\n+$", "")).otherwise(_collapsed(raw))).withColumn("marked", marked)
+    depth, number = F.col("in_kind.depth"), F.concat(F.col("in_kind.number").cast("string"), F.lit(". "))
+    shown = (
+        F.when(F.col("node_type") == "Heading", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), "marked"))
+        .when(F.col("node_type") == "ListItem", F.concat(F.repeat(F.lit("  "), depth - 1), F.when(F.col("in_kind.list_type") == "ordered", number).otherwise("- "), F.col("marked")))
+        .when(F.col("is_code"), F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), "text", F.lit("\n```")))
+        .otherwise(F.col("marked"))
+    )
+    shown = F.concat(F.repeat(F.lit("> "), F.col("quotes").cast("int")), shown)
+    null = F.lit(None).cast("string")
+    own = F.array(F.struct("node_type", "in_kind.depth", "in_kind.list_type", "text", shown.alias("md"), "language")).cast(BLOCK)
+    rule = F.array(F.struct(F.lit("ThematicBreak"), null.cast("int"), null, F.lit(""), F.lit("---"), null)).cast(BLOCK)
+    empty = F.array().cast(BLOCK)
+    there = (_stripped(F.col("text")) != "") & (F.col("node_type") != "Cell")
+    each = listed.select("doc", "page_id", "url", "seg", F.posexplode(F.concat(F.when(F.col("rule"), rule).otherwise(empty), F.when(there, own).otherwise(empty))).alias("nth", "b"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("seg", "nth")) - 1
+    return each.withColumn("block_idx", place).select("page_id", "block_idx", "b.*", F.col("url").alias("uri"))
 
 
 def cells(pages: DataFrame) -> DataFrame:
-    """A row a table cell: page_id, table_idx, row, col, is_head, col_span, text."""
-    return _rows(pages, CELLS, page_cells)
+    """A row a table cell: page_id, table_idx, row, col, is_head, col_span, text.
+
+    A row is a head row if it stands in thead; a th is a head cell anywhere. The text of a
+    cell that holds a table is what stands outside of that table's cells.
+    """
+    tag, opens = F.col("tag"), F.expr(OPEN)
+    inside, line = tag.isin("td", "th"), _lines()
+    rows = events(pages).repartition("doc").withColumns(
+        {
+            "tables": F.sum(_step(tag == "table")).over(line),
+            "number": F.sum((opens & (tag == "table")).cast("int")).over(line) - 1,
+            "inner": F.sum(_step(inside)).over(line),
+        }
+    )
+    own_table = F.when(opens & (tag == "table"), F.col("number"))
+    rows = rows.withColumn("table_idx", F.last(own_table, True).over(_lines("tables"))).filter("tables > 0")
+    in_table = _lines("table_idx")
+    rows = rows.withColumns(
+        {
+            "row": F.greatest(F.sum((opens & (tag == "tr")).cast("int")).over(in_table) - 1, F.lit(0)),
+            "in_head": F.sum(_step(tag == "thead")).over(in_table) > 0,
+            "cell": F.last(F.when(opens & inside, F.col("nid")), True).over(_lines("inner")),
+        }
+    )
+    span = F.when(_attr("colspan").rlike("^[0-9]+$") & (_attr("colspan").try_cast("int") > 0), _attr("colspan").try_cast("int")).otherwise(1)
+    head = F.when(opens & inside, F.struct("table_idx", "row", (F.col("in_head") | (tag == "th")).alias("is_head"), span.alias("col_span")))
+    held = F.when(F.col("kind") == "text", F.struct("pos", "text"))
+    found = rows.filter("inner > 0 AND (kind = 'text' OR tag IN ('td', 'th'))").groupBy("doc", "page_id", "cell").agg(
+        F.max(head).alias("head"), F.array_sort(F.collect_list(held)).alias("texts")
+    )
+    told = found.filter("head IS NOT NULL").select(
+        "doc", "page_id", "cell", "head.*", _collapsed(F.array_join(F.transform("texts", lambda x: x["text"]), "")).alias("text")
+    )
+    before = Window.partitionBy("doc", "table_idx", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    col = F.coalesce(F.sum("col_span").over(before), F.lit(0)).cast("int")
+    return told.withColumn("col", col).select(
+        "page_id", F.col("table_idx").cast("int").alias("table_idx"), F.col("row").cast("int").alias("row"), "col", "is_head", "col_span", "text"
+    )
 
 
 def documents(found: DataFrame) -> DataFrame:

@@ -264,6 +264,43 @@ def nodes(pages: DataFrame, tags: list[str] | None = None) -> DataFrame:
     return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(parsed, SCHEMA)
 
 
+EVENTS = "doc long, page_id long, url string, pos int, kind string, nid int, tag string, attrs map<string,string>, skipped boolean, text string"
+#: Attributes that events carry.
+EVENT_ATTRS = frozenset("href class start data-lang src data-src alt colspan".split())
+
+
+def events(pages: DataFrame) -> DataFrame:
+    """A row for each start tag, end tag and text of pages (page_id, url, html), in order of ``pos``.
+
+    ``doc`` numbers the rows of pages, so a page that stands twice is two documents. End
+    tags, also implied ones, have the nid and attributes of their start tags.
+    """
+    names = [x.split()[0] for x in EVENTS.split(", ")]
+    text, number, attrs = pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())
+    kinds = [pa.int64(), pa.int64(), text, number, text, number, text, attrs, pa.bool_(), text]
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found: list = []
+                parse(html or "", found)
+                for pos, (kind, value) in enumerate(found):
+                    if kind == "text":
+                        rows.append((doc, page_id, url, pos, kind, None, None, None, False, value))
+                    else:
+                        kept = [x for x in value["attrs"] if x[0] in EVENT_ATTRS]
+                        rows.append((doc, page_id, url, pos, kind, value["nid"], value["tag"], kept, value["skipped"], None))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    read = spread(pages.select(F.col("page_id").cast("long"), "url", "html"))
+    return read.select(F.monotonically_increasing_id().alias("doc"), "page_id", "url", "html").mapInArrow(parsed, EVENTS)
+
+
 def _arrow_kinds() -> list[pa.DataType]:
     kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64()}
     return [kinds.get(type(f.dataType)) or pa.map_(pa.string(), pa.string()) for f in SCHEMA]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import math
+import time
 
 import plain_blocks
 import pytest
@@ -174,6 +175,14 @@ def test_parser_counters():
     assert rows["a"]["position"] == "sidebar" and rows["div"]["position"] == "body" and rows["a"]["above_negative"]
 
 
+@pytest.mark.parametrize("tag", ["<div>", "<b>", "<span><p>"])
+def test_parser_takes_time_in_proportion_to_depth(tag):
+    page = tag * 12_000 + " x " + "</i></b>" * 12_000
+    began = time.monotonic()
+    rows = dom.parse(page)
+    assert time.monotonic() - began < 4 and len(rows) >= 12_000 and rows[1]["stripped_len"] == 1
+
+
 def test_scanner():
     assert list(markup.scan('a<b x="1>2">c</b><!-- <i> -->d < e<![CDATA[<f>]]><br/><g')) == [
         ("text", "a", ""), ("open", "b", ' x="1>2"'), ("text", "c", ""), ("close", "b", ""), ("text", "d < e", ""), ("cdata", "<f>", ""), ("empty", "br", ""),

@@ -9,6 +9,8 @@ proportion to its length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,12 +97,6 @@ def _position(tag: str, attrs: dict[str, str], above: str) -> str:
     return above
 
 
-def _edge(parts: list[str]) -> list[str]:
-    """Parts up to the first that isn't blank."""
-    at = next((i for i, p in enumerate(parts) if p.strip()), len(parts) - 1)
-    return parts[: at + 1]
-
-
 def parse(source: str, events: list | None = None) -> list[dict]:
     """The elements of a page in document order; html and body are supplied where they are missing.
 
@@ -108,7 +104,9 @@ def parse(source: str, events: list | None = None) -> list[dict]:
     """
     rows: list[dict] = []
     stack: list[_Element] = []
+    open_tags: Counter[str] = Counter()
     texts: list[str] = []
+    begins, solid = [0], []  # where each text begins in all characters, and the texts that aren't blank
     shared = 0  # open elements that hold both the last text and what comes next
 
     def push(tag: str, attrs: dict[str, str]) -> None:
@@ -132,10 +130,21 @@ def parse(source: str, events: list | None = None) -> list[dict]:
         if events is not None:
             events.append(("open", row))
         stack.append(_Element(tag, row, position, len(texts), row["skipped"]))
+        open_tags[tag] += 1
+
+    def blank_edges(first: int) -> int:
+        """The white space at both ends of the texts from the first on."""
+        at = bisect_left(solid, first)
+        if at == len(solid):
+            return begins[-1] - begins[first]
+        low, high = texts[solid[at]], texts[solid[-1]]
+        lead = begins[solid[at]] - begins[first] + len(low) - len(low.lstrip())
+        return lead + begins[-1] - begins[solid[-1] + 1] + len(high) - len(high.rstrip())
 
     def pop() -> None:
         nonlocal shared
         gone = stack.pop()
+        open_tags[gone.tag] -= 1
         shared = min(shared, len(stack))
         row, own = gone.row, gone.counts
         if events is not None:
@@ -143,9 +152,7 @@ def parse(source: str, events: list | None = None) -> list[dict]:
         row["last_desc"] = len(rows) - 1
         if gone.tag in WITH_TEXT:
             row["text"] = "".join(texts[gone.first_text :])
-        parts = texts[gone.first_text :] if own[0] else []
-        blank = sum(len(p) - len(p.lstrip()) for p in _edge(parts)) + sum(len(p) - len(p.rstrip()) for p in _edge(parts[::-1]))
-        row["stripped_len"] = max(own[0] - blank, 0)
+        row["stripped_len"] = max(own[0] - blank_edges(gone.first_text), 0) if own[0] else 0
         if gone.tag in SCORED and row["stripped_len"]:
             gone.score += 1 + min(own[2], 6) * 0.4 + min(row["stripped_len"] // 120, 3)
         row["paragraph_score"] = gone.score
@@ -162,27 +169,29 @@ def parse(source: str, events: list | None = None) -> list[dict]:
                 up[i] += gone.tag in kinds
 
     def close(tag: str) -> None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at].tag == tag:
-                while len(stack) > at:
-                    pop()
-                return
+        if open_tags[tag]:
+            while stack[-1].tag != tag:
+                pop()
+            pop()
+
+    def in_head() -> bool:
+        return len(stack) > 1 and stack[1].tag == "head"
 
     def open_(tag: str, attrs: dict[str, str], empty: bool) -> None:
         if tag == "html" and stack:
             return
         if not stack and tag != "html":
             push("html", {})
-        names = [e.tag for e in stack]
-        if tag == "body" and "body" in names:
+        if tag == "body" and open_tags["body"]:
             return
-        if tag not in ("html", "head", "body") and "body" not in names and tag not in _HEAD and "head" not in names[1:2]:
+        head = in_head()
+        if tag not in ("html", "head", "body") and not open_tags["body"] and tag not in _HEAD and not head:
             push("body", {})
-        if tag == "body" or ("head" in names[1:2] and tag not in _HEAD and tag not in ("html", "noscript", "template")):
+        if tag == "body" or (head and tag not in _HEAD and tag not in ("html", "noscript", "template")):
             close("head")
-            if tag != "body" and "body" not in [e.tag for e in stack]:
+            if tag != "body" and not open_tags["body"]:
                 push("body", {})
-        if tag in BLOCK and any(e.tag == "p" for e in stack):
+        if tag in BLOCK and open_tags["p"]:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at].tag in SCOPES:
                     break
@@ -190,7 +199,7 @@ def parse(source: str, events: list | None = None) -> list[dict]:
                     while len(stack) > at:
                         pop()
                     break
-        for at in range(len(stack) - 1, -1, -1) if tag in ENDS else ():
+        for at in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in ENDS.get(tag, ())) else ():
             if stack[at].tag in ENDS[tag]:
                 while len(stack) > at:
                     pop()
@@ -217,7 +226,10 @@ def parse(source: str, events: list | None = None) -> list[dict]:
             text = decoded(name)
             if shared and not texts[-1][-1:].isspace() and not text[:1].isspace():
                 stack[shared - 1].counts[1] -= 1  # a word goes on across a tag
+            if text.strip():
+                solid.append(len(texts))
             texts.append(text)
+            begins.append(begins[-1] + len(text))
             shared = len(stack)
             if events is not None:
                 events.append(("text", text))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from webloom.llm import html_extract, language_id, queries, runtime
+from webloom.llm import html_extract, language_id, mixing, queries, runtime, token_counts
 
 TREE = html_extract.grow_tree((t := html_extract.labelled_blocks())[:, :-1], t[:, -1])
 LOREM = "The quick brown fox jumps over the lazy dog while the cat sleeps on the warm window sill and dreams of mice. "
@@ -197,6 +199,57 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} <= {r.doc_id for r in docs.collect()}
 
 
+def brute_groups(rows):
+    """The rows that one_of_each keeps, by comparing all pairs of plain fingerprints."""
+    from test_search_dedup import plain_fingerprint, union
+
+    prints = [plain_fingerprint(r.text) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    component = union(len(rows), near)
+    return {min(r.doc_id for r, c in zip(rows, component, strict=True) if c == own) for own in set(component)}
+
+
+def test_pipeline_equals_a_plain_version(spark, sf_dir):
+    """Every stage on what its predecessor kept: groups by all pairs, words by target, each token once."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = runtime.read_table(spark, sf_dir, "documents")
+    told = runtime.checkpointed(stages["language_id"](spark, docs, sf_dir))
+    once = runtime.checkpointed(stages["near_dedup"](spark, told, sf_dir))
+    assert sorted(r.doc_id for r in once.collect()) == sorted(brute_groups(told.collect()))
+    assert once.exceptAll(docs).isEmpty()
+    mixed = runtime.checkpointed(stages["mixing"](spark, once, sf_dir))
+    words = lambda rows: Counter({s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows if r.source == s) for s in {r.source for r in rows}})
+    size, taken = words(once.collect()), words(mixed.collect())
+    order = sorted(size, key=lambda s: (s is None, s))
+    for source, target in zip(order, mixing.share_targets([size[s] for s in order], ([1, 2, 3] * len(order))[: len(order)]), strict=True):
+        assert abs(taken[source] - target) <= mixing.BLOCK_WORDS
+    tokenizer = Tokenizer.from_file(token_counts.tokenizer_path())
+    want = Counter()
+    for r in mixed.collect():
+        want[r.doc_id] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    for pieces in (stages["packing"](spark, mixed, sf_dir).collect(), corpus_pipeline.run(spark, sf_dir).collect()):
+        got = Counter()
+        for r in pieces:
+            got[r.doc_id] += r.length
+        assert got == want
+
+
+def test_pipeline_stages_of_odd_tables(spark, sf_dir):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, key string, rank int, copies int"
+    rows = [(i, "the house of the rising sun and the garden " * (i % 5 + 1), "en", None if i % 3 else "s", 1, 1, "r", None, 1, 2) for i in range(40)]
+    rows += [(90, None, None, None, None, None, None, None, None, None), (91, "", "en", "s", 0, 1, "r", "k", 1, 1), (None, "the house and the sun", None, "s", 1, 1, "r", "k", 1, 1)]
+    rows += [(92, "the garden " * 60_000, "en", "t", 1, 1, "r", "k", 1, 1)] + [(93, "a house in the sun", "en", "t", 1, 1, "r", "k", 1, 1)] * 3
+    df = spark.createDataFrame(rows, columns)
+    for docs in (df, df.filter("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = runtime.checkpointed(stage(spark, docs, sf_dir))
+            assert name == "packing" or out.columns == df.columns
+            assert out.isEmpty() == docs.isEmpty()
+            docs = out if name != "packing" else docs
+    kept = {r.doc_id: r.n for r in corpus_pipeline.STAGES[1][1](spark, df, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert kept[None] == 1 and kept[90] == 1 and 91 not in kept and kept[93] == 1
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, query in queries.queries().items():
         assert query(spark, sf_dir).count() > 0, name

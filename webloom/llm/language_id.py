@@ -5,7 +5,7 @@ the letter pairs and triples of the padded words. Each is hashed to a row of an
 embedding table; the mean of the rows goes through a linear layer and a softmax. The
 model is trained by stochastic gradient descent in numpy on a bounded sample, a part
 of which is held back to fit a temperature and the limits below which a text is
-rejected: of its score, and of how usual its subwords are in the language found, as a
+rejected: of its score, and of how usual its subwords are in any learned language, as a
 text in an unlearned language can score high in a learned one. The model goes to the
 executors as two tables (buckets x languages), whose size is fixed, and every whole
 text is scored there.
@@ -28,8 +28,9 @@ DRAWN = 2
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 16, 8, 32, 0.5, 42
 #: Share of the held-back texts, each cut to these characters, that may score below the rejection threshold.
 REJECTED, CUTS = 0.001, (16, 64, 160, SAMPLE_CHARS)
-#: Deviations that a text may be less usual than the held-back texts of its language are.
-DEVIATIONS = 20
+#: Deviations that a text may be less usual than the held-back texts are, and that one of a low score may be; a
+#: text of several learned languages scores low, but is usual.
+DEVIATIONS, LOW_DEVIATIONS = 10, 5
 UNKNOWN = "und"
 #: Code points that are looked at in one go.
 SLICE = 1 << 20
@@ -70,9 +71,9 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """languages in order; logits of each bucket and language; bias; temperature; rejection threshold.
 
-    ``usual`` are log frequencies of the buckets in each language, ``spread`` for each
-    language their median mean in its texts, the variance of that between texts, and
-    the variance of single subwords.
+    ``usual`` are log frequencies of the buckets, each in the language that has it most;
+    ``spread`` is their median mean in the held-back texts, the variance of that between
+    texts, and the variance of single subwords.
     """
 
     languages: list[str]
@@ -81,7 +82,7 @@ class Model:
     temperature: float
     threshold: float
     usual: np.ndarray
-    spread: np.ndarray
+    spread: tuple[float, float, float]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities of each text's languages; zeros where a text has no letter."""
@@ -90,22 +91,22 @@ class Model:
     def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """scores, and whether each text is rejected."""
         shape = len(texts), len(self.languages)
-        total, usual, count = np.zeros(shape), np.zeros(shape), np.zeros(len(texts))
+        total, usual, count = np.zeros(shape), np.zeros(len(texts)), np.zeros(len(texts))
         for rows, parts in _slices(texts):
             bucket, row = subwords(parts)
             row = np.asarray(rows, np.int64)[row]
             count += np.bincount(row, minlength=len(texts))
             for i in range(len(self.languages)):
                 total[:, i] += np.bincount(row, self.logits[i][bucket], len(texts))
-                usual[:, i] += np.bincount(row, self.usual[i][bucket], len(texts))
+            usual += np.bincount(row, self.usual[bucket], len(texts))
         logits = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
         scores = odds / odds.sum(axis=1, keepdims=True) * (count > 0)[:, None]
-        best = scores.argmax(axis=1)
-        mean, between, single = self.spread[best].T
-        below = mean - usual[np.arange(len(texts)), best] / np.maximum(count, 1)
-        unusual = below > DEVIATIONS * np.sqrt(between + single / np.maximum(count, 1))
-        return scores, (count == 0) | (scores.max(axis=1) < self.threshold) | unusual
+        mean, between, single = self.spread
+        n = np.maximum(count, 1)
+        below = (mean - usual / n) / np.sqrt(between + single / n + 1e-12)
+        low = (scores.max(axis=1) < self.threshold) & (below > LOW_DEVIATIONS)
+        return scores, (count == 0) | low | (below > DEVIATIONS)
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -166,15 +167,15 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> Model:
         np.add.at(seen, (label[rows][row], bucket), mean)
     seen += 0.5 * max(len(rest), 1) / (100 * BUCKETS * len(names))
     usual = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
-    model = Model(names, logits, bias, 1.0, 0.0, usual, np.tile([0.0, np.inf, 0.0], (len(names), 1)))
+    model = Model(names, logits, bias, 1.0, 0.0, usual.max(axis=0), (0.0, np.inf, 0.0))
     return _calibrated(model, [texts[i] for i in back], label[back])
 
 
 def _calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
     """model with the temperature of least log loss on texts, and limits of rejection from their scores and subwords.
 
-    The score's limit is the REJECTED quantile over the texts at several lengths. A
-    language without two texts here has no limit of usual subwords.
+    The score's limit is the REJECTED quantile over the texts at several lengths. With
+    less than two texts there is no limit of usual subwords.
     """
     if not len(texts):
         return model
@@ -188,22 +189,16 @@ def _calibrated(model: Model, texts: list[str], label: np.ndarray) -> Model:
     cut = [t[:n] for n in CUTS for t in texts]
     top = best[1].scores(cut).max(axis=1)
     threshold = float(np.quantile(top[top > 0], REJECTED, method="lower")) if top.any() else 0.0
-    spread = model.spread.copy()
     bucket, row = subwords(texts)
     count = np.bincount(row, minlength=len(texts))
-    for i in range(len(model.languages)):
-        own = (label == i) & (count > 0)
-        if own.sum() < 2:
-            continue
-        values = model.usual[i][bucket].astype(float)
-        means = np.bincount(row, values, len(texts))[own] / count[own]
-        # Medians, as some texts hold parts in other languages.
-        middle = np.median(means)
-        spread[i] = middle, (1.4826 * np.median(np.abs(means - middle))) ** 2, values[own[row]].var()
-    # Texts of all languages vary alike: few texts of one say little of how far the next can lie.
-    if (known := np.isfinite(spread[:, 1])).any():
-        spread[known, 1] = spread[known, 1].max()
-    return replace(best[1], threshold=threshold, spread=spread)
+    own, values = count > 0, model.usual[bucket].astype(float)
+    if own.sum() < 2:
+        return replace(best[1], threshold=threshold)
+    means = np.bincount(row, values, len(texts))[own] / count[own]
+    # Medians, as some texts hold parts in other languages.
+    middle = np.median(means)
+    between = (1.4826 * np.median(np.abs(means - middle))) ** 2
+    return replace(best[1], threshold=threshold, spread=(float(middle), float(between), float(values.var())))
 
 
 def held_out() -> Column:
@@ -240,8 +235,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     """The columns of docs (or those to keep) with lang_pred, score, rejected for every whole text.
 
     lang_pred is UNKNOWN, with score 0 and rejected, if the text is null or has no letter, or
-    if there is no model; else a learned language, rejected if its score is below the
-    model's threshold or its subwords are too unusual in that language. Extra columns of docs of the same names are replaced.
+    if there is no model; else a learned language, rejected if its subwords are too unusual in
+    all learned languages, and sooner if its score is below the model's threshold. Extra columns of docs of the same names are replaced.
     """
     kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "rejected")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")

@@ -33,7 +33,7 @@ REJECTED, CUTS = 0.001, (16, 64, 160, SAMPLE_CHARS)
 DEVIATIONS, LOW_DEVIATIONS = 10, 5
 UNKNOWN = "und"
 #: Code points that are looked at in one go.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _LETTERS: np.ndarray | None = None
 

@@ -149,6 +149,41 @@ def test_feeds_of_every_kind():
     assert feeds.feed_rows("") == ({"format": "unknown"}, [])
 
 
+def test_feeds_keep_everything_unless_bounded(spark):
+    body = "<rss><channel>" + "".join(f"<item><title>t{i}</title><description>{'d' * 2500}</description></item>" for i in range(1100)) + "</channel></rss>"
+    docs = spark.createDataFrame([(1, body)], "feed_id long, body string")
+    longest = F.max(F.length("description")).alias("longest")
+    assert tuple(feeds.parse_feeds(docs).agg(F.count("*"), longest).first()) == (1100, 2500)
+    bounded = feeds.parse_feeds(docs, feeds.MOST_ITEMS, feeds.MOST_DESCRIPTION)
+    assert tuple(bounded.agg(F.count("*"), longest).first()) == (1000, 2001)
+
+
+def test_cache_hits_by_key(spark):
+    rows = [("a", 0.0), ("a", 5.0), ("a", 10.0), ("a", 11.0), ("b", 3.0)]
+    requests = spark.createDataFrame(rows, "key string, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    found = {r.key: (r.n_requests, r.n_hits) for r in fetch_policy.cache_hits(requests, F.lit(10)).collect()}
+    assert found == {"a": (4, 2), "b": (1, 0)}
+
+
+def test_top_hits_take_the_first_of_equal_scores(spark):
+    rows = [(1, 1, 0, 0.5), (1, 2, 1, 0.9), (2, 1, 1, 0.7), (2, 2, 0, 0.7), (3, 1, 0, 0.8)]
+    scored = spark.createDataFrame(rows, "page_id long, nid long, label int, score double")
+    assert tuple(evaluation.top_hits(scored).first()) == (3, 2, pytest.approx(2 / 3))
+
+
+def test_ixbrl_and_prose_are_choices(spark):
+    html = "<p>a <ix:nonFraction>1</ix:nonFraction></p><ix:header><p>h</p></ix:header><pre>x\n\ny</pre>"
+    pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string")
+    texts = lambda **how: [(r.node_type, r.text) for r in blocks.blocks(pages, **how).orderBy("block_idx").collect()]
+    assert texts() == [("Paragraph", "a 1"), ("CodeBlock", "x\n\ny")]
+    assert texts(prose=True) == [("Paragraph", "a 1"), ("Paragraph", "x"), ("Paragraph", "y")]
+    assert ("Paragraph", "h") in texts(ixbrl=False)
+
+
+def test_breadths_of_the_heuristic():
+    assert [readability.heuristic_limits(s) for s in (-1, 0.5, 2)] == [(50, 50, 0.4), (200, 25, 0.2), (500, 10, pytest.approx(0.05))]
+
+
 def test_gunzip(spark):
     assert feeds.bounded_gunzip(gzip.compress(b"abc"), 10) == b"abc" and feeds.bounded_gunzip(b"abc", 1) == b"abc"
     rows = [("a", gzip.compress(b"x" * 100)), ("b", gzip.compress(b"y" * 5000)), ("c", b"plain"), ("d", b"\x1f\x8bbroken"), ("e", None)]

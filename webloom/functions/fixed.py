@@ -274,3 +274,62 @@ CONSENT_MANAGERS = {
     "Didomi": ("id", "didomi-notice"),
     "Termly": ("data-tid", "banner-accept"),
 }
+
+#: Hand-set weights of the content features, and their bias.
+HAND_BIAS = -2.2
+HAND_WEIGHTS = {
+    "log_text_length": 0.55,
+    "log_text_density": 0.7,
+    "log_descendant_count": 0.15,
+    "link_density": -2.4,
+    "non_link_text_ratio": 0.55,
+    "class_weight": 0.45,
+    "tag_weight": 0.55,
+    "depth": 0.15,
+    "position_centrality": 0.2,
+    "sibling_log_text_density": 0.25,
+    "same_tag_sibling_ratio": 0.35,
+    "same_class_sibling_ratio": 0.2,
+    "sentence_score": 0.55,
+    "comma_density": 12.0,
+    "has_block_children": 0.35,
+    "paragraph_score_density": 18.0,
+    "anchor_count_ratio": -0.6,
+    "interactive_ratio": -2.0,
+    "heading_ratio": 0.3,
+    "paragraph_ratio": 0.25,
+    "list_item_ratio": 0.3,
+    "repeated_child_tag_ratio": 0.35,
+    "repeated_child_signature_ratio": 0.45,
+    "positive_class": 0.45,
+    "negative_class": -1.0,
+    "ancestor_positive_bias": 0.2,
+    "ancestor_negative_bias": -0.6,
+    "is_article_like": 0.85,
+    "is_paragraph_like": 0.45,
+    "is_list_like": 0.25,
+    "is_boilerplate_tag": -1.1,
+    "is_form_tag": -0.8,
+    "under_content_landmark": 0.4,
+    "under_boilerplate_landmark": -0.8,
+    "has_repeated_children": 0.45,
+}
+
+#: The groups of content features that an ablation leaves out.
+FEATURE_GROUPS = {
+    "text_content": (
+        "log_text_length log_text_density log_descendant_count sentence_score comma_density paragraph_score_density paragraph_ratio"
+    ),
+    "link_interactive": "link_density non_link_text_ratio anchor_count_ratio interactive_ratio heading_ratio",
+    "structure_context": (
+        "depth position_centrality sibling_log_text_density same_tag_sibling_ratio same_class_sibling_ratio has_block_children"
+        " under_content_landmark under_boilerplate_landmark"
+    ),
+    "template_repetition": (
+        "list_item_ratio repeated_child_tag_ratio repeated_child_signature_ratio has_repeated_children is_list_like"
+    ),
+    "semantic_priors": (
+        "class_weight tag_weight positive_class negative_class ancestor_positive_bias ancestor_negative_bias is_article_like"
+        " is_paragraph_like is_boilerplate_tag is_form_tag"
+    ),
+}

@@ -32,13 +32,16 @@ def label_nodes(nodes: DataFrame, positive: DataFrame, negative: DataFrame) -> D
     return nodes.join(labels, ["page_id", "nid"])
 
 
-def train_content_model(labelled: DataFrame, iterations: int = 100, l2: float = 0.01):
-    """A logistic regression over the standardised features, classes weighted alike. labelled: f_* and label."""
+def train_content_model(labelled: DataFrame, iterations: int = 100, l2: float = 0.01, without: tuple[str, ...] = ()):
+    """A logistic regression over the standardised features, classes weighted alike. labelled: f_* and label.
+
+    Features named in ``without`` are left out.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    names = [f"f_{k}" for k in fixed.CONTENT_MODEL]
+    names = [f"f_{k}" for k in fixed.CONTENT_MODEL if k not in without]
     totals = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     share = F.lit(1.0)
     for label, n in totals.items():
@@ -51,11 +54,41 @@ def train_content_model(labelled: DataFrame, iterations: int = 100, l2: float =
     return Pipeline(stages=stages).fit(labelled.withColumn("label", F.col("label").cast("double")).withColumn("weight", share))
 
 
-def leave_one_out(labelled: DataFrame, fold: str, folds: list) -> DataFrame:
-    """fold, label, guess: every row scored by a model of the other folds. One training for each of ``folds``."""
+def leave_one_out(labelled: DataFrame, fold: str, folds: list, without: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, nid, fold, label, guess, score: every row scored by a model of the other folds.
+
+    One training for each of ``folds``; a fold can be a page.
+    """
+    from pyspark.ml.functions import vector_to_array
+
     out = None
     for one in folds:
-        model = train_content_model(labelled.filter(F.col(fold) != one))
-        scored = model.transform(labelled.filter(F.col(fold) == one)).select(fold, "label", F.col("prediction").cast("int").alias("guess"))
+        model = train_content_model(labelled.filter(F.col(fold) != one), without=without)
+        scored = model.transform(labelled.filter(F.col(fold) == one)).select(
+            *dict.fromkeys(["page_id", "nid", fold]), "label", F.col("prediction").cast("int").alias("guess"),
+            vector_to_array("probability")[1].alias("score"),
+        )
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def top_hits(scored: DataFrame) -> DataFrame:
+    """pages, hits, top_hit_rate: pages whose row of the highest score, the first of equals, has label 1."""
+    best = scored.groupBy("page_id").agg(F.max_by("label", F.struct("score", -F.col("nid"))).alias("label"))
+    hits = F.count_if(F.col("label") == 1)
+    return best.agg(F.count("*").alias("pages"), hits.alias("hits"), F.when(F.count("*") > 0, hits / F.count("*")).otherwise(0.0).alias("top_hit_rate"))
+
+
+def ablation(labelled: DataFrame, fold: str, folds: list) -> DataFrame:
+    """dropped, f1, top_hit_rate, delta_f1 for all features (dropped: null) and without each group of them.
+
+    The driver starts one training for each fold and group; the rows stay on the executors.
+    """
+    out = None
+    for group in (None, *fixed.FEATURE_GROUPS):
+        scored = leave_one_out(labelled, fold, folds, tuple(fixed.FEATURE_GROUPS[group].split()) if group else ())
+        told = confusion(scored, F.col("label") == 1, F.col("guess") == 1).crossJoin(top_hits(scored))
+        told = told.select(F.lit(group).cast("string").alias("dropped"), "f1", "top_hit_rate")
+        out = told if out is None else out.unionByName(told)
+    whole = out.filter("dropped IS NULL").select(F.col("f1").alias("whole_f1"))
+    return out.crossJoin(whole).select("dropped", "f1", "top_hit_rate", (F.col("f1") - F.col("whole_f1")).alias("delta_f1"))

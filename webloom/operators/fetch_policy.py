@@ -186,16 +186,19 @@ def token_bucket(requests: DataFrame, rate: float = 10.0, burst: int = 10, key:
 
 
 def cache_hits(requests: DataFrame, ttl: Column, key: str = "key", at: str = "ts") -> DataFrame:
-    """requests with ``hit``: whether a stored response was fresh. An entry lives ``ttl`` seconds from its store."""
-    kind = "struct<until:double,hits:array<boolean>>"
+    """key, n_requests, n_hits: requests that met a fresh response. An entry lives ``ttl`` seconds from its store.
+
+    The fold keeps a key's times only, and counts.
+    """
+    kind = "struct<until:double,hits:bigint>"
     times = F.array_sort(F.collect_list(F.struct((F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), ttl.cast("double").alias("ttl"))))
 
     def step(state: Column, r: Column) -> Column:
         hit = F.coalesce(r["t"] < state["until"], F.lit(False))
         return F.struct(
-            F.when(hit, state["until"]).otherwise(r["t"] + r["ttl"]).alias("until"), F.concat(state["hits"], F.array(hit)).alias("hits")
+            F.when(hit, state["until"]).otherwise(r["t"] + r["ttl"]).alias("until"), (state["hits"] + hit.cast("bigint")).alias("hits")
         ).cast(kind)
 
-    start = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast("array<boolean>").alias("hits")).cast(kind)
-    folded = requests.groupBy(key).agg(times.alias("times")).select(key, F.aggregate("times", start, step, lambda s: s["hits"]).alias("hits"))
-    return folded.select(key, F.size("hits").cast("long").alias("n_requests"), F.size(F.filter("hits", lambda h: h)).cast("long").alias("n_hits"))
+    start = F.struct(F.lit(None).cast("double").alias("until"), F.lit(0).alias("hits")).cast(kind)
+    folded = requests.groupBy(key).agg(times.alias("times"))
+    return folded.select(key, F.size("times").cast("long").alias("n_requests"), F.aggregate("times", start, step, lambda s: s["hits"]).alias("n_hits"))

@@ -39,14 +39,25 @@ def link_density() -> Column:
     return F.when(F.col("text_len") > 0, own / F.col("text_len")).otherwise(0.0)
 
 
-def heuristic_scores(found: DataFrame) -> DataFrame:
+def heuristic_limits(scope: float) -> tuple[float, int, float]:
+    """For a breadth from 0 to 1: the text below which unlikely elements go, that of a paragraph at least, and the siblings' share of the best score."""
+    scope = min(max(scope, 0.0), 1.0)
+
+    def at(strict: float, usual: float, wide: float) -> float:
+        return strict + (usual - strict) * scope * 2 if scope <= 0.5 else usual + (wide - usual) * (scope - 0.5) * 2
+
+    return at(50, 200, 500), round(at(50, 25, 10)), at(0.4, 0.2, 0.05)
+
+
+def heuristic_scores(found: DataFrame, scope: float = 0.5) -> DataFrame:
     """page_id, nid, tag, parent, last_desc, class, score, density: containers scored by the paragraphs in them.
 
     Elements with negative names and little text are taken out first, with all they hold
     and what they add to the counters above them. A div without blocks is a paragraph.
     """
+    strip, least, _ = heuristic_limits(scope)
     found = found.filter("NOT skipped")
-    unlikely = F.col("negative") & ~F.col("positive") & (F.col("stripped_len") < 200) & ~F.col("tag").isin("html", "body", "article", "main")
+    unlikely = F.col("negative") & ~F.col("positive") & (F.col("stripped_len") < strip) & ~F.col("tag").isin("html", "body", "article", "main")
     gone = found.filter(unlikely).select(
         "page_id", F.col("nid").alias("g_nid"), F.col("last_desc").alias("g_last"), F.col("text_len").alias("g_text"), F.col("link_len").alias("g_link")
     )
@@ -67,7 +78,7 @@ def heuristic_scores(found: DataFrame) -> DataFrame:
             "tag": F.when((F.col("tag") == "div") & ~F.col("block_child"), "p").otherwise(F.col("tag")),
         }
     )
-    scored = kept.filter(F.col("tag").isin("p", "pre", "td") & (F.col("stripped_len") >= 25))
+    scored = kept.filter(F.col("tag").isin("p", "pre", "td") & (F.col("stripped_len") >= least))
     points = 1 + F.col("commas") + F.least(F.floor(F.col("stripped_len") / 100), F.lit(3))
     parents = kept.select("page_id", F.col("nid").alias("parent"), F.col("parent").alias("grandparent"))
     shares = F.explode(
@@ -83,10 +94,13 @@ def heuristic_scores(found: DataFrame) -> DataFrame:
     )
 
 
-def heuristic_regions(pages: DataFrame) -> DataFrame:
-    """page_id, nid, tag, score, is_best: the best container of each page and the siblings that go with it."""
-    found = checkpointed(nodes(pages))
-    scores = heuristic_scores(found).withColumn("adjusted", F.col("score") * (1 - F.col("density")))
+def heuristic_regions(pages: DataFrame, found: DataFrame | None = None, scope: float = 0.5) -> DataFrame:
+    """page_id, nid, tag, score, is_best: the best container of each page and the siblings that go with it.
+
+    ``found`` are the nodes of pages, if they are there already; ``scope`` is the breadth.
+    """
+    found = checkpointed(nodes(pages)) if found is None else found
+    scores = heuristic_scores(found, scope).withColumn("adjusted", F.col("score") * (1 - F.col("density")))
     rank = Window.partitionBy("page_id").orderBy(F.desc("adjusted"), "nid")
     best = scores.withColumn("n", F.row_number().over(rank)).filter("n = 1").select(
         "page_id", F.col("nid").alias("best"), F.col("parent").alias("of"), F.col("adjusted").alias("best_score"), F.col("class").alias("best_class")
@@ -96,7 +110,7 @@ def heuristic_regions(pages: DataFrame) -> DataFrame:
     same = (F.coalesce(F.col("attrs")["class"], F.lit("")) != "") & (F.col("attrs")["class"] == F.col("best_class"))
     raised = (F.coalesce("score", F.lit(0.0)) + F.when(same, F.col("best_score") * 0.2).otherwise(0.0)) * (1 - link_density())
     is_best = F.col("nid") == F.col("best")
-    good = raised >= F.greatest(F.lit(10.0), F.col("best_score") * 0.2)
+    good = raised >= F.greatest(F.lit(10.0), F.col("best_score") * heuristic_limits(scope)[2])
     text = (F.col("tag") == "p") & (F.col("stripped_len") > 80) & (link_density() < 0.25)
     return around.filter(is_best | good | text).select(
         "page_id", "nid", "tag", F.when(is_best, F.col("best_score")).otherwise(raised).alias("score"), is_best.alias("is_best")
@@ -186,6 +200,14 @@ def content_probability() -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def hand_probability() -> Column:
+    """The probability by hand-set weights, over the feature columns."""
+    z = F.lit(fixed.HAND_BIAS)
+    for name, weight in fixed.HAND_WEIGHTS.items():
+        z = z + F.col(f"f_{name}") * weight
+    return 1 / (1 + F.exp(-z))
+
+
 def node_threshold(scope: float) -> float:
     return max(0.30, min(0.72 - 0.42 * scope, 0.72))
 
@@ -198,17 +220,18 @@ def sibling_ratio(scope: float) -> float:
     return max(0.05, 0.42 - 0.44 * scope)
 
 
-def learned_regions(pages: DataFrame, scope: float = 0.5) -> DataFrame:
+def learned_regions(pages: DataFrame, scope: float = 0.5, found: DataFrame | None = None) -> DataFrame:
     """page_id, nid, tag, score, role: the content regions of each page for a breadth from 0 to 1.
 
     Strong elements vote for their parent and, by half, grandparent; from the best
     region the search goes down while a region inside is nearly as strong. A narrow
     scope keeps that core, a middle one adds up to two siblings, a wide one takes the
     parent. A page without regions gives its body if that has text. At most one row a
-    region and three a page; the regions of a page are few and met in one array.
+    region and three a page; the regions of a page are few and met in one array. ``found`` are
+    the nodes of pages, if they are there already.
     """
     scope = min(max(scope, 0.0), 1.0)
-    found = checkpointed(nodes(pages))
+    found = checkpointed(nodes(pages)) if found is None else found
     scored = content_features(found).withColumn("p", content_probability()).filter(F.col("p") >= node_threshold(scope))
     vote = F.col("p") * F.log1p("stripped_len")
     parents = found.select("page_id", F.col("nid").alias("parent"), F.col("parent").alias("grandparent"))
@@ -250,9 +273,12 @@ def learned_regions(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     return rows.drop("parent").unionByName(bodies.select("page_id", "nid", "tag", F.lit(0.0).alias("score"), F.lit("body").alias("role")))
 
 
-def semantic_container(pages: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """page_id, nid, tag, words: main, else role=main, else the parent of several articles, else the only one."""
-    found = nodes(pages).filter("NOT skipped")
+def semantic_container(pages: DataFrame, least: int = LEAST_WORDS, found: DataFrame | None = None) -> DataFrame:
+    """page_id, nid, tag, words: main, else role=main, else the parent of several articles, else the only one.
+
+    ``found`` are the nodes of pages, if they are there already.
+    """
+    found = (nodes(pages) if found is None else found).filter("NOT skipped")
     n_articles = F.count_if(F.col("tag") == "article").over(Window.partitionBy("page_id"))
     first_article = F.min(F.when(F.col("tag") == "article", F.struct("nid", "parent"))).over(Window.partitionBy("page_id"))
     rows = found.withColumns({"n_articles": n_articles, "first": first_article})

@@ -51,12 +51,12 @@ def main_element(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     """page_id, nid, tag, words, source: the element that a page's document is made of.
 
     The learned core, else the heuristic's best. If that has fewer than 50 words and the
-    body more than 200, the semantic container or the body is taken.
+    body more than 200, the semantic container or the body is taken. Pages are parsed once.
     """
-    found = checkpointed(nodes(pages).select("page_id", "nid", "tag", "words"))
-    learned = readability.learned_regions(pages, scope).filter("role <> 'peer'").select("page_id", F.col("nid").alias("l_nid"))
-    heuristic = readability.heuristic_regions(pages).filter("is_best").select("page_id", F.col("nid").alias("h_nid"))
-    semantic = readability.semantic_container(pages).select("page_id", F.col("nid").alias("s_nid"))
+    found = checkpointed(nodes(pages))
+    learned = readability.learned_regions(pages, scope, found).filter("role <> 'peer'").select("page_id", F.col("nid").alias("l_nid"))
+    heuristic = readability.heuristic_regions(pages, found).filter("is_best").select("page_id", F.col("nid").alias("h_nid"))
+    semantic = readability.semantic_container(pages, found=found).select("page_id", F.col("nid").alias("s_nid"))
     body = found.filter("tag = 'body'").select("page_id", F.col("nid").alias("b_nid"), F.col("words").alias("b_words"))
     chosen = body.join(learned, "page_id", "left").join(heuristic, "page_id", "left").join(semantic, "page_id", "left")
     first = chosen.withColumn("nid", F.coalesce("l_nid", "h_nid", "b_nid")).join(found.select("page_id", "nid", "words"), ["page_id", "nid"])
@@ -64,4 +64,4 @@ def main_element(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     final = F.when(thin, F.coalesce("s_nid", "b_nid")).otherwise(F.col("nid"))
     source = F.when(thin, F.when(F.col("s_nid").isNotNull(), "semantic").otherwise("body")).when(F.col("l_nid").isNotNull(), "learned").otherwise("heuristic")
     picked = first.select("page_id", final.alias("nid"), source.alias("source"))
-    return picked.join(found, ["page_id", "nid"]).select("page_id", "nid", "tag", "words", "source")
+    return picked.join(found.select("page_id", "nid", "tag", "words"), ["page_id", "nid"]).select("page_id", "nid", "tag", "words", "source")

@@ -161,11 +161,27 @@ def _tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.coalesce(found.cast(TOKENS), F.array().cast(TOKENS)))
 
 
-def blocks(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+def looks_like_ixbrl(html: Column) -> Column:
+    """Whether a page is an inline XBRL report."""
+    return F.coalesce(html.rlike(r"(?i)<ix:[a-z]|\sxmlns:ix\s*="), F.lit(False))
+
+
+def without_ixbrl(html: Column) -> Column:
+    """A page without the header of inline XBRL; of its other tags only what they hold is left."""
+    body = F.regexp_replace(html, r"(?is)<ix:header\b.*?</ix:header\s*>", "")
+    return F.regexp_replace(body, r"(?i)</?ix:[a-z][^<>]*>", "")
+
+
+def blocks(pages: DataFrame, skip: tuple[str, ...] = (), prose: bool = False, ixbrl: bool | None = None) -> DataFrame:
     """A row a block: page_id, block_idx, node_type, depth, list_type, text, md, language, uri.
 
-    Elements named in ``skip`` are left out with all they hold. A page that stands twice gives its blocks twice.
+    Elements named in ``skip`` are left out with all they hold. With ``prose`` a pre holds
+    paragraphs with blank lines between them instead of code. The tags of inline XBRL go
+    if ``ixbrl`` is true, or if it is null and a page has them. A page that stands twice gives its blocks twice.
     """
+    if ixbrl is not False:
+        html = F.col("html")
+        pages = pages.withColumn("html", F.when(F.lit(True) if ixbrl else looks_like_ixbrl(html), without_ixbrl(html)).otherwise(html))
     rows = _tokens(_placed(_visible(events(pages).repartition("doc"), skip)))
     opens = F.expr(OPEN)
     code_language = F.when(opens & (F.col("tag") == "code") & (F.col("code") > 0), _language())
@@ -193,6 +209,11 @@ def blocks(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     null = F.lit(None).cast("string")
     own = F.array(F.struct("node_type", "in_kind.depth", "in_kind.list_type", "text", shown.alias("md"), "language")).cast(BLOCK)
     rule = F.array(F.struct(F.lit("ThematicBreak"), null.cast("int"), null, F.lit(""), F.lit("---"), null)).cast(BLOCK)
+    if prose:
+        parts = F.filter(F.transform(F.split(raw, rf"\n(?:{SPACE}*\n)+"), _collapsed), lambda p: p != "")
+        shown = lambda p: F.concat(F.repeat(F.lit("> "), F.col("quotes").cast("int")), p)
+        paragraph = lambda p: F.struct(F.lit("Paragraph"), null.cast("int"), null, p, shown(p), null)
+        own = F.when(F.col("is_code"), F.transform(parts, paragraph).cast(BLOCK)).otherwise(own)
     empty = F.array().cast(BLOCK)
     there = (_stripped(F.col("text")) != "") & (F.col("node_type") != "Cell")
     each = listed.select("doc", "page_id", "url", "seg", F.posexplode(F.concat(F.when(F.col("rule"), rule).otherwise(empty), F.when(there, own).otherwise(empty))).alias("nth", "b"))

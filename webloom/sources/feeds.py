@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from webloom.functions.markup import attributes, decoded, scan
 from webloom.runtime import checkpointed, spread
 
+#: Items of a feed and characters of a description that a bounded reading keeps.
 MOST_ITEMS, MOST_DESCRIPTION = 1000, 2000
 ITEMS = (
     "feed_id long, format string, feed_title string, feed_link string, item int, title string, link string,"
@@ -71,8 +72,11 @@ def _atom_link(node: Node) -> str | None:
     return other
 
 
-def feed_rows(body: str) -> tuple[dict, list[dict]]:
-    """A feed's own fields and its items; format ``unknown`` and no items if it is no feed."""
+def feed_rows(body: str, most: int | None = MOST_ITEMS, longest: int | None = MOST_DESCRIPTION) -> tuple[dict, list[dict]]:
+    """A feed's own fields and its items; format ``unknown`` and no items if it is no feed.
+
+    The first ``most`` items are kept and descriptions cut to ``longest`` characters; None keeps all.
+    """
     top = read_xml(body)
     root = next((c for c in top.children if c.name in ("rss", "feed", "RDF")), None)
     if root is not None and root.name == "feed":
@@ -86,7 +90,7 @@ def feed_rows(body: str) -> tuple[dict, list[dict]]:
         entries = [c for c in channel.children if c.name == "item"]
     items = []
     for entry in entries:
-        if len(items) == MOST_ITEMS:
+        if len(items) == most:
             break
         if head["format"] == "atom":
             person = entry.first("author")
@@ -104,14 +108,18 @@ def feed_rows(body: str) -> tuple[dict, list[dict]]:
         item |= {"title": entry.value("title") or "", "categories": [x for x in labels if x]}
         if item["title"] or item["link"]:
             text = item["description"]
-            if text and len(text) > MOST_DESCRIPTION:
-                item["description"] = text[:MOST_DESCRIPTION] + "…"
+            if text and longest is not None and len(text) > longest:
+                item["description"] = text[:longest] + "…"
             items.append(item | {"item": len(items) + 1})
     return head, items
 
 
-def parse_feeds(docs: DataFrame) -> DataFrame:
-    """One row an item of each feed of (feed_id, body); a feed without items has one row without item."""
+def parse_feeds(docs: DataFrame, most: int | None = None, longest: int | None = None) -> DataFrame:
+    """One row an item of each feed of (feed_id, body); a feed without items has one row without item.
+
+    Everything is kept unless ``most`` bounds the items of a feed (MOST_ITEMS is usual) and
+    ``longest`` the characters of a description (MOST_DESCRIPTION).
+    """
     names = [x.split()[0] for x in ITEMS.split(", ")]
     kinds = {"feed_id": pa.int64(), "item": pa.int32(), "categories": pa.list_(pa.string())}
 
@@ -119,7 +127,7 @@ def parse_feeds(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for feed_id, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head, items = feed_rows(body or "")
+                head, items = feed_rows(body or "", most, longest)
                 rows += [{"feed_id": feed_id} | head | item for item in items or [{}]]
             arrays = [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names)

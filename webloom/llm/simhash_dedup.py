@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from webloom.llm.blocks import Forest, in_blocks
+from webloom.llm.blocks import Forest
 from webloom.llm.components import least_reachable
 from webloom.llm.runtime import checkpointed
 
@@ -34,6 +34,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 SHARD, SAMPLE, TRIALS = 4096, 16_384, 16
 #: Trees below each other at most, bits of a shard's number for each, and rows of a shard that one task routes.
 ROUNDS, ROUND_BITS, PART = 4, 12, 1 << 18
+#: Rows that only visit a shard, as a multiple of those that live there, that one block holds; comparisons done in one go.
+GUESTS, COMPARED = 4, 1 << 21
 #: Share of a node's rows that may have to go both ways; beyond it the two sides cost more pairs than the node.
 MOST_BOTH = 0.4
 #: Bytes of a text whose words are looked at in one go.
@@ -225,17 +227,37 @@ def _split(routed: DataFrame, large: DataFrame, seed: int, shard: int, sample: i
     return dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(route, ROUTED)
 
 
+def _blocks(held: DataFrame, chunk: int) -> GroupedData:
+    """held in blocks (tree, shard, lo, hi) of rows that live in chunk lo and all rows of chunk hi.
+
+    Of two rows that meet one lives in the shard, so visitors aren't paired with each
+    other. Those that live there and those that visit are dealt to chunks by hash; a shard
+    of usual size has one of each and is one block, whose rows stand in it once.
+    """
+    keys, zero = ["tree", "shard"], F.lit(0).cast("long")
+    lives = F.ceil(F.count_if("home") / chunk).alias("lives")
+    visits = F.ceil(F.count_if(~F.col("home")) / (GUESTS * chunk))
+    sizes = held.groupBy(*keys).agg(lives, F.greatest(F.ceil(F.count_if("home") / chunk), visits).alias("chunks"), visits.alias("visits"))
+    dealt = held.join(sizes.filter("lives > 0"), keys)
+    own = F.pmod(F.xxhash64("fingerprint"), F.when(F.col("home"), F.col("lives")).otherwise(F.col("visits")))
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    left = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda hi: pair(F.col("own"), hi))
+    right = F.transform(F.sequence(zero, F.col("lives") - 1), lambda lo: pair(lo, F.col("own")))
+    block = F.explode(F.when(F.col("home"), F.array_union(left, right)).otherwise(right))
+    columns = [*keys, "home", "node", "fingerprint", "own"]
+    return dealt.withColumn("own", own).select(*columns, block.alias("block")).select(*columns, "block.*").groupBy(*keys, "lo", "hi")
+
+
 def _match(table: pa.Table) -> pa.Table:
     """The forest of the fingerprints of one block that differ in BITS bits at most."""
     words = table.column("fingerprint").to_numpy().view(np.uint64)
     nodes, home = table.column("node").to_numpy(), table.column("home").to_numpy()
     own, lo, hi = (table.column(c).to_numpy() for c in ("own", "lo", "hi"))
-    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    forest = Forest(len(words))
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
+    left, right = np.flatnonzero(home & (own == lo)), np.flatnonzero(own == hi)
+    forest, step = Forest(len(words)), max(COMPARED // max(len(right), 1), 1)
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
         close = np.bitwise_count(words[rows][:, None] ^ words[right]) <= BITS
-        close &= home[rows][:, None] | home[right]
         close &= rows[:, None] != right
         for i in np.flatnonzero(close.any(axis=1)):
             forest.link(rows[i], right[close[i]])
@@ -269,7 +291,7 @@ def in_shards(prints: DataFrame, seed: int = SEED, shard: int = SHARD, sample: i
 def linked(prints: DataFrame, seed: int = SEED, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Edges (a, b) that connect the nodes of (node, fingerprint), fingerprints distinct, as their links do."""
     held = in_shards(prints, seed, shard, sample)
-    return in_blocks(held, ["tree", "shard"], "fingerprint", 2 * shard).applyInArrow(_match, "a long, b long")
+    return _blocks(held, 2 * shard).applyInArrow(_match, "a long, b long")
 
 
 def _grouped(prints: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def _split(routed: DataFrame, large: DataFrame, seed: int, shard: int, sample: i
     """The rows of large shards (tree, shard, rows) in the shards of trees of their own."""
 
     def fit(table: pa.Table) -> pa.Table:
-        words, rows = table.column("fingerprint").to_numpy().view(np.uint64), table.column("rows")[0].as_py()
+        words, rows = np.sort(table.column("fingerprint").to_numpy().view(np.uint64)), table.column("rows")[0].as_py()
         shards = min(-(-rows // shard), 1 << ROUND_BITS)
         tree = Tree(_half(words, table.column("tree")[0].as_py()), shards, seed)
         if tree.shards == 1:  # too many equal halves: whole fingerprints can still differ
@@ -270,7 +270,8 @@ def in_shards(prints: DataFrame, seed: int = SEED, shard: int = SHARD, sample: i
     n = prints.count()
     share = min(sample / max(n, 1), 1 / 8)
     drawn = F.pmod(F.xxhash64(F.lit(seed), "fingerprint"), F.lit(1 << 30)) < int(share * (1 << 30))
-    taken = prints.filter(drawn).select("fingerprint").toPandas()["fingerprint"].to_numpy(np.int64).view(np.uint64)
+    taken = prints.filter(drawn).select("fingerprint").toPandas()["fingerprint"].to_numpy(np.int64)
+    taken = np.sort(taken.view(np.uint64))  # the same trees in every run
     trees = [Tree(_half(taken, i), -(-n // shard), seed + i) for i in range(2)]
     # The fingerprints of one shard of the first trees and below come to about n / shards, whatever n is.
     open_, done = checkpointed(_routed(prints, trees)), []

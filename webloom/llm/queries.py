@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import (
+    ball_clusters,
     chat_format,
     embedding_dedup,
+    exact_dedup,
+    filter_audit,
     html_extract,
     language_id,
     mixing,
@@ -175,6 +178,91 @@ SELECT page_id, url, text, length(text) AS n_chars FROM plain
 """
 
 
+def op11_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS n FROM d WINDOW w AS (PARTITION BY t))
+SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = ball_clusters.clusters(read_table(spark, sf_dir, "embeddings"))
+    digests = F.array(*map(F.lit, ball_clusters.centroid_digests(centroids))).cast("array<string>")
+    return found.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
+def _op12_sql() -> str:
+    """Each round is a few tables of its own: distances, assignment, centroids."""
+    near = """a{r} AS (SELECT vec_id, e, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (e[i] - c.c[i]) * (e[i] - c.c[i])))::BIGINT AS distance
+    FROM v JOIN c{r} c ON true QUALIFY row_number() OVER (PARTITION BY v.at ORDER BY distance, c.cluster) = 1)"""
+    mean = """m{r} AS (SELECT cluster, i, sum(e[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+n{r} AS (SELECT cluster, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS c FROM m{r} GROUP BY cluster),
+c{next} AS (SELECT cluster, coalesce(n.c, c.c) AS c FROM c{r} c LEFT JOIN n{r} n USING (cluster))"""
+    start = """WITH v AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER () AS at, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1)::INTEGER AS cluster, e AS c FROM v QUALIFY cluster < 40)"""
+    parts = [start]
+    for r in range(5):
+        parts += [near.format(r=r).replace(" AS (", " AS MATERIALIZED (", 1), mean.format(r=r, next=r + 1)]
+    parts.append(near.format(r=5).replace(" AS (", " AS MATERIALIZED (", 1))
+    return ",\n".join(parts) + """
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+    sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c5.c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+    SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d
+), l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+        CASE WHEN len(words) < 100 THEN 'A' ELSE '' END,
+        CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+        CASE WHEN e THEN 'E' ELSE '' END) AS failed
+    FROM w LEFT JOIN l USING (doc_id)
+), k AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+    SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM x p JOIN x q ON q.c <> p.c JOIN x r ON r.c NOT IN (p.c, q.c)
+    JOIN x s ON s.c NOT IN (p.c, q.c, r.c) JOIN x t ON t.c NOT IN (p.c, q.c, r.c, s.c)
+), steps AS (
+    SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+    FROM o, range(1, 6) r(step)
+), counted AS (
+    SELECT part, filter_order, step, own,
+        sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM (SELECT *, contains(failed, own) AS fails, before <> '' AND translate(failed, before, '') <> failed AS gone FROM k, steps)
+    GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM counted
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator of the subpackage over its whole table."""
     return {
@@ -188,6 +276,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_lexical_packing": op9_lexical_packing,
         "op10_html_main_text": op10_html_main_text,
+        "op11_patricia_dedup": op11_patricia_dedup,
+        "op12_ball_tree_clusters": op12_ball_tree_clusters,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -198,4 +289,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_collision_dedup": OP2_SQL,
         "op5_chat_format": OP5_SQL,
         "op10_html_main_text": OP10_SQL,
+        "op11_patricia_dedup": OP11_SQL,
+        "op12_ball_tree_clusters": OP12_SQL,
+        "op13_filter_audit": OP13_SQL,
     }

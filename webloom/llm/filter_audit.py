@@ -2,9 +2,10 @@
 
 Four filters look at a text alone; the fifth removes a text that a smaller doc_id also has.
 For that one, rows are range-sorted by text fingerprint, full text and doc_id, and each row
-is compared with its predecessor. Where a partition goes on with the last text of the one
-before, pairs of neighbouring partitions compare those texts, and the least doc_id of the
-run is handed on; the driver sees three numbers a partition.
+is compared with its predecessor. Bounds of partitions are drawn by fingerprint (SHA-256) and
+doc_id alone, so the driver's sample holds no texts. Where a partition goes on with the last
+text of the one before, pairs of neighbouring partitions compare those texts, and the least
+doc_id of the run is handed on; the driver sees three numbers a partition.
 
 A document is then a mask of its failures. Masks are counted by part, which adds up across
 tasks, and every order of the filters is worked out from these counts alone.
@@ -92,14 +93,14 @@ def _sorted_masks(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.xxhash64(text).alias("print"),
+        F.unhex(F.sha2(text, 256)).alias("print"),
         text.cast("binary").alias("text"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
         F.monotonically_increasing_id().alias("at"),  # rows that are equal otherwise can be split, too
     )
-    by = ["print", "text", F.asc_nulls_last("doc_id"), "at"]
-    return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(compare, MASKS)
+    last = [F.asc_nulls_last("doc_id"), "at"]
+    return rows.repartitionByRange("print", *last).sortWithinPartitions("print", "text", *last).mapInArrow(compare, MASKS)
 
 
 def _handed_on(edges: DataFrame) -> list[tuple[int, int]]:

@@ -231,11 +231,37 @@ def test_blocks(spark):
 y</code></pre><blockquote><p>q</p></blockquote><hr><span class="sr-only">hid</span><dl><dt>t<dd>d</dl><a href="/vote?id=1">up</a>"""
     df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
     found = blocks.blocks(df).orderBy("block_idx").collect()
-    assert plain_blocks.page_blocks(page)[2]["md"] == "a **b** [c](/l)[d]()"
-    assert [(b["node_type"], b["md"]) for b in found] == [
-        ("Heading", "# T"), ("Paragraph", "x"), ("Paragraph", "a **b** [c](/l)[d]()"), ("ListItem", "3. i"), ("ListItem", "4. j"), ("ListItem", "  - k"),
+    assert plain_blocks.page_blocks(page)[2]["md"] == "a **b** [c](/l)d"
+    assert [(b["node_type"], b["md"]) for b in found if b["md"]] == [
+        ("Heading", "# T"), ("Paragraph", "x"), ("Paragraph", "a **b** [c](/l)d"), ("ListItem", "3. i"), ("ListItem", "4. j"), ("ListItem", "  - k"),
         ("CodeBlock", "```python\nx = 1\ny\n```"), ("Paragraph", "> q"), ("ThematicBreak", "---"), ("DefinitionTerm", "t"), ("Definition", "d"),
     ]
+    assert [(b["node_type"], b["parent_idx"], b["number"]) for b in found if not b["md"]] == [
+        ("OrderedList", None, 3), ("BulletList", 5, 1), ("BlockQuote", None, None), ("DefinitionList", None, None),
+    ]
+    assert {(b["uri"], b["mime_type"], b["extractor"]) for b in found} == {("u", "text/html", "webloom")}
+
+
+def test_targets_of_links_and_pictures(spark):
+    page = """<p><a href="/about">About</a> <a href="javascript:alert(1)">Bad</a> and <a href="https://safe.com">safe</a> <a href=" DATA:x">d</a><a href="">e</a></p>
+    <img data-src="/real.jpg" src="/x.gif" alt="T"><img src="javascript:x"><figure><img src=f.png><figcaption>F</figcaption></figure><a href="p?q"><h2>H</h2></a>"""
+    found = blocks.blocks(spark.createDataFrame([(1, "https://example.com/d/page", page)], "page_id long, url string, html string")).orderBy("block_idx").collect()
+    assert [(r.node_type, r.md) for r in found] == [
+        ("Paragraph", "[About](https://example.com/about) Bad and [safe](https://safe.com) de"), ("Paragraph", "![T](https://example.com/real.jpg)"),
+        ("Figure", ""), ("Paragraph", "![](https://example.com/d/f.png)"), ("Caption", "F"), ("Heading", "## [H](https://example.com/d/p?q)"),
+    ]
+    assert found[0].text == "About Bad and safe de"
+
+
+@pytest.mark.parametrize("depth", [200])
+def test_blocks_of_deep_and_long_pages(spark, depth):
+    """A long paragraph of many pieces takes time in proportion to them."""
+    pages = [(1, "u", "<ul><li>" * depth + "x"), (2, "u", "<p>" + "<b>a</b> <i>b</i> " * 50_000), (3, "u", "<div>" * 9000 + "y")]
+    began = time.monotonic()
+    found = blocks.blocks(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert time.monotonic() - began < 60
+    assert {r.page_id: r.text for r in found if r.text}[1] == "x" and sum(r.page_id == 1 for r in found) == 2 * depth
+    assert next(r.md for r in found if r.page_id == 2) == " ".join(["**a** *b*"] * 50_000)
 
 
 def test_cells(spark):
@@ -250,6 +276,10 @@ ODD_PAGES = [
     "<p>x<img src=a.png alt=A><img alt=none><img data-src=b><a href='JavaScript:y'>z</a><a>w</a>", "<hr><hr>a<hr>", "<div class='x noprint'>h<p>i</p></div>j<nav>k</nav>",
     "<h2>a <a href='/x'><b> link </b></a> z</h2><dl><dt>t<dd>d<p>e</dl>", "<table><caption>c</caption><tr><td>a<p>b</table>after\u00a0\u2003x", "<a href='hide?id=1'>gone</a>kept<script>s</script>",
     "<p>a<s>b</s><code> c </code><del>d", "<ul><li>a</li></ul><ul><li>b</li><li>c</li></ul><ol start=x><li>d</ol>",
+    "<b><b>q<i> r </i></b></b>H<sub>2</sub>O<sup> n</sup><b>x</b><b>y</b>", "<ul><li><p>one</p><p>two<li><pre>c\nd</pre><li><ul><li>deep</ul>tail<li><h3>h</h3>t<blockquote>q<p>r</blockquote></ul>",
+    "<table><thead><tr><th>a|b<td>c</thead><tr><td colspan=2>x<p>y<b>z</b><table><tr><td>in<td></table>end<tr><th>1<tr></table>", "<dl><dt>a<dt>b<dd>c<dd>d<dt>e<dd><ul><li>f</ul></dl>",
+    "<blockquote><ol start=9><li>a<pre>x\ny</pre><li><table><tr><th>h</table></ol></blockquote><figure><img src=/f.png></figure><figure></figure><ul><li> </li></ul>",
+    "<table><tr><td> <td></table><table><caption>c<tr><td><table><tr><td>only</table></table><a href=/x>l <a href=/y>m</a></a><code>a<b>b</b></code><td>stray",
 ]
 
 
@@ -258,8 +288,8 @@ def test_blocks_equal_a_plain_loop(spark, skip):
     pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(ODD_PAGES)], "page_id long, url string, html string")
     real = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url", "html")
     pages = pages.unionByName(real)
-    fields = ("block_idx", "node_type", "depth", "list_type", "text", "md", "language")
-    want = [(r.page_id, *(b.get(f) for f in fields)) for r in pages.collect() for b in plain_blocks.page_blocks(r.html or "", frozenset(skip))]
+    fields = ("block_idx", "parent_idx", "node_type", "depth", "list_type", "number", "text", "md", "language")
+    want = [(r.page_id, *(b.get(f) for f in fields)) for r in pages.collect() for b in plain_blocks.page_blocks(r.html or "", frozenset(skip), r.url)]
     found = [(r.page_id, *(r[f] for f in fields)) for r in blocks.blocks(pages, skip).collect()]
     assert sorted(map(str, found)) == sorted(map(str, want))
 

@@ -1,9 +1,11 @@
-"""Pages as rows of text blocks, with their markdown.
-
-The parser gives one row for each start tag, end tag and text. All that follows are
-running sums and last values over the rows of a page, which one shuffle brings together:
-how deep a row stands in hidden elements, lists, quotes and code, which block begins, and
-where a mark of emphasis opens and closes. A block is a group of rows.
+"""Pages as trees of text blocks, with their markdown.
+
+The parser gives a row for each text, break and picture with the inline elements and the boxes
+around it. A run of them is a block: marks of emphasis and links open and close where the
+inline elements of neighbouring pieces differ, so empty and repeated elements give none, white
+space stays outside of them, and an inline element around blocks stands inside of each. Boxes are
+lists, quotes, definitions, figures and tables; those around a run are its ancestors,
+and the parent of a block is the last one opened a level above it.
 """
 
 from __future__ import annotations
@@ -11,23 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions import fixed
 from webloom.sources.dom import events
+from webloom.sources.pieces import pieces
 
-#: Class names of parts that readers don't see, last path segments of action links, elements outside the text.
-HIDDEN = ("mw-editsection", "mw-jump-link", "sr-only", "visually-hidden", "noprint")
-ACTION, LANGUAGE = r"(?:^|/)(?:vote|hide|flag|upvote)\?", r"(?:^|\s)(?:language-|lang-|highlight-)([\w+#.-]+)"
-HEADINGS = {f"h{i}": i for i in range(1, 7)}
-LEAVES = {"p": "Paragraph", "li": "ListItem", "pre": "CodeBlock", "dt": "DefinitionTerm", "dd": "Definition", "figcaption": "Caption", "caption": "Caption", "td": "Cell", "th": "Cell"}
-BREAKS = "address article aside blockquote body div dl fieldset figure footer form header html main nav ol section table tbody thead tfoot tr ul".split()
-MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "s": "~~", "del": "~~"}
-LISTS = ("ul", "ol")
+#: What stands before and after an inline element, by its mark; markdown has no sub and sup, so they stay HTML.
+MARKS = {"strong": ("**", "**"), "em": ("*", "*"), "code": ("`", "`"), "del": ("~~", "~~"), "sub": ("<sub>", "</sub>"), "sup": ("<sup>", "</sup>"), "a": ("[", "](")}
+MIME, EXTRACTOR = "text/html", "webloom"
 #: White space as it is for texts: that of Unicode and four control characters.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-BLOCK = "array<struct<node_type:string,depth:int,list_type:string,text:string,md:string,language:string>>"
-TOKENS = "array<struct<pos:int,place:int,n:int,md:string>>"
-
-
 def _named(tag: Column, names: dict) -> Column:
     """The value of a tag in names; null if it has none."""
     out = F.lit(None)
@@ -49,10 +42,6 @@ def _attr(name: str) -> Column:
     return F.coalesce(F.col("attrs")[name], F.lit(""))
 
 
-def _language() -> Column:
-    return F.nullif(F.regexp_extract(_attr("class"), LANGUAGE, 1), F.lit(""))
-
-
 OPEN, CLOSE = "kind = 'open'", "kind = 'close'"
 
 
@@ -61,104 +50,93 @@ def _step(what: Column) -> Column:
     return F.when(F.expr(OPEN) & what, 1).when(F.expr(CLOSE) & what, -1).otherwise(0)
 
 
-def _lines(*by: str, backward: bool = False) -> Window:
+def _lines(*by: str) -> Window:
     """The rows of a document, or of parts of it, up to the present one."""
-    order = F.desc("pos") if backward else F.col("pos")
-    return Window.partitionBy("doc", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _visible(rows: DataFrame, skip: tuple[str, ...]) -> DataFrame:
-    """Rows outside of elements that are left out."""
-    tag = F.col("tag")
-    named = F.arrays_overlap(F.split(_attr("class"), f"{SPACE}+"), F.array(*map(F.lit, HIDDEN)))
-    gone = F.col("skipped") | tag.isin("head", *skip) | ((tag == "a") & _attr("href").rlike(ACTION)) | named
-    marked = rows.withColumn("gone", F.coalesce(gone, F.lit(False)))
-    hidden = F.sum(_step(F.col("gone"))).over(_lines()) + (F.expr(CLOSE) & F.col("gone")).cast("int")
-    return marked.withColumn("hidden", hidden).filter("hidden = 0").drop("hidden", "gone")
+    return Window.partitionBy("doc", *by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows with their segment, list, kind of block, quotes and whether they stand in code."""
-    tag, opens = F.col("tag"), F.expr(OPEN)
-    kind = F.coalesce(_named(tag, dict.fromkeys(HEADINGS, "Heading")), _named(tag, LEAVES))
-    cut = (~F.col("kind").isin("text") & (kind.isNotNull() | tag.isin(*BREAKS))) | (opens & (tag == "hr"))
-    line = _lines()
-    rows = rows.withColumn("block", kind).withColumns(
-        {
-            "seg": F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(line),
-            "kinds": F.sum(_step(F.col("block").isNotNull())).over(line),
-            "lists": F.sum(_step(tag.isin(*LISTS))).over(line),
-            "quotes": F.sum(_step(tag == "blockquote")).over(line),
-            "code": F.sum(_step(tag == "pre")).over(line),
-        }
+def _inline(rows: DataFrame) -> DataFrame:
+    """A row a run: doc, page_id, url, seg, pos, raw, marked (its markdown), language, marker, own, run."""
+    shown = F.coalesce("md", "raw", F.lit(""))
+    piece = F.struct(
+        "pos", "raw", "parted", "path", _stripped(shown).alias("core"), shown.rlike(f"^{SPACE}").alias("lead"), shown.rlike(f"{SPACE}$").alias("trail")
     )
-    start = F.when(_attr("start").rlike("^[0-9]+$"), _attr("start").cast("int")).otherwise(1)
-    own_list = F.when(opens & tag.isin(*LISTS), F.struct("nid", "tag", start.alias("start")))
-    rows = rows.withColumn("list", F.last(own_list, True).over(_lines("lists")))
-    rows = rows.withColumn("list", F.when(F.col("lists") > 0, F.col("list"))).withColumn("list_id", F.coalesce("list.nid", F.lit(-1)))
-    items = F.sum(F.when(opens & (tag == "li"), 1).otherwise(0)).over(_lines("list_id"))
-    item = tag == "li"
-    own_kind = F.struct(
-        F.col("block").alias("node_type"),
-        F.when(item, F.greatest("lists", F.lit(1))).otherwise(_named(tag, HEADINGS)).cast("int").alias("depth"),
-        F.when(item, F.when(F.col("list.tag") == "ol", "ordered").otherwise("bullet")).alias("list_type"),
-        F.when(item, F.when(F.col("list").isNotNull(), F.col("list.start") - 1 + items).otherwise(1)).cast("int").alias("number"),
-        F.when(tag == "pre", F.coalesce(F.nullif(_attr("data-lang"), F.lit("")), _language())).alias("language"),
-    )
-    rows = rows.withColumn("own_kind", F.when(opens & F.col("block").isNotNull(), own_kind))
-    innermost = F.last("own_kind", True).over(_lines("kinds"))
-    return rows.withColumn("in_kind", F.when(F.col("kinds") > 0, innermost))
-
-
-def _tokens(rows: DataFrame) -> DataFrame:
-    """Rows with ``raw``, their text, and ``tokens``, the pieces of markdown that they give, with their places.
-
-    A mark of emphasis stands before the first and after the last piece inside that isn't blank; it ends with its block.
-    """
-    tag, href = F.col("tag"), _attr("href")
-    opens, closes, texts = F.expr(OPEN), F.expr(CLOSE), F.col("kind") == "text"
-    source = F.coalesce(F.nullif(_attr("data-src"), F.lit("")), F.nullif(_attr("src"), F.lit("")))
-    image = F.concat(F.lit("!["), _attr("alt"), F.lit("]("), source, F.lit(")"))
-    safe = ~href.rlike(rf"(?i)^\s*({'|'.join(fixed.UNSAFE_SCHEMES)}):")
-    piece = (
-        F.when(texts, F.col("text")).when(opens & (tag == "br"), " ").when(opens & (tag == "img"), image)
-        .when(opens & (tag == "a") & (href != ""), "[")
-        .when(closes & (tag == "a") & (href != ""), F.concat(F.lit("]("), F.when(safe, href).otherwise(""), F.lit(")")))
-    )
-    raw = F.when(texts, F.col("text")).when(opens & (tag == "br"), F.when(F.col("code") > 0, "\n").otherwise(" "))
-    rows = rows.withColumn("raw", raw).withColumn("piece", piece).withColumn("core", _stripped(F.col("piece")))
-    full = F.when(F.col("core") != "", F.col("pos"))
-    mark = F.when(~texts & (F.col("code") == 0), _named(tag, MARKS))
-    element = Window.partitionBy("doc", "nid")
-    rows = rows.withColumn("full", full).withColumn("mark", mark).withColumns(
-        {
-            "opened": F.max(F.when(opens, F.struct("seg", "pos"))).over(element),
-            "closed": F.max(F.when(closes, F.struct("seg", "pos"))).over(element),
-            "before": F.last("full", True).over(_lines("seg")),
-            "after": F.last("full", True).over(_lines("seg", backward=True)),
-            "final": F.max("full").over(Window.partitionBy("doc", "seg")),
-        }
+    said = F.struct("pos", "language")
+    runs = rows.withColumn("piece", piece).groupBy("doc", "page_id", "url", "seg").agg(
+        F.sort_array(F.collect_list("piece")).alias("pieces"),
+        F.first("run", True).alias("run"),
+        F.min("pos").alias("pos"),
+        F.min(F.when(F.col("language").isNotNull(), said))["language"].alias("language"),
+        F.max("marker").alias("marker"),
+        F.max("own").alias("own"),
     )
-
-    def token(pos: Column, place: int, n: Column, md: Column) -> Column:
-        return F.struct(pos.alias("pos"), F.lit(place).alias("place"), n.alias("n"), md.alias("md"))
-
-    none, here, nid = F.lit(0), F.col("pos"), F.col("nid")
-    lead, tail = F.regexp_extract("piece", f"^({SPACE}*)", 1), F.regexp_extract("piece", f"({SPACE}*)$", 1)
-    whole = F.array(token(here, 0, none, lead), token(here, 2, none, F.col("core")), token(here, 4, none, tail))
-    blank = F.array(token(here, 2, none, F.col("piece")))
-    ends_here = F.coalesce(F.col("closed.seg") == F.col("seg"), F.lit(False))
-    opening = F.array(token(F.col("after"), 1, nid, F.col("mark")))
-    until_end = F.concat(opening, F.array(token(F.col("final"), 3, -nid, F.col("mark"))))
-    closing = F.array(token(F.col("before"), 3, -nid, F.col("mark")))
-    found = (
-        F.when(F.col("mark").isNotNull() & opens & ends_here, F.when(F.col("after") < F.col("closed.pos"), opening))
-        .when(F.col("mark").isNotNull() & opens, F.when(F.col("after").isNotNull(), until_end))
-        .when(F.col("mark").isNotNull(), F.when((F.col("opened.seg") == F.col("seg")) & (F.col("before") > F.col("opened.pos")), closing))
-        .when(F.col("core") != "", whole)
-        .when(F.col("piece").isNotNull(), blank)
+    raw = F.array_join(F.transform("pieces", lambda x: F.concat(F.when(x["parted"], " ").otherwise(""), F.coalesce(x["raw"], F.lit("")))), "")
+
+    def spaced(x: Column, i: Column) -> Column:
+        gap = x["parted"] | x["lead"] | ((i > 0) & F.coalesce(F.get("pieces", i - 1)["trail"], F.lit(False)))
+        return F.struct(x["core"].alias("core"), x["path"].alias("path"), gap.alias("gap"))
+
+    # A blank piece ends in white space, so a gap is seen from the piece behind it.
+    full = F.filter(F.transform("pieces", spaced), lambda x: x["core"] != "")
+    runs = runs.select("doc", "page_id", "url", "seg", "pos", "run", "language", "marker", "own", raw.alias("raw"), full.alias("full"))
+
+    def differing(path: Column, other: Column) -> Column:
+        return F.filter(path, lambda e: ~F.exists(F.coalesce(other, F.array().cast("array<struct<nid:int,mark:string,href:string>>")), lambda o: o["nid"] == e["nid"]))
+
+    def joined(x: Column, i: Column) -> Column:
+        opening = F.transform(differing(x["path"], F.get("full", i - 1)["path"]), lambda e: _named(e["mark"], {k: v[0] for k, v in MARKS.items()}))
+        closing = F.transform(
+            F.reverse(differing(x["path"], F.get("full", i + 1)["path"])),
+            lambda e: F.when(e["mark"] == "a", F.concat(F.lit("]("), e["href"], F.lit(")"))).otherwise(_named(e["mark"], {k: v[1] for k, v in MARKS.items()})),
+        )
+        gap = F.when(x["gap"] & (i > 0), " ").otherwise("")
+        core = F.regexp_replace(x["core"], f"{SPACE}+", " ")
+        return F.concat(gap, F.array_join(opening, ""), core, F.array_join(closing, ""))
+
+    return runs.withColumn("marked", F.array_join(F.transform("full", joined), "")).drop("full")
+
+
+def _prefixed(found: DataFrame) -> DataFrame:
+    """found with ``md`` behind what its boxes put before its lines: quotes, the marker of an item, or its indentation."""
+    li = F.element_at(F.concat(F.array(F.lit(-1)), F.transform(F.filter("boxes", lambda b: b["kind"] == "ListItem"), lambda b: b["pos"])), -1)
+    mark = lambda b: F.when(b["ordered"], F.concat(b["number"].cast("string"), F.lit(". "))).otherwise("- ")
+
+    def before(first: bool):
+        own = lambda b: F.when(F.lit(first) & F.col("marker") & (b["pos"] == li), mark(b)).otherwise("  ")
+        return F.array_join(F.transform("boxes", lambda b: F.when(b["kind"] == "BlockQuote", "> ").when(b["kind"] == "ListItem", own(b)).otherwise("")), "")
+
+    found = found.withColumn("first", before(True)).withColumn("rest", before(False))
+    lines = F.array_join(F.transform(F.split("md", "\n"), lambda x: F.concat("rest", x)), "\n")
+    md = F.when(F.col("md") == "", "").when(F.instr("md", "\n") == 0, F.concat("first", "md")).otherwise(F.concat("first", F.substring(lines, F.char_length("rest") + 1, F.char_length(lines))))
+    return found.withColumn("md", md).drop("first", "rest")
+
+
+def _with_tables(runs: DataFrame) -> DataFrame:
+    """Rows of runs (pos, cell, leaf, boxes, marker, own) with the cells of a table as one row, its leaf a table."""
+    is_cell, box = F.col("cell").isNotNull(), F.element_at("boxes", -1)
+    at = F.when(is_cell, box["pos"]).otherwise(F.col("pos"))
+    found = runs.groupBy("doc", "page_id", "url", at.alias("pos")).agg(
+        F.sort_array(F.collect_list("cell")).alias("cells"),
+        F.max("leaf").alias("leaf"),
+        F.first(F.when(is_cell, F.slice("boxes", F.lit(1), F.size("boxes") - 1)).otherwise(F.col("boxes"))).alias("boxes"),
+        F.max("marker").alias("marker"),
+        F.max("own").alias("own"),
     )
-    return rows.withColumn("tokens", F.coalesce(found.cast(TOKENS), F.array().cast(TOKENS)))
+    found = found.filter(F.col("leaf").isNotNull() | F.exists("cells", lambda c: c["md"] != ""))
+    numbers = F.array_distinct(F.transform("cells", lambda c: c["row"]))
+    found = found.withColumn("rows", F.transform(numbers, lambda n: F.filter("cells", lambda c: c["row"] == n)))
+    found = found.withColumn("width", F.array_max(F.transform("rows", lambda r: F.aggregate(r, F.lit(0), lambda a, c: a + c["span"]))))
+    spanned = lambda r: F.flatten(F.transform(r, lambda c: F.concat(F.array(c["md"]), F.array_repeat(F.lit(""), c["span"] - 1))))
+    filled = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.col("width") - F.size(r), F.lit(0))))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(filled(spanned(r)), " | "), F.lit(" |"))
+    ruled = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))
+    empty = F.concat(F.lit("|"), F.repeat(F.lit("  |"), F.col("width")))
+    head, lines = F.forall(F.get("rows", F.lit(0)), lambda c: c["head"]), F.transform("rows", line)
+    md = F.when(head, F.concat(F.slice(lines, 1, 1), F.array(ruled), F.slice(lines, F.lit(2), F.size(lines)))).otherwise(F.concat(F.array(empty, ruled), lines))
+    plain = F.array_join(F.transform("rows", lambda r: F.array_join(F.transform(r, lambda c: c["text"]), " | ")), "\n")
+    null = F.lit(None)
+    told = F.struct(F.lit("Table").alias("node_type"), null.cast("int").alias("level"), plain.alias("text"), F.array_join(md, "\n").alias("md"), null.cast("string").alias("language"))
+    return found.withColumn("leaf", F.coalesce("leaf", told)).select("doc", "page_id", "url", "pos", "leaf.*", "boxes", "marker", "own")
 
 
 def looks_like_ixbrl(html: Column) -> Column:
@@ -173,52 +151,69 @@ def without_ixbrl(html: Column) -> Column:
 
 
 def blocks(pages: DataFrame, skip: tuple[str, ...] = (), prose: bool = False, ixbrl: bool | None = None) -> DataFrame:
-    """A row a block: page_id, block_idx, node_type, depth, list_type, text, md, language, uri.
-
-    Elements named in ``skip`` are left out with all they hold. With ``prose`` a pre holds
-    paragraphs with blank lines between them instead of code. The tags of inline XBRL go
-    if ``ixbrl`` is true, or if it is null and a page has them. A page that stands twice gives its blocks twice.
+    """A row a block: page_id, block_idx, parent_idx, node_type, depth, list_type, number, text, md, language, uri, mime_type, extractor.
+
+    ``block_idx`` numbers blocks in the order of the page and ``parent_idx`` is the number of the block around one. Lists,
+    quotes, definition lists, figures and items that begin with another block have rows without text of their own; those
+    without any content have none. ``depth`` is a heading's level or the number of lists around an item, ``number`` an
+    item's number, a list's first, or that of a group of terms and definitions. A table is one block of its cells' texts, its
+    caption and tables inside of its cells are blocks below it. Links and pictures have absolute targets if the page has
+    a URL; of a link that isn't safe the text is left. Elements named in ``skip`` are left out with all they hold. With
+    ``prose`` a pre holds paragraphs with blank lines between them instead of code. The tags of inline XBRL go if ``ixbrl`` is true,
+    or if it is null and a page has them. A page that stands twice gives its blocks twice; a null or empty one gives none.
     """
     if ixbrl is not False:
         html = F.col("html")
         pages = pages.withColumn("html", F.when(F.lit(True) if ixbrl else looks_like_ixbrl(html), without_ixbrl(html)).otherwise(html))
-    rows = _tokens(_placed(_visible(events(pages).repartition("doc"), skip)))
-    opens = F.expr(OPEN)
-    code_language = F.when(opens & (F.col("tag") == "code") & (F.col("code") > 0), _language())
-    grouped = rows.groupBy("doc", "page_id", "url", "seg").agg(
-        F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", "raw")))).alias("raws"),
-        F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"),
-        F.first("in_kind").alias("in_kind"),
-        F.first("quotes").alias("quotes"),
-        F.min_by(code_language, F.when(code_language.isNotNull(), F.col("pos"))).alias("code_language"),
-        F.max(opens & (F.col("tag") == "hr")).alias("rule"),
-    )
-    kind = F.coalesce("in_kind.node_type", F.lit("Paragraph"))
-    raw = F.array_join(F.transform("raws", lambda x: x["raw"]), "")
-    marked = _collapsed(F.array_join(F.transform("tokens", lambda x: x["md"]), ""))
-    listed = grouped.withColumn("node_type", kind).withColumn("is_code", F.col("node_type") == "CodeBlock").withColumn("language", F.when(F.col("is_code"), F.coalesce("in_kind.language", "code_language")))
-    listed = listed.withColumn("text", F.when(F.col("is_code"), F.regexp_replace(raw, r"^\n+|\n+$", "")).otherwise(_collapsed(raw))).withColumn("marked", marked)
-    depth, number = F.col("in_kind.depth"), F.concat(F.col("in_kind.number").cast("string"), F.lit(". "))
-    shown = (
-        F.when(F.col("node_type") == "Heading", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), "marked"))
-        .when(F.col("node_type") == "ListItem", F.concat(F.repeat(F.lit("  "), depth - 1), F.when(F.col("in_kind.list_type") == "ordered", number).otherwise("- "), F.col("marked")))
-        .when(F.col("is_code"), F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), "text", F.lit("\n```")))
+    runs = _inline(pieces(pages, skip).repartition("doc")).filter("run IS NOT NULL")
+    kind, level, raw = F.col("run.kind"), F.col("run.level"), F.col("raw")
+    is_code, is_cell = kind == "CodeBlock", kind == "Cell"
+    runs = runs.withColumn("text", F.when(is_code, F.regexp_replace(raw, r"^\n+|\n+$", "")).otherwise(_collapsed(raw)))
+    runs = runs.filter(is_cell | (_stripped(F.col("text")) != "") | (F.col("marked") != "") | (kind == "ThematicBreak"))
+    md = (
+        F.when(kind == "Heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "marked"))
+        .when(is_code, F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), "text", F.lit("\n```")))
+        .when(kind == "ThematicBreak", "---")
         .otherwise(F.col("marked"))
     )
-    shown = F.concat(F.repeat(F.lit("> "), F.col("quotes").cast("int")), shown)
-    null = F.lit(None).cast("string")
-    own = F.array(F.struct("node_type", "in_kind.depth", "in_kind.list_type", "text", shown.alias("md"), "language")).cast(BLOCK)
-    rule = F.array(F.struct(F.lit("ThematicBreak"), null.cast("int"), null, F.lit(""), F.lit("---"), null)).cast(BLOCK)
+    leaf = F.struct(kind.alias("node_type"), level.alias("level"), "text", md.alias("md"), F.when(is_code, F.col("language")).alias("language"))
+    cell = F.struct("run.row", "run.col", "run.span", "run.head", F.regexp_replace("marked", r"\|", r"\\|").alias("md"), "text")
+    found = _with_tables(runs.select("*", "run.boxes", F.when(~is_cell, leaf).alias("leaf"), F.when(is_cell, cell).alias("cell"))).withColumn("nth", F.lit(0))
     if prose:
-        parts = F.filter(F.transform(F.split(raw, rf"\n(?:{SPACE}*\n)+"), _collapsed), lambda p: p != "")
-        shown = lambda p: F.concat(F.repeat(F.lit("> "), F.col("quotes").cast("int")), p)
-        paragraph = lambda p: F.struct(F.lit("Paragraph"), null.cast("int"), null, p, shown(p), null)
-        own = F.when(F.col("is_code"), F.transform(parts, paragraph).cast(BLOCK)).otherwise(own)
-    empty = F.array().cast(BLOCK)
-    there = (_stripped(F.col("text")) != "") & (F.col("node_type") != "Cell")
-    each = listed.select("doc", "page_id", "url", "seg", F.posexplode(F.concat(F.when(F.col("rule"), rule).otherwise(empty), F.when(there, own).otherwise(empty))).alias("nth", "b"))
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("seg", "nth")) - 1
-    return each.withColumn("block_idx", place).select("page_id", "block_idx", "b.*", F.col("url").alias("uri"))
+        is_code = F.col("node_type") == "CodeBlock"
+        part = F.filter(F.transform(F.split("text", rf"\n(?:{SPACE}*\n)+"), _collapsed), lambda p: p != "")
+        parts = found.drop("nth").select("*", F.posexplode(F.when(is_code, part).otherwise(F.array("text"))).alias("nth", "part"))
+        shown = {"text": F.col("part"), "md": F.when(is_code, F.col("part")).otherwise(F.col("md")), "language": F.lit(None).cast("string")}
+        found = parts.withColumns({**shown, "node_type": F.when(is_code, "Paragraph").otherwise(F.col("node_type")), "marker": F.col("marker") & (F.col("nth") == 0)})
+    found = _prefixed(found)
+    # The first text of an item is the item's; boxes around blocks are blocks, too.
+    last = F.element_at(F.concat(F.array(F.lit(None).cast(found.schema["boxes"].dataType.elementType)), "boxes"), -1)
+    above = F.when(F.col("own"), F.slice("boxes", F.lit(1), F.size("boxes") - 1)).otherwise(F.col("boxes"))
+    own = F.struct(
+        F.lit(1).alias("real"), F.size(above).alias("up"), F.when(F.col("own"), last["kind"]).otherwise(F.col("node_type")).alias("node_type"),
+        F.when(F.col("own"), last["depth"]).otherwise(F.col("level")).alias("depth"), F.when(F.col("own"), last["ordered"]).alias("ordered"),
+        F.when(F.col("own"), last["number"]).alias("number"), "text", "md", "language",
+        F.when(F.col("own"), last["pos"]).otherwise(F.col("pos")).alias("pos"), "nth",
+    )
+    null = F.lit(None).cast("string")
+    box = lambda b, i: F.struct(
+        F.lit(0).alias("real"), i.alias("up"), b["kind"].alias("node_type"), F.when(b["kind"] == "ListItem", b["depth"]).alias("depth"),
+        b["ordered"].alias("ordered"), b["number"].alias("number"), F.lit("").alias("text"), F.lit("").alias("md"), null.alias("language"),
+        b["pos"].alias("pos"), F.lit(0).alias("nth"),
+    )
+    each = found.select("doc", "page_id", "url", F.explode(F.concat(F.array(own), F.transform("boxes", box))).alias("b"))
+    rows = each.groupBy("doc", "page_id", "url", F.col("b.pos").alias("pos"), F.col("b.nth").alias("nth")).agg(F.max("b").alias("b"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "nth")) - 1
+    rows = rows.withColumn("block_idx", place).select("doc", "page_id", "url", "block_idx", "b.*")
+    # Each row stands at its level, where it asks for its parent, and a level below, where it may be one.
+    asked = rows.withColumn("asks", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("level", F.when(F.col("asks"), F.col("up")).otherwise(F.col("up") + 1))
+    opened = F.last(F.when(~F.col("asks"), F.col("block_idx")), True).over(Window.partitionBy("doc", "level").orderBy("block_idx", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    listed = F.col("node_type").isin("ListItem", "BulletList", "OrderedList")
+    return asked.withColumn("parent", opened).filter("asks").select(
+        "page_id", "block_idx", F.when(F.col("up") > 0, F.col("parent")).alias("parent_idx"), "node_type", "depth",
+        F.when(listed, F.when(F.col("ordered"), "ordered").otherwise("bullet")).alias("list_type"), "number", "text", "md", "language",
+        F.col("url").alias("uri"), F.lit(MIME).alias("mime_type"), F.lit(EXTRACTOR).alias("extractor"),
+    )
 
 
 def cells(pages: DataFrame) -> DataFrame:

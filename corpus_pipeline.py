@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from webloom.llm import language_id, mixing, simhash_dedup
 from webloom.llm.queries import packed_pieces
-from webloom.llm.runtime import read_table, shared_dir
+from webloom.llm.runtime import fresh, read_table, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model doesn't reject."""
-    told = language_id.identify(docs)
-    return told.filter(~F.col("rejected")).select(*docs.columns)
+    named = tuple(fresh(c, docs.columns) for c in language_id.TOLD)
+    return language_id.identify(docs, named=named).filter(~F.col(named[2])).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,23 @@ def test_pipeline_stages_of_odd_tables(spark, sf_dir):
     assert kept[None] == 1 and kept[90] == 1 and 91 not in kept and kept[93] == 1
 
 
+def test_stages_leave_other_columns_alone(spark, sf_dir):
+    extra = "_row string, _id string, row string, id string, score string, rejected string, lang_pred int, key string, own int, fingerprint string, root string"
+    values = ("r", "i", "w", "d", "s", "no", 7, "k", 3, "f", "t")
+    rows = [(i, "the house of the rising sun and the garden " * (i % 5 + 1) + str(i), "en", "s", 1, *values) for i in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = runtime.checkpointed(stage(spark, docs, sf_dir))
+        found = docs.collect()
+        assert found and {tuple(r[5:]) for r in found} == {values}, name
+
+
+def test_near_copies_of_rows_with_maps(spark):
+    rows = [(2, "a b c", {"x": 1}), (1, "a b c", {"x": 2}), (1, "a b c", {"x": 2}), (3, "other words here", None)]
+    found = simhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")).collect()
+    assert sorted((r.doc_id, r.more) for r in found) == [(1, {"x": 2}), (3, None)]
+
+
 def test_every_query_runs(spark, sf_dir):
     for name, query in queries.queries().items():
         assert query(spark, sf_dir).count() > 0, name

@@ -231,15 +231,20 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPL
     return drawn["text"].tolist(), drawn["lang"].tolist()
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+#: The columns that a prediction adds.
+TOLD = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, named: tuple[str, str, str] = TOLD) -> DataFrame:
     """The columns of docs (or those to keep) with lang_pred, score, rejected for every whole text.
 
     lang_pred is UNKNOWN, with score 0 and rejected, if the text is null or has no letter, or
     if there is no model; else a learned language, rejected if its subwords are too unusual in
-    all learned languages, and sooner if its score is below the model's threshold. Extra columns of docs of the same names are replaced.
+    all learned languages, and sooner if its score is below the model's threshold. ``named`` are the names of the three columns;
+    columns of docs that have one of them are replaced.
     """
-    kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "rejected")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    kept = [c for c in keep or docs.columns if c not in named]
+    schema = docs.select(*kept).schema.add(named[0], "string").add(named[1], "double").add(named[2], "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,13 +254,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             best, top = scores.argmax(axis=1), scores.max(axis=1)
             names = [model.languages[b] if s > 0 else UNKNOWN for b, s in zip(best, top, strict=True)]
             columns = [*batch.select(kept).columns, pa.array(names, pa.string()), pa.array(top), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *named])
 
     read = [*kept, *(["text"] if "text" not in kept else [])]
     return docs.select(*read).mapInArrow(score, schema)
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, named: tuple[str, str, str] = TOLD) -> DataFrame:
     """predict(docs) by a model of the labelled rows of docs.
 
     Only text and language of rows that aren't held out are learned from; a null doc_id
@@ -263,4 +268,4 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Repeated rows are scored as often as they stand; an empty table gives no rows.
     """
     texts, languages = training_sample(docs)
-    return predict(docs, train(texts, languages) if texts else None, keep)
+    return predict(docs, train(texts, languages) if texts else None, keep, named)

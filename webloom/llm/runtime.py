@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webloom.runtime import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "read_table", "shared_dir", "written"]
+__all__ = ["checkpointed", "fresh", "read_table", "shared_dir", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,11 @@ def written(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until it is none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.blocks import Forest
 from webloom.llm.components import least_reachable
-from webloom.llm.runtime import checkpointed
+from webloom.llm.runtime import checkpointed, fresh
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Fingerprints a shard aims at, the fingerprints that a tree is fitted on at most, vantage points tried for a node.
@@ -334,17 +334,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Where that doc_id has several texts in a group, the row with the least hash stays, so
     reruns agree. Of rows that are equal in all columns one stays. Rows whose doc_id is
-    null belong to no group. Nothing else is dropped; an empty table gives no rows.
+    null belong to no group. Nothing else is dropped; an empty table gives no rows. All
+    columns stay as they are, whatever their names; maps can be among them.
     """
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    prints = checkpointed(fingerprints(marked, "_row"))
+    row = fresh("row", [*docs.columns, "doc_id", "fingerprint"])
+    id_ = fresh("id", [*docs.columns, row])
+    # A map has no hash, its JSON has.
+    hashed = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    marked = docs.withColumn(row, F.xxhash64(*hashed))
+    prints = checkpointed(fingerprints(marked, row))
     named = prints.filter("doc_id IS NOT NULL").join(_grouped(prints), "fingerprint")
-    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first.*")
-    stay = first.unionByName(prints.filter("doc_id IS NULL").select("doc_id", "_row").distinct())
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", row)).alias("first")).select("first.*")
+    stay = first.unionByName(prints.filter("doc_id IS NULL").select("doc_id", row).distinct())
     # The hash tells a null id from 0, so both can be one key, and one shuffle serves both steps.
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
-    once = marked.withColumns(keys).dropDuplicates(["_id", "_row"])
-    return once.join(stay.withColumns(keys).select("_id", "_row"), ["_id", "_row"], "left_semi").select(*docs.columns)
+    keys = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    once = marked.withColumns(keys).dropDuplicates([id_, row])
+    return once.join(stay.withColumns(keys).select(id_, row), [id_, row], "left_semi").select(*docs.columns)
 
 
 def _hex(number: Column) -> Column:

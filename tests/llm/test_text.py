@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from webloom.llm import html_extract, language_id, mixing, queries, runtime, token_counts
+from webloom.llm import html_extract, language_id, mixing, queries, runtime, simhash_dedup, token_counts
 
 TREE = html_extract.grow_tree((t := html_extract.labelled_blocks())[:, :-1], t[:, -1])
 LOREM = "The quick brown fox jumps over the lazy dog while the cat sleeps on the warm window sill and dreams of mice. "

@@ -50,13 +50,13 @@ def blocks_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = blocks.documents(blocks.blocks(table(spark, sf_dir, "pages"), skip=("nav", "footer", "div")))
+    found = blocks.documents(blocks.blocks(table(spark, sf_dir, "pages"), skip=("nav", "footer")))
     return found.select("page_id", "text")
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = blocks.documents(blocks.blocks(table(spark, sf_dir, "pages"), skip=("footer", "div")))
-    return found.select("page_id", F.substring_index("markdown", "\n\n", 1).alias("first_block"))
+    """The whole markdown of whole pages."""
+    return blocks.documents(blocks.blocks(table(spark, sf_dir, "pages"))).select("page_id", "markdown")
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,29 @@ BLOCKS_SQL = rf"""WITH b AS (
         SELECT page_id, string_split_regex(replace(regexp_replace({_ARTICLE}, '</?b>', '', 'g'), '<br>', ' '), '(?s)<[^<>]*>') AS parts FROM pages)
 ), t AS (SELECT page_id, n, trim(regexp_replace({_UNESCAPE.format("raw")}, '\s+', ' ', 'g')) AS text, {_UNESCAPE.format("raw")} AS plain FROM b)
 """
+#: Whole pages but for their heads, menus and footers.
+_BODY = r"""regexp_replace(regexp_replace(html, '(?s)<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?(</footer>|$)|<!--.*?-->', '', 'g'), '(?s)<[A-Za-z/!][^<>]*$', '')"""
+BODY_SQL = BLOCKS_SQL.replace(_ARTICLE, _BODY)
+#: Markdown of the pages: menu, advert, article and, last, footer, as lists of blocks.
+MARKDOWN_SQL = r"""WITH cut AS (
+    SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS root, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav,
+        regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS advert, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS footer,
+        regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<[A-Za-z/!][^<>]*$', '') AS body
+    FROM pages
+), parts AS (
+    SELECT page_id, list_transform(list_zip(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2)),
+            lambda x: '- [' || trim(x[2]) || '](' || root || x[1] || ')') AS links,
+        [advert] || string_split_regex(replace(body, '</h1>', '<p>'), '(</?p>)+') || [footer] AS texts
+    FROM cut
+), plain AS (
+    SELECT page_id, links, list_transform(texts, lambda x: CASE WHEN starts_with(x, '<h1>') THEN '# ' WHEN starts_with(x, '<b>') THEN '**' ELSE '' END) AS marks,
+        list_transform(texts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^<>]*>', ' ', 'g'),
+            '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g'))) AS texts FROM parts
+), marked AS (
+    SELECT page_id, links, list_transform(list_zip(marks, texts), lambda x: CASE WHEN x[2] = '' THEN ''
+        WHEN x[1] = '**' THEN '**' || x[2] || '**' ELSE x[1] || x[2] END) AS texts FROM plain
+)
+"""
 SQL = {
     "semantic_container": BLOCKS_SQL
     + """SELECT page_id, 'article' AS tag FROM t WHERE text <> '' GROUP BY page_id HAVING sum(len(string_split(text, ' '))) >= 50""",
@@ -100,9 +123,8 @@ SQL = {
     FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k, regexp_replace(plain, '^\s+|\s+$', '', 'g') AS body FROM t WHERE text <> '')
     WHERE k > 1 AND length(body) >= 25 GROUP BY page_id""",
     "blocks_extract": BLOCKS_SQL + "SELECT page_id, count(*) + 1 AS n, 1::BIGINT AS headings FROM t WHERE text <> '' GROUP BY page_id",
-    "page_text": BLOCKS_SQL + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE text <> '' GROUP BY page_id",
-    "page_markdown": """SELECT page_id, '- [' || trim(regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1)) || '](' ||
-    regexp_extract(html, '<a href="([^"]*)">', 1) || ')' AS first_block FROM pages""",
+    "page_text": BODY_SQL + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE text <> '' GROUP BY page_id",
+    "page_markdown": MARKDOWN_SQL + "SELECT page_id, array_to_string(links || list_filter(texts, lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM marked",
     "table_cells": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
     SELECT o_custkey AS page_id, n::INTEGER AS row, 0 AS col, o_orderkey::VARCHAR AS text FROM o
     UNION ALL SELECT o_custkey, n::INTEGER, 1, o_orderstatus FROM o

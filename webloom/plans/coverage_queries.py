@@ -64,7 +64,7 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and links of each recorded page."""
     pages = table(spark, sf_dir, "pages")
-    text = blocks.documents(blocks.blocks(pages, skip=("nav", "footer", "div"))).select("page_id", "text")
+    text = blocks.documents(blocks.blocks(pages, skip=("nav", "footer"))).select("page_id", "text")
     links = extract_links(pages).groupBy("page_id").agg(F.count("*").alias("link_count"))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long")
     return text.select("page_id", words.alias("word_count")).join(links, "page_id", "left")
@@ -111,7 +111,7 @@ SQL = {
     "cache_stats": "SELECT sum(n_hits)::BIGINT AS hits, sum(n_requests - n_hits)::BIGINT AS misses, round(sum(n_hits) / sum(n_requests), 6) AS hit_rate FROM ("
     + policy_queries.SQL["cache_hits"]
     + ")",
-    "crawl_page_summary": content_queries.BLOCKS_SQL
+    "crawl_page_summary": content_queries.BODY_SQL
     + """, w AS (SELECT page_id, sum(len(string_split(text, ' ')))::BIGINT AS word_count FROM t WHERE text <> '' GROUP BY page_id)
     SELECT page_id, word_count, link_count FROM w LEFT JOIN (SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::BIGINT AS link_count
     FROM pages) USING (page_id)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls
 from webloom.operators import discovery, domain_intel, fetch_policy
-from webloom.plans import policy_queries
+from webloom.plans import content_queries, policy_queries
 from webloom.plans.common import part, table
 from webloom.sources import blocks, feeds, rendered
 from webloom.sources.rendered import text
@@ -66,8 +66,8 @@ def handle_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole markdown of each page's menu, headings and paragraphs."""
-    return blocks.documents(blocks.blocks(table(spark, sf_dir, "pages"), skip=("footer", "div"))).select("page_id", "markdown")
+    """The whole markdown of each page without its footer."""
+    return blocks.documents(blocks.blocks(table(spark, sf_dir, "pages"), skip=("footer",))).select("page_id", "markdown")
 
 
 QUERIES = {
@@ -96,20 +96,6 @@ SQL = {
     WHERE (regexp_matches(p, '^/([a-z]+/)+') OR regexp_matches(p, '(foo|b+)*x9$'))
     AND NOT regexp_matches(p, '(?:[aeiou]{{2}})+[^/]*\\.html$') AND NOT regexp_matches(p, '{_LONG}')""",
     "handle_ids": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN p_partkey::VARCHAR ELSE 'none' END AS handle FROM part",
-    "page_markdown_whole": r"""WITH cut AS (
-    SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav,
-        regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<[A-Za-z/!][^<>]*$', '') AS body
-    FROM pages
-), parts AS (
-    SELECT page_id, list_transform(list_zip(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2)),
-            lambda x: '- [' || trim(x[2]) || '](' || x[1] || ')') AS links,
-        string_split_regex(replace(body, '</h1>', '<p>'), '(</?p>)+') AS texts
-    FROM cut
-), plain AS (
-    SELECT page_id, links, list_transform(texts, lambda x: CASE WHEN starts_with(x, '<h1>') THEN '# ' WHEN starts_with(x, '<b>') THEN '**' ELSE '' END) AS marks,
-        list_transform(texts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^<>]*>', ' ', 'g'),
-            '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g'))) AS texts FROM parts
-)
-SELECT page_id, array_to_string(links || list_filter(list_transform(list_zip(marks, texts), lambda x: CASE WHEN x[2] = '' THEN ''
-    WHEN x[1] = '**' THEN '**' || x[2] || '**' ELSE x[1] || x[2] END), lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM plain""",
+    "page_markdown_whole": content_queries.MARKDOWN_SQL
+    + "SELECT page_id, array_to_string(links || list_filter(texts[:-2], lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM marked",
 }

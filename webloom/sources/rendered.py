@@ -248,3 +248,25 @@ def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ' <a href="/home">again</a> <a>none</a></p></main><footer><a href="/imprint">Imprint</a></footer></body></html>',
     )
     return table(spark, sf_dir, "supplier").select(key.alias("page_id"), text("https://www.s", key, ".example.com/list?page=", key).alias("url"), html.alias("html"))
+
+
+def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages of four shapes: nested lists; a table with spans; quotes and figures; definitions, code and odd inline elements."""
+    key, name, brand, kind, size = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size")
+    lists = text(
+        "<h1>", name, "</h1><ul><li>", brand, "<ol start=", size, "><li>", kind, "<li><p>one</p><p>two</p></ol><li><b> ", size, " </b></ul>"
+    )
+    table_ = text(
+        "<p>before</p><table><caption>", name, "</caption><thead><tr><th>brand<th>kind|size</thead><tr><td>", brand, "<td>", kind, "<p>", size,
+        "</p><tr><td colspan=2><i>", key, "</i></table>",
+    )
+    quotes = text(
+        "<div class='x'><blockquote><p>", name, "</p><blockquote>", brand, "<br>", size, "</blockquote></blockquote></div><figure><img data-src='/i/", key,
+        ".png' src='/x.gif' alt='", kind, "'><figcaption>", kind, "</figcaption></figure><hr>",
+    )
+    odd = text(
+        "<dl><dt>", name, "<dt>", brand, "<dd>", kind, "</dl><pre><code class='language-sql'>SELECT ", key, "\nFROM t</code></pre><a href='/n/", key, "'><h2>", kind,
+        "</h2></a><p><b><b>", brand, "</b></b> H<sub>2</sub>O<a href='javascript:x()'>bad</a> <s></s><em> e </em>.<span class='sr-only'>hidden</span></p>",
+    )
+    html = F.when(key % 4 == 0, lists).when(key % 4 == 1, table_).when(key % 4 == 2, quotes).otherwise(odd)
+    return table(spark, sf_dir, "part").select(key.alias("page_id"), text("https://e.example.com/d/", key).alias("url"), html.alias("html"))

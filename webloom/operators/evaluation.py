@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
+from webloom.operators.regions import label_nodes
+
+__all__ = ["ablation", "confusion", "label_nodes", "leave_one_out", "top_hits", "train_content_model"]
 
 
 def confusion(rows: DataFrame, truth: Column, guess: Column, by: list[str] | None = None) -> DataFrame:
@@ -17,21 +20,6 @@ def confusion(rows: DataFrame, truth: Column, guess: Column, by: list[str] | Non
     return counted.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, tp + fp + fn + tn)})
 
 
-def label_nodes(nodes: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
-    """nodes with ``label``: 1 inside a positive root (page_id, root), 0 inside a negative one, which wins; others are left out.
-
-    Roots are ids of elements; being inside is a range of ids.
-    """
-    spans = nodes.select("page_id", F.col("nid").alias("root"), "last_desc")
-
-    def within(roots: DataFrame, label: int) -> DataFrame:
-        r = roots.join(spans, ["page_id", "root"]).select("page_id", "root", F.col("last_desc").alias("root_last"))
-        return nodes.join(r, "page_id").filter("nid >= root AND nid <= root_last").select("page_id", "nid", F.lit(label).alias("label"))
-
-    labels = within(positive, 1).unionByName(within(negative, 0)).groupBy("page_id", "nid").agg(F.min("label").alias("label"))
-    return nodes.join(labels, ["page_id", "nid"])
-
-
 def train_content_model(labelled: DataFrame, iterations: int = 100, l2: float = 0.01, without: tuple[str, ...] = ()):
     """A logistic regression over the standardised features, classes weighted alike. labelled: f_* and label.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions import fixed, urls
+from webloom.functions import addresses, fixed, urls
 
 
 def status_class(status: Column) -> dict[str, Column]:
@@ -65,66 +65,89 @@ def retry_after(value: Column) -> Column:
     return F.trim(value).try_cast("double")
 
 
-def ipv4(host: Column) -> Column:
-    """An IPv4 address as a number; null if it is none."""
-    parts = F.split(host, r"\.")
-    valid = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(parts, lambda p: p.try_cast("int") > 255)
-    return F.when(valid, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long")))
-
-
-#: Networks that are never fetched from: first address and prefix length.
-CLOSED_NETWORKS = (
-    ("0.0.0.0", 8),
-    ("10.0.0.0", 8),
-    ("100.64.0.0", 10),
-    ("127.0.0.0", 8),
-    ("169.254.0.0", 16),
-    ("172.16.0.0", 12),
-    ("192.168.0.0", 16),
-    ("224.0.0.0", 4),
-    ("240.0.0.0", 4),
+#: The special-purpose networks of both families that are never fetched from (True), and the parts of them
+#: that anyone can reach (False). The narrowest network that an address lies in decides. 64:ff9b::/96 and 2002::/16 hold IPv4 addresses.
+SPECIAL_NETWORKS = (
+    ("0.0.0.0/8", True),
+    ("10.0.0.0/8", True),
+    ("100.64.0.0/10", True),
+    ("127.0.0.0/8", True),
+    ("169.254.0.0/16", True),
+    ("172.16.0.0/12", True),
+    ("192.0.0.0/24", True),
+    ("192.0.0.9/32", False),
+    ("192.0.0.10/32", False),
+    ("192.0.2.0/24", True),
+    ("192.168.0.0/16", True),
+    ("198.18.0.0/15", True),
+    ("198.51.100.0/24", True),
+    ("203.0.113.0/24", True),
+    ("224.0.0.0/4", True),
+    ("240.0.0.0/4", True),
+    ("::/128", True),
+    ("::1/128", True),
+    ("64:ff9b::/96", True),
+    ("64:ff9b:1::/48", True),
+    ("100::/64", True),
+    ("2001::/23", True),
+    ("2001:1::1/128", False),
+    ("2001:1::2/128", False),
+    ("2001:3::/32", False),
+    ("2001:4:112::/48", False),
+    ("2001:20::/28", False),
+    ("2001:30::/28", False),
+    ("2001:db8::/32", True),
+    ("2002::/16", True),
+    ("3fff::/20", True),
+    ("fc00::/7", True),
+    ("fe80::/10", True),
+    ("fec0::/10", True),
+    ("ff00::/8", True),
 )
+#: Names of the machine itself and of metadata services.
+CLOSED_HOSTS = ("localhost", "metadata", "metadata.google.internal", "instance-data")
+_NUMBERS = r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]*))*$"
 
 
-def in_network(address: Column, network: str, prefix: int) -> Column:
-    first = sum(int(p) << s for p, s in zip(network.split("."), (24, 16, 8, 0), strict=True))
-    first -= first % (1 << (32 - prefix))
-    return address.between(first, first + (1 << (32 - prefix)) - 1)
+def policy_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and a last dot; an IPv6 address without its brackets."""
+    host = F.lower(F.regexp_replace(F.regexp_replace(urls.netloc(url), "^.*@", ""), r":\d*$", ""))
+    return F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^\[(.*)\]$", "$1")
 
 
 def _listed(host: Column, address: Column, entries: list[str]) -> Column:
-    """Whether a host is an entry, ends with one that begins with a dot, or lies in an IPv4 network of one."""
+    """Whether a host is an entry, ends with one that begins with a dot, or lies in a network of one."""
     hit = F.lit(False)
-    for entry in (e.strip().lower() for e in entries):
-        if m := re.fullmatch(r"(\d+(?:\.\d+){3})/(\d+)", entry):
-            hit = hit | F.coalesce(in_network(address, m[1], int(m[2])), F.lit(False))
+    for entry in filter(None, (e.strip().lower() for e in entries)):
+        if known := addresses.network(entry):
+            hit = hit | addresses.within(address, *known)
         elif entry.startswith("."):
             hit = hit | host.endswith(entry)
-        elif entry:
+        else:
             hit = hit | (host == entry)
     return hit
 
 
-def url_allowed(url: Column, allowed_hosts: list[str] | None = None) -> Column:
-    """Whether a URL may be fetched: http or https to a host that isn't local or private, or that is allowed.
+def host_allowed(host: Column, allowed_hosts: list[str] | None = None) -> Column:
+    """Whether a host may be reached: a name that isn't local, an address outside of SPECIAL_NETWORKS, or one that is allowed.
 
-    ``allowed_hosts`` are hosts, suffixes (``.example.com``) and networks (``10.0.0.0/24``).
+    ``allowed_hosts`` are hosts, suffixes (``.example.com``) and networks of both families (``10.0.0.0/24``, ``fd00::/8``). What could be
+    an address but is none in full (``127.1``, ``2130706433``, ``0x7f.1``, a zone) isn't open.
     """
-    host = F.lower(F.regexp_replace(F.regexp_replace(urls.netloc(url), "^.*@", ""), r":\d*$", ""))
-    address = ipv4(host)
-    closed = F.lit(False)
-    for network, prefix in CLOSED_NETWORKS:
-        closed = closed | in_network(address, network, prefix)
-    named = host.isin("", "localhost", "metadata.google.internal") | host.rlike(r"\.(local|internal|localhost)$|^\[::1?\]$|^\[f[cde]")
-    open_ = ~named & ~F.coalesce(closed, F.lit(False))
-    return F.lower(urls.scheme(url)).isin("http", "https") & (open_ | _listed(host, address, allowed_hosts or []))
+    address = addresses.digits(host)
+    named = host.isin("", *CLOSED_HOSTS) | host.rlike(r"\.(local|internal|localhost)$")
+    odd = address.isNull() & (host.rlike(_NUMBERS) | host.contains(":") | host.contains("%") | host.contains("["))
+    closed = F.coalesce(addresses.first_match(address, list(SPECIAL_NETWORKS)), F.lit(False))
+    return F.coalesce((~named & ~odd & ~closed) | _listed(host, address, allowed_hosts or []), F.lit(False))
 
 
-def robots_rules(docs: DataFrame) -> DataFrame:
-    """host, agent, pos, allow, path of robots.txt bodies (host, body), in file order.
+def url_allowed(url: Column, allowed_hosts: list[str] | None = None) -> Column:
+    """Whether a URL may be fetched: http or https to a host that ``host_allowed`` lets pass; a null isn't."""
+    return F.coalesce(F.lower(urls.scheme(url)).isin("http", "https") & host_allowed(policy_host(url), allowed_hosts), F.lit(False))
 
-    Agents that follow one another share the rules after them.
-    """
+
+def _grouped_rules(docs: DataFrame) -> DataFrame:
+    """host, section, agent, pos, allow, path of robots.txt bodies (host, body); a section is a group of agents with its rules."""
     lines = docs.select("host", F.posexplode(F.split("body", "\r\n|[\r\n]")).alias("pos", "line"))
     line = F.trim(F.regexp_replace("line", "#.*$", ""))
     key, value = F.lower(F.trim(F.regexp_extract(line, "^([^:]+):", 1))), F.trim(F.regexp_extract(line, "^[^:]+:(.*)$", 1))
@@ -134,25 +157,36 @@ def robots_rules(docs: DataFrame) -> DataFrame:
     grouped = rows.withColumn("starts", starts.cast("int")).withColumn("section", F.sum("starts").over(order))
     agents = grouped.filter("key = 'user-agent'").select("host", "section", F.lower("value").alias("agent"))
     rules = grouped.filter("key <> 'user-agent'").select("host", "section", "pos", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"))
-    return agents.join(rules, ["host", "section"]).drop("section").filter("path <> '' OR NOT allow")
+    return agents.join(rules, ["host", "section"])
+
+
+def robots_rules(docs: DataFrame) -> DataFrame:
+    """host, agent, pos, allow, path of robots.txt bodies (host, body), in file order.
+
+    Agents that follow one another share the rules after them.
+    """
+    return _grouped_rules(docs).drop("section").filter("path <> '' OR NOT allow")
 
 
 def robots_allowed(requests: DataFrame, docs: DataFrame, agent: str = "*") -> DataFrame:
     """requests (url, ...) with ``allowed``: the first matching rule of the agent's group, in file order, decides.
 
-    The group of ``*`` holds for agents that have none. Without robots.txt or a match a URL is allowed.
+    The group is the first one that names the agent, also by a part of its name, else the first of ``*``. Without
+    robots.txt, a group or a match a URL is allowed. Other columns stay as they are, but one named ``allowed`` is replaced.
     """
-    rules = robots_rules(docs)
+    rules = _grouped_rules(docs)
     name = agent.lower().split("/")[0]
-    own = rules.withColumn("own", (F.col("agent") != "*") & F.lit(name).contains(F.col("agent")))
-    has = Window.partitionBy("host")
-    chosen = own.withColumn("any_own", F.max("own").over(has)).filter("own OR (NOT any_own AND agent = '*')")
-    asked = requests.withColumn("_id", F.monotonically_increasing_id() if "_id" not in requests.columns else F.col("_id"))
+    own = (F.col("agent") != "*") & (F.col("agent") != "") & F.lit(name).contains(F.col("agent"))
+    rank = F.when(own, 0).when(F.col("agent") == "*", 1)
+    known = rules.withColumn("group", F.struct(rank.alias("rank"), "section")).filter(rank.isNotNull())
+    chosen = known.withColumn("best", F.min("group").over(Window.partitionBy("host"))).filter("group = best AND (path <> '' OR NOT allow)")
     distinct = requests.select("url").distinct().withColumn("host", F.lower(urls.netloc(F.col("url"))))
     target = F.concat(F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url"))), F.when(urls.query(F.col("url")) != "", F.concat(F.lit("?"), urls.query(F.col("url")))).otherwise(""))
-    met = distinct.withColumn("target", target).join(chosen, "host").filter((F.col("path") == "") | F.startswith("target", "path"))
+    met = distinct.withColumn("target", target).join(chosen.select("host", "pos", "allow", "path"), "host").filter((F.col("path") == "") | F.startswith("target", "path"))
     verdict = met.groupBy("url").agg(F.min_by(F.when(F.col("path") == "", True).otherwise(F.col("allow")), "pos").alias("verdict"))
-    return asked.drop("_id").join(verdict, "url", "left").withColumn("allowed", F.coalesce("verdict", F.lit(True))).drop("verdict")
+    kept = [c for c in requests.columns if c != "allowed"]
+    asked = requests.select("url", F.struct(*kept).alias("row"))
+    return asked.join(verdict, "url", "left").select("row.*", F.coalesce("verdict", F.lit(True)).alias("allowed"))
 
 
 def token_bucket(requests: DataFrame, rate: float = 10.0, burst: int = 10, key: str = "key", at: str = "ts") -> DataFrame:

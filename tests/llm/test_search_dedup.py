@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from webloom.llm import embedding_dedup, simhash_dedup, topk_search
 from webloom.llm.components import connected_components
@@ -124,6 +125,24 @@ def test_cells_and_levels_rule_out_pairs_of_clustered_vectors():
     assert (np.diff(left) <= 0).all() and left[-1] < 0.2 * left[0]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_levels_are_used_on_small_tables(spark, sf):
+    """Cells and a threshold for every query; what is multiplied is what the levels leave (all of such even directions)."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding", F.size("embedding").cast("long").alias("length"))
+    celled, cells, known = topk_search._fitted(rows, None)
+    asked = topk_search._thresholds(rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), known, 10).toPandas()
+    assert len(cells.rows) > 3 and np.isfinite(asked["least"]).all() and sum(len(x) for _, x in known.values()) <= max(rows.count() / 16, 1) + 1
+    table = rows.orderBy("vec_id").toPandas()
+    q, c = (np.floor(1024 * np.stack(t["embedding"]).astype(float)) for t in (asked, table))
+    ids = table["vec_id"].to_numpy()
+    found, left = topk_search.search(asked["query_id"].to_numpy(), q, asked["least"].to_numpy(), ids, c, 10)
+    assert left[0] == len(q) * (len(c) - 1) and (np.diff(left) <= 0).all()
+    scores = (q @ c.T).astype(int)
+    for i, place, score in found:
+        want = sorted((-s, v) for s, v in zip(scores[i], ids, strict=True) if v != asked["query_id"][i])[:10]
+        assert [(-s, v) for s, v in zip(score, ids[place], strict=True)] == want
+
+
 def test_top_k_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.top_k(df, df).collect() == []

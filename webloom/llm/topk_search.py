@@ -6,17 +6,19 @@ the distance of the vectors, and a summary has its vector's length, so
 
     q.c = (|q|^2 + |c|^2 - |q - c|^2) / 2 <= summary(q).summary(c).
 
-Whole cells are bounded first. Candidates go to the cell of the nearest of at most CELLS
-pivots, in summaries of CELL_LEVEL segments; with r the largest distance in a cell,
+A query's first threshold is its k-th exact score in a small sample of the candidates, so every
+visit is pruned. Whole cells are bounded first. Candidates go to the cell of the nearest
+pivot, in summaries of CELL_LEVEL segments; with r the largest distance in a cell,
 q.c <= summary(q).pivot + |q| r for all its members. A query first visits the cells of
-highest bound that hold k candidates; their exact scores set its threshold. It then
+highest bound that hold k candidates; their exact scores raise its threshold. It then
 visits only the other cells whose bound reaches the threshold, so a cell that no query
-can need is not shuffled to it.
+can need is not shuffled to it. There are about sqrt(n) / 2 cells, whatever n is.
 
 Inside a cell, levels go from few segments to many: a candidate whose bound is below
-the threshold on any level is out, and the survivors of the last level are scored
-exactly. Cells of any size are split into chunks, and the queries of a cell into blocks;
-each pair of a chunk and a block is one group of bounded size.
+the threshold on any level is out. Of the pairs that the last level leaves, those of highest
+bound are scored first, which raises the threshold once more; then the pairs that are still
+open are, and no others. Cells of any size are split into chunks, and the queries of a cell
+into blocks; each pair of a chunk and a block is one group of bounded size.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 
 from webloom.llm.runtime import checkpointed
 
-K, SCALE, LEVELS, CELL_LEVEL = 10, 1024, (4, 8, 16, 32), 16
-#: Cells at most, rows that a cell aims at, rows of a block of queries and of a chunk of candidates, queries in one go.
-CELLS, CELL_ROWS, QUERY_BLOCK, BLOCK, STEP = 1024, 4096, 32_768, 65_536, 32
+K, SCALE, LEVELS, CELL_LEVEL = 10, 1024, (4, 8, 16), 16
+#: Pivots that a task holds at most, vectors of the sample for thresholds and the largest share of all vectors that it
+#: is, rows of a block of queries and of a chunk of candidates, queries in one go.
+CELLS, SAMPLE, SAMPLE_SHARE, QUERY_BLOCK, BLOCK, STEP = 32_768, 512, 1 / 16, 32_768, 65_536, 32
 MOST_LONG = 2**63 - 1
 #: Rounding moves a bound by far less than this share of the vectors' lengths.
 ROUNDING = 1e-9
@@ -74,16 +77,15 @@ def scaled(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def search(
     q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int
 ) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
-    """For each query its place, its k best candidates' places and their scores; and the pairs left by each level.
+    """For each query its place, its k best candidates' places and their scores; and the pairs left by each step.
 
     c_ids ascend; rows of a query's own id are no candidates. ``least`` are scores that
     k candidates of a query are known to reach, minus infinity if none is known; pairs
     are counted before, after each level, and as scored.
     """
-    known = np.isfinite(least).any()
-    levels = [(summary(q, n), summary(c, n)) for n in LEVELS] if known else []
+    levels = [(summary(q, n), summary(c, n)) for n in LEVELS]
     q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-    found, left = [], np.zeros(len(LEVELS) + 1, np.int64)
+    found, left = [], np.zeros(len(LEVELS) + 2, np.int64)
     for at in range(0, len(q), STEP):
         rows = slice(at, at + STEP)
         open_ = q_ids[rows, None] != c_ids
@@ -91,13 +93,24 @@ def search(
         left[0] += open_.sum()
         for level, (q_level, c_level) in enumerate(levels):
             bound = q_level[rows] @ c_level[columns].T + ROUNDING * q_norm[rows, None] * c_norm[columns]
-            open_ &= bound >= least[rows, None]
+            open_ &= ~(bound < least[rows, None])
             kept = open_.any(axis=0)
-            open_, columns = open_[:, kept], columns[kept]
+            open_, columns, bound = open_[:, kept], columns[kept], bound[:, kept]
             left[level + 1] += open_.sum()
-        scores = exact_scores(q[rows], c[columns])
         for i, own in enumerate(open_):
-            place, score = columns[own], scores[i, own]
+            place, reach = columns[own], bound[i, own]
+            early = np.ones(len(place), bool)
+            if len(place) > 2 * k:
+                early = reach >= np.partition(reach, len(reach) - 2 * k)[len(reach) - 2 * k]
+            score = exact_scores(q[at + i : at + i + 1], c[place[early]])[0]
+            if not early.all():
+                kth = float(np.partition(score, len(score) - k)[len(score) - k])
+                later = ~early & ~(reach < kth - abs(kth) * ROUNDING)
+                place = np.concatenate([place[early], place[later]])
+                score = np.concatenate([score, exact_scores(q[at + i : at + i + 1], c[place[len(score) :]])[0]])
+                order = np.argsort(place)
+                place, score = place[order], score[order]
+            left[-1] += len(place)
             if len(place) > k:
                 top = score >= np.partition(score, len(score) - k)[len(score) - k]
                 place, score = place[top], score[top]
@@ -162,14 +175,24 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(sizes == size))
 
 
-def _fitted(vectors: DataFrame, cell_rows: int) -> tuple[DataFrame, Cells]:
-    """vectors with their cells, and those; the driver gets a sample of about CELLS vectors and a row a cell."""
+def _fitted(vectors: DataFrame, cell_rows: int | None) -> tuple[DataFrame, Cells, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """vectors with their cells, those, and by length ids and integer components of the sample for thresholds.
+
+    The driver gets a sample of SAMPLE vectors and one of a pivot a cell, by hash, and a row a cell.
+    """
     n = vectors.count()
-    wanted = min(CELLS, -(-n // cell_rows))
-    share = min(1.0, wanted / max(n, 1)) if wanted > 1 else 0.0
-    low = F.shiftrightunsigned(F.xxhash64(F.lit(7), "vec_id", "embedding"), 33) < F.lit(int(share * (1 << 31)))
-    sample = vectors.filter(low).select("embedding").limit(2 * CELLS).toPandas()["embedding"] if share else []
-    cells = Cells([np.floor(SCALE * np.array(x, np.float64)) for x in sample])
+    wanted = min(CELLS, -(-n // cell_rows) if cell_rows else math.ceil(math.sqrt(n) / 2))
+    aim = max(wanted, min(SAMPLE, n * SAMPLE_SHARE))
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(7), "vec_id", "embedding"), 33)
+    low = order < F.lit(int(min(1.0, aim / max(n, 1)) * (1 << 31)))
+    drawn = vectors.filter(low).select("vec_id", "embedding", order.alias("order")).orderBy("order").limit(2 * CELLS).toPandas()
+    sample = [np.floor(SCALE * np.array(x, np.float64)) for x in drawn["embedding"]]
+    cells = Cells(sample[:wanted])
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    few = range(min(len(sample), max(int(min(SAMPLE, n * SAMPLE_SHARE)), 1)))
+    for length in {len(sample[i]) for i in few}:
+        own = [i for i in few if len(sample[i]) == length]
+        known[length] = drawn["vec_id"].to_numpy(np.int64)[own], np.array([sample[i] for i in own])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +205,27 @@ def _fitted(vectors: DataFrame, cell_rows: int) -> tuple[DataFrame, Cells]:
     celled = checkpointed(vectors.mapInArrow(place, _with(vectors, cell="long", apart="double")))
     for r in celled.groupBy("cell").agg(F.max("apart").alias("radius"), F.count("*").alias("rows")).collect():
         cells.radius[r.cell], cells.rows[r.cell] = r.radius, r.rows
-    return celled, cells
+    return celled, cells, known
+
+
+def _thresholds(queries: DataFrame, known: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """queries with ``least``: a score that k vectors of the sample reach, minus infinity where it has no k of the query's length."""
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _by_length(batch):
+                q, ids = scaled(part.column("embedding")), part.column("query_id").to_numpy()
+                least = np.full(len(q), -np.inf)
+                own_ids, x = known.get(q.shape[1], (np.zeros(0, np.int64), q[:0]))
+                for at in range(0, len(q), 4096) if len(x) >= k else ():
+                    scores = exact_scores(q[at : at + 4096], x)
+                    scores[ids[at : at + 4096, None] == own_ids] = -MOST_LONG - 1
+                    kth = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+                    low = kth - np.abs(kth.astype(float)) * ROUNDING
+                    least[at : at + 4096] = np.where(kth > -MOST_LONG - 1, low, -np.inf)
+                yield part.append_column("least", pa.array(least))
+
+    return queries.mapInArrow(reach, _with(queries, least="double"))
 
 
 def _visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
@@ -256,7 +299,7 @@ def top_k(
     k: int = K,
     query_block: int = QUERY_BLOCK,
     block: int = BLOCK,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k best by integer inner product.
 
@@ -266,7 +309,8 @@ def top_k(
     vectors of another length are no candidates. Rows of the query's own vec_id are not
     its candidates. Rows that are equal in id and vector count once; different vectors
     under one vec_id are candidates, and queries, of their own. Scores beyond a long are
-    clipped to it. Empty tables give no rows; other columns are ignored.
+    clipped to it. Empty tables give no rows; other columns are ignored. A cell aims at ``cell_rows``,
+    twice the root of the number of vectors if none is given.
     """
 
     def usable(rows: DataFrame) -> DataFrame:
@@ -278,18 +322,18 @@ def top_k(
             .distinct()
         )
 
-    celled, cells = _fitted(usable(vectors), cell_rows)
-    asked = usable(queries).withColumnRenamed("vec_id", "query_id").withColumn("query", F.xxhash64("embedding"))
+    celled, cells, known = _fitted(usable(vectors), cell_rows)
+    asked = _thresholds(usable(queries).withColumnRenamed("vec_id", "query_id").withColumn("query", F.xxhash64("embedding")), known, k)
     ranked = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
 
     def top(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
-    first_visits = _visits(asked.withColumn("least", F.lit(float("-inf"))), cells, k, True)
+    first_visits = _visits(asked, cells, k, True)
     first = checkpointed(top(_found(first_visits, celled, cells, k, query_block, block)))
     # The score of the k-th found is a threshold. As a double it must not be above the score, and a clipped one says nothing.
     least = F.when(F.col("score") > -MOST_LONG - 1, F.col("score") - F.abs(F.col("score").cast("double")) * ROUNDING)
-    kth = first.filter(F.col("rank") == k).select("query_id", "query", least.alias("least"))
-    known = asked.join(kth, ["query_id", "query"], "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    later = _found(_visits(known.select(*asked.columns, "least"), cells, k, False), celled, cells, k, query_block, block)
+    kth = first.filter(F.col("rank") == k).select("query_id", "query", least.alias("raised"))
+    raised = asked.join(kth, ["query_id", "query"], "left").withColumn("least", F.greatest("least", "raised"))
+    later = _found(_visits(raised.select(*asked.columns), cells, k, False), celled, cells, k, query_block, block)
     return top(first.drop("rank").unionByName(later)).select("query_id", "rank", "vec_id", "score")

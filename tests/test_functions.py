@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import gzip
 import math
+import re
 import time
 
+import numpy as np
 import plain_blocks
 import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import markup, urls, wire
-from webloom.operators import discovery, domain_intel, evaluation, fetch_policy, images, metadata, readability, search
-from webloom.sources import blocks, dom, feeds, search_results, sinks
+from webloom.operators import discovery, domain_intel, evaluation, fetch_policy, images, metadata, patterns, readability, search
+from webloom.sources import blocks, bodies, dom, feeds, search_results, sinks
 
 
 def value(spark, make, *inputs):
@@ -309,7 +311,60 @@ def test_scope_thresholds():
 
 
 def test_patterns():
-    assert discovery.usable_patterns(["a", "(", "(a+)+b", "x" * 600]) == ["a"]
+    with pytest.warns(UserWarning):
+        assert patterns.checked(["a", "(", "(a+)+b", "x" * 600]) == ["a", "(a+)+b", "x" * 600]
+
+
+@pytest.mark.parametrize("include, path, want", [
+    (["(x)y", r"(a)\1"], "/aa", True), (["(x)y", r"(a)\1"], "/ab", False), ([r"(?P<n>a)(?P=n)"], "/aa", True), ([r"(?P<n_1>a)(?P=n_1)"], "/a", False), (["(?P<n>a)"], "/a", True),
+    (["(a+)+b"], "/" + "a" * 5000, False), (["a(?=b)"], "/ab", True), (["a(?!b)"], "/ab", False), (["|".join(f"q{i}" for i in range(400))], "/q399", True), ([r"a\Z"], "/ba", True), ([r"(?<!x)a\Z"], "/xa", False),
+])
+def test_each_pattern_is_matched_on_its_own(spark, include, path, want):
+    assert value(spark, lambda c: discovery.matches_patterns(c, include), "https://e.com" + path) is want
+
+
+@pytest.mark.parametrize("pattern", [r"(a)+\1", r"(?=(a+)+)b", r"(a)?(?(1)b|c)"])
+def test_patterns_without_a_bound_are_refused(pattern):
+    with pytest.raises(ValueError):
+        discovery.matches_patterns(F.col("url"), [pattern])
+
+
+def test_required_strings_of_patterns():
+    cases = {"abc": "abc", "ab*cde": "cde", "ab+cde": "cde", "a|b": "", "x(a|b)yz": "yz", r"\.html$": ".html", r"\d+foo[a-z]bar{2}": "foo", "(?i)abc": "", r"a\x41b": "", "[]a]bc": "bc", "[^]a]bc?": "b", "a{2}b": "b", "^/en/": "/en/", "(abc)?": ""}
+    assert {p: patterns.required(p) for p in cases} == cases
+
+
+def test_texts_against_a_table_of_patterns(spark):
+    rng = np.random.default_rng(8)
+    pieces = ["ab", "c+", "[xy]", "d?e", r"\d", "f|g", "(h|i)j", "^k", "l$", ".", r"m\.n", "(?i:OP)", "q{2}", "(r+)+s"]
+    known = ["".join(rng.choice(pieces, rng.integers(1, 4))) for _ in range(120)] + ["(", "ab"]
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrs0xy."), rng.integers(0, 25))) for _ in range(150)] + ["", None, "ab" * 100, "r" * 3000]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(known)] + [(999, None)], "number int, pattern string")
+    with pytest.warns(UserWarning):
+        found = patterns.matching(spark.createDataFrame([(i, t, "o") for i, t in enumerate(texts)], "id int, text string, row string"), table)
+    want = {(i, n) for i, t in enumerate(texts) for n, p in enumerate(known) if t is not None and p != "(" and "(r+)+s" not in p and re.search(p, t)}
+    assert {(r.id, r.number) for r in found.collect() if "(r+)+s" not in r.pattern} == want and found.columns == ["id", "text", "row", "number", "pattern"]
+    with pytest.raises(ValueError):
+        patterns.matching(table, spark.createDataFrame([(r"(a)\1",)], "pattern string"), text="pattern")
+
+
+def test_bodies_in_their_charsets(spark):
+    rows = [
+        ("header", "é name".encode("latin-1"), "text/html; charset=ISO-8859-1", "é name"), ("quoted", "日本".encode("shift_jis"), 'text/html; Charset="Shift_JIS"; x=1', "日本"),
+        ("mark", b"\xff\xfe" + "ü€".encode("utf-16-le"), "text/html; charset=utf-8", "ü€"), ("mark8", b"\xef\xbb\xbf" + "ü".encode(), "text/html; charset=latin-1", "ü"),
+        ("meta", '<meta charset="koi8-r">Привет'.encode("koi8-r"), None, '<meta charset="koi8-r">Привет'), ("equiv", b'<META http-equiv=x content="text/html; charset=windows-1252">\x80', "text/html", '<META http-equiv=x content="text/html; charset=windows-1252">€'),
+        ("unknown", "é".encode(), "text/html; charset=nonsense", "é"), ("broken", b"a\xffb", "", "a\ufffdb"), ("far", b" " * 1100 + b'<meta charset="koi8-r">\xc3\xa9', None, " " * 1100 + '<meta charset="koi8-r">é'),
+        ("wide", b"<meta charset=utf-16>x\xc3\xa9", None, "<meta charset=utf-16>xé"), ("comment", b"<!-- <meta charset=koi8-r> -->\xc3\xa9", None, "<!-- <meta charset=koi8-r> -->é"),
+        ("none", None, "text/html", None), ("empty", b"", None, ""), ("codec", b"abc", "text/html; charset=rot13", "abc"), ("big", b"\xfe\xff" + "ß".encode("utf-16-be"), None, "ß"), ("half", b"\xff\xfe\x00\xd8", None, "\ufffd"),
+    ]
+    df = spark.createDataFrame([(*r[:3], "mine") for r in rows], "name string, body binary, content_type string, charset string")
+    found = {r.name: r.html for r in bodies.decoded(df).collect()}
+    assert found == {r[0]: r[3] for r in rows}
+
+
+def test_bodies_that_are_too_large(spark):
+    df = spark.createDataFrame([(b"abc", "3"), (b"abcd", "4"), (b"abcd", None), (b"ab", "x"), (None, "9"), (None, None)], "body binary, declared string")
+    assert [r.e for r in df.select(bodies.body_error(F.col("body"), 3, F.col("declared")).alias("e")).collect()] == [None, "declared too large", "too large", None, "declared too large", None]
 
 
 def test_max_urls_is_optional(spark):
@@ -327,6 +382,34 @@ def test_redirect_loops(spark):
     assert found == {"a": None, "b": None, "c": "d"}
 
 
+def plain_redirects(hops, url, allowed, most):
+    seen, at, n = set(), url, 0
+    while True:
+        if n <= most and not allowed(at):
+            return None, n, "closed", at
+        if at not in hops:
+            return (at, n, "ok", None) if n <= most else (None, most + 1, "too many", None)
+        if at in seen:
+            return None, most + 1, "cycle", None
+        seen.add(at)
+        at, n = hops[at], n + 1
+
+
+@pytest.mark.parametrize("most", [1, 4, 10])
+def test_redirect_paths_equal_a_plain_walk(spark, most):
+    rng = np.random.default_rng(most)
+    name = lambda i: f"https://h{i}.example.com/" if i % 17 else f"http://10.0.0.{i % 250}/"
+    hops = {name(i): name(i + 1) for i in range(200, 259)}  # one long way
+    hops |= {name(i): name(int(rng.integers(0, 120))) for i in range(0, 100)} | {name(300): name(300), name(301): name(302), name(302): name(301)}
+    starts = sorted({*hops, name(400), "ftp://x/"})
+    df = spark.createDataFrame(list(hops.items()) + [(name(400), None), (None, "x")], "source string, target string")
+    found = discovery.redirect_paths(df, spark.createDataFrame([(s,) for s in starts], "url string"), fetch_policy.url_allowed, most).collect()
+    want = {s: plain_redirects(hops, s, lambda u: u.startswith("https"), most) for s in starts}
+    assert {r.url: tuple(r)[1:] for r in found} == want and {w[2] for w in want.values()} >= {"ok", "closed", "cycle"}
+    relative = spark.createDataFrame([("https://e.com/a/b", "../c?x")], "source string, target string")
+    assert discovery.redirect_paths(relative, relative.selectExpr("source AS url")).first().target == "https://e.com/c?x"
+
+
 def test_correlation_takes_the_latest_open_request(spark):
     log = [(1, "request"), (2, "request"), (3, "response"), (4, "response"), (5, "response"), (6, "request"), (7, "response")]
     df = spark.createDataFrame([(i, 1, "u", k, i, 200) for i, k in log], "id long, session_id long, url string, kind string, ts long, status int")

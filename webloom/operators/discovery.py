@@ -3,77 +3,26 @@
 from __future__ import annotations
 
 import math
-import operator
-import re
-import warnings
-from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
+from webloom.operators import patterns
 from webloom.operators.links import extract_links
 from webloom.runtime import checkpointed
 
-#: Patterns longer than this, or with a repeated group, can take Java's matcher, which goes back, forever.
-LONGEST_PATTERN = 500
-_REPEATED_GROUP = re.compile(r"\)[+*{]")
-
-
-def _compiled(patterns: list[str] | None) -> list[str]:
-    """The patterns that are regular expressions; for the others there is a warning."""
-    kept = []
-    for pattern in patterns or []:
-        try:
-            re.compile(pattern)
-            kept.append(pattern)
-        except re.error as e:
-            warnings.warn(f"not a regular expression: {pattern!r} ({e})", stacklevel=3)
-    return kept
-
-
-def usable_patterns(patterns: list[str] | None) -> list[str]:
-    """The patterns that Java's matcher can't run away with."""
-    return [p for p in _compiled(patterns) if len(p) <= LONGEST_PATTERN and not _REPEATED_GROUP.search(p)]
-
-
-def _any_match(path: Column, patterns: list[str]) -> Column:
-    """Whether a path has a match of any pattern. Patterns that Java could run away with are matched in linear time.
-
-    The linear matcher knows neither references nor looking around; a pattern that needs
-    both that and a repeated group is an error, not left out.
-    """
-    plain = usable_patterns(patterns)
-    linear = [p for p in patterns if p not in plain]
-    for pattern in linear:
-        try:
-            pc.match_substring_regex(pa.array([""]), pattern)
-        except pa.ArrowInvalid as e:
-            raise ValueError(f"{pattern!r} can't be matched in linear time: {e}") from e
-
-    @F.arrow_udf("boolean")
-    def matches(paths: pa.Array) -> pa.Array:
-        found = pc.match_substring_regex(paths, linear[0])
-        for pattern in linear[1:]:
-            found = pc.or_(found, pc.match_substring_regex(paths, pattern))
-        return found
-
-    hits = [path.rlike("|".join(f"(?:{p})" for p in plain))] if plain else []
-    return reduce(operator.or_, [*hits, *([matches(path)] if linear else [])])
-
-
 def matches_patterns(url: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
     """Whether a URL's path has a match of any include pattern and of no exclude pattern; no pattern lets all pass.
 
-    What isn't a regular expression is left out with a warning; all other patterns hold.
+    What isn't a regular expression is left out with a warning; all other patterns hold, each matched on its own. All but
+    those that look around or back are matched in linear time, however long they are; one of these that repeats a group is an error.
     """
     path, out = urls.path(url), F.lit(True)
-    if inc := _compiled(include):
-        out = out & _any_match(path, inc)
-    if exc := _compiled(exclude):
-        out = out & ~_any_match(path, exc)
+    if inc := patterns.checked(include):
+        out = out & patterns.matches(path, inc)
+    if exc := patterns.checked(exclude):
+        out = out & ~patterns.matches(path, exc)
     return out
 
 
@@ -186,15 +135,60 @@ def redirect_targets(redirects: DataFrame, start: DataFrame, most: int = 10) ->
     ``hops`` is ``most + 1`` at most. Each round joins the table of redirects with itself and
     doubles the hops that a row stands for, so a few rounds serve chains of any start.
     """
-    jumps = checkpointed(redirects.select("source", "target", F.lit(1).alias("hops")))
+    found = redirect_paths(redirects, start, None, most)
+    return found.select("url", F.when(F.col("hops") <= most, F.col("target")).alias("target"), "hops")
+
+
+def redirect_paths(redirects: DataFrame, start: DataFrame, allowed=None, most: int = 10) -> DataFrame:
+    """url, target, hops, outcome, closed of start (url) through redirects (source, target).
+
+    ``allowed`` takes a column of URLs and says which may be fetched, as ``fetch_policy.url_allowed`` does; start and every target on the way
+    are held against it. Outcomes: ``ok`` at ``target``; ``closed`` if a URL may not be fetched, the first such being ``closed`` after ``hops``
+    hops; ``cycle`` if the way never ends; ``too many`` beyond ``most`` hops; the last two have no target and ``most + 1`` hops. Of several
+    targets of a source the least counts; a target may be relative to its source.
+
+    Each round doubles the hops that a row stands for and carries the first closed URL over the whole way. Then only ways longer
+    than ``most`` are followed on, doubling again, until they end or as many hops as there are such sources were made, which is a cycle.
+    """
+    may = allowed or (lambda url: F.lit(True))
+    once = redirects.filter("source IS NOT NULL AND target IS NOT NULL").groupBy("source").agg(F.min("target").alias("target"))
+    relative = F.col("source").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
+    once = once.withColumn("target", F.when(relative, urls.join(F.col("source"), F.col("target"))).otherwise(F.col("target")))
+    bad = F.when(~may(F.col("target")), F.struct(F.lit(1).alias("hop"), F.col("target").alias("at")))
+    jumps = checkpointed(once.select("source", "target", F.lit(1).alias("hops"), bad.alias("bad")))
+
+    def doubled(jumps: DataFrame, bound: int | None) -> DataFrame:
+        further = jumps.select(F.col("source").alias("from_"), F.col("target").alias("to_"), F.col("hops").alias("more_"), F.col("bad").alias("bad_"))
+        joined = jumps.join(further, F.col("target") == F.col("from_"), "left")
+        hops = F.col("hops") + F.coalesce("more_", F.lit(0))
+        later = F.when(F.col("bad_").isNotNull(), F.struct((F.col("bad_.hop") + F.col("hops")).alias("hop"), F.col("bad_.at").alias("at")))
+        hops = F.least(hops, F.lit(bound)) if bound else hops
+        return checkpointed(joined.select("source", F.coalesce("to_", "target").alias("target"), hops.alias("hops"), F.coalesce("bad", later).alias("bad")))
+
     for _ in range(math.ceil(math.log2(most + 1))):
-        further = jumps.select(F.col("source").alias("_from"), F.col("target").alias("_to"), F.col("hops").alias("_more"))
-        joined = jumps.join(further, F.col("target") == F.col("_from"), "left")
-        hops = F.least(F.col("hops") + F.coalesce("_more", F.lit(0)), F.lit(most + 1))
-        jumps = checkpointed(joined.select("source", F.coalesce("_to", "target").alias("target"), hops.alias("hops")))
-    found = start.join(jumps.withColumnRenamed("source", "url"), "url", "left")
-    hops = F.coalesce("hops", F.lit(0))
-    return found.select("url", F.when(hops <= most, F.coalesce("target", "url")).alias("target"), hops.alias("hops"))
+        jumps = doubled(jumps, most + 1)
+    # Sources whose way is longer: those that lead to one whose way ends are long, the others go around.
+    open_ = checkpointed(jumps.filter(F.col("hops") > most).select("source", "target"))
+    left, made = open_.count(), 1
+    total = left
+    while left and made <= total:
+        ahead = open_.select(F.col("source").alias("from_"), F.col("target").alias("to_"))
+        open_ = checkpointed(open_.join(ahead, F.col("target") == F.col("from_")).select("source", F.col("to_").alias("target")))
+        left, made = open_.count(), made * 2
+    around = open_.select("source", F.lit(True).alias("around"))
+    known = jumps.join(around, "source", "left").withColumnRenamed("source", "url")
+    found = start.select("url").join(known, "url", "left").withColumn("hops", F.coalesce("hops", F.lit(0)))
+    own = F.when(~may(F.col("url")), F.struct(F.lit(0).alias("hop"), F.col("url").alias("at")))
+    first = F.coalesce(own, F.when(F.col("bad.hop") <= most, F.col("bad")))
+    found = found.withColumn("first", first)
+    outcome = F.when(F.col("first").isNotNull(), "closed").when(F.col("around"), "cycle").when(F.col("hops") > most, "too many").otherwise("ok")
+    return found.withColumn("outcome", outcome).select(
+        "url",
+        F.when(F.col("outcome") == "ok", F.coalesce("target", "url")).alias("target"),
+        F.coalesce("first.hop", "hops").alias("hops"),
+        "outcome",
+        F.col("first.at").alias("closed"),
+    )
 
 
 def correlate(log: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ _V4_BEFORE = "00000000000000000000ffff"
 _V4 = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once, however often ``then`` asks for it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _v4_digits(host: Column) -> Column:
     """The 8 hex digits of a dotted address."""
     return F.array_join(F.transform(F.split(host, r"\."), lambda p: F.lpad(F.hex(p.try_cast("long")), 2, "0")), "")
@@ -25,21 +30,31 @@ def digits(host: Column) -> Column:
 
     An IPv4 address needs four numbers without leading zeros; a zone (``%eth0``) isn't part of an address.
     """
-    host = F.lower(F.regexp_replace(F.trim(host), r"^\[(.*)\]$", "$1"))
+    return let(F.lower(F.regexp_replace(F.trim(host), r"^\[(.*)\]$", "$1")), _digits)
+
+
+def _digits(host: Column) -> Column:
     tail = F.regexp_extract(host, rf":({_V4})$", 1)
-    number = F.lower(_v4_digits(tail))
-    plain = F.when(tail == "", host).otherwise(
-        F.concat(F.substring(host, F.lit(1), F.char_length(host) - F.char_length(tail)), F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))
-    )
-    halves = F.split(plain, "::")
-    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
-    left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    shaped = plain.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & plain.contains(":")
-    fits = F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
-    v6 = F.when(shaped & fits, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
-    return F.when(host.rlike(f"^{_V4}$"), F.concat(F.lit(_V4_BEFORE), F.lower(_v4_digits(host)))).otherwise(v6)
+    pair = let(F.lower(_v4_digits(tail)), lambda n: F.concat(F.substring(n, 1, 4), F.lit(":"), F.substring(n, 5, 4)))
+    plain = F.when(F.rlike(host, F.lit(rf":{_V4}$")), F.concat(F.regexp_replace(host, r"[\d.]+$", ""), pair)).otherwise(host)
+    v4 = F.concat(F.lit(_V4_BEFORE), F.lower(_v4_digits(host)))
+    return F.when(host.rlike(f"^{_V4}$"), v4).otherwise(F.when(host.contains(":"), let(plain, _v6_digits)))
+
+
+def _v6_digits(plain: Column) -> Column:
+    def full(halves: Column) -> Column:
+        groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+        both = F.struct(groups(F.get(halves, F.lit(0))).alias("left"), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>")).alias("right"), (F.size(halves) == 2).alias("cut"))
+        return let(both, filled)
+
+    def filled(x: Column) -> Column:
+        missing = F.lit(8) - F.size(x["left"]) - F.size(x["right"])
+        every = F.concat(x["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["right"])
+        fits = F.when(x["cut"], missing >= 1).otherwise(missing == 0)
+        return F.when(fits, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    shaped = plain.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$")
+    return F.when(shaped, let(F.split(plain, "::"), full))
 
 
 def network(text: str) -> tuple[str, int] | None:
@@ -93,9 +108,13 @@ def narrowest(hosts: DataFrame, networks: DataFrame) -> DataFrame:
 
 def first_match(address: Column, networks: list[tuple[str, bool]]) -> Column:
     """The value of the narrowest network that an address lies in; null if it lies in none. Networks are (text, value)."""
-    known = [(*network(text), value) for text, value in networks]
-    out = F.lit(None).cast("boolean")
-    for first, length, value in sorted(known, key=lambda n: n[1]):
-        out = F.when(within(address, first, length), F.lit(value)).otherwise(out)
-    return out
+    known = sorted(((*network(text), value) for text, value in networks), key=lambda n: -n[1])
+
+    def chosen(a: Column) -> Column:
+        out = F.when(within(a, *known[0][:2]), F.lit(known[0][2]))
+        for first, length, value in known[1:]:
+            out = out.when(within(a, first, length), F.lit(value))
+        return out
+
+    return let(address, chosen)
 

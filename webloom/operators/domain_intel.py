@@ -157,12 +157,17 @@ STATUS = r"(?i)^(?:(?:domain )?status:|state:)\s*(.+)"
 
 
 def whois_date(text: Column) -> Column:
-    """A date in one of the registries' formats as an ISO time; null if it is none."""
+    """A date in one of the registries' formats as an ISO time with its fraction and offset, if it has them; null if it is none.
+
+    ``Z``, UTC and GMT stand for no offset, but for a Z behind a time that a space parts from its date.
+    """
     plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"\.+$", ""), r"(?i)^before\s+", "")
-    iso = F.when(
-        plain.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d:\d\d(\.\d+)?( ?(Z|UTC|GMT|[+-]\d\d:?\d\d|\([+-]\d{4}\)))?)?$"),
-        F.regexp_replace(F.regexp_extract(plain, r"^(\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d:\d\d)?)", 1), "T", " ").try_cast("timestamp_ntz"),
-    )
+    shape = r"^(\d{4}-\d\d-\d\d)(?:([T ])(\d\d:\d\d:\d\d)(\.\d{1,6})?( ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d|\([+-]\d{4}\)))?)?$"
+    part = lambda n: F.regexp_extract(plain, shape, n)
+    zone = F.regexp_replace(part(5), r"[ ()]", "")
+    offset = F.when(zone.rlike("^[+-]"), F.regexp_replace(zone, r"^([+-]\d\d):?(\d\d)$", "$1:$2")).when((zone == "Z") & (part(2) == " ") & ~part(5).startswith(" "), "+00:00").otherwise("")
+    fraction = F.when(part(4).rlike("[1-9]"), F.rpad(part(4), 7, "0")).otherwise("")
+    iso = F.concat_ws(" ", F.nullif(part(1), F.lit("")), F.nullif(part(3), F.lit(""))).try_cast("timestamp_ntz")
     shapes = {
         r"^\d\d-[A-Za-z]{3}-\d{4}$": "dd-MMM-yyyy",
         r"^\d{4}/\d\d/\d\d$": "yyyy/MM/dd",
@@ -174,10 +179,12 @@ def whois_date(text: Column) -> Column:
         r"^\d{1,2} [A-Z][a-z]{2,} \d{4}$": "d MMMM yyyy",
     }
     clock = F.regexp_extract(plain, r"^(\d\d-[A-Za-z]{3}-\d{4} \d\d:\d\d:\d\d)( [A-Z]+)?$", 1)
-    others = [F.when(plain.rlike(r), F.try_to_timestamp(plain, F.lit(f))).cast("timestamp_ntz") for r, f in shapes.items()]
+    long_ = F.regexp_replace(plain, r"^[A-Z][a-z]{2} ([A-Z][a-z]{2}) +(\d{1,2}) (\d\d:\d\d:\d\d) (?:UTC|GMT) (\d{4})$", "$4 $1 $2 $3")
+    dated = [F.when(plain.rlike(r), F.try_to_timestamp(plain, F.lit(f))).cast("timestamp_ntz") for r, f in shapes.items()]
     timed = F.when(clock != "", F.try_to_timestamp(clock, F.lit("dd-MMM-yyyy HH:mm:ss"))).cast("timestamp_ntz")
-    found = F.coalesce(iso, *others, timed)
-    return F.date_format(found, "yyyy-MM-dd'T'HH:mm:ss")
+    worded = F.when(long_ != plain, F.try_to_timestamp(long_, F.lit("yyyy MMM d HH:mm:ss"))).cast("timestamp_ntz")
+    written = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.coalesce(F.concat(written(iso), fraction, offset), written(F.coalesce(*dated, timed, worded)))
 
 
 def parse_whois(docs: DataFrame) -> DataFrame:

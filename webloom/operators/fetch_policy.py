@@ -134,11 +134,17 @@ def host_allowed(host: Column, allowed_hosts: list[str] | None = None) -> Column
     ``allowed_hosts`` are hosts, suffixes (``.example.com``) and networks of both families (``10.0.0.0/24``, ``fd00::/8``). What could be
     an address but is none in full (``127.1``, ``2130706433``, ``0x7f.1``, a zone) isn't open.
     """
-    address = addresses.digits(host)
-    named = host.isin("", *CLOSED_HOSTS) | host.rlike(r"\.(local|internal|localhost)$")
-    odd = address.isNull() & (host.rlike(_NUMBERS) | host.contains(":") | host.contains("%") | host.contains("["))
-    closed = F.coalesce(addresses.first_match(address, list(SPECIAL_NETWORKS)), F.lit(False))
-    return F.coalesce((~named & ~odd & ~closed) | _listed(host, address, allowed_hosts or []), F.lit(False))
+    closed_or_open = list(SPECIAL_NETWORKS)
+
+    def passes(x: Column) -> Column:
+        host, address = x["host"], x["address"]
+        named = host.isin("", *CLOSED_HOSTS) | host.rlike(r"\.(local|internal|localhost)$")
+        odd = address.isNull() & (host.rlike(_NUMBERS) | host.rlike(r"[:%\[]"))
+        closed = F.coalesce(addresses.first_match(address, closed_or_open), F.lit(False))
+        return F.coalesce((~named & ~odd & ~closed) | _listed(host, address, allowed_hosts or []), F.lit(False))
+
+    both = lambda h: addresses.let(F.struct(h.alias("host"), addresses.digits(h).alias("address")), passes)
+    return addresses.let(host, both)
 
 
 def url_allowed(url: Column, allowed_hosts: list[str] | None = None) -> Column:

@@ -183,8 +183,9 @@ SQL = {
     UNION ALL SELECT c_custkey, 'x-my-token', '<redacted: ' || length(c_name) || ' bytes>' FROM customer WHERE c_custkey % 13 = 0""",
     "retry_schedule": """SELECT c_custkey AS id, n::INTEGER AS attempt, pow(2.0, n) AS delay, pow(2.0, n) * 0.5 AS least, pow(2.0, n) * 1.5 AS most
     FROM customer, range(3) r(n) WHERE c_custkey % 8 IN (3, 4, 5)""",
-    "url_policy_gate": """SELECT c_custkey AS id, c_custkey % 11 <> 0 AND (c_custkey % 8 IN (3, 7) OR (c_custkey % 8 = 1 AND
-    c_custkey % 40 NOT BETWEEN 16 AND 31)) AS allowed FROM customer""",
+    # 203.0.113.0/24 is reserved, too.
+    "url_policy_gate": """SELECT c_custkey AS id, c_custkey % 11 <> 0 AND (c_custkey % 8 = 3 OR (c_custkey % 8 = 7 AND c_custkey % 250 <> 113)
+    OR (c_custkey % 8 = 1 AND c_custkey % 40 NOT BETWEEN 16 AND 31)) AS allowed FROM customer""",
     "token_bucket": """WITH RECURSIVE e AS (
     SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events
 ), f AS (

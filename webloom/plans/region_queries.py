@@ -57,7 +57,7 @@ def content_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
         found.filter("tag = 'article'").select("page_id", F.col("nid").alias("root")),
         found.filter("tag IN ('nav', 'footer')").select("page_id", F.col("nid").alias("root")),
     )
-    told = evaluation.ablation(checkpointed(rows.withColumn("fold", F.col("page_id") % 2)), "fold", [0, 1])
+    told = evaluation.ablation(checkpointed(rows.withColumn("fold", F.col("page_id") % 2)), "fold", [0, 1], iterations=30)
     return told.select(F.coalesce("dropped", F.lit("none")).alias("dropped"), *[F.round(c, 6).alias(c) for c in ("f1", "top_hit_rate", "delta_f1")])
 
 

@@ -56,7 +56,7 @@ def content_model_training(spark: SparkSession, sf_dir: str) -> DataFrame:
         found.filter("tag = 'article'").select("page_id", F.col("nid").alias("root")),
         found.filter("tag IN ('nav', 'footer')").select("page_id", F.col("nid").alias("root")),
     )
-    scored = evaluation.leave_one_out(checkpointed(rows.withColumn("fold", F.col("page_id") % 2)), "fold", [0, 1])
+    scored = evaluation.leave_one_out(checkpointed(rows.withColumn("fold", F.col("page_id") % 2)), "fold", [0, 1], iterations=30)
     return evaluation.confusion(scored, F.col("label") == 1, F.col("guess") == 1).select("tp", "fp", "fn", "tn")
 
 

@@ -35,6 +35,8 @@ def spread(df: DataFrame, bytes_a_task: int = 16 << 20) -> DataFrame:
     A small file is one task, however long its rows take to parse. Larger inputs are
     split by their scan and stay as they are, so what is shuffled here is bounded.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) < cores * bytes_a_task else df

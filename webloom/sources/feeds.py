@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.markup import attributes, decoded, scan
@@ -238,6 +238,52 @@ def resolve_sitemaps(files: DataFrame, start: DataFrame, max_depth: int = 3) ->
     return reached.join(entries.filter(~F.col("is_index")).drop("is_index"), "url")
 
 
+def sitemap_tree(files: DataFrame, start: DataFrame, max_depth: int = 3, most: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
+    """What is reached from the start files (url) through files (url, packed): entries, and every visit with its error.
+
+    Entries are those of ``sitemap_entries`` with the depth of their file. Visits are (url, parent, depth, error, n): a row for each start and each line
+    of an index that was read, with the file's number of entries or nested files. Errors: ``missing`` (no such file), ``empty``, ``too large``
+    (more than ``most`` bytes, packed or not), ``broken`` (can't be unpacked), ``too deep`` (below ``max_depth``), ``again`` (visited before on this way
+    or another, as in a cycle; such a file isn't read twice). Levels are visited in turn; in a level the least parent visits first. Packed or plain is told
+    by a file's first bytes; of files that stand twice one counts. Each file is unpacked and parsed once, each level is one join, cut from its lineage.
+    """
+    sized = files.filter("url IS NOT NULL").groupBy("url").agg(F.max("packed").alias("packed"))
+    large = F.octet_length("packed") > most
+    small = gunzipped(sized.filter(~F.coalesce(large, F.lit(False))), most)
+    error = F.when(F.col("error") == "ValueError", "too large").when(F.col("error").isNotNull(), "broken").when(~F.coalesce("body", F.lit("")).rlike(r"\S"), "empty")
+    read = checkpointed(small.withColumn("error", error).unionByName(sized.filter(large).select("url", F.lit(None).cast("string").alias("body"), F.lit("too large").alias("error"))))
+    parsed = checkpointed(sitemap_entries(read.filter("error IS NULL")))
+    counts = parsed.groupBy("url").agg(F.count("*").alias("n"))
+    known = read.select("url", F.lit(True).alias("there"), F.col("error").alias("unread"))
+    root = start.select("url", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
+    asked, reached, visits = checkpointed(root), None, []
+    first = Window.partitionBy("url").orderBy("parent")
+    while True:
+        ranked = asked.withColumn("nth", F.row_number().over(first))
+        if reached is not None:
+            ranked = ranked.join(reached.withColumn("before", F.lit(True)), "url", "left")
+        else:
+            ranked = ranked.withColumn("before", F.lit(None).cast("boolean"))
+        again, deep = F.col("before").isNotNull() | (F.col("nth") > 1), F.col("depth") > max_depth
+        told = ranked.join(known, "url", "left").withColumn(
+            "error", F.when(again, "again").when(deep, "too deep").when(F.col("there").isNull(), "missing").otherwise(F.col("unread"))
+        )
+        level = checkpointed(told.select("url", "parent", "depth", "error"))
+        visits.append(level)
+        new = level.filter("error IS NULL OR error <> 'again'").select("url")
+        reached = new if reached is None else reached.unionByName(new)
+        nested = level.filter("error IS NULL").join(parsed.filter("is_index"), "url")
+        asked = checkpointed(nested.select(F.col("loc").alias("url"), F.col("url").alias("parent"), (F.col("depth") + 1).alias("depth")))
+        if asked.isEmpty():
+            break
+    every = visits[0]
+    for level in visits[1:]:
+        every = every.unionByName(level)
+    entries = every.filter("error IS NULL").select("url", "depth").join(parsed.filter(~F.col("is_index")).drop("is_index"), "url")
+    out = every.join(counts, "url", "left").select("url", "parent", "depth", "error", F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).alias("n"))
+    return entries, out
+
+
 #: Where a sitemap is looked for if robots.txt names none, in this order.
 WELL_KNOWN = ("/sitemap.xml", "/sitemap_index.xml")
 

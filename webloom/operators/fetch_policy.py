@@ -50,6 +50,28 @@ def redacted(headers: Column) -> Column:
     )
 
 
+def captured(
+    log: DataFrame, resource_types: list[str] | None = None, content_types: list[str] | None = None, least_status: int = 200, most_bytes: int | None = None
+) -> DataFrame:
+    """The responses of (status, resource_type, content_type, content_length, ...) that are worth keeping.
+
+    Redirects and statuses below ``least_status`` are not. ``resource_types`` are equal, ``content_types`` are beginnings, whatever their case; None lets all
+    pass. A response without a length passes ``most_bytes``, its body has to be held against it.
+    """
+    status, kind = F.col("status"), F.lower(F.trim("content_type"))
+    kept = (status >= least_status) & ((status < 300) | (status >= 400))
+    if resource_types is not None:
+        kept = kept & F.lower("resource_type").isin([t.lower() for t in resource_types])
+    if content_types is not None:
+        begins = F.lit(False)
+        for one in content_types:
+            begins = begins | F.startswith(kind, F.lit(one.strip().lower()))
+        kept = kept & begins
+    if most_bytes is not None:
+        kept = kept & F.coalesce(F.col("content_length") <= most_bytes, F.lit(True))
+    return log.filter(kept)
+
+
 def retry_schedule(max_retries: int = 3, initial: float = 1.0, base: float = 2.0, longest: float = 60.0) -> Column:
     """array<struct<attempt, delay, least, most>>: the waits before each retry, with the bounds of their jitter."""
 

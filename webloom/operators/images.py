@@ -106,3 +106,9 @@ def extract_images(pages: DataFrame) -> DataFrame:
         .withColumn("format", F.when(ending.isin(*fixed.IMAGE_ENDINGS), ending))
         .drop("nth", "rank", "nid")
     )
+
+
+def of_formats(images: DataFrame, formats: list[str]) -> DataFrame:
+    """The rows of images whose ``format`` is one of formats, whatever their case; jpeg and jpg are one."""
+    plain = lambda f: f.strip().lower().lstrip(".").replace("jpeg", "jpg")
+    return images.filter(F.regexp_replace(F.lower("format"), "jpeg", "jpg").isin([plain(f) for f in formats]))

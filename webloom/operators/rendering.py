@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import fixed
 from webloom.operators import readability
 from webloom.runtime import checkpointed
+from webloom.sources import blocks
 from webloom.sources.dom import nodes
 
 LEAST_CONTENT, LEAST_BODY = 200, 500
@@ -47,14 +48,24 @@ def fetch_route(status: Column, html: Column, has_browser: Column) -> Column:
     return F.when(has_browser, "browser").when(refused, "http then browser").otherwise("http")
 
 
+#: A scope below this is strict.
+STRICT = 0.4
+
+
 def main_element(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     """page_id, nid, tag, words, source: the element that a page's document is made of.
 
-    The learned core, else the heuristic's best. If that has fewer than 50 words and the
+    The learned core, else the heuristic's best. A scope below 0.4 that finds no region on a page is tried
+    again with 0.5. If what is found has fewer than 50 words and the
     body more than 200, the semantic container or the body is taken. Pages are parsed once.
     """
     found = checkpointed(nodes(pages))
-    learned = readability.learned_regions(pages, scope, found).filter("role <> 'peer'").select("page_id", F.col("nid").alias("l_nid"))
+    cores = readability.learned_regions(pages, scope, found).filter("role <> 'peer'").select("page_id", "nid", "role")
+    if scope < STRICT:
+        usual = readability.learned_regions(pages, 0.5, found).filter("role <> 'peer'").select("page_id", F.col("nid").alias("nid_"), F.col("role").alias("role_"))
+        both, again = cores.join(usual, "page_id", "full"), F.coalesce(F.col("role") == "body", F.lit(True)) & F.col("nid_").isNotNull()
+        cores = both.select("page_id", F.when(again, F.col("nid_")).otherwise(F.col("nid")).alias("nid"))
+    learned = cores.select("page_id", F.col("nid").alias("l_nid"))
     heuristic = readability.heuristic_regions(pages, found).filter("is_best").select("page_id", F.col("nid").alias("h_nid"))
     semantic = readability.semantic_container(pages, found=found).select("page_id", F.col("nid").alias("s_nid"))
     body = found.filter("tag = 'body'").select("page_id", F.col("nid").alias("b_nid"), F.col("words").alias("b_words"))
@@ -65,3 +76,13 @@ def main_element(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     source = F.when(thin, F.when(F.col("s_nid").isNotNull(), "semantic").otherwise("body")).when(F.col("l_nid").isNotNull(), "learned").otherwise("heuristic")
     picked = first.select("page_id", final.alias("nid"), source.alias("source"))
     return picked.join(found.select("page_id", "nid", "tag", "words"), ["page_id", "nid"]).select("page_id", "nid", "tag", "words", "source")
+
+
+def article_blocks(pages: DataFrame, scope: float = 0.5, prose: bool = False) -> DataFrame:
+    """The blocks, as of ``blocks.blocks``, of the main element of each page (page_id, url, html).
+
+    Where that is the semantic container, the last resort before the body, menus and footers inside of it are left out. A page without
+    an element has no blocks. page_id stands for one page.
+    """
+    main = main_element(pages, scope).select("page_id", F.col("nid").alias("root"), (F.col("source") == "semantic").alias("bare"))
+    return blocks.blocks(pages.select("page_id", "url", "html").join(main, "page_id"), prose=prose)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import content_queries, coverage_queries, domain_queries, extract_queries, gate_queries, more_queries, page_queries, policy_queries, region_queries, structure_queries, stream_queries, url_queries
+from webloom.plans import content_queries, coverage_queries, domain_queries, extract_queries, gate_queries, more_queries, page_queries, policy_queries, record_queries, region_queries, structure_queries, stream_queries, url_queries
 
-MODULES = (url_queries, page_queries, extract_queries, domain_queries, policy_queries, content_queries, stream_queries, coverage_queries, more_queries, region_queries, structure_queries, gate_queries)
+MODULES = (url_queries, page_queries, extract_queries, domain_queries, policy_queries, content_queries, stream_queries, coverage_queries, more_queries, region_queries, structure_queries, gate_queries, record_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

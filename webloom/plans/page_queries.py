@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import fixed
 from webloom.operators.links import extract_links, filter_links
 from webloom.plans.common import host, part, table
+from webloom.sources import bodies
 from webloom.sources.dom import nodes
 
 _HREFS = """
@@ -66,8 +67,8 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def body_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages over a body cap of 5000 bytes."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("n_bytes"))
-    return pages.filter("n_bytes > 5000")
+    large = table(spark, sf_dir, "pages").filter(bodies.body_error(F.col("html"), 5000).isNotNull())
+    return large.select("page_id", F.octet_length("html").cast("long").alias("n_bytes"))
 
 
 def bot_challenge(spark: SparkSession, sf_dir: str) -> DataFrame:

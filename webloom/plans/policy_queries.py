@@ -79,9 +79,8 @@ def url_pattern_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captured_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = rendered.request_log(spark, sf_dir).filter("kind = 'response'")
-    kept = (F.col("status") < 300) | (F.col("status") >= 400)
-    kept = kept & F.col("resource_type").isin("document", "xhr") & F.col("content_type").rlike("^(application/json|text/html)")
-    return log.filter(kept & (F.col("content_length") <= 1_048_576)).select("id", "resource_type", "content_length")
+    kept = fetch_policy.captured(log, ["document", "xhr"], ["application/json", "text/html"], most_bytes=1_048_576)
+    return kept.select("id", "resource_type", "content_length")
 
 
 def request_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:

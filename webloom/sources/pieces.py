@@ -88,8 +88,8 @@ def _number(text: str | None, least: int) -> int:
 class _Runs:
     """The pieces of one page."""
 
-    def __init__(self, url: str | None, skip: frozenset[str]) -> None:
-        self.url, self.skip = url, skip
+    def __init__(self, url: str | None, skip: frozenset[str], root: int | None) -> None:
+        self.url, self.skip, self.root = url, skip, root
         self.rows: list[tuple] = []
         self.segs = self.seg = 0
         self.parted = False
@@ -128,6 +128,8 @@ class _Runs:
     def opened(self, pos: int, here: _Place, row: dict) -> _Place:
         """The place inside an element."""
         tag, attrs = row["tag"], dict(row["attrs"])
+        if row["nid"] == self.root:
+            here = _Place()
         if here.hidden or self.gone(tag, attrs, row["skipped"]):
             return here._replace(hidden=True)
         if tag in BOUNDS:
@@ -206,11 +208,11 @@ class _Runs:
         return here._replace(boxes=(*here.boxes, (pos, kind, number, ordered, depth)), kind="Paragraph", level=None, **more)
 
 
-def page_pieces(source: str, url: str | None, skip: frozenset[str]) -> list[tuple]:
-    """The pieces of a page from seg on, as in SCHEMA."""
+def page_pieces(source: str, url: str | None, skip: frozenset[str], root: int | None = None) -> list[tuple]:
+    """The pieces of a page, or of its element ``root``, from seg on, as in SCHEMA."""
     events: list = []
     parse(source, events)
-    runs, stack = _Runs(url, skip), [_Place()]
+    runs, stack = _Runs(url, skip, root), [_Place(hidden=root is not None)]
     for pos, (what, value) in enumerate(events):
         here = stack[-1]
         if what == "text":
@@ -233,9 +235,10 @@ def pieces(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
     ``doc`` numbers the rows of pages. ``path`` lists the inline elements around a piece, the outermost first: one of
     a kind, nothing inside code, and links only with a safe target. ``run`` is the place of a seg; elements named in
-    ``skip`` and hidden ones are left out with all they hold.
+    ``skip`` and hidden ones are left out with all they hold. Where pages have a column ``root``, the pieces are those inside the
+    element of that number; where they have ``bare``, true leaves menus and footers out, too.
     """
-    left_out = frozenset(skip)
+    left_out, more = frozenset(skip), frozenset({*skip, "nav", "footer"})
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -244,16 +247,18 @@ def pieces(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
         for batch in batches:
             rows: list[tuple] = []
-            for doc, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(doc, page_id, url, *row) for row in page_pieces(html or "", url, left_out)]
+            for doc, page_id, url, html, root, bare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(doc, page_id, url, *row) for row in page_pieces(html or "", url, more if bare else left_out, root)]
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
             if rows:
                 yield batch_of(rows)
 
-    read = spread(pages.select(F.col("page_id").cast("long"), "url", "html"))
-    return read.select(F.monotonically_increasing_id().alias("doc"), "page_id", "url", "html").mapInArrow(parsed, DDL)
+    root = F.col("root").cast("int") if "root" in pages.columns else F.lit(None).cast("int").alias("root")
+    bare = F.col("bare") if "bare" in pages.columns else F.lit(False).alias("bare")
+    read = spread(pages.select(F.col("page_id").cast("long"), "url", "html", root, bare))
+    return read.select(F.monotonically_increasing_id().alias("doc"), "page_id", "url", "html", "root", "bare").mapInArrow(parsed, DDL)
 
 
 def _column(values: tuple, kind: pa.DataType) -> pa.Array:

@@ -68,8 +68,8 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders of each customer as a feed: RSS for even keys, Atom for odd ones."""
+def feed_docs(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """The orders (of the table, if none are given) of each customer as a feed: RSS for even keys, Atom for odd ones."""
     key, when = F.col("o_orderkey"), F.col("o_orderdate")
     rss = text(
         "<item><title>Order ", key, " &amp; more</title><link>https://s.example.com/o/", key, "</link><description>",
@@ -85,7 +85,8 @@ def feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("o_custkey") % 2 == 0
     item = F.when(even, rss).otherwise(atom)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))), lambda r: r["item"]), "")
-    feeds = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(body.alias("items"))
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    feeds = orders.groupBy("o_custkey").agg(body.alias("items"))
     start = text('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed ', F.col("o_custkey"), "</title>", F.col("items"), "</channel></rss>")
     # Atom feeds are cut off in their end tags: complete entries must still be found.
     other = text('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed ', F.col("o_custkey"), "</title>", F.col("items"), "</fee")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
+from webloom.sources.files import html_files
 
 
 def write_documents(docs: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -21,8 +22,7 @@ def write_documents(docs: DataFrame, path: str, kind: str = "parquet") -> None:
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """Local or stored HTML files as pages: page_id (a hash of the path), url, html."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
-    return files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
+    return html_files(spark, path).select("page_id", "url", "html")
 
 
 def write_store(entries: DataFrame, path: str) -> None:

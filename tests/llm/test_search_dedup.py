@@ -177,10 +177,27 @@ def test_near_vectors_recall_at_the_threshold():
     side -= (side * x).sum(axis=1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
     apart = np.abs(embedding_dedup._projected(x, 42) - embedding_dedup._projected(y, 42)) / np.sqrt(2 - 2 * 0.93)
-    hit = (apart[:, 0] <= embedding_dedup.FIRST) & ((apart[:, 1:] <= embedding_dedup.WINDOW).sum(axis=1) >= embedding_dedup.wanted_count())
+    first, others = apart[:, : embedding_dedup.SORTED], apart[:, embedding_dedup.SORTED :]
+    hit = (first <= embedding_dedup.FIRST).all(axis=1) & ((others <= embedding_dedup.WINDOW).sum(axis=1) >= embedding_dedup.wanted_count())
     assert hit.mean() > 0.95
 
 
+def test_few_pairs_of_a_label_are_counted(spark):
+    """Windows on the sorted lines leave less than a tenth of the pairs, of which few reach the count."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    apart, pairs, open_, reached = np.sqrt(2 - 2 * 0.93), 0, 0, 0
+    for _, own in table.dropna(subset=["label", "embedding"]).groupby("label"):
+        x = np.stack([v for v in own["embedding"] if v is not None and len(v) == 64]).astype(float)
+        on, rows = embedding_dedup._projected(x, 42), np.arange(len(x))
+        i, j = embedding_dedup.in_windows(on, rows, rows, apart)
+        i, j = i[i < j], j[i < j]
+        kept = embedding_dedup.reaching(on, i, j, apart, embedding_dedup.wanted_count())
+        count = (np.abs(on[i, embedding_dedup.SORTED :] - on[j, embedding_dedup.SORTED :]) <= embedding_dedup.WINDOW * apart).sum(axis=1)
+        assert set(kept) == set(np.flatnonzero(count >= embedding_dedup.wanted_count()))
+        pairs, open_, reached = pairs + len(x) * (len(x) - 1) // 2, open_ + len(i), reached + len(kept)
+    assert open_ < 0.1 * pairs and reached < 0.01 * pairs
+
+
 def test_near_vectors_of_repeated_ids(spark):
     rows = [(5, [1.0, 0.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0, 0.0], 0), (6, [1.0, 0.1, 0.0, 0.0], 0), (7, [0.1, 1.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0, 0.0], 0)]
     found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()

@@ -4,15 +4,17 @@ Unit vectors are projected on many random lines. Two vectors collide on a line i
 lies in the window around the other; the differences of a pair at the link threshold
 are normal with a known deviation, so the share of collisions is known too, and the
 count a pair must reach is the largest that such pairs reach with the wanted recall.
-Pairs that reach it are verified by their exact cosine.
+On the first lines windows are so wide that a pair at the threshold is in all of them: one line is
+sorted, its windows are runs, and the next lines thin out what is left to a few of a hundred pairs. Only
+these are counted, and a pair is dropped as soon as the lines that are left can't bring it to
+the count. Pairs that reach it are verified by their exact cosine.
 
 Pairs are looked for in cells. A label of a few thousand vectors is one cell. The vectors of a larger
 one go to several tables; a cell of a table is a run of CELL_WIDTH on each of ``depth``
 lines of that table, with a seeded offset. The depth grows with the logarithm of the
 label, so cells keep their size, and the tables are as many as pairs at the threshold
-need to share a cell in one of them with the wanted recall. A pair that shares several
-cells counts in the first. Within a block of a cell both sides are sorted by one line,
-and only the run of rows inside its window is counted.
+need to share a cell in one of them with the wanted recall, however large a label is. A pair that
+shares several cells counts in the first.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from webloom.llm.components import least_reachable
 from webloom.llm.runtime import checkpointed
 
 COSINE, LINES, RECALL, SEED, CHUNK = 0.93, 32, 0.99, 42, 2048
-#: Half widths of the windows, in deviations of a pair at the threshold: of the first line, of the others.
-FIRST, WINDOW = 2.81, 1.34
-#: Vectors that a cell aims at, width of a cell on a line in deviations of all vectors, tables at most, recall of the tables.
-CELL_ROWS, CELL_WIDTH, TABLES, TABLE_RECALL = 8192, 2.0, 64, 0.995
+#: Lines whose windows a pair must be in, and half widths of windows in deviations of a pair at the threshold: theirs, those of the lines counted.
+SORTED, FIRST, WINDOW = 5, 3.0, 1.34
+#: Vectors that a cell aims at, width of a cell on a line in deviations of all vectors, recall of the tables.
+CELL_ROWS, CELL_WIDTH, TABLE_RECALL = 8192, 2.0, 0.995
 
 
 def wanted_count(lines: int = LINES, recall: float = RECALL) -> int:
@@ -48,7 +50,7 @@ def wanted_count(lines: int = LINES, recall: float = RECALL) -> int:
 
 def _projected(x: np.ndarray, seed: int) -> np.ndarray:
     """Rows of x, scaled to length one, on the first and the other lines."""
-    lines = np.random.default_rng(seed).standard_normal((x.shape[1], 1 + LINES))
+    lines = np.random.default_rng(seed).standard_normal((x.shape[1], SORTED + LINES))
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ lines
 
 
@@ -63,11 +65,7 @@ def sizes_of_tables(rows: int, cosine: float, cell_rows: int = CELL_ROWS) -> tup
     # Differences of two vectors on a line: normal with deviation sqrt(2), and apart at the threshold.
     alone, near = (_share(d) for d in (math.sqrt(2), math.sqrt(2 - 2 * cosine)))
     depth = max(0, math.ceil(math.log(max(rows, 1) / cell_rows) / -math.log(alone)))
-    tables = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth))) if depth else 1
-    while tables > TABLES:
-        depth -= 1
-        tables = math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth))) if depth else 1
-    return depth, tables
+    return depth, math.ceil(math.log(1 - TABLE_RECALL) / math.log1p(-(near**depth))) if depth else 1
 
 
 def _share(deviation: float) -> float:
@@ -113,6 +111,26 @@ def _celled(classes: DataFrame, cosine: float, seed: int, cell_rows: int) -> Dat
     return classes.select("label", "size", "embedding", "node", "copies", "rows").mapInArrow(place, kinds)
 
 
+def in_windows(on: np.ndarray, rows: np.ndarray, others: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in rows and in others of the pairs that are in each other's windows on all sorted lines."""
+    i, j = np.nonzero(np.abs(on[rows, 0][:, None] - on[others, 0]) <= FIRST * apart)
+    for line in range(1, SORTED):
+        kept = np.abs(on[rows[i], line] - on[others[j], line]) <= FIRST * apart
+        i, j = i[kept], j[kept]
+    return i, j
+
+
+def reaching(on: np.ndarray, a: np.ndarray, b: np.ndarray, apart: float, wanted: int) -> np.ndarray:
+    """The places of the pairs (a, b) that collide on ``wanted`` of the lines counted."""
+    open_, count = np.arange(len(a)), np.zeros(len(a), np.int16)
+    for line in range(LINES):
+        count += np.abs(on[a[open_], SORTED + line] - on[b[open_], SORTED + line]) <= WINDOW * apart
+        if line % 4 == 3 or line == LINES - 1:
+            can = count + (LINES - 1 - line) >= wanted
+            open_, count = open_[can], count[can]
+    return open_
+
+
 def _matcher(cosine: float, seed: int):
     """The function of one block: link counts (a, null, n) and forest edges (a, b, null)."""
     apart, wanted = math.sqrt(2 - 2 * cosine), wanted_count()
@@ -133,23 +151,25 @@ def _matcher(cosine: float, seed: int):
             begin = np.searchsorted(first, reach[0] - FIRST * apart)
             end = np.searchsorted(first, reach[-1] + FIRST * apart, "right")
             others = right[begin:end]
-            if not len(others):
-                continue
-            count = np.zeros((len(rows), len(others)), np.uint8)
-            for line in range(1, 1 + LINES):
-                count += np.abs(on[rows, line][:, None] - on[others, line]) <= WINDOW * apart
-            near = (count >= wanted) & (np.abs(reach[:, None] - on[others, 0]) <= FIRST * apart)
-            near &= rows[:, None] < others if same else rows[:, None] != others
-            if not near.any():
+            i, j = in_windows(on, rows, others, apart)
+            once = rows[i] < others[j] if same else rows[i] != others[j]
+            i, j = i[once], j[once]
+            kept = reaching(on, rows[i], others[j], apart, wanted)
+            i, j = i[kept], j[kept]
+            if not len(i):
                 continue
-            near &= x[rows] @ x[others].T / (norm[rows][:, None] * norm[others]) >= cosine
+            if 8 * len(i) > len(rows) * len(others):  # many copies: a product takes less memory than their pairs
+                dot = (x[rows] @ x[others].T)[i, j]
+            else:
+                dot = np.einsum("ij,ij->i", x[rows[i]], x[others[j]])
+            near = dot / (norm[rows[i]] * norm[others[j]]) >= cosine
             if before is not None:  # pairs that share a cell of an earlier table count there
-                i, j = np.nonzero(near)
-                near[i, j] = (before[rows[i]] != before[others[j]]).all(axis=1)
-            links[rows] += near @ copies[others]
-            links[others] += copies[rows] @ near
-            for i in np.flatnonzero(near.any(axis=1)):
-                forest.link(rows[i], others[near[i]])
+                near[near] = (before[rows[i[near]]] != before[others[j[near]]]).all(axis=1)
+            i, j = i[near], j[near]
+            np.add.at(links, rows[i], copies[others[j]])
+            np.add.at(links, others[j], copies[rows[i]])
+            for row in np.unique(i):
+                forest.link(rows[row], others[j[i == row]])
         some = np.flatnonzero(links)
         a, b = forest.edges()
         none = np.zeros(len(some), np.int64)
@@ -176,8 +196,8 @@ def near_vectors(
     component is null; it is not kept). Vectors of unequal lengths do not link. A
     repeated row is another vector, and so is another vector under a repeated vec_id.
     An empty table gives no rows; other columns are ignored. No pair below the threshold
-    is linked; one at it is found with probability RECALL times that of the first window
-    (0.995) and, in labels of more than ``cell_rows`` classes, TABLE_RECALL; closer ones
+    is linked; one at it is found with probability RECALL times that of the first windows
+    (0.987) and, in labels of more than ``cell_rows`` classes, TABLE_RECALL; closer ones
     more surely.
     """
     x = F.col("embedding").cast("array<double>")

@@ -147,6 +147,46 @@ def test_reader_comments_are_left_out_however_long():
         assert html_extract.main_text(page, TREE) == f"My title\n\n{TWICE}"
 
 
+ROW, LAST = "<div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div>", "<div>Copyright 2020 Example</div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"{ROW}<div><h1>A title</h1><p>He said no.</p><p>{FULL}</p><p>It rained.</p><p>{LONG}</p><p>He left.</p><p>She stayed.</p><p>{FULL}</p></div>{LAST}", ["A title", "He said no.", FULL, "It rained.", LONG, "He left.", "She stayed.", FULL]),
+        (f"{ROW}<div><h1>A title</h1><p>{LONG}</p><p>It rained.</p><p>{FULL}</p><h2>Second</h2><p>Yes.</p><p>{FULL}</p></div>{LAST}", ["A title", LONG, "It rained.", FULL, "Second", "Yes.", FULL]),
+        (f"<div><h1>T one</h1><p>{FULL}</p><p>{LONG}</p></div><div class='responses'><article class='msg'><p>{FULL}</p></article><article class=msg><p>{LONG}</p></article></div>", ["T one", FULL, LONG]),
+        (f"<article><h1>T one</h1><p>{LONG}</p></article><div class='responses'><article class='msg'><p>{FULL}</p></article><article class=msg><p>{LONG}</p></article></div>", ["T one", LONG]),
+        (f"<article><p>{LONG}</p><p style='color: red; display: none'>{LONG}</p><div style='visibility:hidden'>x y</div><p>{FULL}</p></article>", [LONG, FULL]),
+        (f"<article><p>{LONG} Press <button>OK</button> to go on.</p><button>Share</button></article>", [f"{LONG} Press OK to go on."]),
+        ("<p>Hello world.</p>", ["Hello world."]),
+        ("<h1>Note</h1><p>Hello world.</p>", ["Note", "Hello world."]),
+        ("<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", [""]),
+    ],
+)
+def test_pages_of_plain_layouts(page, text):
+    assert html_extract.main_text(f"<body>{page}</body>", TREE).split("\n\n") == text
+
+
+def test_blocks_of_other_layouts_are_told():
+    """Pages that aren't among the labelled ones: other mixes of containers and lengths, marked alike."""
+    rng = np.random.default_rng(7)
+    n = lambda low, high: int(rng.integers(low, high))
+    hits = Counter()
+    for i in range(200):
+        menu = "".join(f"<li><a href=#>{{={n(1, 4)}}}</a></li>" for _ in range(n(3, 9)))
+        tale = "".join(f"<p>{{+{n(1, 9) if rng.random() < 0.3 else n(15, 140)}}}</p>" for _ in range(n(4, 12)))
+        tale = f"<h1>{{+{n(2, 12)}}}</h1><p>{{+{n(40, 90)}}}</p>{tale}"
+        body = [f"<article>{tale}</article>", f"<main><div>{tale}</div></main>", f"<div class='post-content'>{tale}</div>", f"<div><div>{tale}</div></div>", f"<div role=main>{tale}</div>"][i % 5]
+        side = [f"<aside><h3>{{=2}}</h3><p>{{={n(5, 60)}}}</p></aside>", f"<div class='widget-area sidebar'><ul>{menu}</ul></div>", ""][i % 3]
+        page = f"<body><header><div>{{=2}}</div><nav><ul>{menu}</ul></nav></header>{body}{side}<footer><p>{{={n(4, 30)}}}</p></footer></body>"
+        found = html_extract.blocks(html_extract._filled(page, lambda sign, size: size))
+        for block, row in zip(found, html_extract.features(found), strict=True):
+            hits[block[0].startswith("keep"), html_extract.tree_score(TREE, row) >= 0.5] += 1
+    precision, recall = (hits[True, True] / (hits[True, True] + hits[x]) for x in ((False, True), (True, False)))
+    assert precision > 0.97 and recall > 0.97, (precision, recall)
+
+
 @pytest.mark.parametrize("tag", ["<div>", "<div class=content>", "<div class=c{}>", "<form>", "<b>"])
 def test_deep_pages_take_time_in_proportion(tag):
     page = "".join(tag.format(i) for i in range(20_000)) + f"<p>{FULL}</p>" + "</i></x>" * 20_000

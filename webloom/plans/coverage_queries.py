@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions import fixed
 from webloom.operators import fetch_policy, rendering
 from webloom.operators.links import extract_links
 from webloom.plans import content_queries, policy_queries
@@ -22,7 +23,13 @@ def link_type_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consent_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendering.consent_managers(rendered.link_pages(spark, sf_dir))
+    """Pages with the banners of eight managers, and without one."""
+    pages, html = rendered.link_pages(spark, sf_dir), F.col("html")
+    for i, (attribute, value) in enumerate(fixed.CONSENT_MANAGERS.values()):
+        own = f'class="x {value} y"' if attribute == "class" else f'{attribute}="{value}"'
+        html = F.when(F.col("page_id") % 9 == i, F.replace("html", F.lit('id="onetrust-banner-sdk" class="x"'), F.lit(own))).otherwise(html)
+    none = F.replace("html", F.lit('id="onetrust-banner-sdk"'), F.lit('id="onetrust-banner"'))
+    return rendering.consent_managers(pages.withColumn("html", F.when(F.col("page_id") % 9 == 8, none).otherwise(html)))
 
 
 def rendered_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +108,8 @@ SQL = {
     + "SELECT position, "
     + ", ".join(f"count(*) FILTER (WHERE link_type = '{t}') AS {t}" for t in ("content", "navigation", "pagination", "social", "download", "anchor"))
     + " FROM l GROUP BY position",
-    "consent_banners": "SELECT s_suppkey AS page_id, 'OneTrust' AS manager FROM supplier",
+    "consent_banners": """SELECT s_suppkey AS page_id, ['OneTrust', 'CookieBot', 'TrustArc', 'Quantcast Choice', 'Complianz', 'Osano', 'Didomi', 'Termly'][s_suppkey % 9 + 1] AS manager
+    FROM supplier WHERE s_suppkey % 9 < 8""",
     "rendered_content": "SELECT page_id, page_id % 3 <> 0 AS rendered FROM pages",
     "fetch_routes": f"""SELECT CASE WHEN c_custkey % 10 = 0 THEN 'browser' WHEN {_STATUS} = 403 OR ({_STATUS} = 200 AND c_custkey % 3 = 0)
     THEN 'http then browser' ELSE 'http' END AS route, count(*) AS n FROM customer GROUP BY 1""",

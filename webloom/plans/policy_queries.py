@@ -108,7 +108,7 @@ def crawl_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.crawl_summary(crawl_bfs(spark, sf_dir))
 
 
-def _shop_urls(spark: SparkSession, sf_dir: str, max_urls: int | None = None) -> DataFrame:
+def _shop_urls(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     entries = feeds.sitemap_entries(rendered.sitemap_files(spark, sf_dir)).filter("NOT is_index")
     entries = entries.withColumn("seq", F.regexp_extract("loc", r"(\d+)$", 1).cast("long"))
     links = extract_links(
@@ -117,13 +117,13 @@ def _shop_urls(spark: SparkSession, sf_dir: str, max_urls: int | None = None) ->
             text('<nav><a href="/p/', F.col("p_partkey"), '">x</a><a href="/q/', F.col("p_partkey"), '">y</a></nav>').alias("html"),
         )
     ).withColumn("seq", F.col("page_id") * 10 + F.col("pos"))
-    found = discovery.discover_urls(entries, links, "shop.example.com", ["^/[pq]/"], ["5$"], max_urls=max_urls)
-    return found.select("url", "source", F.col("lastmod").cast("timestamp_ntz").alias("lastmod"), "link_type")
+    found = discovery.discover_urls(entries, links, "shop.example.com", ["^/[pq]/"], ["5$"])
+    return found.select("url", "source", F.col("lastmod").cast("timestamp_ntz").alias("lastmod"), "link_type", *more)
 
 
 def discover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sitemap entries of the shop with the links of its pages; the first 700."""
-    return _shop_urls(spark, sf_dir, max_urls=700)
+    """Sitemap entries of the shop with the links of its pages, with the depth at which they were found."""
+    return _shop_urls(spark, sf_dir, "depth")
 
 
 def discover_all_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,11 +221,9 @@ SQL = {
     "crawl_bfs": _CRAWL + "SELECT * FROM c",
     "crawl_totals": _CRAWL + "SELECT count(*) AS discovered, count(*) FILTER (WHERE status = 'crawled') AS crawled,"
     " count(*) FILTER (WHERE status = 'error') AS errors FROM c",
-    "discover_urls": """WITH u AS (
-    SELECT 'https://shop.example.com/p/' || p_partkey AS url, 'sitemap' AS source, p_partkey AS seq,
-        make_timestamp(2000 + p_partkey % 24, p_partkey % 9 + 1, 1, 0, 0, 0) AS lastmod, NULL AS link_type FROM part
-    UNION ALL SELECT 'https://shop.example.com/q/' || p_partkey, 'page_link', 10000000 + p_partkey, NULL, 'navigation' FROM part
-) SELECT url, source, lastmod, link_type FROM (SELECT * FROM u WHERE NOT ends_with(url, '5') ORDER BY seq LIMIT 700)""",
+    "discover_urls": """SELECT 'https://shop.example.com/p/' || p_partkey AS url, 'sitemap' AS source,
+    make_timestamp(2000 + p_partkey % 24, p_partkey % 9 + 1, 1, 0, 0, 0) AS lastmod, NULL::VARCHAR AS link_type, 0 AS depth FROM part WHERE p_partkey % 10 <> 5
+    UNION ALL SELECT 'https://shop.example.com/q/' || p_partkey, 'page_link', NULL, 'navigation', 1 FROM part WHERE p_partkey % 10 <> 5""",
     "discover_all_urls": """SELECT 'https://shop.example.com/p/' || p_partkey AS url, 'sitemap' AS source,
     make_timestamp(2000 + p_partkey % 24, p_partkey % 9 + 1, 1, 0, 0, 0) AS lastmod, NULL::VARCHAR AS link_type FROM part WHERE p_partkey % 10 <> 5
     UNION ALL SELECT 'https://shop.example.com/q/' || p_partkey, 'page_link', NULL, 'navigation' FROM part WHERE p_partkey % 10 <> 5""",

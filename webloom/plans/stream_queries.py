@@ -119,6 +119,9 @@ SQL = {
     SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars >= 1000) AS tp, count(*) FILTER (WHERE quality <> 1 AND n_chars >= 1000) AS fp,
         count(*) FILTER (WHERE quality = 1 AND n_chars < 1000) AS fn, count(*) FILTER (WHERE quality <> 1 AND n_chars < 1000) AS tn
     FROM labels JOIN documents USING (doc_id) GROUP BY lang)""",
+    # Articles, their headings and paragraphs on the one hand, menus, their lists and footers on the other.
+    "content_model_training": r"""SELECT sum(2 + len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<p>')))::BIGINT AS tp,
+    0::BIGINT AS fp, 0::BIGINT AS fn, 3 * count(*) AS tn FROM pages""",
     "search_services": """SELECT s_suppkey AS query_id, p AS position, title, url, snippet, source FROM (
     SELECT s_suppkey, 0 AS p, 'box' AS title, 'https://b.example.com/' AS url, s_suppkey::VARCHAR AS snippet, 'serpapi' AS source FROM supplier
     UNION ALL SELECT s_suppkey, 1, s_name, 'https://r.example.com/' || s_suppkey || '/1', 's', 'serpapi' FROM supplier

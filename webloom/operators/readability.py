@@ -56,25 +56,21 @@ def heuristic_scores(found: DataFrame, scope: float = 0.5) -> DataFrame:
     and what they add to the counters above them. A div without blocks is a paragraph.
     """
     strip, least, _ = heuristic_limits(scope)
-    found = found.filter("NOT skipped")
-    unlikely = F.col("negative") & ~F.col("positive") & (F.col("stripped_len") < strip) & ~F.col("tag").isin("html", "body", "article", "main")
-    gone = found.filter(unlikely).select(
-        "page_id", F.col("nid").alias("g_nid"), F.col("last_desc").alias("g_last"), F.col("text_len").alias("g_text"), F.col("link_len").alias("g_link")
-    )
-    inside = F.expr("nid >= g_nid AND nid <= g_last")
-    kept = found.join(gone, (found["page_id"] == gone["page_id"]) & inside, "left_anti")
+    unlikely = F.col("negative") & ~F.col("positive") & (F.col("stripped_len") < strip) & ~F.col("tag").isin("html", "body", "article", "main") & ~F.col("skipped")
+    order = Window.partitionBy("page_id").orderBy("nid")
+    until, before = (order.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
+    reach = F.when(unlikely, F.col("last_desc"))
     # Of nested ones only the outermost counts against the elements above.
-    outer = gone.alias("a").join(gone.alias("b"), F.expr("a.page_id = b.page_id AND b.g_nid < a.g_nid AND a.g_nid <= b.g_last"), "left_anti")
-    lost = (
-        kept.alias("k")
-        .join(outer.alias("o"), F.expr("k.page_id = o.page_id AND k.nid < o.g_nid AND o.g_nid <= k.last_desc"))
-        .groupBy("k.page_id", "k.nid")
-        .agg(F.sum("g_text").alias("lost_text"), F.sum("g_link").alias("lost_link"))
-    )
-    kept = kept.join(lost, ["page_id", "nid"], "left").withColumns(
+    outer = unlikely & ~F.coalesce(F.max(reach).over(before) >= F.col("nid"), F.lit(False))
+    rows = found.withColumns({"gone": F.coalesce(F.max(reach).over(until) >= F.col("nid"), F.lit(False)), "outer": outer})
+    summed = lambda c: F.sum(F.when(F.col("outer"), F.col(c)).otherwise(0)).over(until)
+    rows = rows.withColumns({"gone_text": summed("text_len"), "gone_link": summed("link_len")})
+    # What goes inside an element went between it and its last descendant.
+    ends = rows.select("page_id", F.col("nid").alias("last_desc"), F.col("gone_text").alias("end_text"), F.col("gone_link").alias("end_link"))
+    kept = rows.filter("NOT skipped AND NOT gone").join(ends, ["page_id", "last_desc"]).withColumns(
         {
-            "text_len": F.col("text_len") - F.coalesce("lost_text", F.lit(0)),
-            "link_len": F.col("link_len") - F.coalesce("lost_link", F.lit(0)),
+            "text_len": F.col("text_len") - F.col("end_text") + F.col("gone_text"),
+            "link_len": F.col("link_len") - F.col("end_link") + F.col("gone_link"),
             "tag": F.when((F.col("tag") == "div") & ~F.col("block_child"), "p").otherwise(F.col("tag")),
         }
     )

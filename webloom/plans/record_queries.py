@@ -111,5 +111,13 @@ SQL = {
     SELECT feed_id, guid, published FROM o, w WHERE NOT late OR published > mark""",
     "whois_dates": """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN t WHEN 1 THEN t || '+02:00' WHEN 2 THEN t WHEN 5 THEN t || '.250000' WHEN 7 THEN t || '-03:30' ELSE d || 'T00:00:00' END AS date
     FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""",
-    "article_documents": content_queries.BLOCKS_SQL + "SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM t WHERE text <> '' GROUP BY page_id",
+    # An article of fewer than 40 characters is no region, so its page is taken whole.
+    "article_documents": content_queries.BLOCKS_SQL
+    + """, whole AS (SELECT page_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS raw FROM (SELECT page_id, string_split_regex(replace(regexp_replace(regexp_replace(html,
+        '(?s)<!DOCTYPE[^>]*>|<head>.*?</head>|<!--.*?-->', '', 'g'), '</?b>', '', 'g'), '<br>', ' '), '(?s)<[^<>]*>') AS parts FROM pages)
+    ), u AS (SELECT page_id, n, trim(regexp_replace("""
+    + content_queries._UNESCAPE.format("raw")
+    + r""", '\s+', ' ', 'g')) AS text FROM whole), short AS (SELECT page_id FROM t WHERE text <> '' GROUP BY page_id HAVING sum(length(text)) < 40)
+    SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM (SELECT page_id, n, text FROM t WHERE page_id NOT IN (FROM short)
+    UNION ALL SELECT page_id, n, text FROM u WHERE page_id IN (FROM short)) WHERE text <> '' GROUP BY page_id""",
 }

@@ -161,8 +161,8 @@ def plain_audit(rows, labels):
     for doc_id, text, _ in rows:
         if doc_id is not None:
             first[text or ""] = min(first.get(text or "", doc_id), doc_id)
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     told = []
     for doc_id, text, lang in rows:
         text = text or ""

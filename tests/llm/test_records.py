@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webloom.llm import chat_format, copies, mixing, packing, sharding, token_counts, word_tokens
+from webloom.llm import chat_format, copies, mixing, packing, queries, sharding, token_counts, word_tokens
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long"
 PATH = token_counts.tokenizer_path()
@@ -391,3 +391,43 @@ def test_powers_of_two():
 def test_op5_digest_is_sha256(spark):
     assert spark.sql("SELECT sha2('a\nb\n', 256)").first()[0] == hashlib.sha256(b"a\nb\n").hexdigest()
     assert spark.sql("SELECT crc32('é')").first()[0] == zlib.crc32("é".encode())
+
+
+def water_level(sizes, weights):
+    """Targets of a third way: the level at which min(3 size, level x weight) sums to all sizes."""
+    low, high = 0.0, 3.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * s, level * w) for s, w in zip(sizes, weights, strict=True)) < sum(sizes) else (low, level)
+    return [min(3 * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mixing_query_against_plain_figures(spark, sf_dir):
+    docs = queries.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source").collect()
+    found = {r.doc_id: r for r in queries.op4_sainte_lague_mix(spark, sf_dir).collect()}
+    assert len(found) == len(docs)
+    sizes = Counter()
+    for d in docs:
+        sizes[d.source] += n_words(d.text)
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    targets = dict(zip(order, water_level([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    taken = Counter()
+    for d in docs:
+        r = found[d.doc_id]
+        assert (r["size"], r.source_size) == (n_words(d.text), sizes[d.source]) and r.target == pytest.approx(targets[d.source], rel=1e-9)
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[d.source] += r.taken
+    assert all(abs(taken[s] - targets[s]) <= max(0.01 * targets[s], 16) for s in order)
+
+
+def test_sharding_query_against_plain_figures(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in queries.read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    found = queries.op7_two_pass_shards(spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in found) == Counter(docs.keys()) and {(r.law, r.grown_shard) for r in found} == {("rows", None)}
+    slots = defaultdict(list)
+    for r in found:
+        data = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(8)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())

@@ -66,6 +66,6 @@ def test_negative_regions_win(nodes):
 
 def test_paths_of_nodes_lead_back(nodes):
     paths = {(r.page_id, r.nid): r.path for r in regions.node_paths(nodes).collect()}
-    assert len(paths) == nodes.count() and paths[1, 4] == "/html/body/div/p[1]" and paths[2, 9] == "/html/body/main/div/div/div/ul/li[2]"
+    assert len(paths) == nodes.count() and paths[1, 4] == "/html/body/div/p[2]" and paths[2, 9] == "/html/body/main/div/div/div/ul/li[3]"
     for (page, nid), path in paths.items():
         assert (page, nid) in {tuple(r) for r in plain(path)}

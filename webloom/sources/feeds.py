@@ -210,9 +210,9 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit(r"(?is)<(?:\w+:)?"), tag, F.lit(r"(?:\s[^>]*)?>(.*?)</(?:\w+:)?"), tag, F.lit(r"\s*>"))
     lines = F.filter(F.transform(F.split(body, "\r\n|[\r\n]"), lambda x: F.trim(x)), lambda x: x.rlike("^https?://"))
     listed = F.transform(lines, lambda x: F.concat(F.lit("<loc>"), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("</loc>")))
-    rows = files.select(
-        "url", (xml & index).alias("is_index"), F.explode(F.when(xml, F.regexp_extract_all(body, pattern, F.lit(1))).otherwise(listed)).alias("e")
-    )
+    # What is told of a file is told below its entries: beside them it would be told again, from the whole body, for each one.
+    told = files.select("url", (xml & index).alias("is_index"), F.when(xml, F.regexp_extract_all(body, pattern, F.lit(1))).otherwise(listed).alias("es"))
+    rows = told.select("url", "is_index", F.explode("es").alias("e"))
     entry = F.col("e")
     return rows.select(
         "url", "is_index", _inner(entry, "loc").alias("loc"), sitemap_date(_inner(entry, "lastmod")).alias("lastmod"),

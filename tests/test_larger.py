@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
 from pyspark.sql import functions as F
 
+from webloom.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+
 
 def test_a_sitemap_is_not_looked_at_again_for_each_of_its_entries(spark):
     from webloom.sources import feeds
@@ -13,3 +21,14 @@ def test_a_sitemap_is_not_looked_at_again_for_each_of_its_entries(spark):
     plan = feeds.sitemap_entries(files)._jdf.queryExecution().optimizedPlan().toString()
     above, _, below = plan.partition("Generate explode")
     assert below and "sitemapindex" not in above and "sitemapindex" in below
+
+
+def test_customers_of_any_number_fit_their_sitemap(spark, tmp_path):
+    os.symlink(f"{SF}/nation.parquet", tmp_path / "nation.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT i AS c_custkey, 'x' AS c_name, (i % 40000 // 39999)::INTEGER AS c_nationkey, 0.0::DOUBLE AS c_acctbal, 'y' AS c_mktsegment FROM range(100000, 140000) r(i)) TO '{tmp_path}/customer.parquet'")
+    for name in ("nation", "customer"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    found = QUERIES["sitemap_sources"](spark, str(tmp_path)).select("url", "depth", "error", "n").collect()
+    want = duck.execute(f"SELECT url, depth, error, n FROM ({SQL['sitemap_sources']})").fetchall()
+    assert sorted(map(tuple, found)) == sorted(want)

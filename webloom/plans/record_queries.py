@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webloom.operators import domain_intel, metadata, rendering
 from webloom.plans import content_queries
 from webloom.plans.common import table
-from webloom.runtime import ensure_checkpoint_dir
+from webloom.runtime import checkpointed, ensure_checkpoint_dir
 from webloom.sources import blocks, feeds, files, rendered
 from webloom.sources.rendered import text
 from webloom.streaming import polls
@@ -27,19 +27,23 @@ def sitemap_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     nations = table(spark, sf_dir, "nation")
     at = lambda name: text("https://n", k, ".example.com/", name)
+    lines = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        F.array_join(F.sort_array(F.collect_list(text("https://c.example.com/", F.col("c_custkey"), "\n"))), "").alias("body")
+    )
+    lines = checkpointed(lines)
+    # The bound tells the large file from the others, so it isn't below the longest list of customers.
+    longest = lines.agg(F.max(F.octet_length("body"))).first()[0] or 0
+    most = max(1_000_000, longest)
     index = lambda *names: F.concat(F.lit("<sitemapindex>"), *[text("<sitemap><loc>", at(n), "</loc></sitemap>") for n in names], F.lit("</sitemapindex>"))
     bodies = {
         "index.xml": index("customers.xml", "broken.xml.gz", "large.txt", "gone.xml", "index.xml", "d1.xml").cast("binary"), "broken.xml.gz": F.unhex(F.lit("1F8B08000000")),
-        "large.txt": F.repeat(F.lit("x"), 1_100_000).cast("binary"), "d1.xml": index("d2.xml", "customers.xml").cast("binary"), "d2.xml": index("d3.xml").cast("binary"), "d3.xml": index("d4.xml").cast("binary"),
+        "large.txt": F.repeat(F.lit("x"), most + 100_000).cast("binary"), "d1.xml": index("d2.xml", "customers.xml").cast("binary"), "d2.xml": index("d3.xml").cast("binary"), "d3.xml": index("d4.xml").cast("binary"),
         "d4.xml": F.lit("<urlset/>").cast("binary"),
     }
     known = nations.select(F.explode(F.array(*[F.struct(at(n).alias("url"), b.alias("packed")) for n, b in bodies.items() if n != "large.txt"])).alias("f")).select("f.*")
     known = known.unionByName(nations.filter(k % 5 == 0).select(at("large.txt").alias("url"), bodies["large.txt"].alias("packed")))
-    lines = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
-        F.array_join(F.sort_array(F.collect_list(text("https://c.example.com/", F.col("c_custkey"), "\n"))), "").alias("body")
-    )
     known = known.unionByName(lines.select(at("customers.xml").alias("url"), F.col("body").cast("binary").alias("packed")))
-    _, visits = feeds.sitemap_tree(known, nations.select(at("index.xml").alias("url")), max_depth=3, most=1_000_000)
+    _, visits = feeds.sitemap_tree(known, nations.select(at("index.xml").alias("url")), max_depth=3, most=most)
     return visits.select("url", "depth", F.coalesce("error", F.lit("none")).alias("error"), F.coalesce("n", F.lit(-1)).alias("n"))
 
 

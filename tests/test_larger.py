@@ -32,3 +32,13 @@ def test_customers_of_any_number_fit_their_sitemap(spark, tmp_path):
     found = QUERIES["sitemap_sources"](spark, str(tmp_path)).select("url", "depth", "error", "n").collect()
     want = duck.execute(f"SELECT url, depth, error, n FROM ({SQL['sitemap_sources']})").fetchall()
     assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_rows_made_by_parsing_are_not_broadcast(spark, tmp_path):
+    def joins(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+    for name in ("heuristic_breadth", "readability_siblings"):
+        broadcast, merged = joins(QUERIES[name](spark, SF))
+        assert not broadcast and merged, name

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import fixed
-from webloom.runtime import checkpointed
+from webloom.runtime import checkpointed, grown
 from webloom.sources.dom import nodes
 
 CANDIDATE_TAGS = (
@@ -67,7 +67,7 @@ def heuristic_scores(found: DataFrame, scope: float = 0.5) -> DataFrame:
     rows = rows.withColumns({"gone_text": summed("text_len"), "gone_link": summed("link_len")})
     # What goes inside an element went between it and its last descendant.
     ends = rows.select("page_id", F.col("nid").alias("last_desc"), F.col("gone_text").alias("end_text"), F.col("gone_link").alias("end_link"))
-    kept = rows.filter("NOT skipped AND NOT gone").join(ends, ["page_id", "last_desc"]).withColumns(
+    kept = rows.filter("NOT skipped AND NOT gone").join(grown(ends), ["page_id", "last_desc"]).withColumns(
         {
             "text_len": F.col("text_len") - F.col("end_text") + F.col("gone_text"),
             "link_len": F.col("link_len") - F.col("end_link") + F.col("gone_link"),
@@ -81,11 +81,11 @@ def heuristic_scores(found: DataFrame, scope: float = 0.5) -> DataFrame:
         F.array(F.struct(F.col("parent").alias("nid"), points.cast("double").alias("points")), F.struct(F.col("grandparent").alias("nid"), (points * 0.5).alias("points")))
     )
     sums = (
-        scored.join(parents, ["page_id", "parent"]).select("page_id", shares.alias("s")).select("page_id", "s.nid", "s.points")
+        scored.join(grown(parents), ["page_id", "parent"]).select("page_id", shares.alias("s")).select("page_id", "s.nid", "s.points")
         .filter("nid IS NOT NULL").groupBy("page_id", "nid").agg(F.sum("points").alias("points"))
     )
     base = class_weight() + tag_weight(F.col("tag"))
-    return kept.join(sums, ["page_id", "nid"]).select(
+    return kept.join(grown(sums), ["page_id", "nid"]).select(
         "page_id", "nid", "tag", "parent", "last_desc", F.col("attrs")["class"].alias("class"), (base + F.col("points")).alias("score"), link_density().alias("density")
     )
 
@@ -101,8 +101,8 @@ def heuristic_regions(pages: DataFrame, found: DataFrame | None = None, scope: f
     best = scores.withColumn("n", F.row_number().over(rank)).filter("n = 1").select(
         "page_id", F.col("nid").alias("best"), F.col("parent").alias("of"), F.col("adjusted").alias("best_score"), F.col("class").alias("best_class")
     )
-    around = found.filter("NOT skipped").join(best, "page_id").filter((F.col("nid") == F.col("best")) | (F.col("parent") == F.col("of")))
-    around = around.join(scores.select("page_id", "nid", "score"), ["page_id", "nid"], "left")
+    around = found.filter("NOT skipped").join(grown(best), "page_id").filter((F.col("nid") == F.col("best")) | (F.col("parent") == F.col("of")))
+    around = around.join(grown(scores.select("page_id", "nid", "score")), ["page_id", "nid"], "left")
     same = (F.coalesce(F.col("attrs")["class"], F.lit("")) != "") & (F.col("attrs")["class"] == F.col("best_class"))
     raised = (F.coalesce("score", F.lit(0.0)) + F.when(same, F.col("best_score") * 0.2).otherwise(0.0)) * (1 - link_density())
     is_best = F.col("nid") == F.col("best")
@@ -141,7 +141,7 @@ def content_features(found: DataFrame) -> DataFrame:
         }
     )
     rows = rows.filter("candidate").withColumns({"index": F.row_number().over(order) - 1, "total": F.count("*").over(Window.partitionBy("page_id"))})
-    rows = rows.join(repeats(F.col("tag"), "tag_repeats"), ["page_id", "nid"], "left").join(repeats(signature, "repeats"), ["page_id", "nid"], "left")
+    rows = rows.join(grown(repeats(F.col("tag"), "tag_repeats")), ["page_id", "nid"], "left").join(grown(repeats(signature, "repeats")), ["page_id", "nid"], "left")
     flag = lambda c: c.cast("double")
     per = lambda c: F.col(c) / F.greatest(F.col("n_desc"), F.lit(1))
     tag, text_len = F.col("tag"), F.col("stripped_len")
@@ -231,11 +231,11 @@ def learned_regions(pages: DataFrame, scope: float = 0.5, found: DataFrame | Non
     scored = content_features(found).withColumn("p", content_probability()).filter(F.col("p") >= node_threshold(scope))
     vote = F.col("p") * F.log1p("stripped_len")
     parents = found.select("page_id", F.col("nid").alias("parent"), F.col("parent").alias("grandparent"))
-    votes = scored.join(parents, ["page_id", "parent"]).select(
+    votes = scored.join(grown(parents), ["page_id", "parent"]).select(
         "page_id",
         F.explode(F.array(F.struct(F.col("parent").alias("nid"), vote.alias("vote")), F.struct(F.col("grandparent").alias("nid"), (vote * 0.5).alias("vote")))).alias("v"),
     ).select("page_id", "v.*").filter("nid IS NOT NULL").groupBy("page_id", "nid").agg(F.sum("vote").alias("vote"))
-    regions = votes.join(found, ["page_id", "nid"]).filter(F.col("tag").isin(*REGION_TAGS) & (F.col("stripped_len") >= 40))
+    regions = votes.join(grown(found), ["page_id", "nid"]).filter(F.col("tag").isin(*REGION_TAGS) & (F.col("stripped_len") >= 40))
     one = F.struct((-F.col("vote") * (1 - link_density())).alias("cost"), "nid", "last_desc", F.coalesce("parent", F.lit(-1)).alias("parent"), "tag")
     each = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("regions"))
 
@@ -260,12 +260,12 @@ def learned_regions(pages: DataFrame, scope: float = 0.5, found: DataFrame | Non
     )
     if scope >= 0.95:
         above = found.select("page_id", F.col("nid").alias("parent"), F.col("tag").alias("parent_tag"))
-        wide = rows.join(above, ["page_id", "parent"], "left").withColumn("up", F.coalesce(F.col("parent_tag") != "body", F.lit(False)))
+        wide = rows.join(grown(above), ["page_id", "parent"], "left").withColumn("up", F.coalesce(F.col("parent_tag") != "body", F.lit(False)))
         rows = wide.select(
             "page_id", F.when(F.col("up"), F.col("parent")).otherwise(F.col("nid")).alias("nid"), "parent",
             F.when(F.col("up"), F.col("parent_tag")).otherwise(F.col("tag")).alias("tag"), "score", "role",
         )
-    bodies = found.filter("tag = 'body' AND stripped_len > 50").join(rows.select("page_id").distinct(), "page_id", "left_anti")
+    bodies = found.filter("tag = 'body' AND stripped_len > 50").join(grown(rows.select("page_id").distinct()), "page_id", "left_anti")
     return rows.drop("parent").unionByName(bodies.select("page_id", "nid", "tag", F.lit(0.0).alias("score"), F.lit("body").alias("role")))
 
 

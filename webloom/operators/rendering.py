@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import fixed
 from webloom.operators import readability
-from webloom.runtime import checkpointed
+from webloom.runtime import checkpointed, grown
 from webloom.sources import blocks
 from webloom.sources.dom import nodes
 
@@ -63,19 +63,19 @@ def main_element(pages: DataFrame, scope: float = 0.5) -> DataFrame:
     cores = readability.learned_regions(pages, scope, found).filter("role <> 'peer'").select("page_id", "nid", "role")
     if scope < STRICT:
         usual = readability.learned_regions(pages, 0.5, found).filter("role <> 'peer'").select("page_id", F.col("nid").alias("nid_"), F.col("role").alias("role_"))
-        both, again = cores.join(usual, "page_id", "full"), F.coalesce(F.col("role") == "body", F.lit(True)) & F.col("nid_").isNotNull()
+        both, again = cores.join(grown(usual), "page_id", "full"), F.coalesce(F.col("role") == "body", F.lit(True)) & F.col("nid_").isNotNull()
         cores = both.select("page_id", F.when(again, F.col("nid_")).otherwise(F.col("nid")).alias("nid"))
     learned = cores.select("page_id", F.col("nid").alias("l_nid"))
     heuristic = readability.heuristic_regions(pages, found).filter("is_best").select("page_id", F.col("nid").alias("h_nid"))
     semantic = readability.semantic_container(pages, found=found).select("page_id", F.col("nid").alias("s_nid"))
     body = found.filter("tag = 'body'").select("page_id", F.col("nid").alias("b_nid"), F.col("words").alias("b_words"))
-    chosen = body.join(learned, "page_id", "left").join(heuristic, "page_id", "left").join(semantic, "page_id", "left")
-    first = chosen.withColumn("nid", F.coalesce("l_nid", "h_nid", "b_nid")).join(found.select("page_id", "nid", "words"), ["page_id", "nid"])
+    chosen = body.join(grown(learned), "page_id", "left").join(grown(heuristic), "page_id", "left").join(grown(semantic), "page_id", "left")
+    first = chosen.withColumn("nid", F.coalesce("l_nid", "h_nid", "b_nid")).join(grown(found.select("page_id", "nid", "words")), ["page_id", "nid"])
     thin = (F.col("words") < 50) & (F.col("b_words") > 200)
     final = F.when(thin, F.coalesce("s_nid", "b_nid")).otherwise(F.col("nid"))
     source = F.when(thin, F.when(F.col("s_nid").isNotNull(), "semantic").otherwise("body")).when(F.col("l_nid").isNotNull(), "learned").otherwise("heuristic")
     picked = first.select("page_id", final.alias("nid"), source.alias("source"))
-    return picked.join(found.select("page_id", "nid", "tag", "words"), ["page_id", "nid"]).select("page_id", "nid", "tag", "words", "source")
+    return picked.join(grown(found.select("page_id", "nid", "tag", "words")), ["page_id", "nid"]).select("page_id", "nid", "tag", "words", "source")
 
 
 def article_blocks(pages: DataFrame, scope: float = 0.5, prose: bool = False) -> DataFrame:
@@ -85,4 +85,4 @@ def article_blocks(pages: DataFrame, scope: float = 0.5, prose: bool = False) ->
     an element has no blocks. page_id stands for one page.
     """
     main = main_element(pages, scope).select("page_id", F.col("nid").alias("root"), (F.col("source") == "semantic").alias("bare"))
-    return blocks.blocks(pages.select("page_id", "url", "html").join(main, "page_id"), prose=prose)
+    return blocks.blocks(pages.select("page_id", "url", "html").join(grown(main), "page_id"), prose=prose)

@@ -40,3 +40,11 @@ def spread(df: DataFrame, bytes_a_task: int = 16 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) < cores * bytes_a_task else df
+
+
+def grown(df: DataFrame) -> DataFrame:
+    """df as a side of joins that sort and merge: for rows made by parsing or exploding.
+
+    Spark guesses their size from the input's bytes, far too low, and would collect them to the driver for a broadcast.
+    """
+    return df.hint("merge")

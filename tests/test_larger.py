@@ -39,6 +39,6 @@ def test_rows_made_by_parsing_are_not_broadcast(spark, tmp_path):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
 
-    for name in ("heuristic_breadth", "readability_siblings"):
+    for name in ("heuristic_breadth", "readability_siblings", "path_labels"):
         broadcast, merged = joins(QUERIES[name](spark, SF))
         assert not broadcast and merged, name

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.runtime import grown
+
 _STEP = re.compile(r"(//?)(\*|[A-Za-z][\w-]*)")
 _TOKEN = re.compile(r"\s*(?:(?P<string>'[^']*'|\"[^\"]*\")|(?P<number>\d+)|(?P<attr>@[A-Za-z_][\w:.-]*)|(?P<name>[A-Za-z][\w-]*)|(?P<sign>!=|[()=,\[\]]))")
 
@@ -150,10 +152,10 @@ def select_nodes(nodes: DataFrame, path: str) -> DataFrame:
             found = rows.filter("hit" if deep else "hit AND parent IS NULL")
         elif deep:
             chosen = context.withColumn("chosen", F.lit(True))
-            rows = rows.join(chosen, ["page_id", "nid"], "left")
+            rows = rows.join(grown(chosen), ["page_id", "nid"], "left")
             found = rows.withColumn("under", below(F.coalesce("chosen", F.lit(False)), F.lit(False))).filter("hit AND under")
         else:
-            found = rows.filter("hit").join(context.withColumnRenamed("nid", "parent"), ["page_id", "parent"], "left_semi")
+            found = rows.filter("hit").join(grown(context.withColumnRenamed("nid", "parent")), ["page_id", "parent"], "left_semi")
         context = found.select("page_id", "nid")
     return context
 
@@ -165,7 +167,7 @@ def label_nodes(nodes: DataFrame, positive: DataFrame, negative: DataFrame) -> D
     """
     marks = positive.withColumn("good", F.lit(1)).unionByName(negative.withColumn("bad", F.lit(1)), allowMissingColumns=True)
     marks = marks.groupBy("page_id", F.col("root").alias("nid")).agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
-    rows = nodes.join(marks, ["page_id", "nid"], "left")
+    rows = nodes.join(grown(marks), ["page_id", "nid"], "left")
     inside = lambda c: below(F.col(c).isNotNull(), F.lit(True))
     return rows.withColumn("label", F.when(inside("bad"), 0).when(inside("good"), 1)).filter("label IS NOT NULL").drop("good", "bad")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import addresses
 from webloom.operators import discovery, fetch_policy, patterns, regions
 from webloom.plans.common import table
-from webloom.runtime import checkpointed
+from webloom.runtime import checkpointed, grown
 from webloom.sources import bodies, rendered
 from webloom.sources.dom import nodes
 from webloom.sources.rendered import text
@@ -89,7 +89,7 @@ def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpointed(nodes(rendered.structured_pages(spark, sf_dir)))
     good = ["//ul/li[1]", "//table//td[1]", "//div[contains(@class, 'x')]/blockquote", "//p[not(@class)]/*[@href or contains(@class, 'sr')]"]
     labelled = regions.labelled_by_paths(found, good, ["//ol/li[2]", "/html/body/table//i", "//blockquote/blockquote", "//missing"])
-    return labelled.select("page_id", "nid", "label").join(regions.node_paths(found), ["page_id", "nid"]).select("page_id", "path", "label")
+    return labelled.select("page_id", "nid", "label").join(grown(regions.node_paths(found)), ["page_id", "nid"]).select("page_id", "path", "label")
 
 
 QUERIES = {f.__name__: f for f in (address_networks, url_policy_families, redirect_outcomes, decoded_bodies, pattern_hits, path_labels)}

@@ -42,3 +42,10 @@ def test_rows_made_by_parsing_are_not_broadcast(spark, tmp_path):
     for name in ("heuristic_breadth", "readability_siblings", "path_labels"):
         broadcast, merged = joins(QUERIES[name](spark, SF))
         assert not broadcast and merged, name
+
+
+def test_words_end_with_their_block_and_go_on_across_inline_tags():
+    from webloom.sources.dom import parse
+
+    words = {row["tag"]: row["words"] for row in parse("<article><h1>one</h1><p>two<br>three f<b>ou</b>r</p>five<ul><li>six<li>seven</ul></article>")}
+    assert words["article"] == 7 and words["p"] == 3 and words["ul"] == 2

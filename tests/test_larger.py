@@ -49,3 +49,13 @@ def test_words_end_with_their_block_and_go_on_across_inline_tags():
 
     words = {row["tag"]: row["words"] for row in parse("<article><h1>one</h1><p>two<br>three f<b>ou</b>r</p>five<ul><li>six<li>seven</ul></article>")}
     assert words["article"] == 7 and words["p"] == 3 and words["ul"] == 2
+
+
+def test_parsers_hold_the_rows_of_few_pages():
+    import pyarrow as pa
+
+    from webloom.runtime import portions
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200))], ["x"])
+    found = list(portions(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in found] == [64, 64, 64, 8] and sum((b.column(0).to_pylist() for b in found), []) == list(range(200))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a parser gathers before it hands them on.
+MOST_ROWS = 4096
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir.
@@ -48,3 +53,10 @@ def grown(df: DataFrame) -> DataFrame:
     Spark guesses their size from the input's bytes, far too low, and would collect them to the driver for a broadcast.
     """
     return df.hint("merge")
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Slices of batches: what is made of their rows in Python is held for a few of them, not for 10,000."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.markup import attributes, decoded, scan
-from webloom.runtime import checkpointed, spread
+from webloom.runtime import MOST_ROWS, checkpointed, portions, spread
 
 #: Items of a feed and characters of a description that a bounded reading keeps.
 MOST_ITEMS, MOST_DESCRIPTION = 1000, 2000
@@ -124,13 +124,19 @@ def parse_feeds(docs: DataFrame, most: int | None = None, longest: int | None =
     kinds = {"feed_id": pa.int64(), "item": pa.int32(), "categories": pa.list_(pa.string())}
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names)
+
+        rows: list[dict] = []
+        for batch in portions(batches):
             for feed_id, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 head, items = feed_rows(body or "", most, longest)
                 rows += [{"feed_id": feed_id} | head | item for item in items or [{}]]
-            arrays = [pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                if len(rows) > MOST_ROWS:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
     return spread(docs.select(F.col("feed_id").cast("long"), "body")).mapInArrow(parsed, ITEMS).withColumn(
         "published", feed_date(F.col("date_text"))
@@ -174,7 +180,7 @@ def gunzipped(files: DataFrame, most: int = 50 << 20) -> DataFrame:
     """(url, body, error) of (url, packed): files that can't be unpacked within the bound have an error."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 8):
             bodies, errors = [], []
             for packed in batch.column("packed").to_pylist():
                 try:

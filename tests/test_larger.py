@@ -59,3 +59,16 @@ def test_parsers_hold_the_rows_of_few_pages():
     batch = pa.RecordBatch.from_arrays([pa.array(range(200))], ["x"])
     found = list(portions(iter([batch, batch.slice(0, 0)])))
     assert [b.num_rows for b in found] == [64, 64, 64, 8] and sum((b.column(0).to_pylist() for b in found), []) == list(range(200))
+
+
+def test_metadata_is_told_where_a_page_is_parsed(spark):
+    for name in ("meta_precedence", "meta_opengraph", "org_entity"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan and "SortMergeJoin" not in plan, name
+
+
+def test_small_joined_inputs_are_spread(spark):
+    from webloom.runtime import spread
+    from webloom.sources import rendered
+
+    assert "Repartition" in spread(rendered.og_pages(spark, "/root/testdata/sf0.1"))._jdf.queryExecution().logical().toString()

@@ -43,8 +43,10 @@ def spread(df: DataFrame, bytes_a_task: int = 16 << 20) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * bytes_a_task else df
+    # The bytes that are read: for a join Spark multiplies the sizes of its sides, which is no measure of them.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * bytes_a_task else df
 
 
 def grown(df: DataFrame) -> DataFrame:

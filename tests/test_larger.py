@@ -72,3 +72,13 @@ def test_small_joined_inputs_are_spread(spark):
     from webloom.sources import rendered
 
     assert "Repartition" in spread(rendered.og_pages(spark, "/root/testdata/sf0.1"))._jdf.queryExecution().logical().toString()
+
+
+def test_breadths_share_one_parse(spark, monkeypatch):
+    from webloom.operators import readability
+
+    def again(*_):
+        raise AssertionError("parsed again")
+
+    monkeypatch.setattr(readability, "nodes", again)
+    assert QUERIES["content_scope"](spark, SF).count() > 0

@@ -216,7 +216,13 @@ def sibling_ratio(scope: float) -> float:
     return max(0.05, 0.42 - 0.44 * scope)
 
 
-def learned_regions(pages: DataFrame, scope: float = 0.5, found: DataFrame | None = None) -> DataFrame:
+def scored_features(found: DataFrame) -> DataFrame:
+    """page_id, nid, parent, stripped_len, p: every candidate element that is strong enough for some breadth."""
+    scored = content_features(found).withColumn("p", content_probability())
+    return scored.filter(F.col("p") >= node_threshold(1.0)).select("page_id", "nid", "parent", "stripped_len", "p")
+
+
+def learned_regions(pages: DataFrame, scope: float = 0.5, found: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """page_id, nid, tag, score, role: the content regions of each page for a breadth from 0 to 1.
 
     Strong elements vote for their parent and, by half, grandparent; from the best
@@ -224,11 +230,11 @@ def learned_regions(pages: DataFrame, scope: float = 0.5, found: DataFrame | Non
     scope keeps that core, a middle one adds up to two siblings, a wide one takes the
     parent. A page without regions gives its body if that has text. At most one row a
     region and three a page; the regions of a page are few and met in one array. ``found`` are
-    the nodes of pages, if they are there already.
+    the nodes of pages and ``scored`` their ``scored_features``, if they are there already.
     """
     scope = min(max(scope, 0.0), 1.0)
     found = checkpointed(nodes(pages)) if found is None else found
-    scored = content_features(found).withColumn("p", content_probability()).filter(F.col("p") >= node_threshold(scope))
+    scored = (scored_features(found) if scored is None else scored).filter(F.col("p") >= node_threshold(scope))
     vote = F.col("p") * F.log1p("stripped_len")
     parents = found.select("page_id", F.col("nid").alias("parent"), F.col("parent").alias("grandparent"))
     votes = scored.join(grown(parents), ["page_id", "parent"]).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import readability, search
 from webloom.plans.common import table
+from webloom.runtime import checkpointed
 from webloom.sources import blocks, rendered
 from webloom.sources.dom import nodes
 
@@ -33,14 +34,16 @@ def learned_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readability.content_features(nodes(table(spark, sf_dir, "pages"))).withColumn("p", readability.content_probability())
+    rows = readability.content_features(checkpointed(nodes(table(spark, sf_dir, "pages")))).withColumn("p", readability.content_probability())
     return rows.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("probability"), F.round(F.avg("f_depth"), 6).alias("depth"))
 
 
 def content_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions for a narrow, the usual and a wide breadth."""
     pages = table(spark, sf_dir, "pages")
-    parts = [readability.learned_regions(pages, s).withColumn("scope", F.lit(s)) for s in (0.0, 0.5, 1.0)]
+    found = checkpointed(nodes(pages))
+    scored = checkpointed(readability.scored_features(found))
+    parts = [readability.learned_regions(pages, s, found, scored).withColumn("scope", F.lit(s)) for s in (0.0, 0.5, 1.0)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("scope", "tag", "role").agg(F.count("*").alias("n"))
 
 

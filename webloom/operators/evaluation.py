@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import fixed
 from webloom.operators.regions import label_nodes
-from webloom.runtime import checkpointed
+from webloom.runtime import checkpointed, portions
 
 __all__ = ["ContentModel", "ablation", "confusion", "gradient_models", "label_nodes", "leave_one_out", "top_hits"]
 
@@ -79,7 +79,7 @@ def gradient_models(
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(folds), size))
-            for batch in batches:
+            for batch in portions(batches, 1):
                 for x, y, own in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "fold")), strict=True):
                     total += part(np.frombuffer(x).reshape(-1, d), np.frombuffer(y, np.int64), np.frombuffer(own, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])

@@ -45,7 +45,7 @@ def heuristic_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hand_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tags of pages score by hand-set weights."""
-    rows = readability.content_features(nodes(table(spark, sf_dir, "pages"))).withColumn("p", readability.hand_probability())
+    rows = readability.content_features(checkpointed(nodes(table(spark, sf_dir, "pages")))).withColumn("p", readability.hand_probability())
     return rows.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("probability"))
 
 

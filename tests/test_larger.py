@@ -82,3 +82,24 @@ def test_breadths_share_one_parse(spark, monkeypatch):
 
     monkeypatch.setattr(readability, "nodes", again)
     assert QUERIES["content_scope"](spark, SF).count() > 0
+
+
+def test_cells_are_told_where_a_page_is_parsed(spark):
+    from webloom.sources import blocks, rendered
+
+    plan = blocks.cells(rendered.table_pages(spark, SF))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan.partition("MapInArrow")[0] and "Sort" not in plan and "doc#" not in plan
+
+
+def test_places_of_cells_in_odd_tables():
+    from webloom.sources.dom import page_cells, parse
+
+    source = "<td>stray<table><td>a<td colspan=2>b<thead><tr><td>c</thead><tr><td colspan='3\n'>d<table><tr><th>e</table>f<td colspan=99999999999>g</table>"
+    assert page_cells(source) == [
+        [0, 0, 0, False, 1, "a"], [0, 0, 1, False, 2, "b"], [0, 0, 3, True, 1, "c"], [0, 1, 0, False, 3, "df"], [1, 0, 0, True, 1, "e"], [0, 1, 3, False, 1, "g"],
+    ]
+    counted, plain = [], []
+    parse(source, counted)
+    parse(source, plain, counted=False)
+    fields = ("nid", "tag", "attrs", "skipped")
+    assert [(k, v if k == "text" else [v[f] for f in fields]) for k, v in counted] == [(k, v if k == "text" else [v[f] for f in fields]) for k, v in plain]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.sources.dom import events
+from webloom.sources.dom import cell_rows
 from webloom.sources.pieces import pieces
 
 #: What stands before and after an inline element, by its mark; markdown has no sub and sup, so they stay HTML.
@@ -38,23 +38,6 @@ def _collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def _attr(name: str) -> Column:
-    return F.coalesce(F.col("attrs")[name], F.lit(""))
-
-
-OPEN, CLOSE = "kind = 'open'", "kind = 'close'"
-
-
-def _step(what: Column) -> Column:
-    """1 where an element of this kind opens, -1 where it closes."""
-    return F.when(F.expr(OPEN) & what, 1).when(F.expr(CLOSE) & what, -1).otherwise(0)
-
-
-def _lines(*by: str) -> Window:
-    """The rows of a document, or of parts of it, up to the present one."""
-    return Window.partitionBy("doc", *by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def _inline(rows: DataFrame) -> DataFrame:
     """A row a run: doc, page_id, url, seg, pos, raw, marked (its markdown), language, marker, own, run."""
     shown = F.coalesce("md", "raw", F.lit(""))
@@ -222,39 +205,7 @@ def cells(pages: DataFrame) -> DataFrame:
     A row is a head row if it stands in thead; a th is a head cell anywhere. The text of a
     cell that holds a table is what stands outside of that table's cells.
     """
-    tag, opens = F.col("tag"), F.expr(OPEN)
-    inside, line = tag.isin("td", "th"), _lines()
-    rows = events(pages).repartition("doc").withColumns(
-        {
-            "tables": F.sum(_step(tag == "table")).over(line),
-            "number": F.sum((opens & (tag == "table")).cast("int")).over(line) - 1,
-            "inner": F.sum(_step(inside)).over(line),
-        }
-    )
-    own_table = F.when(opens & (tag == "table"), F.col("number"))
-    rows = rows.withColumn("table_idx", F.last(own_table, True).over(_lines("tables"))).filter("tables > 0")
-    in_table = _lines("table_idx")
-    rows = rows.withColumns(
-        {
-            "row": F.greatest(F.sum((opens & (tag == "tr")).cast("int")).over(in_table) - 1, F.lit(0)),
-            "in_head": F.sum(_step(tag == "thead")).over(in_table) > 0,
-            "cell": F.last(F.when(opens & inside, F.col("nid")), True).over(_lines("inner")),
-        }
-    )
-    span = F.when(_attr("colspan").rlike("^[0-9]+$") & (_attr("colspan").try_cast("int") > 0), _attr("colspan").try_cast("int")).otherwise(1)
-    head = F.when(opens & inside, F.struct("table_idx", "row", (F.col("in_head") | (tag == "th")).alias("is_head"), span.alias("col_span")))
-    held = F.when(F.col("kind") == "text", F.struct("pos", "text"))
-    found = rows.filter("inner > 0 AND (kind = 'text' OR tag IN ('td', 'th'))").groupBy("doc", "page_id", "cell").agg(
-        F.max(head).alias("head"), F.array_sort(F.collect_list(held)).alias("texts")
-    )
-    told = found.filter("head IS NOT NULL").select(
-        "doc", "page_id", "cell", "head.*", _collapsed(F.array_join(F.transform("texts", lambda x: x["text"]), "")).alias("text")
-    )
-    before = Window.partitionBy("doc", "table_idx", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    col = F.coalesce(F.sum("col_span").over(before), F.lit(0)).cast("int")
-    return told.withColumn("col", col).select(
-        "page_id", F.col("table_idx").cast("int").alias("table_idx"), F.col("row").cast("int").alias("row"), "col", "is_head", "col_span", "text"
-    )
+    return cell_rows(pages).select("page_id", "table_idx", "row", F.col("col").cast("int").alias("col"), "is_head", "col_span", _collapsed(F.col("text")).alias("text"))
 
 
 def documents(found: DataFrame) -> DataFrame:

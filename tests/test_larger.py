@@ -91,6 +91,12 @@ def test_cells_are_told_where_a_page_is_parsed(spark):
     assert plan.count("MapInArrow") == 1 and "Window" not in plan.partition("MapInArrow")[0] and "Sort" not in plan and "doc#" not in plan
 
 
+def test_columns_are_counted_before_they_are_sorted(spark):
+    plan = QUERIES["table_column_types"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    above, _, below = plan.partition("SortAggregate")
+    assert "Window" not in plan and "HashAggregate" in below and plan.count("MapInArrow") == 1
+
+
 def test_places_of_cells_in_odd_tables():
     from webloom.sources.dom import page_cells, parse
 

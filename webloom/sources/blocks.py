@@ -218,11 +218,13 @@ def documents(found: DataFrame) -> DataFrame:
 def column_types(found: DataFrame) -> DataFrame:
     """page_id, table_idx, col, name, type: the narrowest of integer, float and text that fits all body cells."""
     text = F.col("text")
-    fits = lambda kind: F.count_if(text.try_cast(kind).isNotNull())
-    body = F.col("row") > 0
-    counted = found.withColumn("head", F.first(F.when(F.col("row") == 0, text), True).over(Window.partitionBy("page_id", "table_idx", "col").orderBy("row")))
-    counted = counted.filter(body & (text != "")).groupBy("page_id", "table_idx", "col").agg(
-        F.max("head").alias("name"), F.count("*").alias("n"), fits("bigint").alias("ints"), fits("double").alias("floats")
+    body = (F.col("row") > 0) & (text != "")
+    fits = lambda kind: F.count_if(body & text.try_cast(kind).isNotNull())
+    # Cells are counted beside their heads first, where nothing is sorted; a column has few rows then.
+    column = ["page_id", "table_idx", "col"]
+    counted = found.groupBy(*column, F.when(F.col("row") == 0, text).alias("head")).agg(
+        F.count_if(body).alias("n"), fits("bigint").alias("ints"), fits("double").alias("floats")
     )
+    counted = counted.groupBy(*column).agg(F.max("head").alias("name"), *[F.sum(c).alias(c) for c in ("n", "ints", "floats")]).filter("n > 0")
     kind: Column = F.when(F.col("ints") == F.col("n"), "integer").when(F.col("floats") == F.col("n"), "float").otherwise("text")
     return counted.select("page_id", "table_idx", "col", "name", kind.alias("type"))

@@ -109,3 +109,18 @@ def test_places_of_cells_in_odd_tables():
     parse(source, plain, counted=False)
     fields = ("nid", "tag", "attrs", "skipped")
     assert [(k, v if k == "text" else [v[f] for f in fields]) for k, v in counted] == [(k, v if k == "text" else [v[f] for f in fields]) for k, v in plain]
+
+
+def test_mail_records_are_sorted_behind_their_shuffle(spark):
+    for name in ("mail_posture", "domain_profile"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and all("SortAggregate" not in part for part in plan.split("REPARTITION_BY_COL")[1:]), name
+
+
+def test_the_least_of_several_policies_counts(spark):
+    from webloom.operators import domain_intel
+
+    rows = [("d", "TXT", "d", '"v=spf1 ~all"'), ("d", "TXT", "d", "v=spf1 +all"), ("d", "TXT", "_dmarc.d", "v=DMARC1; p=reject"), ("d", "TXT", "_dmarc.d", "v=DMARC1; p=none"),
+            ("d", "TXT", "k1._domainkey.d", "p=x"), ("e", "A", "e", "192.0.2.1"), ("f", "TXT", "f", None)]
+    found = domain_intel.mail_security(spark.createDataFrame(rows, "domain string, record_type string, name string, value string")).collect()
+    assert sorted(map(tuple, found)) == [("d", "weak", "configured", "weak", "moderate"), ("e", "missing", "missing", "missing", "missing"), ("f", "missing", "missing", "missing", "missing")]

@@ -94,11 +94,14 @@ def mail_security(records: DataFrame) -> DataFrame:
     txt = F.col("record_type") == "TXT"
     value = F.regexp_replace("value", '^"|"$', "")
     selectors = F.regexp_extract("name", r"^([^.]+)\._domainkey\.", 1).isin(*fixed.DKIM_SELECTORS)
-    merged = records.groupBy("domain").agg(
-        F.min(F.when(txt & (F.col("name") == F.col("domain")) & value.startswith("v=spf1"), value)).alias("spf"),
-        F.min(F.when(txt & F.col("name").startswith("_dmarc.") & value.startswith("v=DMARC1"), value)).alias("dmarc"),
-        F.bool_or(F.coalesce(txt & selectors & (value.startswith("v=DKIM1") | value.contains("p=")), F.lit(False))).alias("dkim"),
+    said = records.select(
+        "domain",
+        F.when(txt & (F.col("name") == F.col("domain")) & value.startswith("v=spf1"), value).alias("spf"),
+        F.when(txt & F.col("name").startswith("_dmarc.") & value.startswith("v=DMARC1"), value).alias("dmarc"),
+        F.coalesce(txt & selectors & (value.startswith("v=DKIM1") | value.contains("p=")), F.lit(False)).alias("dkim"),
     )
+    # The least of texts is found by sorting: behind the shuffle, where a task has its share of domains, and not in the tasks that read.
+    merged = said.repartition("domain").groupBy("domain").agg(F.min("spf").alias("spf"), F.min("dmarc").alias("dmarc"), F.bool_or("dkim").alias("dkim"))
     told = merged.select(
         "domain",
         spf(F.col("spf"))["status"].alias("spf"),

@@ -124,3 +124,20 @@ def test_the_least_of_several_policies_counts(spark):
             ("d", "TXT", "k1._domainkey.d", "p=x"), ("e", "A", "e", "192.0.2.1"), ("f", "TXT", "f", None)]
     found = domain_intel.mail_security(spark.createDataFrame(rows, "domain string, record_type string, name string, value string")).collect()
     assert sorted(map(tuple, found)) == [("d", "weak", "configured", "weak", "moderate"), ("e", "missing", "missing", "missing", "missing"), ("f", "missing", "missing", "missing", "missing")]
+
+
+def test_cached_keys_share_calls_and_keep_their_entries_across_batches(spark, tmp_path):
+    from webloom.streaming import stateful
+
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
+    for part, times in (("a", (0, 50, 100)), ("b", (120, 150, 300))):
+        keys = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(100.0).alias("ttl"))
+        rows = [keys.select("key", at(s).alias("ts"), "ttl") for s in times]
+        rows[0].unionByName(rows[1]).unionByName(rows[2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("key string, ts timestamp, ttl double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stateful.cached(source, late_s=1000, buckets=8)
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("parquet").option("path", str(tmp_path / "out")).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 8 and len(query.recentProgress) >= 2
+    found = spark.read.parquet(str(tmp_path / "out")).groupBy((F.unix_seconds("ts") - 1_700_000_000).alias("s"), "hit").count().collect()
+    assert sorted(map(tuple, found)) == [(0, False, 300), (50, True, 300), (100, False, 300), (120, True, 300), (150, True, 300), (300, False, 300)]

@@ -52,31 +52,36 @@ def rate_limited(
     )
 
 
-def cached(requests: DataFrame, default_ttl: float = 300.0, late_s: int = 3600) -> DataFrame:
+def cached(requests: DataFrame, default_ttl: float = 300.0, late_s: int = 3600, buckets: int = 1024) -> DataFrame:
     """key, ts, hit for each request of (key, ts, ttl): whether a stored response was still fresh.
 
-    State is the end of a key's entry; it goes when the watermark has passed it.
+    Keys are dealt to buckets, as a call of Python for each of them costs far more than its requests. State is the end of
+    each fresh entry of a bucket; an entry goes when the watermark has passed its end, and a bucket ``late_s`` seconds after its last.
     """
 
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(_: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        until = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches)).sort_values("ts")
+        until = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
+        times = (rows["us"] / 1e6).tolist()
         hits = []
-        for t, ttl in zip(rows["ts"], rows["ttl"], strict=True):
-            now = t.timestamp()
-            hits.append(now < until)
+        for key, now, ttl in zip(rows["key"].tolist(), times, rows["ttl"].fillna(default_ttl).tolist(), strict=True):
+            hits.append(now < until.get(key, float("-inf")))
             if not hits[-1]:
-                until = now + (default_ttl if pd.isna(ttl) else ttl)
-        state.update((until,))
-        _forget_at(state, max(until, rows["ts"].iloc[-1].timestamp()), late_s)
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "hit": hits})
+                until[key] = now + ttl
+        last = max(times[-1], *until.values())
+        passed = state.getCurrentWatermarkMs() / 1000
+        fresh = {key: end for key, end in until.items() if end > passed}
+        state.update((list(fresh), list(fresh.values())))
+        _forget_at(state, last, late_s)
+        yield pd.DataFrame({"key": rows["key"].to_numpy(), "ts": rows["ts"].to_numpy(), "hit": hits})
 
-    timed = requests.select("key", "ts", F.col("ttl").cast("double")).withWatermark("ts", f"{late_s} seconds")
-    return timed.groupBy("key").applyInPandasWithState(
-        step, "key string, ts timestamp, hit boolean", "until double", "append", GroupStateTimeout.EventTimeTimeout
+    timed = requests.select("key", "ts", F.unix_micros("ts").alias("us"), F.col("ttl").cast("double")).withWatermark("ts", f"{late_s} seconds")
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        step, "key string, ts timestamp, hit boolean", "keys array<string>, ends array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

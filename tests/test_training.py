@@ -67,3 +67,32 @@ def test_pages_left_out_are_told(spark):
     told = evaluation.confusion(scored, F.col("label") == 1, F.col("guess") == 1).first()
     assert told.f1 >= 0.45 and told.tp + told.fp + told.fn + told.tn == rows.count()
     assert evaluation.top_hits(scored).first().top_hit_rate >= 0.6
+
+
+def test_ablation_takes_all_steps(spark, monkeypatch):
+    from webloom.plans import catalog
+
+    taken = []
+
+    def asked(labelled, leave, fold=None, iterations=600):
+        taken.append((len(leave), iterations))
+        raise KeyError
+
+    monkeypatch.setattr(evaluation, "gradient_models", asked)
+    with pytest.raises(KeyError):
+        catalog.queries()["content_ablation"](spark, "/root/testdata/sf0.001")
+    assert taken == [(2 * (1 + len(fixed.FEATURE_GROUPS)), 600)]
+
+
+def test_models_that_share_a_fold_agree_with_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, len(NAMES))) * rng.uniform(0.1, 3, len(NAMES))
+    x[:, 3], x[:, 4] = 0.25, x[:, 4] > 0
+    y, fold = (x[:, 0] + rng.normal(size=9000) > 0.5).astype(int), rng.integers(0, 2, 9000)
+    rows = [(*map(float, r), int(t), int(f)) for r, t, f in zip(x, y, fold, strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in NAMES) + ", label int, fold int").repartition(7)
+    out, kept = tuple(list(fixed.CONTENT_MODEL)[5:9]), np.array([1.0] * 5 + [0.0] * 4 + [1.0] * (len(NAMES) - 9))
+    models = evaluation.gradient_models(df, [(1, ()), (0, out), (1, out), (0, ())], "fold", 8)
+    for model, f, k in zip(models, (1, 0, 1, 0), (1.0, kept, kept, 1.0), strict=True):
+        w, b = plain(x[fold != f], y[fold != f], 8, kept=k)
+        assert np.allclose(model.weights, w, atol=1e-9) and model.bias == pytest.approx(b, abs=1e-9)

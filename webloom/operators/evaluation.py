@@ -46,15 +46,19 @@ class ContentModel:
 
 
 def _blocks(labelled: DataFrame, names: list[str], fold: str | None, rows: int = 8192) -> DataFrame:
-    """Runs of rows as one row each: their features as a matrix, labels and folds."""
+    """Runs of rows as one row each: their features column by column, labels and folds.
+
+    They are read in every step, so features are compressed: flags and values that repeat in a column take little then.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                x = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1).astype(np.float64)
+                x = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(np.float64)
                 y, own = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "fold"))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, own)], ["x", "y", "fold"])
+                held = (pa.compress(x.tobytes(), "lz4", asbytes=True), y.tobytes(), own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in held], ["x", "y", "fold"])
 
     own = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
     return checkpointed(labelled.select(*names, F.col("label").cast("long"), own.alias("fold")).mapInArrow(pack, "x binary, y binary, fold binary"))
@@ -66,11 +70,12 @@ def gradient_models(
     """A model for each (fold, names) of leave, trained without the rows of that fold and without those features. labelled: f_* and label 0 or 1.
 
     Features are standardised by the rows of each training, classes weigh alike, and ``iterations`` full gradients are followed from zero. All models
-    take their steps together: a step is one pass over packed rows, whose partial gradients are summed on their way, and the driver sees a number a model
-    and feature. Without a row of a class the other weighs one; a feature that doesn't vary has scale 1. Folds are whole numbers. No rows are an error.
+    take their steps together: a step is one pass of a task a core over packed rows, and the driver sees a number a model, feature and core. Models that
+    leave out the same fold share its rows. Without a row of a class the other weighs one; a feature that doesn't vary has scale 1. Folds are whole
+    numbers. No rows are an error.
     """
     names = [f"f_{k}" for k in fixed.CONTENT_MODEL]
-    packed = _blocks(labelled, names, fold)
+    packed = _blocks(labelled, names, fold).coalesce(labelled.sparkSession.sparkContext.defaultParallelism)
     d, folds = len(names), [f for f, _ in leave]
     kept = np.array([[0.0 if n.removeprefix("f_") in without else 1.0 for n in names] for _, without in leave])
 
@@ -80,15 +85,13 @@ def gradient_models(
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(folds), size))
             for batch in portions(batches, 1):
-                for x, y, own in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "fold")), strict=True):
-                    total += part(np.frombuffer(x).reshape(-1, d), np.frombuffer(y, np.int64), np.frombuffer(own, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
+                x, y, own = (batch.column(c)[0].as_buffer() for c in ("x", "y", "fold"))
+                x = pa.decompress(x, d * y.size, "lz4")
+                total += part(np.frombuffer(x).reshape(d, -1).T, np.frombuffer(y, np.int64), np.frombuffer(own, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-        rows = packed.mapInArrow(each, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(len(folds) * size)
-        for r in rows:
-            out[r.place] = r.value
-        return out.reshape(len(folds), size)
+        parts = packed.mapInArrow(each, "total binary").toArrow().column("total").to_pylist()
+        return sum((np.frombuffer(p).reshape(len(folds), size) for p in parts), np.zeros((len(folds), size)))
 
     inside = lambda own: np.stack([np.ones(len(own)) if f is None else (own != f) * 1.0 for f in folds])
     first = summed(lambda x, y, own: np.concatenate([(m := inside(own)).sum(axis=1)[:, None], (m @ y)[:, None], m @ x], axis=1), d + 2)
@@ -102,14 +105,16 @@ def gradient_models(
     share = np.stack([n / (2 * np.maximum(n - positive, 1)), n / (2 * np.maximum(positive, 1))], axis=1)
     share[(positive == 0) | (positive == n)] = 1.0
     weights, bias = np.zeros((len(folds), d)), np.zeros(len(folds))
+    alike = {f: [k for k, other in enumerate(folds) if other == f] for f in folds}
     for _ in range(iterations):
 
         def gradient(x, y, own, weights=weights, bias=bias):
-            masks, out = inside(own), np.zeros((len(folds), d + 1))
-            for k, m in enumerate(masks):
-                z = (x - means[k]) / scales[k]
-                error = (1 / (1 + np.exp(-np.clip(bias[k] + z @ weights[k], -700, 700))) - y) * share[k][y] * m
-                out[k] = [*(error @ z), error.sum()]
+            out = np.zeros((len(folds), d + 1))
+            for f, ks in alike.items():
+                rows = slice(None) if f is None else own != f
+                z, truth = (x[rows] - means[ks[0]]) / scales[ks[0]], y[rows]
+                error = (1 / (1 + np.exp(-np.clip(bias[ks] + z @ weights[ks].T, -700, 700))) - truth[:, None]) * share[ks[0]][truth][:, None]
+                out[ks] = np.column_stack([error.T @ z, error.sum(axis=0)])
             return out
 
         g = summed(gradient, d + 1) / n[:, None]
